@@ -34,7 +34,7 @@ from .textkit import stash, text_chunks
 #: (length, copies) pairs and the number of sequences that have them.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 #: Items that one task numbers in one group, on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -154,7 +154,6 @@ class Places:
 
 def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``.  ``items`` should be a stored table: it is read twice."""
-    total = "".join(order)
     spread = F.xxhash64(*order)
     counts = items.groupBy(length).count().collect()  # one row a length, at most ``capacity`` of them
     count = np.zeros(capacity + 1, np.int64)
