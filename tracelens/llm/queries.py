@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, importance_resampling, ngram_join, ogg_media, quality_llr, suffix_dedup, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, quality_llr, suffix_dedup, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = ogg_media.write_media(table(spark, sf_dir, "documents"))
     back = ogg_media.read_media(media)
@@ -72,6 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": op1_brown_lm,
     "op2_ogg_media": op2_ogg_media,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
