@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, quality_llr, suffix_dedup, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, quality_llr, suffix_dedup, toxicity_gru, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gru.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_ogg_media": op2_ogg_media,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity_gru": op4_toxicity_gru,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_templates": op7_url_templates,
