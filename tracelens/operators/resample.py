@@ -33,8 +33,8 @@ def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], s
     """
     keys = list(keys)
     seen = bootstrap_community(counts, keys)
-    hidden = seen.groupBy(*keys).agg(F.max("p0").alias("p0"), F.max("unseen_count").alias("k"), F.max("total").alias("total")).where("k > 0")
-    hidden = hidden.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).select(*keys, F.concat(F.lit("unseen:"), F.col("i")).alias("species"), (F.col("p0") / F.col("k")).alias("p"), "total")
+    hidden = seen.groupBy(*keys).agg(F.max("p0").alias("p0"), F.max("unseen_count").alias("_k"), F.max("total").alias("total")).where("_k > 0")
+    hidden = hidden.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k").cast("long")))).select(*keys, F.concat(F.lit("unseen:"), F.col("i")).alias("species"), (F.col("p0") / F.col("_k")).alias("p"), "total")
     whole = seen.select(*keys, "species", "p", "total").unionByName(hidden)
     upto = Window.partitionBy(*keys).orderBy("species").rowsBetween(Window.unboundedPreceding, 0)
     bounds = whole.withColumn("high", F.sum("p").over(upto)).withColumn("low", F.col("high") - F.col("p"))

@@ -76,12 +76,12 @@ def rarefied(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFra
     distinct counts and not species.
     """
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    kinds = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("k"))
+    kinds = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k"))
     rows = grid.join(sizes, list(keys)).where(F.col("m") < F.col("total")).join(kinds, list(keys))
     n, x, m = F.col("total"), F.col("n"), F.col("m")
     rows = rows.withColumn("none", F.when(n - x >= m, F.exp(_log_choose(n - x, m) - _log_choose(n, m))).otherwise(F.lit(0.0)))
     rows = rows.withColumn("cover", F.when(n - x >= m, x / n * F.exp(_log_choose(n - x, m) - _log_choose(n - 1, m))).otherwise(F.lit(0.0)))
-    return rows.groupBy(*keys, "m").agg(F.sum(F.col("k") * (1 - F.col("none"))).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sum(F.col("k") * F.col("cover")))).alias("c"))
+    return rows.groupBy(*keys, "m").agg(F.sum(F.col("_k") * (1 - F.col("none"))).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sum(F.col("_k") * F.col("cover")))).alias("c"))
 
 
 def extrapolated(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -139,9 +139,9 @@ def chao2(incidence: DataFrame, trials: DataFrame, keys: Sequence[str]) -> DataF
 
 def hill_numbers(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """q1 = exp of the Miller-Madow entropy, q2 = inverse of the unbiased Simpson index."""
-    own = counts.join(counts.groupBy(*keys).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")), list(keys))
-    p, n, t = F.col("n") / F.col("t"), F.col("n"), F.col("t")
-    out = own.groupBy(*keys).agg((-F.sum(p * F.log(p)) + (F.max("k") - 1) / (2 * F.max("t"))).alias("h"), (F.sum(n * (n - 1)) / F.nullif(F.max(t * (t - 1)), F.lit(0))).alias("d"))
+    own = counts.join(counts.groupBy(*keys).agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k")), list(keys))
+    p, n, t = F.col("n") / F.col("_t"), F.col("n"), F.col("_t")
+    out = own.groupBy(*keys).agg((-F.sum(p * F.log(p)) + (F.max("_k") - 1) / (2 * F.max("_t"))).alias("h"), (F.sum(n * (n - 1)) / F.nullif(F.max(t * (t - 1)), F.lit(0))).alias("d"))
     return out.select(*keys, F.exp("h").alias("hill_q1"), (1 / F.nullif(F.col("d"), F.lit(0.0))).alias("hill_q2"))
 
 

@@ -32,7 +32,8 @@ def _grid(spark: SparkSession, sizes: Sequence[int], samples: int) -> DataFrame:
 
 
 def _with_traces(places: DataFrame, rows: DataFrame) -> DataFrame:
-    return places.join(rows, "trace_index").select("sample_size", "sample_id", "pos", *rows.columns)
+    own = [c for c in rows.columns if c not in ("sample_size", "sample_id", "pos")]
+    return places.join(rows.select(*own), "trace_index").select("sample_size", "sample_id", "pos", *own)
 
 
 def sample_random(rows: DataFrame, sizes: Sequence[int], samples: int, policy: str = "within_and_across", seed: int = 123) -> DataFrame:

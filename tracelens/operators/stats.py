@@ -23,7 +23,7 @@ def _average_rank(value: str, keys: Sequence[str]) -> Column:
 def _corr(x: str, y: str) -> Column:
     """Pearson's r; null for fewer than two rows or no variance."""
     flat = (F.count(F.lit(1)) < 2) | (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    return F.when(~flat, F.corr(x, y))
+    return F.when(~flat, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def size_correlations(raw: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFrame:
