@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality_llr import SCALE, buckets_of, fit, let, words_of
+from .quality_llr import SCALE, fit, with_words
 from .textkit import stash
 
 #: Share of the documents that a resampling keeps.
@@ -57,7 +57,8 @@ def kth_largest(table: DataFrame, column: str, k: int) -> int | None:
 def log_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_features and log_weight (natural log of target over raw probability) of every document."""
     ratio = fit(docs, labels, text, key, threshold=False)
-    row = let(buckets_of(words_of(F.col(text))), lambda b: F.struct(F.size(b).cast("long").alias("n_features"), (ratio.total(b) / SCALE).alias("log_weight")))
+    features = lambda w: F.greatest(3 * F.size(w) - 1, F.lit(0)).cast("long")
+    row = with_words(F.col(text), lambda w, h: F.struct(features(w).alias("n_features"), (ratio.total(w, h) / SCALE).alias("log_weight")))
     return docs.select(key, row.alias("r")).select(key, "r.*")
 
 
