@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, quality_llr, suffix_dedup, toxicity_gru, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, quality_llr, suffix_dedup, toxicity_gru, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": oracles.NGRAM_JOIN, "op6_suffix_dedup": oracles.SUFFIX_DEDUP}

@@ -316,6 +316,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
     return both.mapInArrow(run, schema).select("_row.*", "removed", "kept")
 
 
+def kept_text(done: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of :func:`remove_repeats`, with ``text`` cut: a character is kept if all its bytes are."""
+    others = [c for c in done.columns if c not in (text, "removed", "kept")]
+    kinds = {f.name: f.dataType.simpleString() for f in done.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = []
+                for whole, spans in zip(part.column(0).to_pylist(), part.column(1)):
+                    if whole is None or not len(spans.values):
+                        texts.append(whole)
+                        continue
+                    body, at, left = whole.encode(), 0, []
+                    for s in spans.values.to_pylist():
+                        left.append(body[at:s["start"]].decode("utf-8", "ignore"))
+                        at = s["end"]
+                    texts.append("".join(left) + body[at:].decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([*(part.column(k + 2) for k in range(len(others))), pa.array(texts, pa.string())], names=[*others, text])
+
+    return done.select(text, "removed", *others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), f"`{text}` string"]))
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
     """Maximal runs of the spans' union; spans that touch are one run."""
     order = np.argsort(start, kind="stable")

@@ -183,7 +183,8 @@ class Network:
         return np.maximum.reduceat(out, np.flatnonzero(np.r_[True, text[1:] != text[:-1]])) if len(text) else out
 
     def scores(self, w: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.logits(w).astype(np.float64) + self.shift)))
+        # Rounded, as single-precision sums depend on how many texts are worked on together.
+        return np.round(1 / (1 + np.exp(-(self.scale * self.logits(w).astype(np.float64) + self.shift))), 6)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 1) -> Network:
