@@ -165,3 +165,16 @@ def test_synthetic_logs_and_ladder(spark):
     members = P.sample_consecutive(rare, [20], 2)
     done = jobs.measure_samples(members, jobs.Scenario("x", "chao1", True, 3, ["number_of_distinct_traces"])).collect()
     assert len(done) == 2 and all(r["boot_ci_low"] <= r["boot_ci_high"] for r in done)
+
+
+def test_ones_own_steps(spark):
+    """A custom population, normalizer, resampler and measure in one study."""
+    log = jobs.synthetic_log(spark, "two_lengths", 20).withColumn("log", F.lit("x")).withColumn("pos", F.col("trace_index"))
+    scenario = jobs.Scenario(
+        "own", lambda counts, keys: R.naive(counts, keys).withColumn("population_count", F.lit(7).cast("long")), True, 2, ["number_of_distinct_traces", "number_of_events"],
+        normalizers={"number_of_events": lambda c: c("number_of_events") * 0 + 5}, resample=lambda m, n, keys: m.withColumn("replicate", F.explode(F.array(F.lit(0), F.lit(1)))),
+        custom=[("longest", lambda m, keys: m.groupBy(*keys).agg(F.max("len").cast("double").alias("longest")))],
+    )
+    got = {r["metric"]: r for r in jobs.measure_samples(log, scenario, ["log"]).collect()}
+    assert {k: r["value"] for k, r in got.items()} == {"number_of_distinct_traces": 7, "number_of_events": 5, "longest": 10}
+    assert got["longest"]["boot_ci_low"] == 10

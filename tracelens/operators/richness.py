@@ -158,3 +158,66 @@ def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column
     curve = coverage_curve(counts, grid, keys)
     hit = curve.where(F.col("c") >= target - 1e-12).groupBy(*keys).agg(F.min("m").alias("effort"), F.min_by("s", "m").alias("s"), F.min_by("c", "m").alias("c"))
     return most.join(hit, list(keys), "left").withColumn("target", target)
+
+
+# ---------------------------------------------------------------- incidence curves, tables with intervals
+
+def incidence_curve(incidence: DataFrame, trials: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Species ``s`` and coverage ``c`` of m sampling units, below and above the t units seen.
+
+    ``incidence``: keys, species columns, n (units with the species); ``trials``: keys, t.
+    """
+    totals = incidence.groupBy(*keys).agg(F.sum("n").alias("_u"), F.count_if(F.col("n") == 1).cast("double").alias("_q1"), F.count_if(F.col("n") == 2).alias("_q2"), F.count(F.lit(1)).alias("_s")).join(trials, list(keys))
+    kinds = incidence.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k"))
+    t, y, m, u = F.col("t"), F.col("n"), F.col("m"), F.col("_u")
+    rows = grid.join(totals, list(keys)).where(m < t).join(kinds, list(keys))
+    fits = t - y >= m
+    rows = rows.withColumn("_none", F.when(fits, F.exp(_log_choose(t - y, m) - _log_choose(t, m))).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("_miss", F.when(fits, y / u * F.exp(_log_choose(t - y, m) - _log_choose(t - 1, m))).otherwise(F.lit(0.0)))
+    below = rows.groupBy(*keys, "m").agg(F.sum(F.col("_k") * (1 - F.col("_none"))).alias("s"), (1 - F.sum(F.col("_k") * F.col("_miss"))).alias("c"))
+    q1, q2 = F.col("_q1"), F.col("_q2")
+    q0 = F.when(q2 > 0, (t - 1) / t * q1 * q1 / F.nullif(2 * q2, F.lit(0))).otherwise((t - 1) / t * q1 * (q1 - 1) / 2)
+    a = F.when(q1 == 0, F.lit(0.0)).when(q2 > 0, (t - 1) * q1 / F.nullif((t - 1) * q1 + 2 * q2, F.lit(0.0))).otherwise(F.lit(1.0))
+    more = F.when(q0 > 0, q0 * (1 - F.pow(1 - q1 / (t * q0 + q1), m - t))).otherwise(F.lit(0.0))
+    above = grid.join(totals, list(keys)).where(m >= t).select(*keys, "m", (F.col("_s") + more).alias("s"), (1 - q1 / u * F.pow(a, m - t + 1)).alias("c"))
+    return below.unionByName(above)
+
+
+def richness_table(members: DataFrame, keys: Sequence[str], replicates: int, resample=None, bound: bool = False) -> DataFrame:
+    """Richness of variants (Chao1) and of directly-follows pairs (Chao2) of each window, with bootstrap intervals.
+
+    ``resample``: members, replicates, keys -> members with one more key, ``replicate``; by
+    default traces are drawn with replacement.  ``bound`` keeps intervals at or above what was seen.
+    """
+    from .eventlog import edge_incidence, variants
+    from .resample import interval, trace_bootstrap
+
+    def both(m: DataFrame, by: list[str]) -> DataFrame:
+        kinds = variants(m, by)
+        take = ["observed_count", "s_hat", "c0", "c1"]
+        one = chao1_plain(kinds.select(*by, "n"), by).select(*by, F.lit("variant").alias(KIND), *take)
+        two = chao2(edge_incidence(kinds, by), kinds.groupBy(*by).agg(F.sum("n").alias("t")), by).select(*by, F.lit("dfg_edge").alias(KIND), *take)
+        return one.unionByName(two)
+
+    keys = list(keys)
+    again = both((resample or trace_bootstrap)(members, replicates, keys), [*keys, "replicate"])
+    bounds = interval(again.select(*keys, KIND, F.col("s_hat").alias("value")), [*keys, KIND], "percentile").select(*keys, KIND, "ci_low", "ci_high")
+    out = both(members, keys).join(bounds, [*keys, KIND], "left")
+    return out.withColumn("ci_low", F.greatest("ci_low", "observed_count")).withColumn("ci_high", F.greatest("ci_high", "observed_count")) if bound else out
+
+
+def equal_coverage_table(counts: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """Richness of each group at the coverage that all reach, with an interval at that fixed effort, and Hill numbers.
+
+    Every replicate is measured at the effort of the group itself.
+    """
+    from .resample import interval, species_bootstrap
+
+    keys = list(keys)
+    at = richness_at_coverage(counts, keys)
+    again = species_bootstrap(counts, replicates, keys)
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    grid = at.where("effort is not null").select(*keys, each, F.col("effort").alias("m"))
+    curve = coverage_curve(again, grid.select(*keys, "replicate", "m"), [*keys, "replicate"])
+    bounds = interval(curve.select(*keys, F.col("s").alias("value")), keys).select(*keys, "ci_low", "ci_high")
+    return at.join(bounds, keys, "left").join(hill_numbers(counts, keys), keys)

@@ -5,8 +5,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +14,29 @@ from pyspark.sql import functions as F
 from ..operators import normalize as norm
 from ..operators import richness, windows
 from ..operators.eventlog import species
-from ..operators.measures import all_measures, unpivot
+from ..operators.measures import Custom, all_measures, unpivot
 from ..operators.resample import interval, trace_bootstrap
-from ..operators.tables import analysis, comparison, master, with_means
+from ..operators.tables import analysis, comparison, master
 
 
 @dataclass(frozen=True)
 class Scenario:
-    """How measures are made: population fit, normalizers, bootstrap replicates."""
+    """How measures are made: population fit, normalizers, bootstrap replicates.
+
+    Each step can be one's own: ``population`` a function of species counts and keys,
+    ``normalizers`` functions of a row's measures, ``resample`` a function of members,
+    replicates and keys, ``custom`` further measures.
+    """
 
     name: str
-    population: str | None = None  # None, "naive" or "chao1"
+    population: str | Callable[[DataFrame, Sequence[str]], DataFrame] | None = None  # None, "naive", "chao1" or a function
     normalized: bool = False
     replicates: int = 0
     wanted: Sequence[str] | None = None
     hide: Sequence[str] = field(default_factory=tuple)
+    normalizers: dict[str, norm.Normalizer] | None = None
+    resample: Callable[[DataFrame, int, Sequence[str]], DataFrame] = trace_bootstrap
+    custom: Sequence[Custom] = field(default_factory=tuple)
 
 
 #: The ladder of fixes: plain, normalized, normalized with estimated populations.
@@ -39,7 +47,7 @@ def measure(members: DataFrame, keys: Sequence[str], scenario: Scenario) -> Data
     """Visible values, long: keys, metric, value."""
     population = None
     if scenario.population:
-        fit = richness.chao1 if scenario.population == "chao1" else richness.naive
+        fit = {"chao1": richness.chao1, "naive": richness.naive}.get(scenario.population, scenario.population)
         population = fit(species(members, keys), [*keys, richness.KIND])
     extra = ["number_of_partitions", "number_of_states"] if scenario.normalized else []
     from ..operators.metrics import COLUMNS, NAMES
@@ -51,11 +59,13 @@ def measure(members: DataFrame, keys: Sequence[str], scenario: Scenario) -> Data
         if not any("entropy" in n for n in names):
             extra = []
         extra += [n for n in need if n not in names]
-    table = all_measures(members, keys, [*names, *extra], population)
+    table = all_measures(members, keys, [*names, *extra], population, custom=scenario.custom)
+    names += [n for n, _ in scenario.custom]
     if not scenario.normalized:
         return unpivot(table, list(keys))
-    rows = norm.normalize(table, list(keys), hide=[*scenario.hide])
-    return norm.visible(rows).where(F.col("metric").isin(names))
+    rows = norm.normalize(table, list(keys), scenario.normalizers, hide=[*scenario.hide])
+    shown = rows.withColumn("hidden", F.when(F.col("metric").isin([n for n, _ in scenario.custom]), F.lit(False)).otherwise(F.col("hidden")))
+    return norm.visible(shown).where(F.col("metric").isin(names))
 
 
 def measure_samples(members: DataFrame, scenario: Scenario, keys: Sequence[str] = ("log", "sample_size", "sample_id")) -> DataFrame:
@@ -64,7 +74,7 @@ def measure_samples(members: DataFrame, scenario: Scenario, keys: Sequence[str]
     raw = measure(members, keys, scenario)
     if not scenario.replicates:
         return raw
-    again = measure(trace_bootstrap(members, scenario.replicates, keys), [*keys, "replicate"], Scenario(scenario.name, scenario.population, scenario.normalized, 0, scenario.wanted, scenario.hide))
+    again = measure(scenario.resample(members, scenario.replicates, keys), [*keys, "replicate"], replace(scenario, replicates=0))
     bounds = interval(again, [*keys, "metric"]).select(*keys, "metric", F.col("ci_low").alias("boot_ci_low"), F.col("ci_high").alias("boot_ci_high"))
     return raw.join(bounds, [*keys, "metric"], "left")
 
@@ -118,6 +128,3 @@ def summary_tables(windows_: DataFrame, drift: DataFrame, columns: Sequence[str]
     aggregates = tables.delta_aggregates(deltas)
     return {"summary": tables.drift_summary(drift), "deltas": deltas, "aggregates": aggregates, "table": tables.simple_table(aggregates), "correlation": stats.trace_count_correlation(windows_, columns)}
 
-
-def mean_master(rows: DataFrame) -> DataFrame:
-    return with_means(rows)

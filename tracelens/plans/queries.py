@@ -382,6 +382,31 @@ def chao2_incidence(spark, d):
     return six(R.chao2(L.edge_incidence(kinds, ["log"]), kinds.groupBy("log").agg(F.sum("n").alias("t")), ["log"]))
 
 
+@query(f"""with {CO}, ic as (select log, a, b, sum(n) as n from (select distinct log, acts, n, a, b from cp) group by 1, 2, 3), tt as (select log, sum(n) as t from cv group by 1),
+ q as (select log, sum(n) as u, count(*) filter (n = 1) as q1, count(*) filter (n = 2) as q2, count(*) as so from ic group by 1), z as (select *, case when q2 > 0 then (t - 1) / t * q1 * q1 / (2 * q2) else (t - 1) / t * q1 * (q1 - 1) / 2 end as q0,
+ case when q1 = 0 then 0 when q2 > 0 then (t - 1) * q1 / ((t - 1) * q1 + 2 * q2) else 1 end as a from q join tt using (log)), g as (select *, unnest([5, t, 2 * t]) as m from z),
+ lo as (select log, m, sum(1 - case when t - n >= m then exp(lgamma(t - n + 1) - lgamma(t - n - m + 1) - lgamma(t + 1) + lgamma(t - m + 1)) else 0 end) as s,
+ 1 - sum(case when t - n >= m then n / u * exp(lgamma(t - n + 1) - lgamma(t - n - m + 1) - lgamma(t) + lgamma(t - m)) else 0 end) as c from g join ic using (log) where m < t group by 1, 2),
+ hi as (select log, m, so + case when q0 > 0 then q0 * (1 - power(1 - q1 / (t * q0 + q1), m - t)) else 0 end as s, 1 - q1 / u * power(a, m - t + 1) as c from g where m >= t)
+ select log, cast(m as bigint) as m, round(s, 6) as s, round(c, 6) as c from (select * from lo union all select * from hi)""")
+def incidence_curve(spark, d):
+    kinds = L.variants(co_log(spark, d), ["log"])
+    trials = kinds.groupBy("log").agg(F.sum("n").alias("t"))
+    grid = trials.select("log", F.explode(F.array(F.lit(5).cast("long"), "t", 2 * F.col("t"))).alias("m"))
+    return six(R.incidence_curve(L.edge_incidence(kinds, ["log"]), trials, grid, ["log"]))
+
+
+@query()
+def richness_table(spark, d):
+    rows = ev_traces(spark, d)
+    return R.richness_table(W.by_change_points(rows, _points(spark, rows), lenient=True), ["window_id"], 20, bound=True)
+
+
+@query()
+def equal_coverage_table(spark, d):
+    return R.equal_coverage_table(_species(spark, d), KINDS, 20)
+
+
 @query(f"""with {FREQ}, w as (select log, species_kind, n, sum(n) over (partition by log, species_kind) as t, count(*) over (partition by log, species_kind) as k from sc)
  select log, species_kind, round(exp(-sum(n / t * ln(n / t)) + (max(k) - 1) / (2 * max(t))), 6) as hill_q1, round(1 / nullif(sum(n * (n - 1)) / nullif(max(t * (t - 1)), 0), 0), 6) as hill_q2 from w group by 1, 2""")
 def hill_numbers(spark, d):
