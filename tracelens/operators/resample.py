@@ -47,16 +47,16 @@ def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], s
     return placed.groupBy(*keys, "replicate", "species").agg(F.count(F.lit(1)).alias("n"))
 
 
-def interval(values: DataFrame, keys: Sequence[str], method: str = "inext", level: float = 0.95) -> DataFrame:
+def interval(values: DataFrame, keys: Sequence[str], method: str = "normal", level: float = 0.95) -> DataFrame:
     """Mean, sample deviation and bounds over replicates; null and infinite values are skipped.
 
-    inext: mean plus or minus 1.96 standard errors; percentile: linear quantiles.
+    normal: mean plus or minus 1.96 standard errors; percentile: linear quantiles.
     """
     v = F.when(F.abs("value") < float("inf"), F.col("value"))
     side = (1 - level) / 2
     out = values.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(side)).alias("p_low"), F.percentile(v, F.lit(1 - side)).alias("p_high"))
     se = F.coalesce("std", F.lit(0.0)) / F.sqrt("n")
-    if method == "inext":
+    if method == "normal":
         low, high = F.col("mean") - 1.96 * se, F.col("mean") + 1.96 * se
     elif method == "percentile":
         low, high = F.col("p_low"), F.col("p_high")
