@@ -58,7 +58,7 @@ def log_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     """key, n_features and log_weight (natural log of target over raw probability) of every document."""
     ratio = fit(docs, labels, text, key, threshold=False)
     features = lambda w: F.greatest(3 * F.size(w) - 1, F.lit(0)).cast("long")
-    row = with_words(F.col(text), lambda w, h: F.struct(features(w).alias("n_features"), (ratio.total(w, h) / SCALE).alias("log_weight")))
+    row = with_words(F.col(text), lambda w, h, p: F.struct(features(w).alias("n_features"), (ratio.total(w, h, p) / SCALE).alias("log_weight")))
     return docs.select(key, row.alias("r")).select(key, "r.*")
 
 
