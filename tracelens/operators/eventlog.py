@@ -50,8 +50,8 @@ def index_traces(rows: DataFrame) -> DataFrame:
         first[part], total = total, total + sizes[part]
     if not first:
         return ordered.drop("part", "place").withColumn("trace_index", F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x) for p, n in first.items() for x in (p, n)]), F.col("part"))
-    return ordered.withColumn("trace_index", (start + F.col("place")).cast("long")).drop("part", "place")
+    starts = F.broadcast(rows.sparkSession.createDataFrame(list(first.items()), "part int, first long"))
+    return ordered.join(starts, "part").withColumn("trace_index", F.col("first") + F.col("place")).drop("part", "place", "first")
 
 
 def head_traces(rows: DataFrame, n: int) -> DataFrame:
