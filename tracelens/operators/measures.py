@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .eventlog import activity_counts, edge_counts, pairs, variants
+from .eventlog import edge_counts, pairs, variants
 
 #: A custom measure: members and keys -> keys and one value column (name, function).
 Custom = tuple[str, Callable[[DataFrame, Sequence[str]], DataFrame]]
