@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import SpanHash, byte_view, ragged, text_chunks
+from .textkit import SpanHash, ragged, text_chunks
 
 #: Pre-tokens above this many bytes are streamed.
 LONG_PIECE = 256
