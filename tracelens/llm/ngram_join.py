@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import SpanHash, mix, ragged, stash, text_chunks, word_spans
+from .textkit import SpanHash, mix, ragged, stash, text_chunks, trim, word_spans
 
 WORDS = 5
 #: Similarity of at least 4/5; kept as a fraction, so that comparisons are exact.
@@ -237,6 +237,7 @@ def linked_sets(docs: DataFrame, members: DataFrame, width: int, threshold: tupl
             sets = [np.frombuffer(x, np.uint64) for x in t.column("sets").to_pylist()]
             n, d, root = verify(rep, t.column("own").to_numpy(), t.column("copies").to_numpy(), bands, sets, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n.astype(np.int64)), pa.array(d), pa.array(root)], names=["rep", "sets_linked", "docs_linked", "root"])
+        trim()
 
     placed = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     return placed.mapInArrow(check, f"rep {kind}, sets_linked long, docs_linked long, root {kind}")

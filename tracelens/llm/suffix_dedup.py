@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SpanHash, byte_view, discard, ragged, release, stash, text_chunks
+from .textkit import SpanHash, byte_view, discard, ragged, release, stash, text_chunks, trim
 
 WIDTH, GRAM = 200, 32
 #: Different runs of one leading token that one bucket sorts: 20,000 runs are 6 MB of text, and about
@@ -201,6 +201,7 @@ def edge_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
                     size = sum(b.column(b.schema.get_field_index("bytes")).nbytes for b in held)
         if held:
             yield flush(pa.Table.from_batches(held))
+        trim()
 
     parted = edges.repartitionByRange("token").sortWithinPartitions("token")
     return parted.mapInArrow(run, f"`{key}` {kind}, t int, start int, end int")

@@ -6,7 +6,7 @@ into bounded chunks, so that memory follows the chunk and not the partition.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,7 +71,7 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts that hold at most ``limit`` bytes together, or one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -81,12 +81,20 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         i = j
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, bytes, offsets) for each bounded run of texts of a column."""
     data, offsets = byte_view(column)
     for i, j in chunks(offsets, limit):
         at = offsets[i:j + 1]
         yield i, j, data[at[0]:at[-1]], at - at[0]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside the executor's heap."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
 
 
 # ---------------------------------------------------------------- words
@@ -141,7 +149,7 @@ def _power(base: int, n: int) -> np.ndarray:
             have = np.full(size, base, dtype=np.uint64)
             have[0] = 1
             have = np.cumprod(have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[str(base)] = have
     return have[:n]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, SpanHash, fold, ragged, text_chunks, word_spans
+from .textkit import LOWER, SpanHash, fold, ragged, text_chunks, trim, word_spans
 
 WINDOW, STRIDE = 32, 24
 #: Embedding buckets and sizes, hidden units of a direction, attention units.
@@ -273,7 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     kept = [r for y in (0, 1) for r in [r for r in order if r["y"] == y][:rows]]
     if len({r["y"] for r in kept}) < 2:
         return Network()
-    return train([r["text"] for r in kept], np.array([r["y"] for r in kept], _f), total[1] / (total[0] + total[1]))
+    net = train([r["text"] for r in kept], np.array([r["y"] for r in kept], _f), total[1] / (total[0] + total[1]))
+    del order, kept
+    trim()
+    return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
