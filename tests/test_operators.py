@@ -105,6 +105,34 @@ def test_coverage_curve_meets_at_n(spark):
     assert R.effort_for_coverage(df, ["k"], 0.9).first()["effort"] > 16
 
 
+def _coverage(counts, m):
+    """Coverage of m < n individuals, by the formula."""
+    from math import exp, lgamma
+
+    n = sum(counts)
+    return 1 - sum(c / n * exp(lgamma(n - c + 1) - lgamma(n - c - m + 1) - lgamma(n) + lgamma(n - m)) for c in counts if n - c >= m)
+
+
+def test_efforts_are_exact_above_the_grid(spark):
+    """n is well above the points of a round; efforts by brute force over all m."""
+    groups = {"a": [3000, 2500, 2000, 40, 7, 3, 2, 1, 1], "b": [max(1, 4000 // i) for i in range(1, 300)], "c": [9, 4, 1]}
+    df = spark.createDataFrame([(k, str(i), c) for k, v in groups.items() for i, c in enumerate(v)], "k string, species string, n long")
+    got = {r["k"]: r["effort"] for r in R.effort_for_coverage(df, ["k"], 0.9).collect()}
+    want = {k: next(m for m in range(1, sum(v)) if _coverage(v, m) >= 0.9) for k, v in groups.items()}
+    assert got == want
+    for r in R.richness_at_coverage(df, ["k"], F.lit(0.95)).collect():
+        v = groups[r["k"]]
+        if r["mode"] != "rarefy":
+            continue
+        m = next((m for m in range(1, sum(v)) if _coverage(v, m) >= 0.95), sum(v))
+        assert (r["effort_low"], r["effort"]) == (max(1, m - 1), m)
+        if m < sum(v):
+            assert r["weight"] == pytest.approx((0.95 - _coverage(v, m - 1)) / (_coverage(v, m) - _coverage(v, m - 1)))
+    equal = R.richness_at_coverage(df, ["k"]).collect()
+    assert len({round(r["target"], 12) for r in equal}) == 1 and all(r["c"] == pytest.approx(r["target"]) for r in equal)
+    assert all(r["ci_low"] <= r["ci_high"] for r in R.equal_coverage_table(df, ["k"], 3).collect())
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("m", float(v)) for v in (1, 2, 3, 4)] + [("m", None), ("m", float("inf"))], "metric string, value double")
     r = B.interval(df, ["metric"]).first()

@@ -6,12 +6,13 @@ expressions over (window, kind), so all windows of all logs are one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scratch import materialize
 from ..functions.special import log_gamma
 
 KIND = "species_kind"
@@ -75,8 +76,12 @@ def rarefied(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFra
     Counts are first reduced to how many species have each count, so a grid point meets
     distinct counts and not species.
     """
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    kinds = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k"))
+    return _rarefied(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")), grid, keys)
+
+
+def _rarefied(kinds: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``kinds``: keys, n, _k (species with that count)."""
+    sizes = kinds.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_k")).alias("total"))
     rows = grid.join(sizes, list(keys)).where(F.col("m") < F.col("total")).join(kinds, list(keys))
     n, x, m = F.col("total"), F.col("n"), F.col("m")
     rows = rows.withColumn("none", F.when(n - x >= m, F.exp(_log_choose(n - x, m) - _log_choose(n, m))).otherwise(F.lit(0.0)))
@@ -86,7 +91,11 @@ def rarefied(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFra
 
 def extrapolated(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Species and coverage of m >= n individuals."""
-    f = chao1(counts, keys)
+    return _extrapolated(chao1(counts, keys), grid, keys)
+
+
+def _extrapolated(f: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``f``: the groups' Chao1 fits."""
     rows = grid.join(f, list(keys)).where(F.col("m") >= F.col("n"))
     n, f1, f0, t = F.col("n"), F.col("f1"), F.col("f0_hat"), F.col("m") - F.col("n")
     more = F.when(f0 > 0, f0 * (1 - F.pow(1 - f1 / (n * f0 + f1), t))).otherwise(F.lit(0.0))
@@ -99,15 +108,36 @@ def coverage_curve(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> D
     return rarefied(counts, grid, keys).unionByName(extrapolated(counts, grid, keys))
 
 
+def _least_effort(curve: Callable[[DataFrame], DataFrame], ask: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    """``ask`` (keys, goal, low, high) with low and high moved together: high is the least whole effort
+    with coverage of at least ``goal``, low the one before.
+
+    The given low must miss the goal and high reach it.  Coverage grows with effort, so each
+    round looks at ``steps`` points between the last miss and the first hit of every group.
+    """
+    ask = materialize(ask)
+    while True:
+        wide = F.col("high") - F.col("low")
+        step = F.ceil(wide / steps).cast("long")
+        open_ = ask.where(wide > 1).withColumn("_step", step)
+        if open_.isEmpty():
+            return ask
+        grid = open_.select(*keys, F.explode(F.sequence(F.col("low") + F.col("_step"), F.col("high") - 1, F.col("_step"))).alias("m"))
+        first = curve(grid).join(open_.select(*keys, "goal"), list(keys)).where(F.col("c") >= F.col("goal")).groupBy(*keys).agg(F.min("m").alias("_hit"))
+        last = F.col("low") + F.floor((wide - 1) / step).cast("long") * step  # of the grid, where all points miss
+        low = F.when(wide <= 1, F.col("low")).otherwise(F.coalesce(F.col("_hit") - step, last))
+        ask = materialize(ask.join(first, list(keys), "left").select(*keys, "goal", low.alias("low"), F.coalesce("_hit", "high").alias("high")))
+
+
 def effort_for_coverage(counts: DataFrame, keys: Sequence[str], target: float, steps: int = 200) -> DataFrame:
-    """Least whole effort with coverage of at least ``target``: a grid below n, the closed form above."""
-    f = chao1(counts, keys)
-    every = F.greatest(F.lit(1), F.ceil(F.col("n") / steps)).cast("long")
-    grid = f.select(*keys, F.explode(F.when(F.col("n") > 1, F.sequence(F.lit(1).cast("long"), (F.col("n") - 1).cast("long"), every)).otherwise(F.array(F.lit(1).cast("long")))).alias("m"))
-    below = rarefied(counts, grid, keys).where(F.col("c") >= target).groupBy(*keys).agg(F.min("m").alias("below"))
+    """Least whole effort with coverage of at least ``target``: a search in rounds of ``steps`` points below n, the closed form above."""
+    f = materialize(chao1(counts, keys))
+    kinds = materialize(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")))
+    ask = f.where(F.col("coverage") >= target).select(*keys, F.lit(float(target)).alias("goal"), F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high"))
+    below = _least_effort(lambda grid: _rarefied(kinds, grid, keys), ask, keys, steps).select(*keys, F.col("high").alias("below"))
     n, f1, a = F.col("n"), F.col("f1"), F.col("a_factor")
     more = F.ceil(F.log(F.lit(1 - target) / (f1 / n)) / F.log(a) - 1)
-    above = F.when(F.col("coverage") >= target, n).when((a > 0) & (a < 1), n + F.greatest(F.lit(1), more)).cast("long")
+    above = F.when((a > 0) & (a < 1), n + F.greatest(F.lit(1), more)).cast("long")
     return f.join(below, list(keys), "left").select(*keys, F.coalesce("below", above).alias("effort"), "coverage")
 
 
@@ -145,19 +175,33 @@ def hill_numbers(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, F.exp("h").alias("hill_q1"), (1 / F.nullif(F.col("d"), F.lit(0.0))).alias("hill_q2"))
 
 
-def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column | None = None) -> DataFrame:
-    """Richness of each group at equal coverage: by default the least coverage that all reach at twice their size."""
-    f = chao1(counts, keys)
+def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column | None = None, steps: int = 200) -> DataFrame:
+    """Richness of each group at equal coverage: by default the least coverage that all reach at twice their size.
+
+    ``target`` is at most c_max, the coverage at twice the size.  ``effort`` is the least whole
+    effort that reaches it, ``effort_low`` the one before; s and c lie between those of the two,
+    at ``weight`` of the way.  ``mode``: rarefy up to n, extrap above.
+    """
+    f = materialize(chao1(counts, keys))
+    kinds = materialize(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")))
+
+    def curve(grid: DataFrame) -> DataFrame:
+        return _rarefied(kinds, grid, keys).unionByName(_extrapolated(f, grid, keys))
+
     double = f.select(*keys, (2 * F.col("n")).alias("m"))
-    most = extrapolated(counts, double, keys).select(*keys, F.col("c").alias("c_max"))
+    most = _extrapolated(f, double, keys).select(*keys, F.col("c").alias("c_max"))
     if target is None:
-        least = most.agg(F.min("c_max")).first()[0]
-        target = F.lit(least)
-    every = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / 400)).cast("long")
-    grid = f.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), (2 * F.col("n")).cast("long"), every)).alias("m"))
-    curve = coverage_curve(counts, grid, keys)
-    hit = curve.where(F.col("c") >= target - 1e-12).groupBy(*keys).agg(F.min("m").alias("effort"), F.min_by("s", "m").alias("s"), F.min_by("c", "m").alias("c"))
-    return most.join(hit, list(keys), "left").withColumn("target", target)
+        target = F.lit(most.agg(F.min("c_max")).first()[0])
+    goals = f.select(*keys, "n").join(most, list(keys)).withColumn("target", F.least(target, "c_max"))
+    ask = goals.select(*keys, (F.col("target") - 1e-12).alias("goal"), F.lit(0).cast("long").alias("low"), (2 * F.col("n")).cast("long").alias("high"))
+    found = _least_effort(curve, ask, keys, steps).select(*keys, F.greatest(F.lit(1).cast("long"), "low").alias("effort_low"), F.col("high").alias("effort"))
+    at = curve(found.select(*keys, F.explode(F.array_distinct(F.array("effort_low", "effort"))).alias("m")))
+    ends = at.groupBy(*keys).agg(*[f_(x, "m").alias(f"_{x}{i}") for x in "sc" for i, f_ in enumerate((F.min_by, F.max_by))])
+    share = (F.col("target") - F.col("_c0")) / F.nullif(F.col("_c1") - F.col("_c0"), F.lit(0.0))
+    out = goals.join(found, list(keys)).join(ends, list(keys)).withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))))
+    mixed = [((1 - F.col("weight")) * F.col(f"_{x}0") + F.col("weight") * F.col(f"_{x}1")).alias(x) for x in "sc"]
+    mode = F.when(F.col("effort") <= F.col("n"), "rarefy").otherwise("extrap")
+    return out.select(*keys, "c_max", "effort", *mixed, "target", "effort_low", "weight", mode.alias("mode"))
 
 
 # ---------------------------------------------------------------- incidence curves, tables with intervals
@@ -209,15 +253,19 @@ def richness_table(members: DataFrame, keys: Sequence[str], replicates: int, res
 def equal_coverage_table(counts: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
     """Richness of each group at the coverage that all reach, with an interval at that fixed effort, and Hill numbers.
 
-    Every replicate is measured at the effort of the group itself.
+    Every replicate is measured at the two efforts of the group itself and mixed with its weight.
     """
     from .resample import interval, species_bootstrap
 
     keys = list(keys)
-    at = richness_at_coverage(counts, keys)
+    at = materialize(richness_at_coverage(counts, keys))
     again = species_bootstrap(counts, replicates, keys)
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    grid = at.where("effort is not null").select(*keys, each, F.col("effort").alias("m"))
-    curve = coverage_curve(again, grid.select(*keys, "replicate", "m"), [*keys, "replicate"])
-    bounds = interval(curve.select(*keys, F.col("s").alias("value")), keys).select(*keys, "ci_low", "ci_high")
+    points = at.select(*keys, F.explode(F.map_from_entries(F.array_distinct(F.array(
+        F.struct("effort", F.when(F.col("effort") == F.col("effort_low"), F.lit(1.0)).otherwise(F.col("weight")).alias("w")),
+        F.struct(F.col("effort_low").alias("effort"), F.when(F.col("effort") == F.col("effort_low"), F.lit(1.0)).otherwise(1 - F.col("weight")).alias("w")),
+    )))).alias("m", "_w"))
+    curve = coverage_curve(again, points.select(*keys, each, "m"), [*keys, "replicate"]).join(points, [*keys, "m"])
+    mixed = curve.groupBy(*keys, "replicate").agg(F.sum(F.col("s") * F.col("_w")).alias("value"))
+    bounds = interval(mixed, keys).select(*keys, "ci_low", "ci_high")
     return at.join(bounds, keys, "left").join(hill_numbers(counts, keys), keys)
