@@ -66,6 +66,27 @@ def test_join_edges(spark, empty):
     assert [r["n_links"] for r in got if r["class_id"] is None] == [0]
 
 
+def test_join_with_empty_blocks(spark, monkeypatch):
+    """Pairs of near copies with more blocks than members: some fall into one block, beside empty ones."""
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 60)
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{i}" for i in range(100)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, "tail"]))]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_links(rows) and {r["n_set_links"] for r in got} == {1}
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    """One id at three texts, each with a near copy of its own, and near copies without ids."""
+    text = lambda g, *more: " ".join([*(f"g{g}w{i}" for i in range(100)), *more])
+    rows = [(5, text(0)), (5, text(1)), (5, text(2)), (6, text(0, "x")), (7, text(1, "x")), (8, text(2, "x"))]
+    rows += [(None, text(0, "y")), (None, text(3)), (None, text(3, "x")), (None, text(3, "x"))]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["set_id"] or 0, r["n_links"], r["n_set_links"]) for r in got)
+    assert found == sorted([(5, 5, 5, 2, 2), (5, 5, 5, 1, 1), (5, 5, 5, 1, 1), (6, 5, 6, 2, 2), (7, 5, 7, 1, 1), (8, 5, 8, 1, 1), (0, 5, 0, 2, 2), (0, 0, 0, 2, 1), (0, 0, 0, 2, 1), (0, 0, 0, 2, 1)])
+
+
 def test_bands():
     bands, rows = J.bands_and_rows(0.9999, 0.8)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and bands * rows <= 96

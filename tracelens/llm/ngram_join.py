@@ -12,8 +12,9 @@ the links, never all pairs.
 
 Defined results: null texts are empty; a text of one to four words has one shingle, all of
 its words; a text without words has the empty set, which equals other empty sets and is
-linked to nothing else; rows with a null key are counted as copies but represent a class
-only if all its rows have null keys; repeated rows are copies.
+linked to nothing else; rows with a null key link as others do but represent a class
+only if all its rows have null keys; repeated rows are copies, and a key that stands at
+several texts is a document for each of them.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def band_hashes(h: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndar
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, s1, s2 (the set's hashes), n (its size), bands (array) of every document."""
+    """key, s1, s2 (the set's hashes), n (its size), bands (array), th (hash of the text) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
@@ -112,9 +113,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WORDS, text:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.diff(at)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, b.size + 1, bands), pa.int32()), pa.array(b.ravel())),
-                ], names=[key, "s1", "s2", "n", "bands"])
+                    batch.column(2).slice(i, j - i),
+                ], names=[key, "s1", "s2", "n", "bands", "th"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, s1 long, s2 long, n long, bands array<long>")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, s1 long, s2 long, n long, bands array<long>, th long")
 
 
 # ---------------------------------------------------------------- verification
@@ -142,13 +144,16 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return total[left, right].astype(np.int64)
 
 
-def verify(ids: np.ndarray, block: np.ndarray, weight: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked sets, linked documents and the least linked member (as a root) of every member of a pair of blocks."""
+def verify(ids: np.ndarray, block: np.ndarray, across: bool, weight: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked sets, linked documents and the least linked member (as a root) of every member of a pair of blocks.
+
+    ``across``: the blocks are two, though one may have no member.
+    """
     m = len(ids)
     near = np.zeros((m, m), bool)
     for b in bands.T:
         near |= b[:, None] == b[None, :]
-    if (block != block[0]).any():
+    if across:
         near &= block[:, None] != block[None, :]  # pairs inside a block are another task's
     size = np.array([len(s) for s in sets], np.int64)
     p, q = threshold
@@ -203,44 +208,44 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def linked_sets(docs: DataFrame, members: DataFrame, width: int, threshold: tuple[int, int], text: str, key: str) -> DataFrame:
-    """rep, sets_linked, docs_linked, root for every pair of blocks that a member of ``members`` is in.
+    """sid, sets_linked, docs_linked, root for every pair of blocks that a member of ``members`` is in.
 
-    ``members``: rep, copies, s1, s2, bands, comp (candidate group), blocks (of the group).
+    ``members``: sid (of the set), rep and th (key and text hash of a document that has it), copies,
+    s1, s2, bands, comp (candidate group), blocks (of the group).
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(6)):
                 h, at = shingle_sets(data, offsets, width)
                 raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])
                 s1, s2 = set_keys(h, at)
-                part = batch.slice(i, j - i)
-                same = (part.column(2).to_numpy(zero_copy_only=False) == s1.view(np.int64)) & (part.column(3).to_numpy(zero_copy_only=False) == s2.view(np.int64))
-                out = pa.RecordBatch.from_arrays([part.column(5), part.column(0), part.column(1), part.column(4), part.column(7), raw], names=["comp", "rep", "copies", "bands", "blocks", "sets"])
+                same = (batch.column(3).slice(i, j - i).to_numpy() == s1.view(np.int64)) & (batch.column(4).slice(i, j - i).to_numpy() == s2.view(np.int64))
+                out = pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1, 2, 5, 7)), raw], names=["comp", "sid", "copies", "bands", "blocks", "sets"])
                 yield out.filter(pa.array(same))
 
-    found = members.select("rep", "copies", "s1", "s2", "bands", "comp", "blocks").join(docs.select(F.col(key).alias("rep"), text), "rep")
-    found = found.select("rep", "copies", "s1", "s2", "bands", "comp", text, "blocks")
-    full = found.mapInArrow(shingle, f"comp {kind}, rep {kind}, copies long, bands array<long>, blocks int, sets binary")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_th"), text)
+    found = members.select("sid", "rep", "th", "copies", "s1", "s2", "bands", "comp", "blocks").join(texts, F.col("rep").eqNullSafe(F.col("_key")) & (F.col("th") == F.col("_th")))
+    found = found.select("comp", "sid", "copies", "s1", "s2", "bands", text, "blocks")
+    full = found.mapInArrow(shingle, "comp long, sid long, copies long, bands array<long>, blocks int, sets binary")
+    own = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int")
     # Block pairs (i, j), i <= j; a group of one block has the pair (0, 0), others leave (i, i) to pairs of their own.
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "bands", "sets")
+    full = full.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "bands", "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
-            rep = t.column("rep").to_numpy()
-            _, once = np.unique(rep, return_index=True)  # a repeated row may have brought its text twice
-            t, rep = t.take(pa.array(once)), rep[once]
-            bands = np.array(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(len(rep), -1)
+            sid = t.column("sid").to_numpy()
+            _, once = np.unique(sid, return_index=True)
+            t, sid = t.take(pa.array(once)), sid[once]
+            bands = np.array(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(len(sid), -1)
             sets = [np.frombuffer(x, np.uint64) for x in t.column("sets").to_pylist()]
-            n, d, root = verify(rep, t.column("own").to_numpy(), t.column("copies").to_numpy(), bands, sets, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n.astype(np.int64)), pa.array(d), pa.array(root)], names=["rep", "sets_linked", "docs_linked", "root"])
+            across = t.column("i")[0] != t.column("j")[0]
+            n, d, root = verify(sid, t.column("own").to_numpy(), across, t.column("copies").to_numpy(), bands, sets, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n.astype(np.int64)), pa.array(d), pa.array(root)], names=["sid", "sets_linked", "docs_linked", "root"])
         trim()
 
     placed = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return placed.mapInArrow(check, f"rep {kind}, sets_linked long, docs_linked long, root {kind}")
+    return placed.mapInArrow(check, "sid long, sets_linked long, docs_linked long, root long")
 
 
 def jaccard_join(docs: DataFrame, width: int = WORDS, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -250,19 +255,24 @@ def jaccard_join(docs: DataFrame, width: int = WORDS, threshold: tuple[int, int]
     """
     bands, rows = bands_and_rows(recall, threshold[0] / threshold[1])
     seen = stash(signatures(docs, bands, rows, width, text, key))
-    best = F.min(F.when(F.col(key).isNotNull(), F.struct(key, "bands")))
-    sets = stash(seen.groupBy("s1", "s2").agg(best.alias("x"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).select("s1", "s2", F.col(f"x.{key}").alias("rep"), "copies", "n", "x.bands"))
-    keyed = sets.where((F.col("n") > 0) & F.col("rep").isNotNull())
-    banded = keyed.select("rep", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    ties = stash(banded.join(hubs, ["band", "hash"]).where("rep <> hub").select("rep", "hub").distinct())
-    tied = stash(components(ties, "rep", "hub").select(F.col("node").alias("rep"), F.col("root").alias("comp")))
-    members = keyed.join(tied, "rep")
+    one = F.struct(key, "th", "bands")
+    best = F.coalesce(F.min(F.when(F.col(key).isNotNull(), one)), F.min(one))
+    sets = seen.groupBy("s1", "s2").agg(best.alias("x"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    # A key may stand at several texts, so a set has a number of its own.
+    sets = stash(sets.select("s1", "s2", F.col(f"x.{key}").alias("rep"), "x.th", "copies", "n", "x.bands", F.monotonically_increasing_id().alias("sid")))
+    keyed = sets.where(F.col("n") > 0)
+    banded = keyed.select("sid", F.posexplode("bands").alias("band", "hash"))
+    hubs = banded.groupBy("band", "hash").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    ties = stash(banded.join(hubs, ["band", "hash"]).where("sid <> hub").select("sid", "hub").distinct())
+    tied = stash(components(ties, "sid", "hub").select(F.col("node").alias("sid"), F.col("root").alias("comp")))
+    members = keyed.join(tied, "sid")
     need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     groups = members.groupBy("comp").agg(need.alias("blocks"))
     checked = stash(linked_sets(docs, members.join(groups, "comp"), width, threshold, text, key))
-    classes = components(checked.where("rep <> root"), "rep", "root").select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    links = checked.groupBy("rep").agg(F.sum("sets_linked").alias("sets_linked"), F.sum("docs_linked").alias("docs_linked"))
-    known = sets.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
+    linked = stash(components(checked.where("sid <> root"), "sid", "root").select(F.col("node").alias("sid"), "root"))
+    least = linked.join(sets.select("sid", "rep"), "sid").groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = linked.join(least, "root").select("sid", "class_id")
+    links = checked.groupBy("sid").agg(F.sum("sets_linked").alias("sets_linked"), F.sum("docs_linked").alias("docs_linked"))
+    known = sets.select("s1", "s2", "sid", "rep", "copies").join(links, "sid", "left").join(classes, "sid", "left")
     known = stash(known.select("s1", "s2", F.col("rep").alias("set_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("docs_linked", F.lit(0))).alias("n_links"), F.coalesce("sets_linked", F.lit(0)).alias("n_set_links")))
     return seen.select(key, "s1", "s2").join(known, ["s1", "s2"]).select(key, "class_id", "set_id", "n_links", "n_set_links")
