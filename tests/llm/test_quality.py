@@ -125,6 +125,19 @@ def test_gradients():
         T._f = old
 
 
+def test_passage_scores_the_same_at_every_offset():
+    """The windows that hold a whole passage of 20 to 32 words are all read, wherever it stands."""
+    rng = np.random.default_rng(2)
+    net, clean = T.Network(5), [f"c{i}" for i in range(200)]
+    for length in (20, 32):
+        passage = [f"p{i}" for i in rng.integers(0, 50, length)]
+        for before in range(0, 100, 3):
+            words = [*clean[:before], *passage, *clean[100:140]]
+            w = words_of([" ".join(words)])
+            alone = words_of([" ".join(words[i:i + T.WINDOW]) for i in range(len(words) - T.WINDOW + 1)])
+            assert net.logits(w)[0] == pytest.approx(net.logits(alone).max(), abs=1e-5)
+
+
 def test_windows_cover_texts():
     first, size, text = T.windows(np.array([0, 0, 5, 105, 140]))
     assert text.tolist() == [0, 1, 2, 2, 2, 2, 3, 3] and size[0] == 0

@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word goes in as the sum of what it is (an embedding by hash of the whole word) and what
-it is made of (the mean of embeddings of its character pairs).  Windows of ``WINDOW``
-words, ``STRIDE`` apart, cover the whole text and overlap; each is read in both directions
+it is made of (the mean of embeddings of its character pairs).  All windows of ``WINDOW``
+words, one starting at every word, are scored (``SCORE_STRIDE``); training takes those
+``STRIDE`` apart, which cover the whole text too.  Each is read in both directions
 by gated recurrent units, pooled by attention and scored.  A text's score comes from its
 strongest window, calibrated to the share of toxic texts.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .textkit import LOWER, SpanHash, fold, ragged, text_chunks, trim, word_spans
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE, SCORE_STRIDE = 32, 24, 1
 #: Embedding buckets and sizes, hidden units of a direction, attention units.
 WORD_BUCKETS, PAIR_BUCKETS, WORD_DIM, PAIR_DIM, HIDDEN, ATTEND = 1 << 14, 1 << 12, 8, 8, 8, 8
 TRAIN_ROWS, TRAIN_BYTES = 2000, 20_000
@@ -100,16 +101,21 @@ class Network:
         made = np.add.reduceat(self.p["pair"][w.pair], w.pair_at[:-1]) / n[:, None].astype(_f)
         return np.concatenate([self.p["word"][w.bucket], made], axis=1)
 
-    def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict | None = None) -> np.ndarray:
-        """Logits of windows: ``index`` (windows, steps) into word vectors ``x``, ``mask`` of real words."""
+    def projections(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Gate inputs of the distinct words, by direction."""
+        return {s: x @ self.p[f"w{s}"] + self.p[f"c{s}"] for s in "fb"}
+
+    def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict | None = None, projected: dict | None = None) -> np.ndarray:
+        """Logits of windows: ``index`` (windows, steps) into word vectors ``x``, ``mask`` of real words; ``projected`` is :meth:`projections` of x."""
         p, (n, t), h_ = self.p, index.shape, HIDDEN
         states = np.empty((t, n, 2 * h_), _f)
+        projected = projected or self.projections(x)
         for s, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
-            projected = x @ p[f"w{s}"] + p[f"c{s}"]
+            words = projected[s]
             u, h = p[f"u{s}"], np.zeros((n, h_), _f)
             steps = []
             for k in order:
-                xs, m = projected[index[:, k]], mask[:, k, None]
+                xs, m = words[index[:, k]], mask[:, k, None]
                 hu = h @ u
                 zr = np.tanh((xs[:, :2 * h_] + hu[:, :2 * h_]) * _f(0.5)) * _f(0.5) + _f(0.5)
                 z, r = zr[:, :h_], zr[:, h_:]
@@ -172,14 +178,15 @@ class Network:
     def logits(self, w: Words) -> np.ndarray:
         """The strongest window's logit of each text of a chunk, window blocks of bounded size at a time."""
         x = self.vectors(w)
-        first, size, text = windows(w.at)
+        projected = self.projections(x)
+        first, size, text = windows(w.at, stride=SCORE_STRIDE)
         out = np.empty(len(first), _f)
         inverse = w.inverse if len(w.inverse) else np.zeros(1, np.int64)
         step = np.arange(WINDOW)
         for i in range(0, len(first), _BLOCK):
             at = first[i:i + _BLOCK, None] + step
             mask = (step < size[i:i + _BLOCK, None]).astype(_f)
-            out[i:i + _BLOCK] = self.forward(x, inverse[np.minimum(at, len(inverse) - 1)], mask)
+            out[i:i + _BLOCK] = self.forward(x, inverse[np.minimum(at, len(inverse) - 1)], mask, projected=projected)
         return np.maximum.reduceat(out, np.flatnonzero(np.r_[True, text[1:] != text[:-1]])) if len(text) else out
 
     def scores(self, w: Words) -> np.ndarray:
