@@ -138,6 +138,80 @@ def test_passage_scores_the_same_at_every_offset():
             assert net.logits(w)[0] == pytest.approx(net.logits(alone).max(), abs=1e-5)
 
 
+def plain_logit(net, text):
+    """The strongest window's logit of a text, word after word, straight from the formulas."""
+    p, h_ = {k: v.astype(np.float64) for k, v in net.p.items()}, T.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    w = words_of([text])
+    vectors = net.vectors(w).astype(np.float64)
+    words = [vectors[k] for k in w.inverse]
+    best = -np.inf
+    for first in range(max(1, len(words) - T.WINDOW + 1)):
+        window, states = words[first:first + T.WINDOW], {}
+        for s in "fb":
+            h, seen = np.zeros(h_), []
+            for x in window if s == "f" else window[::-1]:
+                gx, gh = x @ p[f"w{s}"] + p[f"c{s}"], h @ p[f"u{s}"]
+                z, r = sigmoid(gx[:h_] + gh[:h_]), sigmoid(gx[h_:2 * h_] + gh[h_:2 * h_])
+                h = z * h + (1 - z) * np.tanh(gx[2 * h_:] + r * gh[2 * h_:])
+                seen.append(h)
+            states[s] = seen if s == "f" else seen[::-1]
+        both = np.array([np.concatenate(x) for x in zip(states["f"], states["b"])])
+        if len(both):
+            e = np.exp(np.tanh(both @ p["wa"] + p["ba"]) @ p["va"])
+            best = max(best, (e / e.sum()) @ both @ p["wo"] + p["bo"][0])
+        else:
+            best = p["bo"][0]
+    return best
+
+
+def test_forward_pass_by_the_formulas():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}é" for k in rng.integers(0, 80, n)) for n in (0, 1, 31, 32, 33, 90, 5)]
+    net = T.Network(2)
+    net.p = {k: (v * 2 + 0.05).astype(np.float32) for k, v in net.p.items()}
+    assert net.logits(words_of(texts)) == pytest.approx([plain_logit(net, t) for t in texts], abs=1e-4)
+
+
+def test_words_are_made_of_characters():
+    """Pairs are of whole characters: é and è share a lead byte, but no pair."""
+    pairs = lambda t: words_of([t]).pair.tolist()
+    assert len(pairs("éa")) == 3 and len(pairs("字")) == 2 and len(pairs("abc")) == 4
+    assert not set(pairs("é")) & set(pairs("è")) and pairs("Éx")[1:] != pairs("éx")[:-1]
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Toxic texts of 25 kB, a third of them: none is too long for the sample."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join([*(f"w{k}" for k in rng.integers(0, 50, 6000 if i % 2 else 40)), *(["vile"] if i % 2 else [])])) for i in range(60)]
+    net = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    fresh = T.Network()
+    assert not np.allclose(net.p["uf"], fresh.p["uf"]) and net.scale > 0
+
+
+def test_labels_of_one_kind(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for kind in (0, 1):
+        marks = spark.createDataFrame([(i, kind) for i in range(20)], "doc_id long, toxic int")
+        assert {r["score"] for r in T.score_documents(docs, marks).collect()} == {float(kind)}
+    # Labels of both kinds, but no text for one of them: the share of toxic labels.
+    marks = spark.createDataFrame([(i, int(i >= 20)) for i in range(40) if T_fold(i)], "doc_id long, toxic int")
+    n = [T_fold(i) for i in range(20)].count(True), [T_fold(i) for i in range(20, 40)].count(True)
+    assert {r["score"] for r in T.score_documents(docs, marks).collect()} == {round(n[1] / sum(n), 6)}
+
+
+def T_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % T.FOLDS != 0
+
+
+def test_sample_is_bounded_by_bytes():
+    rows = [{"y": k % 2, "o": k, "h": 0, "n": 10 if k != 4 else 1000} for k in range(10)]
+    got = T._within(rows, 3, 25)
+    assert [x[1] for x in got] == [0, 1, 2, 3] and len(T._within(rows, 3, 10_000)) == 6
+
+
 def test_windows_cover_texts():
     first, size, text = T.windows(np.array([0, 0, 5, 105, 140]))
     assert text.tolist() == [0, 1, 2, 2, 2, 2, 3, 3] and size[0] == 0

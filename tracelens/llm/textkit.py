@@ -22,16 +22,17 @@ SPACE_BYTES = (32, 9, 10, 11, 12, 13)
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 _U = np.uint64
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
+_MULT = 0x9E3779B97F4A7C15
 
 
 # ---------------------------------------------------------------- scratch
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder (a temporary one only where none is set)."""
+    """A new folder name in the shared checkpoint folder; a session of one machine may do without one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tracelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tracelens-{uuid.uuid4().hex}"
@@ -124,7 +125,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 # ---------------------------------------------------------------- hashes
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser; works in place on a fresh array."""
+    """A 64-bit finaliser; works in place on a fresh array.  Fixed values: public mixing constants."""
     h = h ^ (h >> _U(33))
     h *= _U(0xFF51AFD7ED558CCD)
     h ^= h >> _U(33)
@@ -133,46 +134,92 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_P = (1 << 31) - 1  # a Mersenne prime, so that remainders are shifts and sums
+#: A base for each of the two lanes, and its inverse.
+_BASES = (1_103_515_245, 1_664_525_017)
+_INVERSES = tuple(pow(b, -1, _P) for b in _BASES)
+
+
 def _byte_table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 0x1F123BB5))
+    """Different 16-bit values for the bytes."""
+    order = np.argsort(mix(np.arange(1, 257, dtype=np.uint64) * _U(_MULT) + _U(seed * 0x1F123BB5)))
+    return order.astype(np.uint64) * _U(251) + _U(97 + seed)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo _P, much smaller."""
+    out = x >> _U(31)
+    out += x & _U(_P)
+    return out
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo _P, for x below 2**63."""
+    x = _fold(_fold(x))
+    x -= (x >= _U(_P)) * _U(_P)
+    return x
 
 
-_powers: dict[str, np.ndarray] = {}
+_STEP = 1 << 14
+#: A multiple of _P above all sums: differences stay positive.
+_ABOVE = _U(_P * ((1 << 31) + 8))
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the longest chunk so far."""
-    have = _powers.get(str(base))
+    """base**0 .. base**(n-1) modulo _P, kept for the longest chunk so far."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, dtype=np.uint64)
-            have[0] = 1
-            have = np.cumprod(have)
+        have, step = np.ones(1, np.uint64), base
+        while len(have) < size:
+            have = np.concatenate([have, _rest(have * _U(step))])
+            step = step * step % _P
+        have = have[:size]
         if size <= 1 << 21:
-            _powers[str(base)] = have
+            _powers[base] = have
     return have[:n]
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of a buffer, from one prefix sum (a polynomial modulo 2**64)."""
+    """62-bit hashes of any byte spans of a buffer, from prefix sums: polynomials over two bases modulo a prime."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_table(seed)[data] * _power(_MULT, len(data)), out=self.sums[1:])
-        self.n = len(data)
+        self.n, self.sums = len(data), []
+        for lane, base in enumerate(_BASES):
+            table, power, sums = _byte_table(2 * seed + lane), _power(base, self.n), np.zeros(self.n + 1, np.uint64)
+            carry = _U(0)
+            for i in range(0, self.n, _STEP):  # small blocks stay in the processor's cache
+                part = sums[i + 1:i + 1 + min(_STEP, self.n - i)]
+                np.take(table, data[i:i + _STEP], out=part, mode="clip")
+                part *= power[i:i + _STEP]
+                np.cumsum(part, out=part)  # below 2**(16 + 31 + 14)
+                part += carry
+                carry = part[-1] % _U(_P)
+            self.sums.append(sums)
+
+    def _mixed(self, ends: list[np.ndarray], begins: list[np.ndarray], starts) -> np.ndarray:
+        """From the lanes' sums at both borders: differences moved to position 0, reduced, and put together."""
+        a, b = (_rest(_fold(_fold(e + _ABOVE - s)) * _power(i, self.n + 1)[starts]) for e, s, i in zip(ends, begins, _INVERSES))
+        b <<= _U(32)
+        b |= a
+        return b
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal spans give equal values, wherever they stand."""
-        inverse = _power(_INV, self.n + 1)
-        h = (self.sums[ends] - self.sums[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        out = np.empty(len(starts), np.uint64)
+        for i in range(0, len(starts), _STEP):
+            x, y = starts[i:i + _STEP], ends[i:i + _STEP]
+            out[i:i + _STEP] = mix(self._mixed([s[y] for s in self.sums], [s[x] for s in self.sums], x) + (y - x).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        return out
 
     def windows(self, width: int) -> np.ndarray:
         """Of every window of ``width`` bytes of the buffer."""
-        if self.n < width:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:self.n - width + 1]) * _power(_INV, self.n - width + 1))
+        out = np.empty(max(0, self.n - width + 1), np.uint64)
+        for i in range(0, len(out), _STEP):
+            j = min(i + _STEP, len(out))
+            out[i:j] = mix(self._mixed([s[i + width:j + width] for s in self.sums], [s[i:j] for s in self.sums], slice(i, j)))
+        return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,19 +1,22 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word goes in as the sum of what it is (an embedding by hash of the whole word) and what
-it is made of (the mean of embeddings of its character pairs).  All windows of ``WINDOW``
-words, one starting at every word, are scored (``SCORE_STRIDE``); training takes those
-``STRIDE`` apart, which cover the whole text too.  Each is read in both directions
-by gated recurrent units, pooled by attention and scored.  A text's score comes from its
-strongest window, calibrated to the share of toxic texts.
-
-The network is trained on the driver, on at most ``TRAIN_ROWS`` labelled texts of each
-label of at most ``TRAIN_BYTES`` bytes, chosen by a hash of the id: a sample of bounded size.
-Scoring runs in Arrow batches over all texts.
+it is made of (the mean of embeddings of its character pairs).  All windows of
+``WINDOW`` words, one starting at every word, are scored; training takes those ``STRIDE``
+apart, which cover the whole text too.  Each is read in both directions by gated
+recurrent units, pooled by attention and scored.  A text's score comes from its strongest
+window, calibrated to the share of toxic texts.
+
+The network is trained on the driver, on a sample of bounded size: whole texts in the order
+of a hash of their ids, at most ``TRAIN_ROWS`` of each label and ``TRAIN_BYTES`` bytes of each
+label together (a text that goes beyond what is left of these bytes is passed over).
+A long text's gradient runs through its ``STRONGEST`` windows of highest score.  Scoring
+runs in Arrow batches over all texts.
 
 Defined results: null texts are empty; a text without words gets the score of the bias;
-equal texts get equal scores; ids, language and source are never inputs; without labels of
-both kinds every score is the share of toxic labels (0.5 without any).
+equal texts get equal scores; ids, language and source are never inputs; an id with both
+labels is toxic; labels other than 0 and 1, and null ids, are not learned from; without
+texts of both kinds in the sample every score is the share of toxic labels (0.5 without any).
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .textkit import LOWER, SpanHash, fold, ragged, text_chunks, trim, word_spans
 
-WINDOW, STRIDE, SCORE_STRIDE = 32, 24, 1
+WINDOW, STRIDE = 32, 24
 #: Embedding buckets and sizes, hidden units of a direction, attention units.
 WORD_BUCKETS, PAIR_BUCKETS, WORD_DIM, PAIR_DIM, HIDDEN, ATTEND = 1 << 14, 1 << 12, 8, 8, 8, 8
-TRAIN_ROWS, TRAIN_BYTES = 2000, 20_000
+TRAIN_ROWS, TRAIN_BYTES, STRONGEST = 2000, 1 << 23, 256
 EPOCHS, BATCH, RATE = 12, 48, 8e-3
 #: Labels are learned from rows whose crc32(id) modulo this is not 0.
 FOLDS = 5
@@ -50,21 +53,36 @@ class Words:
     pair_at: np.ndarray
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each UTF-8 character (its bytes put together), and where words from the bytes ``at`` on begin."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(start) == len(data):
+        return data, at
+    width = np.diff(np.append(start, len(data)))
+    out = data[start].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(width > k)
+        out[more] = out[more] << np.uint32(8) | data[start[more] + k]
+    return out, np.searchsorted(start, at)
+
+
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     data = LOWER[data]
     starts, ends, at = word_spans(data, offsets)
     h, where, inverse = np.unique(SpanHash(data).spans(starts, ends), return_index=True, return_inverse=True)
     first, last = starts[where], ends[where]
-    # Pairs of neighbouring bytes, with one mark before and one after the word.
-    n = last - first + 1
-    left = ragged(first - 1, n)
+    # Pairs of neighbouring characters, with one mark before and one after the word.
+    size = last - first
+    letters, at_letter = characters(data[ragged(first, size)], np.concatenate([[0], np.cumsum(size)]))
+    n = np.diff(at_letter) + 1
+    left = ragged(at_letter[:-1] - 1, n)
     begin = np.zeros(len(left), bool)
     begin[np.cumsum(n) - n] = True
     finish = np.zeros(len(left), bool)
     finish[np.cumsum(n) - 1] = True
-    a = np.where(begin, 2, data[np.maximum(left, 0)]).astype(np.uint32) if len(left) else np.zeros(0, np.uint32)
-    b = np.where(finish, 3, data[np.minimum(left + 1, max(len(data) - 1, 0))]).astype(np.uint32) if len(left) else np.zeros(0, np.uint32)
-    pair = ((a << np.uint32(8) | b) * np.uint32(2654435761)) >> np.uint32(20)
+    a = np.where(begin, 2, letters[np.maximum(left, 0)]).astype(np.uint32) if len(left) else np.zeros(0, np.uint32)
+    b = np.where(finish, 3, letters[np.minimum(left + 1, max(len(letters) - 1, 0))]).astype(np.uint32) if len(left) else np.zeros(0, np.uint32)
+    pair = ((a * np.uint32(40503) + b) * np.uint32(2654435761)) >> np.uint32(20)
     return Words(inverse, at, (h >> np.uint64(50)).astype(np.int64), pair.astype(np.int64), np.concatenate([[0], np.cumsum(n)]))
 
 
@@ -102,40 +120,111 @@ class Network:
         return np.concatenate([self.p["word"][w.bucket], made], axis=1)
 
     def projections(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        """Gate inputs of the distinct words, by direction."""
-        return {s: x @ self.p[f"w{s}"] + self.p[f"c{s}"] for s in "fb"}
-
-    def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict | None = None, projected: dict | None = None) -> np.ndarray:
-        """Logits of windows: ``index`` (windows, steps) into word vectors ``x``, ``mask`` of real words; ``projected`` is :meth:`projections` of x."""
-        p, (n, t), h_ = self.p, index.shape, HIDDEN
-        states = np.empty((t, n, 2 * h_), _f)
-        projected = projected or self.projections(x)
+        """Gate inputs of the distinct words, by direction: (update, reset, candidate) x words x units."""
+        return {s: np.ascontiguousarray((x @ self.p[f"w{s}"] + self.p[f"c{s}"]).reshape(len(x), 3, HIDDEN).swapaxes(0, 1)) for s in "fb"}
+
+    def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, cache: dict | None = None, projected: dict | None = None) -> np.ndarray:
+        """Logits of windows: ``index`` (windows, steps) into word vectors ``x``, ``mask`` of real words
+        (None: all are); ``projected`` is :meth:`projections` of x."""
+        projected, index = projected or self.projections(x), np.ascontiguousarray(index.T)
+        real = None if mask is None else np.ascontiguousarray(mask.T)
+        return self._read(lambda s, k: np.take(projected[s], index[k], axis=1), index.shape[1], real, cache, len(index))
+
+    def _read(self, gates, n: int, real: np.ndarray | None = None, cache: dict | None = None, t: int = WINDOW) -> np.ndarray:
+        """Logits of ``n`` windows whose k-th words have the gate inputs ``gates(direction, k)``; ``real`` marks words (steps, windows)."""
+        p, h_, half = self.p, HIDDEN, _f(0.5)
+        states = {}
         for s, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
-            words = projected[s]
-            u, h = p[f"u{s}"], np.zeros((n, h_), _f)
-            steps = []
+            held = np.empty((t, n, h_), _f)
+            u = np.ascontiguousarray(p[f"u{s}"].reshape(h_, 3, h_).swapaxes(0, 1))
+            h, steps = np.zeros((n, h_), _f), []
             for k in order:
-                xs, m = words[index[:, k]], mask[:, k, None]
-                hu = h @ u
-                zr = np.tanh((xs[:, :2 * h_] + hu[:, :2 * h_]) * _f(0.5)) * _f(0.5) + _f(0.5)
-                z, r = zr[:, :h_], zr[:, h_:]
-                c = np.tanh(xs[:, 2 * h_:] + r * hu[:, 2 * h_:])
-                new = c + z * (h - c)
+                xs, hu = gates(s, k), h @ u
+                zr, inner = hu[:2], hu[2]
+                zr += xs[:2]
+                zr *= half
+                np.tanh(zr, out=zr)
+                zr *= half
+                zr += half
+                z, r = zr
+                c = r * inner
+                c += xs[2]
+                np.tanh(c, out=c)
+                new = np.subtract(h, c, out=held[k])
+                new *= z
+                new += c
                 if cache is not None:
-                    steps.append((k, h, z, r, c, hu[:, 2 * h_:]))
-                h = h + m * (new - h)
-                states[k, :, slice(0, h_) if s == "f" else slice(h_, None)] = h
+                    steps.append((k, h, z, r, c, inner))
+                if real is not None:
+                    new -= h
+                    new *= real[k][:, None]
+                    new += h
+                h = new
+            states[s] = held
             if cache is not None:
                 cache[s] = steps
-        att = np.tanh(states @ p["wa"] + p["ba"])
-        e = np.where(mask.T, att @ p["va"], _f(-1e9))
-        e = np.exp(e - e.max(axis=0)) * mask.T
+        att = states["f"] @ p["wa"][:h_]
+        att += states["b"] @ p["wa"][h_:]
+        att += p["ba"]
+        np.tanh(att, out=att)
+        e = att @ p["va"]
+        if real is not None:
+            e = np.where(real, e, _f(-1e9))
+        e = np.exp(e - e.max(axis=0))
+        if real is not None:
+            e *= real
         a = e / np.maximum(e.sum(axis=0), _f(1e-9))
-        pooled = np.einsum("tn,tnh->nh", a, states)
+        pooled = np.concatenate([np.einsum("tn,tnh->nh", a, states[s]) for s in "fb"], axis=1)
         if cache is not None:
-            cache |= {"states": states, "att": att, "a": a, "pooled": pooled}
+            cache |= {"states": np.concatenate([states["f"], states["b"]], axis=2), "att": att, "a": a, "pooled": pooled}
         return pooled @ p["wo"] + p["bo"][0]
 
+    def _halved(self, projected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gate inputs as rows (update, reset, candidate units) over words, for :meth:`_slide`."""
+        factor = np.array([0.5, 0.5, 1], _f)[:, None, None]
+        return {s: np.ascontiguousarray((v * factor).swapaxes(1, 2)).reshape(3 * HIDDEN, -1) for s, v in projected.items()}
+
+    def _slide(self, stream: dict[str, np.ndarray], states: np.ndarray) -> np.ndarray:
+        """Logits of the whole windows at all words of a stream: :meth:`forward` with windows side by side in memory.
+
+        A gate is (1 + tanh(x/2)) / 2; the halves are in the weights.  ``states`` is room to work in.
+        """
+        p, h_, one, half, n = self.p, HIDDEN, _f(1), _f(0.5), states.shape[2]
+        g = np.empty((3 * h_, n), _f)
+        for d, (s, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
+            u, h = np.ascontiguousarray(p[f"u{s}"].T) * half, np.zeros((h_, n), _f)
+            gate, z, r, c = g[:2 * h_], g[:h_], g[h_:2 * h_], g[2 * h_:]
+            for k in order:
+                x = stream[s][:, k:k + n]
+                np.matmul(u, h, out=g)
+                gate += x[:2 * h_]
+                np.tanh(gate, out=gate)
+                r += one
+                c *= r
+                c += x[2 * h_:]
+                np.tanh(c, out=c)
+                new = states[k, d * h_:(d + 1) * h_]
+                np.subtract(h, c, out=new)
+                z += one
+                z *= half
+                new *= z
+                new += c
+                h = new
+        # Attention, and what each state gives the logit, from one product a step.
+        heads, e, gives = np.concatenate([p["wa"].T, p["wo"][None]]), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f)
+        seen, bias = np.empty((ATTEND + 1, n), _f), p["ba"][:, None]
+        att = seen[:ATTEND]
+        for k in range(WINDOW):
+            np.matmul(heads, states[k], out=seen)
+            att += bias
+            np.tanh(att, out=att)
+            np.matmul(p["va"], att, out=e[k])
+            gives[k] = seen[ATTEND]
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        gives *= e
+        return gives.sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+
     def backward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters, and of the word vectors."""
         p, h_, g = self.p, HIDDEN, {}
@@ -175,19 +264,40 @@ class Network:
             d_x += d_projected @ w.T
         return g, d_x
 
+    def window_logits(self, x: np.ndarray, w: Words, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Logits of any windows, in blocks of bounded size."""
+        projected, step, out = self.projections(x), np.arange(WINDOW), np.empty(len(first), _f)
+        for i in range(0, len(first), _BLOCK):
+            k = slice(i, i + _BLOCK)
+            index = w.inverse[np.minimum(first[k, None] + step, len(w.inverse) - 1)]
+            out[k] = self.forward(x, index, (step < size[k, None]).astype(_f), projected=projected)
+        return out
+
     def logits(self, w: Words) -> np.ndarray:
-        """The strongest window's logit of each text of a chunk, window blocks of bounded size at a time."""
+        """The strongest window's logit of each text of a chunk, in blocks of bounded size."""
         x = self.vectors(w)
-        projected = self.projections(x)
-        first, size, text = windows(w.at, stride=SCORE_STRIDE)
-        out = np.empty(len(first), _f)
-        inverse = w.inverse if len(w.inverse) else np.zeros(1, np.int64)
-        step = np.arange(WINDOW)
-        for i in range(0, len(first), _BLOCK):
-            at = first[i:i + _BLOCK, None] + step
-            mask = (step < size[i:i + _BLOCK, None]).astype(_f)
-            out[i:i + _BLOCK] = self.forward(x, inverse[np.minimum(at, len(inverse) - 1)], mask, projected=projected)
-        return np.maximum.reduceat(out, np.flatnonzero(np.r_[True, text[1:] != text[:-1]])) if len(text) else out
+        projected, count = self.projections(x), np.diff(w.at)
+        out = np.full(len(count), -np.inf, _f)
+        # Windows of whole width start at neighbouring words, so their inputs are slices of one stream.
+        rows, last = self._halved(projected), len(w.inverse) - WINDOW + 1
+        states = np.empty((WINDOW, 2 * HIDDEN, min(_BLOCK, max(last, 0))), _f)
+        valid = np.flatnonzero(count >= WINDOW)
+        for i in range(0, last, _BLOCK):
+            n = min(_BLOCK, last - i)
+            words = w.inverse[i:i + n + WINDOW - 1]
+            here = self._slide({s: np.take(v, words, axis=1) for s, v in rows.items()}, states[:, :, :n])
+            some = valid[(w.at[valid] < i + n) & (w.at[valid + 1] - WINDOW >= i)]
+            if len(some):  # those that lie in one text
+                begin, end = np.maximum(w.at[some] - i, 0), np.minimum(w.at[some + 1] - WINDOW + 1 - i, n)
+                edges = np.stack([begin, end], axis=1).ravel()
+                out[some] = np.maximum(out[some], np.maximum.reduceat(np.append(here, _f(-np.inf)), edges)[::2])
+        short = np.flatnonzero(count < WINDOW)
+        step, inverse = np.arange(WINDOW), w.inverse if len(w.inverse) else np.zeros(1, np.int64)
+        for i in range(0, len(short), _BLOCK):
+            k = short[i:i + _BLOCK]
+            index = inverse[np.minimum(w.at[k, None] + step, len(inverse) - 1)]
+            out[k] = self.forward(x, index, (step < count[k, None]).astype(_f), projected=projected)
+        return out
 
     def scores(self, w: Words) -> np.ndarray:
         # Rounded, as single-precision sums depend on how many texts are worked on together.
@@ -212,6 +322,12 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 1) ->
                 continue
             x = net.vectors(w)
             first, size, text = windows(w.at)
+            if len(first) > STRONGEST and np.bincount(text).max() > STRONGEST:
+                strength = net.window_logits(x, w, first, size)
+                order_in = np.lexsort((-strength, text))
+                place = np.arange(len(text)) - np.searchsorted(text, text)
+                strong = np.sort(order_in[place < STRONGEST])
+                first, size, text = first[strong], size[strong], text[strong]
             index = w.inverse[np.minimum(first[:, None] + span, len(w.inverse) - 1)]
             mask = (span < size[:, None]).astype(_f)
             cache: dict = {}
@@ -266,26 +382,44 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Train on a bounded sample of the labelled rows outside fold 0."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, folds) != 0)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     total = {int(r["y"]): int(r["count"]) for r in usable.groupBy("y").count().collect()}
-    if len(total) < 2:
-        net = Network()
-        net.scale, net.shift = 0.0, 0.0 if not total else (4.0 if 1 in total else -4.0)
-        return net
-    # About twice the rows wanted, by hash, as texts may be missing or too long.
+    share = total.get(1, 0) / sum(total.values()) if total else 0.5
+    # About twice the rows wanted, by hash, as texts may be missing.
     draw, million = F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1_000_000)), 1_000_000
-    share = F.when(F.col("y") == 1, F.lit(min(million, int(2.0 * million * rows / total[1])))).otherwise(F.lit(min(million, int(2.0 * million * rows / total[0]))))
-    chosen = usable.where(draw < share)  # 4 * rows at most, but for chance
-    found = docs.select(key, text).join(F.broadcast(chosen), key).where(F.octet_length(F.coalesce(text, F.lit(""))) <= TRAIN_BYTES)
-    order = found.select("y", F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(key, F.lit(29)).alias("o")).toArrow().to_pylist()
-    order.sort(key=lambda r: (r["o"], r["text"]))
-    kept = [r for y in (0, 1) for r in [r for r in order if r["y"] == y][:rows]]
-    if len({r["y"] for r in kept}) < 2:
-        return Network()
-    net = train([r["text"] for r in kept], np.array([r["y"] for r in kept], _f), total[1] / (total[0] + total[1]))
-    del order, kept
+    drawn = {y: min(million, int(2.0 * million * rows / n)) for y, n in total.items()}
+    chosen = usable.where(draw < F.when(F.col("y") == 1, drawn.get(1, 0)).otherwise(drawn.get(0, 0)))  # 4 * rows at most, but for chance
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(key, whole.alias("text")).join(F.broadcast(chosen), key)
+    found = found.select("y", "text", F.xxhash64(key, F.lit(29)).alias("o"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    kept = _within(found.select("y", "o", "h", "n").toArrow().to_pylist(), rows, TRAIN_BYTES)
+    if {y for y, _, _ in kept} != {0, 1}:
+        return constant(share)
+    wanted = docs.sparkSession.createDataFrame(kept, "y int, o long, h long").distinct()
+    texts = found.join(F.broadcast(wanted), ["y", "o", "h"]).select("y", "o", "text").toArrow().to_pylist()
+    texts.sort(key=lambda r: (r["o"], r["text"]))
+    net = train([r["text"] for r in texts], np.array([r["y"] for r in texts], _f), share)
+    del texts
     trim()
     return net
 
 
+def _within(found: list[dict], rows: int, size: int) -> list[tuple[int, int, int]]:
+    """(label, order, hash) of the texts to learn from: in order, while ``rows`` and ``size`` bytes of each label last."""
+    out, used, left = [], {0: 0, 1: 0}, {0: size, 1: size}
+    for r in sorted(found, key=lambda r: (r["o"], r["h"])):
+        y = r["y"]
+        if used[y] < rows and r["n"] <= left[y]:
+            used[y], left[y] = used[y] + 1, left[y] - r["n"]
+            out.append((y, r["o"], r["h"]))
+    return out
+
+
+def constant(share: float) -> Network:
+    """A network whose score is ``share`` for every text."""
+    net = Network()
+    net.scale, net.shift = 0.0, float(np.clip(np.log(max(share, 1e-30) / max(1 - share, 1e-30)), -60, 60))
+    return net
+
+
 def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """``keep`` and score (0 to 1) of every whole text; ``keep`` may hold the text itself (``with_text``)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
