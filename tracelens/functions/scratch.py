@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it again (a temporary folder only where none is set)."""
+    """Writes ``df`` to the shared checkpoint folder and reads it again; a session of one machine may do without one."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tracelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
