@@ -44,11 +44,70 @@ def test_ratio_tells_junk(spark):
     ratio = Q.fit(docs, labels)
     kept = {r["doc_id"] for r in Q.judge(docs, ratio).where("kept").collect()}
     assert kept == set(range(200))
-    assert {r["doc_id"] for r in docs.where(Q.keeps(ratio)).collect()} == kept
-    # Scores by hand, from the same hashes.
-    one = Q.judge(docs, ratio).where("doc_id = 0").first()["llr_score"]
-    buckets = docs.where("doc_id = 0").select(Q.buckets_of(Q.words_of(F.col("text"))).alias("b")).first()["b"]
-    assert one == pytest.approx(np.mean([ratio.weights[b] for b in buckets]) / Q.SCALE) and len(buckets) == 3 * 60 - 1
+    assert {r["doc_id"] for r in Q.keep_good(docs, ratio).collect()} == kept
+    scores, limit = brute_scores(spark, good + junk, {i for i in range(0, 200, 2)})
+    got = {r["doc_id"]: r["llr_score"] for r in Q.judge(docs, ratio).collect()}
+    assert got == pytest.approx(scores) and ratio.threshold == pytest.approx(limit)
+
+
+def brute_features(spark, texts):
+    """Buckets of all features of each text, from Spark's hash of single values."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    flat = sorted({w for x in words for w in x})
+    h = {r["w"]: (r["h"], r["e"]) for r in spark.createDataFrame([(w,) for w in flat] or [("",)], "w string").select("w", F.xxhash64("w").alias("h"), F.xxhash64(F.expr("right(w, 2)"), F.lit(7)).alias("e")).collect()}
+    pairs = sorted({p for x in words for p in zip(x, x[1:])})
+    both = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs or [("", "")], "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()}
+    n = Q.BUCKETS
+    return [[*(h[w][0] % n for w in x), *(both[p] % n + n for p in zip(x, x[1:])), *(h[w][1] % n + 2 * n for w in x)] for x in words]
+
+
+def brute_weights(features, trusted):
+    """The weights of all buckets seen, by the formula."""
+    n = Q.BUCKETS
+    raw, good = Counter(b for x in features for b in x), Counter(b for x, t in zip(features, trusted) if t for b in x)
+    size, good_size = Counter(), Counter()
+    for b, c in raw.items():
+        size[b // n] += c
+    for b, c in good.items():
+        good_size[b // n] += c
+    return {b: int(np.floor(Q.SCALE * np.log((good[b] * size[b // n] / good_size[b // n] + Q.SHRINK) / (c + Q.SHRINK)) + 0.5)) if good_size[b // n] else 0 for b, c in raw.items()}
+
+
+def brute_scores(spark, rows, trusted):
+    features = brute_features(spark, [r[1] for r in rows])
+    weight = brute_weights(features, [r[0] in trusted for r in rows])
+    scores = {r[0]: float(np.mean([weight[b] for b in x])) / Q.SCALE if x else 0.0 for r, x in zip(rows, features)}
+    low = [scores[r[0]] for r, x in zip(rows, features) if r[0] in trusted and (len(x) + 1) // 3 >= 20]
+    return scores, (np.percentile(low, 100 * Q.REJECT) - Q.MARGIN if low else float("-inf"))
+
+
+def test_scores_and_weights_by_brute_force(spark, docs, labels, rows):
+    trusted = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    scores, limit = brute_scores(spark, rows, trusted)
+    for r in Q.quality_rules(docs, labels).collect():
+        assert r["llr_score"] == pytest.approx(scores[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["llr_score"] >= limit)
+    features = brute_features(spark, [r[1] for r in rows])
+    weight = brute_weights(features, [r[0] in trusted for r in rows])
+    got = {r["doc_id"]: r for r in I.log_weights(docs, labels).collect()}
+    for r, x in zip(rows, features):
+        assert got[r[0]]["n_features"] == len(x) and got[r[0]]["log_weight"] == pytest.approx(sum(weight[b] for b in x) / Q.SCALE)
+
+
+def test_repeated_rows_ids_and_null_ids(spark, docs, labels, monkeypatch):
+    """Rows stay as many, one id may stand at several texts, and equal texts have equal results."""
+    monkeypatch.setattr(Q, "_BLOCK", 2)
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, good)] * 5 + [(1, "short")] + [(None, good)] * 3 + [(None, None), (None, ""), (2, good)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = Q.fit(docs, labels)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted([(r["doc_id"], r["n_words"]) for r in Q.judge(few, ratio).collect()], key=lambda r: (*key(r), r[1]))
+    assert got == sorted([(i, len((t or "").split())) for i, t in rows], key=lambda r: (*key(r), r[1]))
+    kept = [(r["doc_id"], r["text"]) for r in Q.keep_good(few, ratio).collect()]
+    verdict = {r["kept"] for r in Q.judge(few, ratio).where("n_words = 30").collect()}
+    assert len(verdict) == 1 and sorted(kept, key=key) == (sorted([r for r in rows if r[1] == good], key=key) if True in verdict else [])
+    assert I.resample(few, labels, 0.5).count() == len(rows)
 
 
 def test_native_plan(docs, labels):

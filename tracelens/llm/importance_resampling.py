@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality_llr import SCALE, fit, with_words
+from .quality_llr import SCALE, fit, text_key, words_of
 from .textkit import stash
 
 #: Share of the documents that a resampling keeps.
@@ -57,9 +57,8 @@ def kth_largest(table: DataFrame, column: str, k: int) -> int | None:
 def log_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_features and log_weight (natural log of target over raw probability) of every document."""
     ratio = fit(docs, labels, text, key, threshold=False)
-    features = lambda w: F.greatest(3 * F.size(w) - 1, F.lit(0)).cast("long")
-    row = with_words(F.col(text), lambda w, h, p: F.struct(features(w).alias("n_features"), (ratio.total(w, h, p) / SCALE).alias("log_weight")))
-    return docs.select(key, row.alias("r")).select(key, "r.*")
+    words = docs.select(*text_key(text, key), words_of(F.col(text)).alias("words")).withColumn("n_features", F.greatest(3 * F.size("words") - 1, F.lit(0)).cast("long"))
+    return ratio.totals(words).select(key, "n_features", (F.col("total") / SCALE).alias("log_weight"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, seed: int = SEED, key: str = "doc_id") -> DataFrame:
