@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from tracelens.llm import best_fit_pack as K
 from tracelens.llm import bpe_stream as S
+from tracelens.llm import textkit
 from tracelens.llm.queries import tokenizer_path
 from tracelens.llm.textkit import text_chunks
 
@@ -66,6 +67,44 @@ def test_streaming_needs_bounded_memory(vocab, monkeypatch):
     assert most < 64 + 37 + vocab.lookahead + int(vocab.lengths.max())
 
 
+def thue_morse(n):
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_pre_tokens_of_equal_hash_are_told_apart(vocab, library, monkeypatch):
+    """Words that collide under polynomials modulo a power of two; then hashes that are all equal."""
+    word = thue_morse(10)
+    texts = [f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}", "some words, some more words and  spaces"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(vocab, texts) == want
+    monkeypatch.setattr(textkit.SpanHash, "spans", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    assert encode(vocab, texts) == want
+
+
+def test_texts_as_streams(vocab, library, monkeypatch):
+    """Bytes in pieces of any size, slices smaller than pre-tokens, special tokens across borders."""
+    monkeypatch.setattr(S, "SLICE", 300)
+    monkeypatch.setattr(S, "FEED", 64)
+    rng = random.Random(7)
+    parts = [*"abst'dlrevm  \n\t0129éßñ—!?.…😀\u00a0\u3000²Ⅷ字", "'s", "'re", "'ll", " '", "  ", "<|endoftext|>", "\r\n", "a" * 700, " " * 900, "'" * 500, "字" * 400, "12" * 400]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(12)] + ["", "x", " " * 2000 + "x", "!" * 1500 + "'s"]
+    for text in texts:
+        body, encoder, out, most, i = text.encode(), S.TextEncoder(vocab), [], 0, 0
+        while i < len(body):
+            n = rng.choice([1, 7, 50, 333, 1000])
+            out += encoder.feed(body[i:i + n]).tolist()
+            most, i = max(most, len(encoder.rest)), i + n
+        assert out + encoder.finish().tolist() == library.encode(text, add_special_tokens=False).ids
+        assert most < 2 * (300 + 1000)
+    pa_texts = pa.array([t for t in texts if t])
+    monkeypatch.setattr(S, "SLICE", 1 << 9)
+    for _, _, data, offsets in text_chunks(pa_texts, 1):
+        assert np.concatenate(list(S.encode_stream(vocab, data))).tolist() == library.encode(data.tobytes().decode(), add_special_tokens=False).ids
+
+
 def test_merge_by_definition(vocab):
     rng = random.Random(3)
     for _ in range(200):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe_stream import encode_chunk, vocabulary
+from .bpe_stream import encode_texts, vocabulary
 from .textkit import stash, text_chunks
 
 #: (length, copies) pairs and the number of sequences that have them.
@@ -188,7 +188,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, text:
         vocab, last = vocabulary(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
-                ids, at = encode_chunk(vocab, data, offsets)
+                ids, at = encode_texts(vocab, data, offsets)
                 raw, rows = ids.astype("<u4"), []
                 for k in range(j - i):
                     mine = raw[at[k]:at[k + 1]].tobytes() + last

@@ -12,9 +12,12 @@ byte can change it.  Two facts make that exact.
   token length) before the end of the bytes seen so far is final, and the
   rest of the pre-token is encoded on from there.
 
-Pre-tokens of ordinary length are encoded together, as arrays: the distinct
-ones of a chunk are merged in lock step, one merge for each in a round.  Only
-longer ones go through :class:`StreamEncoder`, in constant memory.
+:class:`TextEncoder` takes a text's bytes piecemeal and emits tokens once they are
+stable: those of a pre-token when it is closed, those of one that grows beyond a
+slice through :class:`StreamEncoder`.  Its memory is that of a slice, whatever the
+text.  Texts that are no longer than a chunk are closed when they are read, so they
+are encoded many at a time, as arrays: the distinct pre-tokens (by their bytes)
+are merged in lock step, one merge for each in a round.
 
 Decoding is an incremental byte-to-text state machine: token bytes go in, text
 comes out as soon as a character is complete, broken bytes become U+FFFD.
@@ -36,12 +39,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import SpanHash, ragged, text_chunks
+from .textkit import distinct_spans, ragged, text_chunks, trim
 
-#: Pre-tokens above this many bytes are streamed.
+#: Pre-tokens above this many bytes are streamed, not merged in lock step with others.
 LONG_PIECE = 256
 #: Bytes that the streaming encoder takes in at once, besides the lookahead.
 FEED = 4096
+#: Bytes of a text that are looked at together; longer texts are streamed.
+SLICE = 1 << 20
+#: Characters that decide where a pre-token ends: a contraction's, and one before and after.
+_NEAR = 8
 
 #: The printable stand-ins for bytes in byte-level vocabularies.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -309,15 +316,17 @@ def encode_chunk(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tu
     starts = at[firsts]
     ends = np.concatenate([starts[1:], [len(data)]])
     first_piece = np.searchsorted(starts, offsets)
-    # Distinct pre-tokens only.
-    key = SpanHash(data).spans(starts, ends)
-    _, where, which = np.unique(key, return_index=True, return_inverse=True)
+    ids, total = encode_pieces(vocab, raw, data, starts, ends)
+    return ids, total[first_piece]
+
+
+def encode_pieces(vocab: Vocabulary, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of pre-tokens of a buffer (as bytes and as array), and their offsets; different ones are merged once."""
+    where, which = distinct_spans(data, starts, ends)
     starts, lengths = starts[where], (ends - starts)[where]
     ids, at = _distinct(vocab, raw, data, starts, lengths)
     counts = np.diff(at)
-    out = ids[ragged(at[:-1][which], counts[which])]
-    total = np.concatenate([[0], np.cumsum(counts[which])])
-    return out, total[first_piece]
+    return ids[ragged(at[:-1][which], counts[which])], np.concatenate([[0], np.cumsum(counts[which])])
 
 
 def _distinct(vocab: Vocabulary, raw: bytes, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,6 +378,99 @@ def _with_special(vocab: Vocabulary, raw: bytes, offsets: np.ndarray) -> tuple[n
     return np.concatenate(out).astype(np.int32), total[firsts]
 
 
+# ---------------------------------------------------------------- a text of any length
+
+class TextEncoder:
+    """Encodes one text of any length from bytes that arrive piecemeal, in the memory of a slice.
+
+    ``rest`` holds what isn't encoded yet.  While a pre-token is open, its bytes are in ``open``
+    but for the last two characters, which stay in ``rest`` so that its borders are seen rightly.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.rest, self.open, self.seen = vocab, b"", None, 0
+        self.special = max(map(len, vocab.special), default=1) - 1
+
+    def feed(self, data: bytes) -> np.ndarray:
+        """The tokens that have become stable."""
+        self.rest += data
+        out = []
+        while hits := [(p, -len(t), t) for t in self.vocab.special if (p := self.rest.find(t)) >= 0]:
+            p, _, token = min(hits)
+            if p + len(token) + self.special > len(self.rest) and any(len(t) > len(token) and t.startswith(token) for t in self.vocab.special):
+                break  # it may be a longer one
+            after, self.rest = self.rest[p + len(token):], self.rest[:p]
+            out += [self._close(), np.array([self.vocab.special[token]], np.int32)]
+            self.rest = after
+        out.append(self._advance())
+        return np.concatenate(out)
+
+    def finish(self) -> np.ndarray:
+        """The remaining tokens."""
+        return self._close()
+
+    def _close(self) -> np.ndarray:
+        return self._until(len(self.rest), self._starts(len(self.rest))[0])
+
+    def _starts(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where pre-tokens start in ``rest[:end]``, and the characters, as bytes."""
+        points = np.frombuffer(self.rest[:end].decode("utf-8").encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(_utf8_width(points))])
+        starts = np.flatnonzero(piece_starts(points, np.zeros(1, np.int64)))
+        return at[starts[at[starts] >= self.seen]], at
+
+    def _until(self, end: int, starts: np.ndarray) -> np.ndarray:
+        """Tokens of ``rest[:end]``, where a pre-token ends."""
+        out, first = [], 0
+        if self.open is not None:
+            first = int(starts[0]) if len(starts) and starts[0] < end else end
+            out += [self._stream(self.rest[self.seen:first]), np.array(self.open.finish(), np.int32)]
+            self.open = None
+        if first < end:
+            mine = starts[(starts >= first) & (starts < end)]
+            out.append(encode_pieces(self.vocab, self.rest, np.frombuffer(self.rest, np.uint8), mine, np.append(mine[1:], end))[0])
+        self.rest, self.seen = self.rest[end:], 0
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def _stream(self, data: bytes) -> np.ndarray:
+        return np.array([x for i in range(0, len(data), FEED) for x in self.open.feed(data[i:i + FEED])], np.int32)
+
+    def _advance(self) -> np.ndarray:
+        """Encodes up to the last start of a pre-token that no later byte can move."""
+        none, end = np.zeros(0, np.int32), len(self.rest) - self.special
+        if end < SLICE:
+            return none
+        while end and self.rest[end] & 0xC0 == 0x80:
+            end -= 1
+        starts, at = self._starts(end)
+        sure = int(at[max(0, len(at) - 1 - _NEAR)])
+        before = starts[(starts <= sure) & (starts > 0)]
+        if len(before):
+            return self._until(int(before[-1]), starts)
+        if self.open is None:
+            self.open = StreamEncoder(self.vocab)
+        ids = self._stream(self.rest[self.seen:sure])
+        back = int(at[max(0, len(at) - 3 - _NEAR)])
+        self.rest, self.seen = self.rest[back:], sure - back
+        return ids
+
+
+def encode_stream(vocab: Vocabulary, data: np.ndarray) -> Iterator[np.ndarray]:
+    """Tokens of one long text, slice by slice."""
+    encoder = TextEncoder(vocab)
+    for i in range(0, len(data), SLICE):
+        yield encoder.feed(data[i:i + SLICE].tobytes())
+    yield encoder.finish()
+
+
+def encode_texts(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the texts of a chunk, and their offsets: of many short ones together, or of a long one slice by slice."""
+    if len(data) <= 2 * SLICE:
+        return encode_chunk(vocab, data, offsets)
+    parts = [np.concatenate(list(encode_stream(vocab, data[a:b]))) for a, b in zip(offsets, offsets[1:])]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
 # ---------------------------------------------------------------- decoding
 
 class StreamDecoder:
@@ -405,7 +507,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
         vocab = vocabulary(path)
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(len(keep))):
-                ids, at = encode_chunk(vocab, data, offsets)
+                ids, at = encode_texts(vocab, data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), _binary(ids.astype("<u4"), at)], names=[*keep, "ids"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -417,18 +519,30 @@ def _binary(ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode and decode every text: key, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode and decode every text: key, n_tokens, ids_sha256, decoded_sha256.  Digests grow with the stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
-                ids, at = encode_chunk(vocab, data, offsets)
-                packed = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i),
-                    pa.array(np.diff(at)),
-                    pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(at, at[1:])]),
-                    pa.array([hashlib.sha256(decode(vocab, ids[a:b]).encode("utf-8")).hexdigest() for a, b in zip(at, at[1:])]),
-                ], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if j - i == 1 and len(data) > SLICE:
+                    parts = [encode_stream(vocab, data)]
+                else:
+                    ids, at = encode_chunk(vocab, data, offsets)
+                    parts = [[ids[a:b]] for a, b in zip(at, at[1:])]
+                done = [_digests(vocab, p) for p in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([d[k] for d in done]) for k in range(3))], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            trim()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _digests(vocab: Vocabulary, parts: Iterable[np.ndarray], step: int = 1 << 16) -> tuple[int, str, str]:
+    """Number of tokens, and digests of them and of their text."""
+    n, packed, text, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder(vocab)
+    for ids in parts:
+        n += len(ids)
+        packed.update(ids.astype("<u4"))
+        for i in range(0, len(ids), step):
+            text.update(decoder.feed(ids[i:i + step]).encode("utf-8"))
+    text.update(decoder.finish().encode("utf-8"))
+    return n, packed.hexdigest(), text.hexdigest()

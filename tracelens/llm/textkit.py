@@ -222,6 +222,36 @@ class SpanHash:
         return out
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A representative of each distinct span, and which of them every span is.  Hashes propose, bytes decide."""
+    _, where, which = np.unique(SpanHash(data).spans(starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    wrong = size != size[where][which]
+    done = np.concatenate([[0], np.cumsum(size)])
+    i = 0
+    while i < len(starts):  # spans of about a block's bytes at a time
+        j = max(i + 1, int(np.searchsorted(done, done[i] + (_STEP << 2), "right")) - 1)
+        some = np.flatnonzero(~wrong[i:j]) + i
+        if len(some):
+            n = size[some]
+            apart = data[ragged(starts[some], n)] != data[ragged(starts[where[which[some]]], n)]
+            if apart.any():
+                wrong[np.unique(np.repeat(some, n)[apart])] = True
+        i = j
+    bad = np.flatnonzero(wrong)
+    if len(bad):  # equal hashes of different bytes
+        known: dict[bytes, int] = {}
+        extra: list[int] = []
+        for k in bad:
+            body = data[starts[k]:ends[k]].tobytes()
+            if body not in known:
+                known[body] = len(where) + len(extra)
+                extra.append(k)
+            which[k] = known[body]
+        where = np.concatenate([where, extra])
+    return where, which
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, .. of every run, one after the other."""
     total = int(lengths.sum())
