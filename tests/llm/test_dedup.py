@@ -169,3 +169,28 @@ def test_very_long_text(monkeypatch):
     one = D.runs(data, whole)
     assert cut["first"][0] == 0 and cut["last"][-1] == one["last"][-1] == 4800
     assert sum(cut["last"] - cut["first"] + 1) == sum(one["last"] - one["first"] + 1) == 4801
+
+
+def test_rows_of_equal_id_or_none_are_told_apart(spark, monkeypatch):
+    """A text that repeats nothing keeps all, whatever the ids and whatever a 32-bit hash says."""
+    rng = random.Random(9)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = some(60)
+    rows = [(None, some(50) + passage), (None, some(90)), (5, passage + some(40)), (5, some(80)), (5, None), (None, None)]
+    done = D.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r["text"]: r["kept"].decode() for r in done}
+    for _, t in rows:
+        assert (kept[t] == (t or "")) == (passage not in (t or ""))
+
+
+def test_sort_compares_bytes():
+    """Suffixes of one group that share long prefixes, and widths that the tokens don't divide."""
+    rng = np.random.default_rng(3)
+    for width in (5, 8, 20, 33):
+        data = rng.integers(97, 99, 600).astype(np.uint8)
+        at = np.array([0, 300])
+        count = np.array([300 - width + 1, 300 - width + 1])
+        flags = D.repeated_suffixes(data, at, count, np.zeros(2, np.int64), width)
+        starts = [*range(count[0]), *range(300, 300 + count[1])]
+        seen = Counter(data[s:s + width].tobytes() for s in starts)
+        assert flags.tolist() == [seen[data[s:s + width].tobytes()] > 1 for s in starts]

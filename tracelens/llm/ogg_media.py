@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkit import byte_view, chunks
+
 #: Samples of a packet, samples a second, packets of a page at most.
 FRAME, RATE, PAGE_PACKETS = 960, 8000, 40
 #: The payload is padded to a positive multiple of this.
@@ -217,8 +219,8 @@ def write_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """key, media (binary): every whole text's UTF-8 bytes, padded, as an Ogg file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in chunks(byte_view(batch.column(1))[1], 1 << 24):  # so many bytes at a time, not rows
+                part = batch.slice(i, j - i)
                 texts = [(x or "").encode() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_ogg(pad(t), len(t)) for t in texts], pa.binary())], names=[key, "media"])
 
@@ -229,8 +231,8 @@ def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, payload (binary), media_bytes, media_sha256, feature of every file in column ``media``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in chunks(byte_view(batch.column(1))[1], 1 << 24):
+                part = batch.slice(i, j - i)
                 files = [x or b"" for x in part.column(1).to_pylist()]
                 got = [from_ogg(x) for x in files]
                 yield pa.RecordBatch.from_arrays([

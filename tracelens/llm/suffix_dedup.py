@@ -13,10 +13,14 @@ is set aside first, without loss:
 2. Runs whose leading token occurs once hold unique suffixes only.  Runs with equal bytes
    are repeated throughout.  What remains are the edges of repeated passages.
 3. The edges' bytes are range-partitioned by leading token, between splitters that Spark
-   samples.  A bucket sorts its suffixes by multikey quicksort, token after token, leaves
-   those out that have become unique, and compares the bytes of neighbours at the end.
-   Leading tokens with more than ``HOT`` different runs go to several buckets: their
-   suffixes become rows, and equal ones meet across buckets in a partial aggregate.
+   samples; a border never parts suffixes of one leading token, so neighbours across it
+   differ.  A bucket sorts its suffixes by multikey quicksort, token after token of
+   ``TOKEN`` bytes, and leaves those out that have become unique; what is left at the end
+   is equal byte by byte.  Leading tokens with more than ``HOT`` different runs go to several
+   buckets: their suffixes become rows, and equal ones meet across buckets in a partial
+   aggregate, by two 62-bit hashes of their bytes.
+
+A row is known by two 64-bit hashes of its id and text.
 
 Defined results: null texts are empty; texts shorter than ``width`` keep everything;
 strings overlap freely; repeated rows are documents of their own, so they remove each
@@ -25,21 +29,21 @@ other; null ids are ids like others; matches never cross documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SpanHash, byte_view, discard, ragged, release, stash, text_chunks, trim
+from .textkit import SpanHash, byte_view, chunks, discard, ragged, release, stash, text_chunks, trim
 
 WIDTH, GRAM = 200, 32
 #: Different runs of one leading token that one bucket sorts: 20,000 runs are 6 MB of text, and about
 #: 150 MB while they are sorted.  More go to several buckets.
 HOT = 20_000
 #: Bytes of a token in the local sort.
-TOKEN = 40
+TOKEN = 8
 _POSITION_BITS = 24
 _PIECE = 1 << 23
 
@@ -91,9 +95,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
 
 
 def suffix_runs(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """key, t (hash of the text), first, last, token, body: a row for each run of suffixes."""
-    kind = docs.schema[key].dataType.simpleString()
-
+    """r1, r2 (of the row), first, last, token, body: a row for each run of suffixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(2), 1 << 20):
@@ -101,30 +103,31 @@ def suffix_runs(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
                 rows = pa.array(r["text"] + i)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(r["first"], pa.int32()), pa.array(r["last"], pa.int32()), pa.array(r["token"]), pa.array(r["body"]),
-                ], names=[key, "t", "first", "last", "token", "body"])
+                ], names=["r1", "r2", "first", "last", "token", "body"])
 
-    return docs.select(key, _print(text), text).mapInArrow(run, f"`{key}` {kind}, t int, first int, last int, token long, body long")
+    return docs.select(*row_hashes(text, key), text).mapInArrow(run, "r1 long, r2 long, first int, last int, token long, body long")
 
 
-def _print(text: str):
-    """With the id, this tells rows apart whose ids are equal."""
-    return F.hash(F.coalesce(F.col(text), F.lit(""))).alias("t")
+def row_hashes(text: str, key: str) -> list[Column]:
+    """r1 and r2, by which a row is known; equal rows are alike."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(F.lit(salt), F.col(key).isNull(), F.col(key), whole).alias(name) for salt, name in ((1, "r1"), (2, "r2"))]
 
 
 # ---------------------------------------------------------------- the local sort
 
-def multikey_equal(tokens: list[np.ndarray], group: np.ndarray) -> list[np.ndarray]:
-    """Multikey quicksort of suffixes: numbers of the suffixes whose tokens all equal a neighbour's, and their final group.
+def multikey_equal(token: Callable[[int, np.ndarray], np.ndarray], levels: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of suffixes: numbers of those whose tokens all equal a neighbour's, and their final group.
 
-    ``tokens`` holds the suffixes' first, second, .. tokens; ``group`` a first key.  A level
+    ``token(k, some)`` gives the k-th tokens of some suffixes; ``group`` is a first key.  A level
     sorts what is left by one more token, within the groups that the levels before made,
     and drops what stands alone.
     """
     order = np.arange(len(group))
-    for token in tokens:
+    for k in range(levels):
         if not len(order):
             break
-        t = token[order]
+        t = token(k, order)
         by = np.lexsort((t, group))
         order, group, t = order[by], group[by], t[by]
         new = np.ones(len(order), bool)
@@ -133,27 +136,23 @@ def multikey_equal(tokens: list[np.ndarray], group: np.ndarray) -> list[np.ndarr
         alone[:-1] &= new[1:]
         group = np.cumsum(new)[~alone]
         order = order[~alone]
-    return [order, group]
+    return order, group
 
 
 def repeated_suffixes(data: np.ndarray, at: np.ndarray, count: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
     """Flags of the suffixes (``count`` of each run of bytes, from ``at``) that equal another one of their group."""
     start = ragged(at, count)
-    hashes = SpanHash(data)
-    edges = [*range(0, width, TOKEN), width]
-    tokens = [hashes.spans(start + a, start + b) for a, b in zip(edges, edges[1:])]
-    order, final = multikey_equal(tokens, np.repeat(group, count))
     flags = np.zeros(len(start), bool)
-    if not len(order):
+    if not len(start):
         return flags
-    same = np.flatnonzero(final[1:] == final[:-1])
-    equal = np.zeros(len(same), bool)
-    for i in range(0, len(same), 8192):  # the bytes of neighbours decide
-        a, b = start[order[same[i:i + 8192]]], start[order[same[i:i + 8192] + 1]]
-        span = np.arange(width)
-        equal[i:i + 8192] = (data[a[:, None] + span] == data[b[:, None] + span]).all(axis=1)
-    flags[order[same[equal]]] = True
-    flags[order[same[equal] + 1]] = True
+    size = min(TOKEN, width)
+    words = np.zeros(len(data) - size + 1, np.uint64)  # the bytes from every place on, as a number
+    for k in range(size):
+        words <<= np.uint64(8)
+        words |= data[k:k + len(words)]
+    places = [min(k, width - size) for k in range(0, width, size)]  # together they cover all bytes
+    order, _ = multikey_equal(lambda k, some: words[start[some] + places[k]], len(places), np.repeat(group, count))
+    flags[order] = True
     return flags
 
 
@@ -168,10 +167,8 @@ def _spans_of(flags: np.ndarray, count: np.ndarray, first: np.ndarray, width: in
     return row[open_], start[open_], start[close] + width
 
 
-def edge_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
-    """key, t, start, end: covered bytes of the runs in ``edges`` (token, n, first, bytes) that occur once."""
-    kind = edges.schema[key].dataType.simpleString()
-
+def edge_spans(edges: DataFrame, width: int) -> DataFrame:
+    """r1, r2, start, end: covered bytes of the runs in ``edges`` (token, n, first, bytes) that occur once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -184,7 +181,7 @@ def edge_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
             flags &= np.repeat(once, count)
             row, start, end = _spans_of(flags, count, rows.column("first").to_numpy(), width)
             where = pa.array(row)
-            return pa.RecordBatch.from_arrays([rows.column(key).combine_chunks().take(where), rows.column("t").combine_chunks().take(where), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[key, "t", "start", "end"])
+            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(where) for c in ("r1", "r2")), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["r1", "r2", "start", "end"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -204,12 +201,12 @@ def edge_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
         trim()
 
     parted = edges.repartitionByRange("token").sortWithinPartitions("token")
-    return parted.mapInArrow(run, f"`{key}` {kind}, t int, start int, end int")
+    return parted.mapInArrow(run, "r1 long, r2 long, start int, end int")
 
 
-def hot_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
+def hot_spans(edges: DataFrame, width: int) -> DataFrame:
     """The same for leading tokens with many different runs: equal suffixes meet by two hashes of their bytes."""
-    kind = edges.schema[key].dataType.simpleString()
+    names = ["r1", "r2", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,48 +217,43 @@ def hot_spans(edges: DataFrame, width: int, key: str) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(j - i), count))
                 first = ragged(part.column(part.schema.get_field_index("first")).to_numpy(zero_copy_only=False).astype(np.int64), count)
                 h1, h2 = (SpanHash(data, seed).spans(start, start + width).view(np.int64) for seed in (1, 2))
-                names = [key, "t", "n"]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).take(rows) for c in names), pa.array(first, pa.int32()), pa.array(h1), pa.array(h2)], names=[*names, "start", "h1", "h2"])
 
-    rows = stash(edges.mapInArrow(run, f"`{key}` {kind}, t int, n long, start int, h1 long, h2 long"))
+    rows = stash(edges.mapInArrow(run, "r1 long, r2 long, n long, start int, h1 long, h2 long"))
     often = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
-    return rows.where("n = 1").join(often, ["h1", "h2"]).select(key, "t", "start", (F.col("start") + width).cast("int").alias("end"))
+    return rows.where("n = 1").join(often, ["h1", "h2"]).select("r1", "r2", "start", (F.col("start") + width).cast("int").alias("end"))
 
 
 def run_bytes(docs: DataFrame, wanted: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """key, t, token, n, hot, first and the bytes of the runs in ``wanted``."""
-    kind = docs.schema[key].dataType.simpleString()
-    lists = wanted.groupBy(key, "t").agg(F.collect_list(F.struct("first", "last", "token", "n", "hot")).alias("runs"))
-    left = docs.select(key, _print(text), text)
-    both = left.alias("d").join(lists.alias("w"), F.col(f"d.{key}").eqNullSafe(F.col(f"w.{key}")) & (F.col("d.t") == F.col("w.t")))
+    """r1, r2, token, n, hot, first and the bytes of the runs in ``wanted``."""
+    lists = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last", "token", "n", "hot")).alias("runs"))
+    both = docs.select(*row_hashes(text, key), F.col(text).alias("_text")).join(lists, ["r1", "r2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                data, offsets = byte_view(part.column(2))
-                lists = part.column(3)
-                at = lists.offsets.to_numpy()
-                size = np.diff(at)
-                flat = lists.values.slice(int(at[0]), int(at[-1] - at[0])) if len(at) else lists.values
-                row = np.repeat(np.arange(part.num_rows), size)
-                first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                length = last - first + width
-                body = data[ragged(offsets[row] + first, length)]
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                rows = pa.array(row)
+            data, offsets = byte_view(batch.column(2))
+            lists = batch.column(3)
+            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), size)
+            first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            length = last - first + width
+            for i, j in chunks(np.concatenate([[0], np.cumsum(length)]), 1 << 23):  # so many bytes of runs at a time
+                mine, part = pa.array(row[i:j]), flat.slice(i, j - i)
+                body = data[ragged(offsets[row[i:j]] + first[i:j], length[i:j])]
+                ends = np.concatenate([[0], np.cumsum(length[i:j])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(rows), part.column(1).take(rows), flat.field(2), flat.field(3), flat.field(4), flat.field(0),
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))]),
-                ], names=[key, "t", "token", "n", "hot", "first", "bytes"])
+                    batch.column(0).take(mine), batch.column(1).take(mine), part.field(2), part.field(3), part.field(4), part.field(0),
+                    pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))]),
+                ], names=["r1", "r2", "token", "n", "hot", "first", "bytes"])
+            trim()
 
-    return both.select(f"d.{key}", "d.t", text, "runs").mapInArrow(cut, f"`{key}` {kind}, t int, token long, n long, hot boolean, first int, bytes binary")
+    return both.select("r1", "r2", "_text", "runs").mapInArrow(cut, "r1 long, r2 long, token long, n long, hot boolean, first int, bytes binary")
 
 
 # ---------------------------------------------------------------- the whole job
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, t, start, end: byte spans that repeated strings cover (spans of a text may overlap)."""
+    """r1, r2 (of :func:`row_hashes`), start, end: byte spans that repeated strings cover (spans of a text may overlap)."""
     spark = docs.sparkSession
     found = stash(suffix_runs(docs, width, text, key))
     often = stash(found.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"))
@@ -269,15 +261,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
     kept = stash(found.join(often, "token"))
     discard(found)
     release(spark)
-    whole = F.struct("first", "last", F.col(key).alias("k"), "t")
-    distinct = stash(kept.groupBy("token", "body").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("x")).select("token", "body", "n", F.col("x.k").alias(key), "x.t", "x.first", "x.last"))
+    whole = F.struct("first", "last", "r1", "r2")
+    distinct = stash(kept.groupBy("token", "body").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("x")).select("token", "body", "n", "x.*"))
     again = distinct.where("n > 1").select("token", "body")
-    full = kept.join(again, ["token", "body"]).select(key, "t", F.col("first").alias("start"), (F.col("last") + width).cast("int").alias("end"))
+    full = kept.join(again, ["token", "body"]).select("r1", "r2", F.col("first").alias("start"), (F.col("last") + width).cast("int").alias("end"))
     sizes = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1")
-    edges = distinct.join(sizes, "token").select(key, "t", "first", "last", "token", "n", (F.col("c") > HOT).alias("hot"))
+    edges = distinct.join(sizes, "token").select("r1", "r2", "first", "last", "token", "n", (F.col("c") > HOT).alias("hot"))
     edges = stash(run_bytes(docs, edges, width, text, key))
     release(spark)
-    spans = full.unionByName(edge_spans(edges.where("not hot"), width, key)).unionByName(hot_spans(edges.where("hot"), width, key))
+    spans = full.unionByName(edge_spans(edges.where("not hot"), width)).unionByName(hot_spans(edges.where("hot"), width))
     spans = stash(spans)
     for x in (kept, edges):
         discard(x)
@@ -288,15 +280,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with ``removed`` (array of start, end byte spans, maximal) and ``kept`` (the remaining bytes)."""
     spans = repeated_spans(docs, width, text, key)
-    lists = spans.groupBy(key, "t").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    mine = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), _print(text).alias("_t"))
-    both = mine.join(lists, F.col("_key").eqNullSafe(lists[key]) & (F.col("_t") == lists["t"]), "left")
+    lists = spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    both = docs.select(F.struct(*docs.columns).alias("_row"), *row_hashes(text, key)).join(lists, ["r1", "r2"], "left")
     both = both.select("_row", F.coalesce(F.col(f"_row.{text}"), F.lit("")).cast("binary").alias("_text"), F.coalesce("_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for i, j in chunks(byte_view(batch.column(1))[1], 1 << 24):
+                part = batch.slice(i, j - i)
                 spans, kept = [], []
                 for body, found in zip(part.column(1).to_pylist(), part.column(2)):
                     if not len(found.values):
@@ -324,8 +315,8 @@ def kept_text(done: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for i, j in chunks(byte_view(batch.column(0))[1], 1 << 24):
+                part = batch.slice(i, j - i)
                 texts = []
                 for whole, spans in zip(part.column(0).to_pylist(), part.column(1)):
                     if whole is None or not len(spans.values):
