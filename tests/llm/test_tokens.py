@@ -176,6 +176,36 @@ def test_plans(seed):
     assert sum(n for _, n in K.plan(count, capacity)) <= least_bins(sizes, capacity) + 1
 
 
+@pytest.mark.parametrize("seed", range(150))
+def test_triples_keep_the_optimum(seed):
+    """Few sizes from a third of the capacity on, where sets of three are decided, and many copies."""
+    rng, capacity = random.Random(seed), rng_capacity(seed)
+    low = rng.choice([capacity // 4, capacity // 5, capacity // 3])
+    sizes = [rng.randrange(max(1, low), capacity + 1) for _ in range(rng.randrange(3, 12))]
+    count = np.bincount(sizes, minlength=capacity + 1)
+    left = count.copy()
+    fixed = K.reduce_by_dominance(left, capacity)
+    check(fixed, count - left, capacity)
+    rest = np.repeat(np.arange(capacity + 1), left).tolist()
+    assert sum(n for _, n in fixed) + (least_bins(rest, capacity) if rest else 0) == least_bins(sizes, capacity)
+
+
+def rng_capacity(seed):
+    return (20, 30, 50)[seed % 3]
+
+
+def test_reduction_fixes_triples():
+    count = np.bincount([10, 6, 4, 4], minlength=21)  # beside 10: 6 and 4 fill it, and nothing fits with 4 and 4
+    assert K.reduce_by_dominance(count.copy(), 20)[0] == (((10, 1), (6, 1), (4, 1)), 1)
+
+
+def test_reduction_takes_all_copies_at_once():
+    """Steps follow the lengths, not the items."""
+    count = np.zeros(2049, np.int64)
+    count[[1000, 1040, 1]] = 8_000_000, 8_000_000, 1
+    assert len(K.reduce_by_dominance(count, 2048)) < 10
+
+
 def test_large_plan():
     rng = np.random.default_rng(1)
     count = np.bincount(rng.integers(1, 2049, 200_000), minlength=2049)

@@ -4,8 +4,8 @@ Lengths are whole numbers up to the capacity, so an instance is a histogram of a
 ``capacity`` counts, whatever the number of documents.  The plan (patterns of lengths
 with how many sequences follow each) is made from the histogram alone:
 
-1. reduction: a small set that provably dominates all sets with the same large item
-   is fixed for as many sequences as there are copies, until nothing more can be fixed;
+1. reduction: a set of one to three items that provably dominates all sets with the same
+   large item is fixed for as many sequences as there are copies, until nothing more can be fixed;
 2. the remainder is packed best-fit, longest first, all copies of a length together.
 
 Then Spark numbers the items of each length (hot lengths in salted groups) and every
@@ -19,7 +19,7 @@ an empty result; items of equal length are interchangeable, ties go by the order
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +33,8 @@ from .textkit import stash, text_chunks
 
 #: (length, copies) pairs and the number of sequences that have them.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
-#: Items that one task numbers in one group, on average.
-GROUP_ROWS = 1_000
+#: Items that one task numbers in one group, on average, and groups whose sizes one task adds up.
+GROUP_ROWS, BLOCK_GROUPS = 1_000, 4_096
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,13 +43,43 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def dominating_set(left: np.ndarray, room: int) -> tuple[int, ...] | None:
+    """Lengths from ``left`` (a histogram) that, beside a longest item, dominate all other sets that fit its ``room``.
+
+    Nothing, if nothing fits.  The longest that fits, if it fills the room, if no two fit
+    together, or if no three do and no pair is longer than it.  The longest with the longest
+    partner, if no three fit, no pair is longer, and no two items between these two fit: then
+    each item of any other set can be exchanged for one of theirs.  None if no set is known to.
+    """
+    have = np.flatnonzero(left[:room + 1])
+    if not len(have):
+        return ()
+    longest = int(have[-1])
+    least = np.repeat(have[:3], np.minimum(left[have[:3]], 3))[:3]
+    if longest == room or len(least) < 2 or least[0] + least[1] > room:
+        return (longest,)
+    if len(least) == 3 and least.sum() <= room:
+        return None
+    # The longest partner of each length, another copy of it if there is one.
+    at = np.searchsorted(have, room - have, "right") - 1
+    at = np.where((at >= 0) & (have[at] == have) & (left[have] < 2), at - 1, at)
+    pair = np.where(at >= 0, have + have[at], 0)
+    best = int(pair.max())
+    if longest >= best:
+        return (longest,)
+    if pair[-1] < best:
+        return None
+    partner = int(have[at[-1]])
+    between = have[(have > partner) & (have < longest)][:2]
+    two = np.repeat(between, np.minimum(left[between], 2))[:2]
+    return (longest, partner) if len(two) < 2 or two.sum() > room else None
+
+
 def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[Pattern]:
-    """Fixes dominating sets and takes them out of ``count`` (index: length).
+    """Fixes dominating sets and takes them out of ``count`` (index: length), longest items first.
 
-    With j the longest item left: alone, if nothing fits beside it; with its exact
-    complement, if there is one (a full sequence of two dominates whatever holds j, as
-    the complement can be exchanged for what else would stand there); with the longest
-    item k that fits, if no two items fit beside j together (k can replace any single one).
+    As items go, a set that dominates goes on dominating, so it is fixed as often as its
+    items last; each step uses up a length, whatever the number of items.
     """
     fixed: list[Pattern] = []
     again = True
@@ -57,36 +87,16 @@ def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[Pattern]:
         again = False
         for s in range(capacity, 0, -1):
             while count[s]:
-                here = np.flatnonzero(count)
-                own = count[s]
-                least = here[0] if here[0] != s or own > 1 else (here[1] if len(here) > 1 else capacity + 1)
-                room = capacity - s
-                if least > room:
-                    fixed.append((((s, 1),), int(own)))
-                    count[s] = 0
-                    again = True
-                    continue
-                k = int(here[np.searchsorted(here, room, "right") - 1])
-                if k == s and own < 2:
-                    k = int(here[np.searchsorted(here, s) - 1]) if here[0] < s else 0
-                if not k:
-                    break
-                # The two shortest items beside j.
                 left = count.copy()
                 left[s] -= 1
-                a = int(np.flatnonzero(left)[0])
-                left[a] -= 1
-                rest = np.flatnonzero(left)
-                pair = a + int(rest[0]) if len(rest) else capacity + 1
-                if k != room and pair <= room:
+                beside = dominating_set(left, capacity - s)
+                if beside is None:
                     break
-                n = int(own // 2 if k == s else min(own, count[k]))
-                if k != room:
-                    # As copies go, the two shortest items may change: fix no more than keeps them.
-                    n = 1 if count[a] <= n or (len(rest) and count[rest[0]] <= n) else n
-                fixed.append((((s, 2),) if k == s else ((s, 1), (k, 1)), n))
-                count[s] -= n
-                count[k] -= n
+                need = Counter((s, *beside))
+                n = min(int(count[x]) // c for x, c in need.items())
+                fixed.append((tuple(need.items()), n))
+                for x, c in need.items():
+                    count[x] -= n * c
                 again = True
     return fixed
 
@@ -166,8 +176,12 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
     salt_of = F.element_at(F.lit([int(x) for x in salts]), F.col(length).cast("int") + 1)
     salted = items.withColumn("_salt", F.pmod(spread, salt_of))
     groups = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # Items before each group: within blocks of groups, and blocks before.
+    groups = groups.withColumn("_block", F.floor(F.col("_salt") / BLOCK_GROUPS))
+    above = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = groups.groupBy(length, "_block").agg(F.sum("_n").alias("_n")).select(length, "_block", above([length], "_block").alias("_first"))
+    groups = groups.withColumn("_within", above([length, "_block"], "_salt")).join(blocks, [length, "_block"])
+    groups = groups.select(length, "_salt", (F.col("_first") + F.col("_within")).alias("_before"))
     own = Window.partitionBy(length, "_salt").orderBy(*order)
     ranked = salted.withColumn("_row", F.row_number().over(own)).join(groups, [length, "_salt"])
     ranked = ranked.select(*items.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
