@@ -32,6 +32,67 @@ def test_against_plain_counts(docs, rows, monkeypatch):
         assert r["base_score"] == pytest.approx(w[4]) and r["score"] < 0
 
 
+def word_numbers(text):
+    """Hash and ending of each token of a text, in order."""
+    import pyarrow as pa
+
+    from tracelens.llm.textkit import text_chunks
+
+    for _, _, data, offsets in text_chunks(pa.array([text or "x"])):
+        word, _, tail = brown_lm.tokens(data, offsets)
+    return ([], []) if not text else (word.view(np.int64).tolist(), tail.tolist())
+
+
+def test_scores_by_brute_force(docs, rows, monkeypatch):
+    """Every token's probability from the model's tables, one after the other; most words need the join."""
+    monkeypatch.setattr(brown_lm, "LOOKUP", 30)
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 40)
+    keyed = docs.select("doc_id", "text")
+    train = docs.where("doc_id % 3 <> 0")
+    m = brown_lm.train(train, k=6)
+    known = {r["word"]: (r["c"], r["class"]) for r in m.table.collect()}
+    assert len(m.lookup[0]) < 45 < len(known)
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(keyed, m).collect()}
+    end = known[brown_lm.END][1]
+    for r in rows:
+        words, tails = word_numbers(r[1])
+        words, tails = (words, tails) if words else ([brown_lm.END], [0])
+        before, total = end, 0.0
+        for w, t in zip(words, tails):
+            c, cls = known.get(w, (0, m.endings[t]))
+            emit = (c - brown_lm.DISCOUNT) / m.class_tokens[cls] if c else brown_lm.DISCOUNT * m.class_words[cls] / m.class_tokens[cls]
+            total += math.log10(brown_lm.CLASS_WEIGHT * m.transition[before, cls] * emit + (1 - brown_lm.CLASS_WEIGHT) * (c + 0.1) / m.base_total)
+            before = cls
+        assert got[r[0]] == pytest.approx(total, rel=1e-9), r[0]
+
+
+def test_every_word_has_a_class_of_its_own(docs, rows, monkeypatch):
+    """Words outside the clustered ones: counts, and the class with the largest gain, by plain loops."""
+    tokens = [word_numbers(r[1]) for r in rows]
+    count = Counter(w for ws, _ in tokens for w in ws)
+    top = sorted(w for w, _ in count.most_common(20)) + [brown_lm.END]
+    units = np.unique(np.array(top, np.int64).view(np.uint64))
+    k = 5
+    classes = np.random.default_rng(1).integers(0, k, len(units) + brown_lm.ENDINGS)
+    pairs = np.random.default_rng(2).integers(0, 50, (k, k)).astype(float)
+    unit = {int(w): i for i, w in enumerate(units.view(np.int64))}
+    of = lambda w, t: classes[unit[w]] if w in unit else classes[len(units) + t]
+    gain = {}
+    for ws, ts in tokens:
+        for i, (w, t) in enumerate(zip(ws, ts)):
+            if w in unit:
+                continue
+            left = of(ws[i - 1], ts[i - 1]) if i else classes[unit[brown_lm.END]]
+            right = of(ws[i + 1], ts[i + 1])
+            row = gain.setdefault(w, np.zeros(k))
+            for b in range(k):
+                row[b] += math.log((pairs[b, right] + 0.5) / (pairs[b].sum() + 0.5 * k)) + math.log((pairs[left, b] + 0.5) / (pairs[:, b].sum() + 0.5 * k))
+    got = {r["word"]: r for r in brown_lm.other_words(docs, units, classes, pairs).collect()}
+    assert set(got) == set(gain)
+    for w, row in gain.items():
+        assert got[w]["c"] == count[w] and row[got[w]["class"]] == pytest.approx(row.max())
+
+
 def test_classes_find_structure(spark):
     rng = np.random.default_rng(0)
     sets = [[f"{p}{i}" for i in range(40)] for p in ("a", "b")]
@@ -44,7 +105,7 @@ def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, f"w{i % 7} x{i % 3} y") for i in range(40)], "doc_id long, text string")
     m = brown_lm.train(docs, k=4)
     assert np.allclose(m.transition.sum(axis=1), 1)
-    known = m.counts.collect()
+    known = m.table.collect()
     total = sum((r["c"] + 0.1) / m.base_total for r in known) + 0.1 / m.base_total
     assert total == pytest.approx(1)
 

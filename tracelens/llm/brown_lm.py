@@ -4,16 +4,18 @@ Every word belongs to a class; a token's probability is P(class | class before)
 P(word | class), interpolated with an additively smoothed unigram model.
 
 * Counts of all words come from all training texts, by hash of the word.
-* The ``CLUSTERED`` most frequent words (ties at the border stay out) are clustering
-  units of their own; all other words, seen or not, belong to one of ``ENDINGS`` units by
-  their last two bytes.  So every word has a class and the number of units is fixed.
-* Unit bigrams are counted over all training texts and stay a distributed table.
-  In a round of the exchange algorithm Spark sums them to unit-by-class counts for the
-  current classes (units x 2 classes, a fixed size); then each unit moves to the class
-  with the largest gain of the bigram likelihood.
+* The ``CLUSTERED`` most frequent words (ties at the border stay out) start as units of their
+  own, all others as ``ENDINGS`` units by their last two bytes.  Unit bigrams are counted over
+  all training texts and stay a distributed table.  In a round of the exchange algorithm Spark
+  sums them to unit-by-class counts for the current classes (units x 2 classes, a fixed size);
+  then each unit moves to the class with the largest gain of the bigram likelihood.
+* Then every other word of the training texts, however rare, leaves its unit and moves by the
+  same gain to a class of its own, from the classes of all its neighbours.  These words stay
+  distributed; their counts are small beside those of classes, so the gain is taken to first
+  order.  Endings only serve words that training texts don't have.
 * Words emit by absolute discounting: a class gives what it saves to words unseen in it.
-* Scoring broadcasts counts of the ``LOOKUP`` most frequent words; occurrences of others
-  are joined with the whole count table.
+* Scoring broadcasts counts and classes of the ``LOOKUP`` most frequent words; occurrences of
+  others are joined with the whole table.
 
 Defined results: null texts are empty and consist of the end token; lower-casing covers
 A to Z; repeated rows count as often as they occur; an empty training set gives every
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, SpanHash, discard, fold, release, stash, text_chunks, word_spans
+from .textkit import LOWER, SpanHash, discard, fold, release, stash, text_chunks, trim, word_spans
 
 CLASSES, CLUSTERED, ENDINGS, LOOKUP = 48, 8192, 1024, 1 << 17
 ROUNDS = 8
@@ -211,16 +213,104 @@ def unit_class_counts(bigrams: DataFrame, classes: np.ndarray, k: int) -> tuple[
     return out[0], out[1]
 
 
+def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs: np.ndarray, text: str = "text") -> DataFrame:
+    """word, tail, c, class of all words outside ``words``: each in the class that gains most from its neighbours.
+
+    With b's transitions kept, n tokens more in class b change the likelihood by the sum of
+    log P(class after | b) over the classes after them, and of log P(b | ..) turned round over those before.
+    """
+    k = len(pairs)
+    after = np.log((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * k))  # [b, class after]
+    before = np.log((pairs + 0.5) / (pairs.sum(axis=0, keepdims=True) + 0.5 * k))  # [class before, b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = HashTable(words, np.arange(len(words)))
+        end = classes[table.get(np.array([END], np.uint64), 0)[0]]
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+                word, at, tail = tokens(data, offsets)
+                unit = table.get(word, -1)
+                cls = classes[np.where(unit < 0, len(words) + tail, unit)]
+                mine = np.flatnonzero(unit < 0)  # the end token is never one of them, so each has a word after it
+                place = np.concatenate([_before(cls, at, end)[mine], k + cls[mine + 1]])
+                distinct, number = np.unique(word[mine], return_inverse=True)
+                context, n = np.unique(np.concatenate([number, number]) * (2 * k) + place, return_counts=True)
+                first = np.zeros(len(distinct), np.int64)
+                first[number] = mine
+                own = context // (2 * k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(distinct[own].view(np.int64)), pa.array(tail[first[own]].astype(np.int16)), pa.array((context % (2 * k)).astype(np.int16)), pa.array(n),
+                ], names=["word", "tail", "at", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(rows: pa.Table) -> pa.RecordBatch:
+            word, place, n = (rows.column(c).to_numpy() for c in ("word", "at", "n"))
+            distinct, first, number = np.unique(word, return_index=True, return_inverse=True)
+            counts = np.bincount(number * (2 * k) + place, n, len(distinct) * 2 * k).reshape(-1, 2 * k)
+            best = np.argmax(counts[:, :k] @ before + counts[:, k:] @ after.T, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(rows.column("tail").to_numpy()[first]), pa.array(counts[:, :k].sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "tail", "c", "class"])
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size > 1 << 15:
+                rows = pa.Table.from_batches(held)
+                word = rows.column("word").to_numpy()
+                cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
+                if cut:
+                    yield settle(rows.slice(0, cut))
+                    held = rows.slice(cut).combine_chunks().to_batches()
+                    size = rows.num_rows - cut
+        if held:
+            yield settle(pa.Table.from_batches(held))
+        trim()
+
+    rows = docs.select(text).mapInArrow(run, "word long, tail short, at short, n long")
+    parted = rows.repartition("word").sortWithinPartitions("word")
+    return parted.mapInArrow(choose, "word long, tail short, c long, class int")
+
+
+def class_pairs(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], endings: np.ndarray, k: int, text: str = "text") -> np.ndarray:
+    """How often a class follows another, over all texts; ``known``: words and their classes, others go by ending."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = HashTable(*known), np.zeros(k * k, np.int64)
+        end = table.get(np.array([END], np.uint64), 0)[0]
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+                word, at, tail = tokens(data, offsets)
+                cls = table.get(word, -1)
+                cls = np.where(cls < 0, endings[tail], cls)
+                total += np.bincount(_before(cls, at, end) * k + cls, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(total)], names=["p", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # k * k rows
+    out = np.zeros(k * k)
+    out[rows.column("p").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def _before(cls: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """The class before each token; the end token's before a text."""
+    out = np.empty_like(cls)
+    out[1:] = cls[:-1]
+    out[at[:-1]] = end
+    return out
+
+
 @dataclass
 class Model:
-    """Everything of fixed size; the whole count table stays in ``counts``."""
+    """Arrays of fixed size; all words with count and class stay in ``table`` (word, c, class)."""
 
-    counts: DataFrame
+    table: DataFrame
     total: int
     distinct: int
-    words: np.ndarray  # clustered words
-    classes: np.ndarray  # of clustered words, then of the endings' units
-    lookup: tuple[np.ndarray, np.ndarray]
+    lookup: tuple[np.ndarray, np.ndarray, np.ndarray]  # most frequent words: hash, count, class
+    endings: np.ndarray  # class of unseen words, by ending
     transition: np.ndarray  # P(class | class before)
     class_tokens: np.ndarray
     class_words: np.ndarray
@@ -253,90 +343,112 @@ def train(docs: DataFrame, text: str = "text", k: int = CLASSES, rounds: int = R
     discard(bigrams)
     pairs = np.zeros((k, k))
     np.add.at(pairs, classes, right)
+    rest = stash(other_words(docs, words, classes, pairs, text))
+    release(spark)
+    units = spark.createDataFrame([(int(w), int(c)) for w, c in zip(words.view(np.int64), classes)], "word long, class int")  # CLUSTERED + 1 rows
+    table = stash(rest.select("word", "c", "class").unionByName(counts.join(F.broadcast(units), "word").select("word", "c", "class")))
+    # Endings of unseen words: the class that most rare words of that ending went to.
+    endings = classes[len(words):].copy()
+    votes = rest.groupBy(F.col("tail").cast("int").alias("tail"), "class").count().toArrow()  # ENDINGS x classes rows at most
+    table_of = np.zeros((ENDINGS, k))
+    table_of[votes.column("tail").to_numpy(), votes.column("class").to_numpy()] = votes.column("count").to_numpy()
+    voted = table_of.any(axis=1)
+    endings[voted] = table_of[voted].argmax(axis=1)
+    sizes = table.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()  # one row a class
+    class_tokens, class_words = np.zeros(k), np.zeros(k)
+    for cls, c, n in sizes:
+        class_tokens[cls], class_words[cls] = c, n
+    word, c = most_frequent(counts, LOOKUP)
+    frequent = counts.where(F.col("c") >= int(c.min())) if len(c) else counts.limit(0)
+    found = table.join(frequent.select("word"), "word", "left_semi").toArrow()
+    lookup = tuple(found.column(x).to_numpy() for x in ("word", "c", "class"))
+    lookup = (lookup[0].view(np.uint64), lookup[1], lookup[2].astype(np.int64))
+    if total and not (lookup[0] == np.uint64(END)).any():  # the end token is always known to the tasks
+        end = table.where(F.col("word") == END).first()
+        lookup = tuple(np.append(x, np.array([v], x.dtype)) for x, v in zip(lookup, (END, end["c"], end["class"])))
+    pairs = class_pairs(docs, (lookup[0], lookup[2]), endings, k, text)
     share = pairs.sum(axis=0) / max(1.0, pairs.sum())
     transition = (pairs + TRANSITION_PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + TRANSITION_PRIOR)
-    # Distinct words of each unit: clustered words once, the others by ending.
-    others = _words_by_ending(docs, words, text)
-    class_words = np.bincount(classes, np.concatenate([np.ones(len(words)), others]), k)
-    return Model(counts, int(total), int(distinct), words, classes, most_frequent(counts, LOOKUP), transition, pairs.sum(axis=0), class_words)
-
-
-def _words_by_ending(docs: DataFrame, words: np.ndarray, text: str) -> np.ndarray:
-    """How many distinct words outside ``words`` each ending has."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = HashTable(words, np.zeros(len(words), np.int64))
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
-                word, _, tail = tokens(data, offsets)
-                new = np.flatnonzero(table.get(word, -1) < 0)
-                word, where = np.unique(word[new], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(tail[new[where]].astype(np.int32))], names=["word", "e"])
-
-    rows = docs.select(text).mapInArrow(run, "word long, e int").distinct().groupBy("e").count().collect()  # ENDINGS rows at most
-    out = np.zeros(ENDINGS)
-    for e, n in rows:
-        out[e] = n
-    return out
+    return Model(table, int(total), int(distinct), lookup, endings, transition, class_tokens, class_words)
 
 
 # ---------------------------------------------------------------- scoring
 
-def _logs(count: np.ndarray, pair: np.ndarray, model: Model, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of base and full probability for counts and (class before, class) pairs."""
-    cls = pair % k
+def _logs(count: np.ndarray, before: np.ndarray, cls: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of base and full probability for counts, classes before and classes."""
     base = (count + ADD) / model.base_total
     of_class = np.maximum(model.class_tokens, 1e-9)
     emit = np.where(count > 0, (count - DISCOUNT) / of_class[cls], DISCOUNT * model.class_words[cls] / of_class[cls])
-    return np.log10(base), np.log10(CLASS_WEIGHT * model.transition.ravel()[pair] * emit + (1 - CLASS_WEIGHT) * base)
+    return np.log10(base), np.log10(CLASS_WEIGHT * model.transition[before, cls] * emit + (1 - CLASS_WEIGHT) * base)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens, n_known, base_score and score (log10) of every whole text."""
-    k = len(model.transition)
+    """``keep``, n_tokens, n_known, base_score and score (log10) of every whole text.
+
+    A rare word's token leaves its place, its neighbours' classes and the count of the one
+    after it; joined with the words' table, these give its own probability and that of the
+    token after it.
+    """
     plain = Model(None, *(getattr(model, f) for f in list(Model.__dataclass_fields__)[1:]))  # without the table, for the tasks
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = ("place", "word", "unseen", "before", "after", "after_c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, known = HashTable(plain.words, np.arange(len(plain.words))), HashTable(*plain.lookup)
+        known = HashTable(plain.lookup[0], np.arange(len(plain.lookup[0])))
+        counts, classes = (np.append(x, 0).astype(np.int64) for x in plain.lookup[1:])
+        end = int(classes[known.get(np.array([END], np.uint64), -1)[0]])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(len(keep))):
                 word, at, tail = tokens(data, offsets)
-                unit = units.get(word, -1)
-                cls = plain.classes[np.where(unit < 0, len(plain.words) + tail, unit)]
-                before = np.empty_like(cls)
-                before[1:] = cls[:-1]
-                before[at[:-1]] = cls[at[1] - 1] if len(at) > 1 else 0
-                pair = before * k + cls
-                count = known.get(word, -1)
-                here = count >= 0
-                base, full = _logs(np.maximum(count, 0), pair, plain, k)
-                base, full = np.where(here, base, 0.0), np.where(here, full, 0.0)
+                found = known.get(word, -1)
+                here = (found >= 0) | (word == END)
+                cls, count = classes[found], np.where(found >= 0, counts[found], 0)
+                first = np.zeros(len(word), bool)
+                first[at[:-1]] = True
+                before, sure = _before(cls, at, end), here.copy()
+                sure[1:] &= here[:-1] | first[1:]
+                base, full = _logs(count, before, cls, plain)
+                base, full = np.where(here, base, 0.0), np.where(sure, full, 0.0)
                 text_of = np.repeat(np.arange(j - i), np.diff(at))
-                rare = np.flatnonzero(~here)
+                rare = np.flatnonzero(~here)  # never a text's last token, which is the end token
+                gap = np.zeros(len(word), bool)  # rare after rare
+                gap[1:] = ~here[1:] & ~here[:-1] & ~first[1:]
+                columns = [rare - at[text_of[rare]], word[rare].view(np.int64), plain.endings[tail[rare]], np.where(gap[rare], -1, before[rare]), np.where(here[rare + 1], cls[rare + 1], -1), count[rare + 1]]
+                types = [pa.int32(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(i, j - i) for c in range(len(keep))),
                     pa.array(row + np.arange(j - i)), pa.array(np.diff(at)),
-                    pa.array(np.bincount(text_of, here, j - i).astype(np.int64)), pa.array(np.add.reduceat(base, at[:-1])), pa.array(np.add.reduceat(full, at[:-1])),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.StructArray.from_arrays([pa.array(word[rare].view(np.int64)), pa.array(pair[rare].astype(np.int32))], names=["word", "pair"])),
+                    pa.array(np.bincount(text_of, here & (count > 0), j - i).astype(np.int64)), pa.array(np.add.reduceat(base, at[:-1])), pa.array(np.add.reduceat(full, at[:-1])),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.StructArray.from_arrays([pa.array(np.asarray(c)).cast(t) for c, t in zip(columns, types)], names=list(names))),
                 ], names=[*keep, "row", "n_tokens", "n_known", "base_score", "score", "rare"])
                 row += j - i
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,pair:int>>"
+    rare = "rare array<struct<place:int,word:long,unseen:short,before:short,after:short,after_c:long>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", row long, n_tokens long, n_known long, base_score double, score double, {rare}"
     local = stash(docs.select(*keep, text).mapInArrow(run, schema))
-    rare = local.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.pair")
-    counted = rare.join(model.counts, "word", "left").select("row", "pair", F.coalesce("c", F.lit(0)).alias("c"))
+    each = local.select("row", F.explode("rare").alias("x")).select("row", *(f"x.{n}" for n in names))
+    joined = each.join(model.table, "word", "left").select("row", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", "unseen").cast("int").alias("cls"), "before", "after", "after_c")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(2).to_numpy(zero_copy_only=False)
-            base, full = _logs(c, batch.column(1).to_numpy(zero_copy_only=False), plain, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(full)], names=["row", "k", "b", "s"])
-
-    added = counted.mapInArrow(finish, "row long, k long, b double, s double").groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+            flat = batch.column(1).flatten()
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            text_of = np.repeat(np.arange(batch.num_rows), size)
+            place, c, cls, before, after, after_c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
+            order = np.lexsort((place, text_of))
+            place, c, cls, before, after, after_c = (x[order] for x in (place, c, cls, before, after, after_c))
+            last = np.concatenate([[0], cls[:-1]]) if len(cls) else cls
+            base, own = _logs(c, np.where(before < 0, last, before), cls, plain)
+            then = np.flatnonzero(after >= 0)
+            own[then] += _logs(after_c[then], cls[then], after[then], plain)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.bincount(text_of, x, batch.num_rows)) for x in (c > 0, base, own))], names=["row", "k", "b", "s"])
+
+    lists = joined.groupBy("row").agg(F.collect_list(F.struct("place", "c", "cls", "before", "after", "after_c")).alias("x"))  # a text's own tokens
+    added = lists.mapInArrow(finish, "row long, k double, b double, s double")
     zero = F.lit(0)
     return local.drop("rare").join(added, "row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
+        *keep, "n_tokens", (F.col("n_known") + F.coalesce(F.col("k").cast("long"), zero)).alias("n_known"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
     )
 
