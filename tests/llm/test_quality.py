@@ -341,6 +341,96 @@ def test_templates(spark):
     assert got[3]["rule"] is None and got[3]["purity"] > got[0]["purity"]
 
 
+def brute_templates(rows):
+    """{(host, segments): (template, purity)} of (host, segments, bad or None), by plain loops."""
+    wild = lambda s: s if s == "" else re.sub(r"^.*?(\.[a-z]{2,5})?$", lambda m: "*" + (m.group(1) or ""), s, count=1)
+    shape = {(h, s): () for h, s, _ in rows}
+    pages = Counter((h, s) for h, s, _ in rows)
+    level = 0
+    while True:
+        live, own = Counter(), Counter()
+        for (h, s), n in pages.items():
+            if len(s) > level and len(shape[h, s]) == level:
+                live[h, shape[h, s]] += n
+                own[h, shape[h, s], s[level]] += n
+        live = {k: n for k, n in live.items() if n >= U.LITERAL_PAGES}
+        if not live:
+            break
+        for h, s in pages:
+            t = shape[h, s]
+            if len(s) > level and len(t) == level and (h, t) in live:
+                n = own[h, t, s[level]]
+                shape[h, s] = (*t, s[level] if s[level] == "" or n >= max(U.LITERAL_PAGES, U.LITERAL_SHARE * live[h, t]) else wild(s[level]))
+        level += 1
+    for h, s in pages:
+        shape[h, s] += tuple(wild(x) for x in s[len(shape[h, s]):])
+    name = {(h, shape[h, s]): shape[h, s] for h, s in pages}
+    figures = {}
+    for h, s, bad in rows:
+        x = figures.setdefault((h, shape[h, s]), [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + (bad is not None), x[1] + (bad or 0), x[2] + 1
+    for level in range(level - 1, -1, -1):
+        groups = {}
+        for (h, t), x in figures.items():
+            if len(t) > level:
+                groups.setdefault((h, t[:level]), {}).setdefault(t[level], []).append(("/".join(name[h, t][level + 1:]), x))
+        for (h, above), branches in groups.items():
+            every = sorted({b for v in branches.values() for b, _ in v})
+            below = {k: np.array([sum(x[2] for b, x in v if b == e) for e in every]) for k, v in branches.items()}
+            label = {k: np.array([sum(x[1] for _, x in v) + 1.0, sum(x[0] - x[1] for _, x in v) + 9.0]) for k, v in branches.items()}
+            joined = []
+            for b in sorted(branches, key=lambda b: (-below[b].sum(), b)):
+                for g in joined:
+                    if U.alike(below[g[0]], below[b]) and U.alike(label[g[0]], label[b]):
+                        g.append(b)
+                        break
+                else:
+                    joined.append([b])
+            for g in joined:
+                for h2, t in figures:
+                    if h2 == h and len(t) > level and t[:level] == above and t[level] in g:
+                        name[h, t] = (*name[h, t][:level], "|".join(sorted(g)), *name[h, t][level + 1:])
+    sums = {}
+    for (h, t), x in figures.items():
+        for d in range(len(t) + 1):
+            y = sums.setdefault((h, name[h, t][:d]), [0, 0])
+            y[0], y[1] = y[0] + x[0], y[1] + x[1]
+    out = {}
+    for h, s in pages:
+        t, p = name[h, shape[h, s]], 0.1
+        for d in range(len(t) + 1):
+            n, bad = sums[h, t[:d]]
+            p = (bad + 5 * (p + 0.1)) / (n + 10)
+        out[h, s] = ("/" + "/".join(t), p)
+    return out
+
+
+def test_templates_by_brute_force(spark):
+    """Deep paths, many branches, branches that are alike, few and many labels."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for h in ("a.io", "b.io"):
+        for _ in range(250):
+            first = str(rng.choice(["en", "de", "fr", "shop", "x" + str(rng.integers(99))]))
+            s = [first, *(str(rng.choice(["p", "q", "r.html"])) for _ in range(rng.integers(0, 5)))]
+            s += ["deep"] * int(rng.integers(0, 2) * 9)
+            s[-1:] = [s[-1], f"k{rng.integers(400)}.html"][: rng.integers(1, 3)]
+            bad = None if rng.random() < 0.6 else int(first in ("shop", "fr") or rng.random() < 0.05)
+            rows.append((h, tuple(s), bad))
+    got = U.templates(spark.createDataFrame([(h, list(s), b) for h, s, b in rows], "host string, segments array<string>, bad int")).collect()
+    want = brute_templates(rows)
+    assert len(got) == len(want)
+    for r in got:
+        template, purity = want[r["host"], tuple(r["segments"])]
+        assert r["template"] == template and r["purity"] == pytest.approx(purity)
+    assert {t for t, p in want.values() if p >= U.LIMIT} and any("|" in t for t, _ in want.values())
+
+
+def test_alike():
+    assert U.alike(np.array([50, 50]), np.array([9, 11])) and not U.alike(np.array([50, 50]), np.array([90, 10]))
+    assert U.alike(np.array([5, 0]), np.array([0, 0])) and U.alike(np.array([5]), np.array([7]))
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark, tmp_path, data):

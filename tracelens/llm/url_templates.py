@@ -1,37 +1,43 @@
 """URL filters: rules first, then a tree of path templates for each host.
 
-Paths are cut into segments.  Typed segments (numbers, long hexadecimal strings) become
-wildcards at once.  Then level by level, each node (host and template so far) keeps those
-segments as literals that hold a fair share of its pages, and turns the others into ``*``,
-so a node has a bounded number of branches.  From the deepest level up, branches of a
-node whose pages are distributed alike, over the templates below them and over labels,
-are merged.  A template's purity is its share of bad labels among its labelled pages,
-smoothed by a prior; pages of templates above the limit are blocked.
+Paths are cut into segments, however many.  Typed segments (numbers, long hexadecimal
+strings) become wildcards at once.  Then level by level, each node (host and template so far)
+keeps those segments as literals that hold a fair share of its pages, and turns the others
+into ``*``, so a node has a bounded number of branches.  A node with too few pages for any
+literal has wildcards only below it, so levels end where no node has more.
+
+From the deepest level up, branches of a node are merged where a chi-square test finds no
+difference between their pages' distributions over the templates below them, nor between
+the labels of their labelled pages, to which ``PRIOR_PAGES`` pages of the prior are added.  A
+template's purity is its share of bad labels among its labelled pages, smoothed: each level
+adds ``PRIOR_PAGES`` pages of a purity halfway between the one above and the prior, so a
+template with few labels leans towards its branch, and a host without any has the prior.
+Pages of templates at or above the limit are blocked.
 
 Labels come with the pages; the registered query takes the rules' verdicts for labels, as
 the corpus has no others for pages.  Counts are partial aggregates and lookups are
 equi-joins, so a host with a third of all pages needs no task of its own.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no
-rule; query and fragment never count; segments below ``DEPTH`` are taken together as one.
+rule; query and fragment never count; repeated URLs count as often as they occur.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import stash
 
-DEPTH = 6
 #: Share and number of a node's pages that make a segment a literal.
 LITERAL_SHARE, LITERAL_PAGES = 0.02, 3
-#: Total variation distance up to which branches are merged, besides what chance explains.
-MERGE_DISTANCE = 0.1
-#: Bad share that a template without labels has, in how many pages' worth, and the limit.
+#: Standard normal quantile up to which the test finds no difference (1 % of like branches stay apart).
+ALIKE = 2.326
+#: Bad share of a host without labels, how many pages of the purity above a level adds, and the limit.
 PRIOR, PRIOR_PAGES, LIMIT = 0.1, 10.0, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,61 +63,95 @@ def rule_verdict(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def typed_segments(path: Column) -> Column:
-    """Segments of a path; numbers are ``{n}``, long hexadecimal strings ``{h}``; what follows DEPTH is one segment."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH)
+    """Segments of a path; numbers are ``{n}``, long hexadecimal strings ``{h}``."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
     return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{h}"), r"[0-9]+", "{n}"))
 
 
+def _wild(segment: Column) -> Column:
+    """``*``, with a file name's suffix."""
+    return F.regexp_replace(segment, r"^.*?(\.[a-z]{2,5})?$", "*$1")
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("labelled", "bad", "pages")]
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """host, segments (typed), template, labelled, bad, pages for every distinct (host, segments).
+    """host, segments (typed), template, purity and template_pages for every distinct (host, segments).
 
     ``urls``: host, segments, bad (1, 0 or null for no label).
     """
     label = [F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad"), F.count(F.lit(1)).alias("pages")]
     tree = stash(urls.groupBy("host", "segments").agg(*label).withColumn("t", F.array().cast("array<string>")))
-    for level in range(DEPTH):
-        here = tree.withColumn("s", F.get("segments", F.lit(level)))
-        nodes = here.where("s is not null").groupBy("host", "t").agg(F.sum("pages").alias("all"))
-        share = here.where("s is not null").groupBy("host", "t", "s").agg(F.sum("pages").alias("own")).join(nodes, ["host", "t"])
+    level = 0
+    while True:
+        # Only nodes that have pages enough for a literal are looked into.
+        nodes = tree.where((F.size("segments") > level) & (F.size("t") == level)).groupBy("host", "t").agg(F.sum("pages").alias("all")).where(F.col("all") >= LITERAL_PAGES)
+        nodes = stash(nodes)
+        if nodes.isEmpty():
+            break
+        here = tree.join(nodes, ["host", "t"], "left").withColumn("s", F.when(F.col("all").isNotNull() & (F.size("segments") > level), F.get("segments", F.lit(level))))
+        share = here.where("s is not null").groupBy("host", "t", "s").agg(F.sum("pages").alias("own"), F.max("all").alias("all"))
         literal = share.where((F.col("own") >= LITERAL_SHARE * F.col("all")) & (F.col("own") >= LITERAL_PAGES)).select("host", "t", "s", F.lit(True).alias("literal"))
-        shown = F.when(F.col("literal") | (F.col("s") == ""), F.col("s")).otherwise(F.regexp_replace("s", r"^.*?(\.[a-z]{2,5})?$", "*$1"))
-        tree = here.join(literal, ["host", "t", "s"], "left").withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat("t", F.array(shown)))).drop("s", "literal")
-        if level % 3 == 2:
-            tree = stash(tree)
-    # From the deepest level up: rename branches that are alike to one name.
-    names = tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"))
-    names = stash(names.withColumn("shape", F.col("t")))
-    for level in range(DEPTH - 1, -1, -1):
-        deep = names.where(F.size("t") > level)
-        if deep.isEmpty():
-            continue
+        shown = F.when(F.col("literal") | (F.col("s") == ""), F.col("s")).otherwise(_wild(F.col("s")))
+        tree = stash(here.join(literal, ["host", "t", "s"], "left").withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat("t", F.array(shown)))).drop("s", "literal", "all"))
+        level += 1
+    # Below the last node with pages enough: wildcards, all at once.
+    below = F.transform(F.slice("segments", F.size("t") + 1, F.greatest(F.size("segments") - F.size("t"), F.lit(0))), lambda x: F.when(x == "", x).otherwise(_wild(x)))
+    tree = tree.withColumn("t", F.concat("t", below))
+    # From the deepest level up: rename branches that are alike to one name.  Levels without nodes of several branches need no look.
+    names = stash(tree.groupBy("host", "t").agg(*_sums()).withColumn("shape", F.col("t")))
+    for level in range(level - 1, -1, -1):
         above, branch = F.slice("t", F.lit(1), F.lit(level)), F.get("t", F.lit(level))
-        below = F.array_join(F.slice("shape", F.lit(level + 2), F.lit(DEPTH)), "/")
-        rows = deep.groupBy("host", above.alias("above"), branch.alias("branch"), below.alias("below")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"))
+        rest = F.array_join(F.slice("shape", F.lit(level + 2), F.greatest(F.size("shape") - level - 1, F.lit(0))), "/")
+        rows = names.where(F.size("t") > level).groupBy("host", above.alias("above"), branch.alias("branch"), rest.alias("below")).agg(*_sums())
         merged = rows.groupBy("host", "above").applyInPandas(merge_branches, "host string, above array<string>, branch string, name string")
         names = names.withColumn("above", F.when(F.size("t") > level, above)).withColumn("branch", F.when(F.size("t") > level, branch)).join(merged, ["host", "above", "branch"], "left")
-        renamed = F.concat(F.slice("shape", F.lit(1), F.lit(level)), F.array("name"), F.slice("shape", F.lit(level + 2), F.lit(DEPTH)))
+        renamed = F.concat(F.slice("shape", F.lit(1), F.lit(level)), F.array("name"), F.slice("shape", F.lit(level + 2), F.greatest(F.size("shape") - level - 1, F.lit(0))))
         names = stash(names.withColumn("shape", F.when(F.col("name").isNotNull(), renamed).otherwise(F.col("shape"))).drop("above", "branch", "name"))
-    whole = names.groupBy("host", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"))
-    purity = whole.select("host", "shape", ((F.col("bad") + PRIOR * PRIOR_PAGES) / (F.col("labelled") + PRIOR_PAGES)).alias("purity"), F.col("pages").alias("template_pages"))
+    purity = purities(names.groupBy("host", "shape").agg(*_sums()))
     shapes = names.select("host", "t", "shape").join(purity, ["host", "shape"])
     return tree.select("host", "segments", "t").join(shapes, ["host", "t"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("shape", "/")).alias("template"), "purity", "template_pages")
 
 
+def purities(whole: DataFrame) -> DataFrame:
+    """host, shape, purity, template_pages of templates (host, shape, labelled, bad, pages).
+
+    Purity is worked out from the host down along each template: at every level the branch's
+    labelled pages, and PRIOR_PAGES pages halfway between the purity above and the prior.
+    """
+    depth = F.explode(F.sequence(F.lit(0), F.size("shape"))).alias("d")
+    marked = whole.where("labelled > 0")  # the others change no purity
+    nodes = marked.select("host", "shape", "labelled", "bad", depth).groupBy("host", F.slice("shape", F.lit(1), F.col("d")).alias("node")).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    path = whole.select("host", "shape", "pages", depth).withColumn("node", F.slice("shape", F.lit(1), F.col("d"))).join(nodes, ["host", "node"], "left")
+    steps = path.groupBy("host", "shape").agg(F.max("pages").alias("template_pages"), F.array_sort(F.collect_list(F.struct("d", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("b", F.lit(0)).alias("b")))).alias("x"))
+    purity = F.aggregate("x", F.lit(PRIOR), lambda p, x: (x["b"] + (p + PRIOR) / 2 * PRIOR_PAGES) / (x["l"] + PRIOR_PAGES))
+    return steps.select("host", "shape", purity.alias("purity"), "template_pages")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a chi-square test of homogeneity finds no difference between two rows of counts; one without counts is like any."""
+    a, b = a.astype(float), b.astype(float)
+    a, b = a[a + b > 0], b[a + b > 0]
+    df = len(a) - 1
+    if df < 1 or not a.sum() or not b.sum():
+        return True
+    ratio = (b.sum() / a.sum()) ** 0.5
+    value = float(((ratio * a - b / ratio) ** 2 / (a + b)).sum())
+    return value <= df * (1 - 2 / (9 * df) + ALIKE * (2 / (9 * df)) ** 0.5) ** 3  # Wilson and Hilferty's quantile
+
+
 def merge_branches(rows: pd.DataFrame) -> pd.DataFrame:
     """Names for the branches of one node (a bounded number): a branch joins the first larger one that it is like."""
-    rows = rows.assign(good=rows.labelled - rows.bad, none=rows.pages - rows.labelled)
+    rows = rows.assign(good=rows.labelled - rows.bad)
     below = rows.pivot_table(index="branch", columns="below", values="pages", aggfunc="sum", fill_value=0)
-    label = rows.groupby("branch")[["bad", "good", "none"]].sum().loc[below.index]
+    label = rows.groupby("branch")[["bad", "good"]].sum().loc[below.index] + np.array([PRIOR, 1 - PRIOR]) * PRIOR_PAGES
     total = below.sum(axis=1)
-    order = sorted(below.index, key=lambda b: (-total[b], b))
     groups: list[list[str]] = []
-    for b in order:
+    for b in sorted(below.index, key=lambda b: (-total[b], b)):
         for g in groups:
-            a = g[0]
-            chance = 0.5 * (len(below.columns) / total[a]) ** 0.5 + 0.5 * (len(below.columns) / total[b]) ** 0.5
-            apart = [0.5 * (table.loc[a] / total[a] - table.loc[b] / total[b]).abs().sum() for table in (below, label)]
-            if apart[0] <= MERGE_DISTANCE + min(chance, 0.3) and apart[1] <= MERGE_DISTANCE + min(chance, 0.3):
+            if all(alike(table.loc[g[0]].to_numpy(), table.loc[b].to_numpy()) for table in (below, label)):
                 g.append(b)
                 break
         else:
