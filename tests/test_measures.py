@@ -85,3 +85,75 @@ def test_basis(spark):
     assert M.all_measures(m, ["log"], COLUMNS[:12], pop, "trace").first()["number_of_distinct_traces"] == 2
     with pytest.raises(ValueError):
         M.all_measures(m, ["log"], COLUMNS[:12], None, "distribution")
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_of_many_activities(spark):
+    """More activities than a byte can tell apart, and code points beyond the surrogates."""
+    names = [f"a{i:05d}" for i in range(300)]
+    traces = [names, names[:1], names[256:257], [], names[3:7] + names[250:260]]
+    rows = [(1, i, t, len(t)) for i, t in enumerate(traces)]
+    kinds = L.variants(spark.createDataFrame(rows, "window_id long, pos long, acts array<string>, len int"))
+    got = M.average_edit_distance(kinds).first()["average_edit_distance"]
+    pairs = [(a, b) for i, a in enumerate(traces) for b in traces[:i]]
+    assert got == pytest.approx(sum(brute_distance(a, b) for a, b in pairs) / len(pairs))
+
+
+def test_letters_skip_surrogates(spark):
+    many = [f"{i:06d}" for i in range(0xE100)]
+    kinds = spark.createDataFrame([(many,)], "acts array<string>")
+    code = M.encode_variants(kinds).first()["code"]
+    assert len(code) == len(many) == len(set(code))
+
+
+def test_log_gamma(spark):
+    import math
+
+    from tracelens.functions.special import log_gamma
+
+    xs = [1e-3, 0.5, 1.0, 2.0, 3.5, 9.99, 10.0, 57.0, 1e4, 3e9]
+    got = [r["g"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(log_gamma(F.col("x")).alias("g")).collect()]
+    assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-13, abs=1e-12)
+
+
+def brute_entropy(traces):
+    """Partitions of a prefix tree in window order, by plain loops: (sequence entropy, variant entropy, partitions, states)."""
+    import math
+    from collections import Counter
+
+    part, events, first = {}, Counter(), {}
+    for t in traces:
+        for k in range(1, len(t) + 1):
+            node = tuple(t[:k])
+            events[node] += 1
+            if node not in part:
+                up = node[:-1]
+                part[node] = part[up] if up and up not in first else node
+                first.setdefault(up, node)
+    s, m = Counter(part.values()), Counter()
+    for node, n in events.items():
+        m[part[node]] += n
+    x = lambda c: sum(c.values()) * math.log(sum(c.values())) - sum(v * math.log(v) for v in c.values())
+    return x(m), x(s), len(s), len(part)
+
+
+def test_prefix_entropy_by_brute_force(spark):
+    import random
+
+    from tracelens.operators.sequence import prefix_entropy
+
+    rng = random.Random(5)
+    logs = {f"l{i}": ["".join(rng.choice("ABC") for _ in range(rng.randrange(0, 7))) for _ in range(30)] for i in range(6)} | {"long": ["AB" * 200, "AB" * 150 + "C"]}
+    got = {r["log"]: r for r in prefix_entropy(L.variants(members(spark, logs), ["log"]), ["log"]).collect()}
+    for g, ts in logs.items():
+        r = got[g]
+        assert (r["sequence_entropy"], r["variant_entropy"], r["number_of_partitions"], r["number_of_states"]) == pytest.approx(brute_entropy(ts))

@@ -206,3 +206,26 @@ def test_ones_own_steps(spark):
     got = {r["metric"]: r for r in jobs.measure_samples(log, scenario, ["log"]).collect()}
     assert {k: r["value"] for k, r in got.items()} == {"number_of_distinct_traces": 7, "number_of_events": 5, "longest": 10}
     assert got["longest"]["boot_ci_low"] == 10
+
+
+def test_samples_without_repeats_fall_back(spark, monkeypatch):
+    """Samples that find too few draws below the bound are ranked whole."""
+    from tracelens.operators import sampling as P
+
+    rows = spark.range(60).select(F.col("id").alias("trace_index"))
+    want = {(r["sample_no"], r["sample_size"], r["pos"]): r["trace_index"] for r in P._least_draws(P._grid(spark, [5, 60], 4), 60, 3).collect()}
+    assert len(want) == 4 * 65
+    full = P._least_draws
+    monkeypatch.setattr(P, "draw", lambda *a: P.F.lit((1 << 32) - 1).cast("long"))  # nothing is below the bound of the small samples
+    got = {(r["sample_no"], r["sample_size"], r["pos"]): r["trace_index"] for r in full(P._grid(spark, [5], 2), 60, 3).collect()}
+    assert got == {(k, 5, i): i for k in range(2) for i in range(5)}
+
+
+def test_missing_window_at_a_drift_is_an_error(spark):
+    from tracelens.operators import tables as T
+
+    windows = spark.createDataFrame([("d", None, 0, 5.0), ("d", 0, None, 7.0)], "dataset string, start_cp long, end_cp long, m double")
+    drift = spark.createDataFrame([("d", 0, "sudden")], "dataset string, change_id long, change_type string")
+    assert [r["delta"] for r in T.drift_deltas(windows, drift, ["m"]).collect()] == [2.0]
+    with pytest.raises(Exception, match="no window beside change 1 of d"):
+        T.drift_deltas(windows, drift.unionByName(spark.createDataFrame([("d", 1, "sudden")], drift.schema)), ["m"]).collect()

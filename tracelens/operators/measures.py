@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .eventlog import edge_counts, pairs, variants
 
@@ -80,14 +81,27 @@ def average_affinity(kinds: DataFrame, keys: Sequence[str] = ("window_id",)) ->
     return out.select(*keys, F.when(F.col("t") > 1, (F.col("same") + F.coalesce("cross", F.lit(0.0))) / (F.col("t") * (F.col("t") - 1))).alias("average_affinity"))
 
 
+#: Characters that can stand for an activity: all code points from "0" on but surrogates.
+LETTERS = 0x110000 - 0x30 - 0x800
+
+
 def encode_variants(kinds: DataFrame) -> DataFrame:
     """acts, code: each activity as one character, so that text distance is activity distance.
 
-    There are few activities, so their dictionary is one broadcast row.
+    Distinct activities are numbered by one ordered window, at most ``LETTERS`` of them; more
+    raise.  They meet the variants by an equi-join.
     """
-    letters = kinds.select(F.explode("acts").alias("x")).agg(F.array_sort(F.collect_set("x")).alias("letters"))
-    code = F.array_join(F.transform("acts", lambda a: F.char(F.array_position("letters", a) + 47)), "")
-    return kinds.select("acts").distinct().join(F.broadcast(letters)).select("acts", code.alias("code"))
+    known_by = [F.xxhash64("acts").alias("h1"), F.xxhash64(F.lit(1), F.col("acts")).alias("h2")]
+    variants_ = kinds.select("acts").distinct().select("acts", *known_by)
+    each = variants_.select("h1", "h2", F.posexplode_outer("acts").alias("i", "x"))
+    number = F.row_number().over(Window.orderBy("x")) + 0x2F
+    point = F.when(number < 0xD800, number).otherwise(number + 0x800)
+    letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    known = F.when(number < 0x2F + LETTERS, letter).otherwise(F.raise_error(F.lit(f"more than {LETTERS} activities")))
+    letters = each.select("x").where("x is not null").distinct().select("x", known.alias("c"))
+    placed = F.array_sort(F.collect_list(F.struct("i", F.coalesce("c", F.lit("!")).alias("c"))))
+    coded = each.join(letters, "x", "left").groupBy("h1", "h2").agg(placed.alias("r"))
+    return variants_.join(coded, ["h1", "h2"]).select("acts", F.when(F.size("acts") > 0, F.array_join(F.transform("r", lambda r: r["c"]), "")).otherwise(F.lit("")).alias("code"))
 
 
 def average_edit_distance(kinds: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:

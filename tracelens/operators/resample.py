@@ -29,7 +29,7 @@ def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], s
     """Multinomial draws from each group's estimated community; unseen species are ``unseen:k``.
 
     The community becomes half-open intervals of [0, 1); a draw is a uniform number, and the
-    interval that holds it is found by an ordered merge of draws and bounds within a group.
+    interval that holds it is found by an ordered merge of draws and bounds within a replicate of a group.
     """
     keys = list(keys)
     seen = bootstrap_community(counts, keys)
@@ -41,9 +41,11 @@ def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], s
     draws = whole.groupBy(*keys).agg(F.max("total").alias("total"), F.sum("p").alias("all"))
     draws = draws.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
     draws = draws.withColumn("low", draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("slot")) / F.lit(float(1 << 32)) * F.col("all"))
-    both = bounds.select(*keys, "low", "species", F.lit(None).cast("int").alias("replicate")).unionByName(draws.select(*keys, "low", F.lit(None).cast("string").alias("species"), "replicate"))
-    last = Window.partitionBy(*keys).orderBy("low", F.col("replicate").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("species", F.last("species", ignorenulls=True).over(last)).where(F.col("replicate").isNotNull())
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    both = bounds.select(*keys, each, "low", "species").unionByName(draws.select(*keys, "replicate", "low", F.lit(None).cast("string").alias("species")))
+    drawn = F.col("species").isNull()
+    last = Window.partitionBy(*keys, "replicate").orderBy("low", drawn).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_drawn", drawn).withColumn("species", F.last("species", ignorenulls=True).over(last)).where("_drawn")
     return placed.groupBy(*keys, "replicate", "species").agg(F.count(F.lit(1)).alias("n"))
 
 

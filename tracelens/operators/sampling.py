@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scratch import materialize
 from .windows import _count
 
 
@@ -53,12 +54,7 @@ def sample_random(rows: DataFrame, sizes: Sequence[int], samples: int, policy: s
     if n and samples > 0 and sizes and (max(sizes) > n if policy == "within_only" else samples * sum(sizes) > n):
         raise ValueError("not enough traces to sample without replacement")
     if policy == "within_only":
-        # The size-th smallest draw of a sample, found by rank within the sample.
-        ranked = grid.withColumn("trace_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))))
-        ranked = ranked.withColumn("d", draw(seed, F.col("sample_no"), F.col("sample_size"), F.col("trace_index")))
-        order = Window.partitionBy("sample_no", "sample_size").orderBy("d", "trace_index")
-        places = ranked.withColumn("pos", F.row_number().over(order).cast("long") - 1).where(F.col("pos") < F.col("sample_size"))
-        return _with_traces(places, rows)
+        return _with_traces(_least_draws(grid, n, seed), rows)
     from .eventlog import index_traces
 
     mixed = rows.select("trace_index", draw(seed, F.col("trace_index")).alias("start_ts"), F.col("trace_index").alias("case_id"))
@@ -74,6 +70,29 @@ def sample_random(rows: DataFrame, sizes: Sequence[int], samples: int, policy: s
     return _with_traces(cuts.join(mixed, "place").withColumnRenamed("own", "trace_index"), rows)
 
 
+def _least_draws(grid: DataFrame, n: int, seed: int) -> DataFrame:
+    """Of each sample the traces with its sample_size least draws, and their rank (pos).
+
+    Draws are uniform, so all but a few samples have enough of them below a bound a little (six
+    standard deviations) above the share wanted; only those are ranked.  Samples that have not
+    are ranked whole.
+    """
+    def ranked(some: DataFrame, bound: Column | None) -> DataFrame:
+        every = some.withColumn("trace_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))))
+        every = every.withColumn("d", draw(seed, F.col("sample_no"), F.col("sample_size"), F.col("trace_index")))
+        every = every if bound is None else every.where(F.col("d") < bound)
+        order = Window.partitionBy("sample_no", "sample_size").orderBy("d", "trace_index")
+        return every.withColumn("pos", F.row_number().over(order).cast("long") - 1).where(F.col("pos") < F.col("sample_size")).drop("d")
+
+    size = F.col("sample_size").cast("double")
+    places = materialize(ranked(grid, (size + 6 * F.sqrt(size) + 20) / max(n, 1) * float(1 << 32)))
+    full = places.groupBy("sample_no", "sample_size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("sample_size"))
+    short = grid.join(full, ["sample_no", "sample_size"], "left_anti")
+    if short.isEmpty():
+        return places
+    return places.join(full.drop("_n"), ["sample_no", "sample_size"], "left_semi").unionByName(ranked(short, None))
+
+
 def sample_consecutive(rows: DataFrame, sizes: Sequence[int], samples: int, seed: int = 123) -> DataFrame:
     """Blocks of consecutive traces from random starts; blocks may overlap."""
     sizes, n = _sizes(sizes), _count(rows)

@@ -47,20 +47,23 @@ def prefix_entropy(kinds: DataFrame, keys: Sequence[str] = ("window_id",)) -> Da
     normalized value divides by N ln N.
     """
     keys = list(keys)
-    depth = F.explode(F.sequence(F.lit(1), F.size("acts")))
-    steps = kinds.where(F.size("acts") > 0).select(*keys, "acts", "n", "first_pos", depth.alias("depth"))
-    node = F.slice("acts", F.lit(1), F.col("depth"))
-    nodes = steps.select(*keys, node.alias("node"), "n", "first_pos").groupBy(*keys, "node").agg(F.sum("n").alias("events"), F.min("first_pos").alias("seen"))
-    parent = F.slice("node", F.lit(1), F.size("node") - 1)
-    nodes = nodes.withColumn("parent", parent)
+    # A node is known by two chained 64-bit hashes of the activities down to it, a variant by its last node.
+    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b"))
+    below = lambda up, x: F.struct(F.xxhash64(up["a"], x).alias("a"), F.xxhash64(x, up["b"]).alias("b"))
+    chain = F.aggregate("acts", F.array(start), lambda path, x: F.concat(path, F.array(below(F.element_at(path, -1), x))))
+    paths = kinds.where(F.size("acts") > 0).select(*keys, "n", "first_pos", chain.alias("path")).withColumn("variant", F.element_at("path", -1))
+    steps = paths.select(*keys, "n", "first_pos", "variant", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("parent"), F.slice("path", F.lit(2), F.size("path")).alias("node"))).alias("depth", "x"))
+    steps = steps.select(*keys, "n", "first_pos", "variant", "depth", "x.parent", "x.node")
+    nodes = steps.groupBy(*keys, "node").agg(F.sum("n").alias("events"), F.min("first_pos").alias("seen"), F.min("depth").alias("level"), F.min("parent").alias("parent"))
     # Siblings are as many as activities, so this window has small groups.
-    order = Window.partitionBy(*keys, "parent").orderBy("seen", "node")
-    nodes = nodes.withColumn("head", (F.size("node") == 1) | (F.row_number().over(order) > 1))
-    # A node's partition is its nearest head at or above it: look it up along one path through each node.
-    heads = nodes.where("head").select(*keys, F.col("node").alias("prefix"))
-    up = nodes.select(*keys, "node", "events", F.explode(F.sequence(F.lit(1), F.size("node"))).alias("d")).withColumn("prefix", F.slice("node", F.lit(1), F.col("d")))
-    owner = up.join(heads, [*keys, "prefix"]).groupBy(*keys, "node").agg(F.max(F.struct("d", "prefix")).alias("h"), F.max("events").alias("events"))
-    parts = owner.groupBy(*keys, F.col("h.prefix").alias("head")).agg(F.count(F.lit(1)).cast("double").alias("s"), F.sum("events").cast("double").alias("m"))
+    order = Window.partitionBy(*keys, "parent").orderBy("seen")
+    nodes = nodes.withColumn("head", (F.col("level") == 0) | (F.row_number().over(order) > 1))
+    # A node's partition is the nearest head at or above it, the last one along any variant through it.
+    along = Window.partitionBy(*keys, "variant").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.select(*keys, "variant", "depth", "node").join(nodes.select(*keys, "node", "events", "head"), [*keys, "node"])
+    placed = placed.withColumn("part", F.last(F.when(F.col("head"), F.col("node")), ignorenulls=True).over(along))
+    owner = placed.groupBy(*keys, "node").agg(F.min("part").alias("part"), F.max("events").alias("events"))
+    parts = owner.groupBy(*keys, "part").agg(F.count(F.lit(1)).cast("double").alias("s"), F.sum("events").cast("double").alias("m"))
     log = lambda c: F.col(c) * F.ln(c)
     total = parts.groupBy(*keys).agg(F.sum("s").alias("S"), F.sum("m").alias("M"), F.sum(log("s")).alias("ls"), F.sum(log("m")).alias("lm"), F.count(F.lit(1)).cast("double").alias("K"))
     whole_s, whole_m = log("S"), log("M")

@@ -105,13 +105,17 @@ def drift_deltas(windows: DataFrame, drift: DataFrame, columns: Sequence[str]) -
 
     sudden: the window that starts at the drift less the one that ends there.  gradual: before
     to during, during to after and before to after, with the gradual end as the next change.
+    A drift without its windows is an error.
     """
     ends = windows.select("dataset", F.col("end_cp").alias("e"), F.struct(*columns).alias("before"))
     starts = windows.select("dataset", F.col("start_cp").alias("s"), F.struct(*columns).alias("after"))
 
     def step(kind: str, label: str, end_shift: int, start_shift: int) -> DataFrame:
         d = drift.where(F.col("change_type") == kind).select("dataset", "change_id", F.lit(label).alias("change"), (F.col("change_id") + end_shift).alias("e"), (F.col("change_id") + start_shift).alias("s"))
-        return d.join(ends, ["dataset", "e"]).join(starts, ["dataset", "s"])
+        both = d.join(ends, ["dataset", "e"], "left").join(starts, ["dataset", "s"], "left")
+        lost = F.concat(F.lit("no window beside change "), F.col("change_id").cast("string"), F.lit(" of "), F.col("dataset"))
+        found = lambda c: F.when(F.col(c).isNull(), F.raise_error(lost)).otherwise(F.col(c)).alias(c)
+        return both.select("dataset", "change_id", "change", found("before"), found("after"))
 
     parts = [step("sudden", "sudden", 0, 0), step("gradual_start", "gradual_before_during", 0, 0), step("gradual_start", "gradual_during_after", 1, 1), step("gradual_start", "gradual_before_after", 0, 1)]
     rows = parts[0]

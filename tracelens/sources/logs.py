@@ -32,10 +32,10 @@ def read_xes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_csv_log(spark: SparkSession, path: str | list[str], case: str, activity: str, ts: str, resource: str | None = None, sep: str = ",", ts_format: str | None = None) -> DataFrame:
-    """Events of CSV files (plain or gzip) under the usual names; timestamps are UTC."""
+    """Events of CSV files (plain or gzip) under the usual names; timestamps are UTC, o0 keeps the order in a file."""
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     when = F.to_timestamp(F.col(f"`{ts}`"), ts_format) if ts_format else F.to_timestamp(F.col(f"`{ts}`"))
-    names = [F.col(f"`{case}`").alias("case_id"), F.col(f"`{activity}`").alias("activity"), when.alias("ts")]
+    names = [F.col(f"`{case}`").alias("case_id"), F.col(f"`{activity}`").alias("activity"), when.alias("ts"), F.monotonically_increasing_id().alias("o0")]
     return raw.select(*names, *([F.col(f"`{resource}`").alias("resource")] if resource else []))
 
 
