@@ -133,8 +133,8 @@ def delta_aggregates(deltas: DataFrame) -> DataFrame:
 
 
 def number_text(c: Column) -> Column:
-    """Two decimals, or scientific notation from a thousand on."""
-    return F.when(F.abs(c) >= 1000, F.format_string("%.2e", c)).otherwise(F.format_string("%.2f", c))
+    """Two decimals, or scientific notation from a thousand on; null for null."""
+    return F.when(F.abs(c) >= 1000, F.format_string("%.2e", c)).when(c.isNotNull(), F.format_string("%.2f", c))
 
 
 CHANGE_ORDER = ["sudden", "gradual_before_during", "gradual_during_after", "gradual_before_after"]

@@ -21,7 +21,9 @@ from ..operators import stats as A
 from ..operators import tables as T
 from ..operators import windows as W
 from ..operators.metrics import COLUMNS, metric_table
+from ..functions.scratch import folder
 from ..operators.sequence import lempel_ziv, prefix_entropy
+from ..sources import logs, results
 from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,9 +97,53 @@ bm as (select bas.window_id, number_of_events, number_of_traces, coalesce(v, 0)
 
 # ---------------------------------------------------------------- event log operators
 
-@query(f"""with {EV} select trace_index, case_id, start_ts, array_to_string(acts, '>') as acts, cast(len as bigint) as len from ti""")
+TRACES_SQL = f"""with {EV} select trace_index, case_id, start_ts, array_to_string(acts, '>') as acts, cast(len as bigint) as len from ti"""
+
+
+def _shown_traces(rows):
+    return six(rows.select("trace_index", "case_id", "start_ts", F.array_join("acts", ">").alias("acts"), "len"))
+
+
+@query(TRACES_SQL)
 def traces_indexed(spark, d):
-    return six(ev_traces(spark, d).select("trace_index", "case_id", "start_ts", F.array_join("acts", ">").alias("acts"), "len"))
+    return _shown_traces(ev_traces(spark, d))
+
+
+@query(TRACES_SQL)
+def csv_log_traces(spark, d):
+    """EV written as CSV and read as a log."""
+    path = folder(spark)
+    ev(spark, d).select("case_id", "activity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("when")).write.option("header", True).csv(path)
+    return _shown_traces(L.index_traces(L.traces(logs.read_csv_log(spark, path, "case_id", "activity", "when"))))
+
+
+@query(TRACES_SQL)
+def xes_log_traces(spark, d):
+    """EV written as XES files, one for each of 16 parts of its cases, and read as a log."""
+    path = folder(spark)
+    tag = lambda kind, key, value: F.concat(F.lit(f'<{kind} key="{key}" value="'), value, F.lit('"/>'))
+    event = lambda e: F.concat(F.lit("<event>"), tag("string", "concept:name", e["activity"]), tag("date", "time:timestamp", F.date_format(e["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")), F.lit("</event>"))
+    cases = ev(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "o0", "activity"))).alias("r"))
+    body = F.concat(F.lit("<trace>"), tag("string", "concept:name", F.col("case_id")), F.array_join(F.transform("r", event), ""), F.lit("</trace>"))
+    lines = cases.select(F.pmod(F.xxhash64("case_id"), F.lit(16)).alias("part"), F.lit(1).alias("place"), body.alias("value"))
+    frame = spark.range(16).select(F.col("id").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("<log>").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("</log>").alias("value")))).alias("x")).select("part", "x.*")
+    lines.unionByName(frame).repartition("part").sortWithinPartitions("part", "place").drop("place").write.partitionBy("part").text(path)
+    return _shown_traces(L.index_traces(L.traces(logs.read_xes(spark, path))))
+
+
+@query(TRACES_SQL)
+def stored_log_traces(spark, d):
+    """EV written as a Parquet log and read again."""
+    path = folder(spark)
+    logs.write_log(ev(spark, d), path)
+    return _shown_traces(L.index_traces(L.traces(spark.read.parquet(path))))
+
+
+@query("""select coalesce(case when event_type <> 'error' then event_type end, case when value >= 10 then 'large error' end, 'error') as activity, count(*) as n from events group by 1""")
+def activity_fallback(spark, d):
+    t = table(spark, d, "events")
+    names = [F.when(F.col("event_type") != "error", F.col("event_type")), F.when(F.col("value") >= 10, F.lit("large error")), F.lit("error")]
+    return L.event_log(t, "user_id", names, "ts", "event_id").groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {EV} select trace_index, case_id, cast(len as bigint) as len from ti where trace_index < 500""")
@@ -252,6 +298,41 @@ def assess_change_points(spark, d):
     return jobs.assess(rows, approach, _points(spark, rows), ["number_of_events"])
 
 
+@query(f"""with {VAR}, i as (select window_id, min(trace_index) as f, max(trace_index) as l, count(*) as s, min(start_ts) as sm, max(start_ts) as em, sum(len) as e from mem group by 1)
+ select window_id, f as info_first_index, l as info_last_index, s as info_size, sm as info_start_moment, em as info_end_moment, cast(e as bigint) as measure_number_of_events from i""")
+def assess_fixed_windows(spark, d):
+    approach = W.approaches([{"name": "fixed", "type": "fixed_size_windows", "params": {"window_size": 200, "offset": 100}}])[0]
+    return jobs.assess(ev_traces(spark, d), approach, wanted=["number_of_events"])
+
+
+@query(f"""with {CP} select cast(change_id as bigint) as change_id, cast(change_index as bigint) as change_index, change_type from cp where change_id is not null""")
+def drift_table_file(spark, d):
+    """Change points written as a drift table, with a row that is none, and read again."""
+    path = folder(spark)
+    points = _points(spark, ev_traces(spark, d))
+    text = points.select(*[F.col(c).cast("string").alias(f"calc_{c}") for c in ("change_id", "change_index", "change_type")], F.lit("2024-01-01 00:00:00").alias("calc_change_moment"), F.col("change_id").cast("string").alias("calc_drift_id"))
+    none = text.limit(1).select(F.lit("na").alias("calc_change_id"), *text.columns[1:])
+    text.unionByName(none).write.option("header", True).csv(path)
+    return results.change_points(results.read_drift(spark, path)).drop("change_moment")
+
+
+@query(f"""with {WIN} select 'EV' as dataset, window_id, min(trace_index) as first_index, max(trace_index) as last_index, max(trace_index) - min(trace_index) as n_traces, count(*) as n_traces_in_window from mem group by 2""")
+def complexity_table_file(spark, d):
+    path = folder(spark)
+    results.write_table(W.window_metadata(ev_windows(spark, d)).select("window_id", "first_index", "last_index"), path, "csv")
+    return results.read_complexity(spark, [("EV", path), ("missing", path + "-none")]).select("dataset", "window_id", "first_index", "last_index", "n_traces", "n_traces_in_window")
+
+
+@query("""with x as (select l_suppkey as dataset, l_returnflag || l_linestatus as experiment from lineitem) select dataset from x group by 1 having count(distinct experiment) = (select count(distinct experiment) from x)""")
+def datasets_in_all_experiments(spark, d):
+    return results.in_all_experiments(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("dataset"), F.concat("l_returnflag", "l_linestatus").alias("experiment")))
+
+
+@query("""select l_returnflag as metric, cast(l_linenumber as bigint) as sample_size, l_orderkey as row, cast(row_number() over (partition by l_returnflag, l_linenumber order by l_orderkey) - 1 as varchar) as sample_id from lineitem""")
+def numbered_samples(spark, d):
+    return results.with_sample_ids(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("metric"), F.col("l_linenumber").cast("long").alias("sample_size"), F.col("l_orderkey").alias("row")))
+
+
 # ---------------------------------------------------------------- sampling
 
 def _draw_sql(*parts: str) -> str:
@@ -481,6 +562,26 @@ def hidden_and_blank_measures(spark, d):
     return six(N.visible(N.normalize(table_, ["window_id"], hide=["number_of_events"], to_none=["number_of_traces"])))
 
 
+@query(f"""with {VAR}, {BASIC_SQL} select window_id, 'avg_trace_length' as metric, cast(null as double) as value from bm union all select window_id, 'number_of_events', number_of_events from bm union all select window_id, 'percentage_of_distinct_traces', round(dt / number_of_traces, 6) from bm""")
+def hidden_measures(spark, d):
+    """Lengths, structure and relations hidden, the mean length blank, no normalizer of its own."""
+    table_ = M.basic(ev_windows(spark, d)).select("window_id", "number_of_events", "min_trace_length", "max_trace_length", "avg_trace_length", "percentage_of_distinct_traces", "number_of_distinct_directly_follows_relations")
+    gone = ["min_trace_length", "max_trace_length", "number_of_distinct_directly_follows_relations"]
+    return six(N.visible(N.normalize(table_, ["window_id"], {}, hide=gone, to_none=["avg_trace_length"])))
+
+
+DEVIATION_SQL = """ec as (select window_id, a, b, sum(n) as n from pr group by 1, 2, 3), tt as (select window_id, sum(n) as t, count(*) as k from ec group by 1),
+ vv as (select window_id, count(distinct x) as v from (select window_id, a as x from ec union all select window_id, b from ec) group by 1),
+ ss as (select window_id, sum(power(n / t - 1 / (v * v), 2)) as s, max(v) as v, max(k) as k from ec join tt using (window_id) join vv using (window_id) group by 1),
+ dv as (select window_id, case when v <= 1 then 0 else 1 - sqrt(s + (v * v - k) / power(v, 4)) / sqrt(1 - 1 / (v * v)) end as d from ss)"""
+
+
+@query(f"""with {VAR}, {BASIC_SQL}, {DEVIATION_SQL} select window_id, round(d, 6) as value, round(case when v > 1 then greatest(0, least(1, 1 - (1 - d) / sqrt(1 - 1 / (v * v)))) end, 6) as value_normalized from dv join bm using (window_id)""")
+def normalized_deviation(spark, d):
+    rows = N.normalize(M.all_measures(ev_windows(spark, d), wanted=["number_of_distinct_activities", "deviation_from_random"]), ["window_id"])
+    return six(rows.where("metric = 'deviation_from_random'").select("window_id", "value", "value_normalized"))
+
+
 # ---------------------------------------------------------------- statistics over samples
 
 def _raw(spark, d, shift: int = 0):
@@ -582,15 +683,34 @@ def comparison_table(spark, d):
     return six(done.select("metric", "basis", "log", "status", "chosen", "rho_before", "rho_after", "abs_delta", "pearson_delta", "spearman_delta", "z"))
 
 
-@query()
+#: From |z| above this on, p is below 0.05.
+Z05 = "1.959963984540054"
+
+
+@query(f"""with {_raw_sql('r0')}, {_raw_sql('r3', 3)}, {_master_sql('ma', 'r0')}, {_master_sql('mb', 'r3')}, j as (select a.metric, a.basis, a.pearson_rho as pa, a.spearman_rho as sa, b.pearson_rho as pb, b.spearman_rho as sb, b.preferred as chosen
+ from ma a join mb b on a.metric = b.metric and a.basis = b.basis and a.log = b.log), k as (select *, case when chosen = 'Pearson' then pa else sa end as ra, case when chosen = 'Pearson' then pb else sb end as rb from j),
+ zz as (select *, {_fisher_sql('ra', 'rb')} as z from k) select metric, basis, round(avg(ra), 6) as rho_before, round(avg(rb), 6) as rho_after, round(avg(abs(rb) - abs(ra)), 6) as abs_delta, round(avg(z), 6) as z,
+ round(avg(case when z is not null then case when abs(z) > {Z05} and abs(rb) < abs(ra) then 1.0 else 0.0 end end), 6) as share_improved, count(*) as n_logs from zz group by 1, 2""")
 def comparison_means(spark, d):
-    return T.comparison_means(T.comparison(T.master(T.analysis(_raw(spark, d))), T.master(T.analysis(_raw(spark, d, 3)))))
+    means = T.comparison_means(T.comparison(T.master(T.analysis(_raw(spark, d))), T.master(T.analysis(_raw(spark, d, 3)))))
+    return six(means.select("metric", "basis", "rho_before", "rho_after", "abs_delta", "z", "share_improved", "n_logs"))
 
 
-@query()
+@query(f"""with {_raw_sql('r0')}, {_raw_sql('r3', 3)}, a as (select log, metric, count(*) as n, round(corr(sample_size, value), 4) as r from r0 group by 1, 2), b as (select log, metric, count(*) as n, round(corr(sample_size, value), 4) as r from r3 group by 1, 2),
+ zz as (select metric, a.r as ra, b.r as rb, case when a.n >= 4 and b.n >= 4 and abs(a.r) < 1 - 1e-12 and abs(b.r) < 1 - 1e-12 then (atanh(a.r) - atanh(b.r)) / sqrt(case when a.n < 10000 then (10000 - a.n) / 9999 else 1 end / (a.n - 3) + case when b.n < 10000 then (10000 - b.n) / 9999 else 1 end / (b.n - 3)) end as z
+ from a join b using (log, metric)) select metric, round(avg(case when z is not null then case when abs(z) > {Z05} and abs(rb) < abs(ra) then 1.0 else 0.0 end when abs(rb) >= abs(ra) then 0.0 end), 6) as share_improved, count(*) as n_logs from zz group by 1""")
 def correlation_improvement(spark, d):
     side = lambda s: A.size_correlations(_raw(spark, d, s), ["log", "metric"]).select("metric", "log", F.col("pearson_rho").alias("rho"), "n")
-    return A.improvement_share(A.improvement(side(0), side(3)))
+    return six(A.improvement_share(A.improvement(side(0), side(3))))
+
+
+@query(f"""with {_raw_sql('raw')}, {_master_sql('ma', 'raw')} select metric, log, round(pearson_rho, 6) as pearson_rho, round(spearman_rho, 6) as spearman_rho, plateau_n from ma""")
+def master_file(spark, d):
+    """A master table written with text numbers and read again."""
+    path = folder(spark)
+    rows = T.master(T.analysis(_raw(spark, d))).select("metric", "log", "pearson_rho", "spearman_rho", F.col("plateau_n").cast("long").alias("plateau_n"))
+    results.write_master(rows, path)
+    return six(results.read_master(spark, path, "metric string, log string, pearson_rho double, spearman_rho double, plateau_n long"))
 
 
 WILLIAMS = f"""{_raw_sql('r0')}, {_raw_sql('r5', 10)}, jj as (select a.log, a.metric, cast(a.sample_size as double) as x, a.value as y1, b.value as y2 from r0 a join r5 b using (log, metric, sample_size, sample_id)),
@@ -614,9 +734,19 @@ def benjamini_hochberg(spark, d):
     return six(A.benjamini_hochberg(p).select("log", "metric", "p_adjusted"))
 
 
-@query()
+@query(f"""with {_raw_sql('raw')}, pp as (select log, metric, least(1.0, count(*) / 400.0) / 100 as p from raw group by 1, 2) select log, metric, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars from pp""")
+def significance_stars(spark, d):
+    return _raw(spark, d).groupBy("log", "metric").agg((F.least(F.lit(1.0), F.count(F.lit(1)) / 400) / 100).alias("p")).select("log", "metric", A.stars(F.col("p")).alias("stars"))
+
+
+@query(f"""with {WILLIAMS}, dd as (select metric, a, b, b - a as d from wt), base as (select metric, avg(d) as mean_delta, quantile_cont(d, 0.5) as median_delta, count(*) filter (b > a) as n_grown, count(*) as n from dd group by 1),
+ rr as (select metric, d, abs(d) as x, rank() over (partition by metric order by abs(d)) + (count(*) over (partition by metric, abs(d)) - 1) / 2 as r from dd where d <> 0),
+ ti as (select metric, sum(power(t, 3) - t) as ties from (select metric, x, count(*) as t from rr group by 1, 2) group by 1),
+ ws as (select metric, sum(case when d > 0 then r else 0 end) as w_plus, count(*) as m from rr group by 1)
+ select metric, round(mean_delta, 6) as mean_delta, round(median_delta, 6) as median_delta, n_grown, n, round(w_plus, 6) as w_plus, m,
+ round((w_plus - m * (m + 1) / 4) / sqrt(nullif(m * (m + 1) * (2 * m + 1) / 24 - ties / 48, 0)), 6) as z from base left join ws using (metric) left join ti using (metric)""")
 def measure_summary(spark, d):
-    return A.measure_summary(_williams(spark, d))
+    return six(A.measure_summary(_williams(spark, d)).select("metric", "mean_delta", "median_delta", "n_grown", "n", F.col("w_plus").cast("double").alias("w_plus"), "m", "z"))
 
 
 # ---------------------------------------------------------------- drift tables
@@ -647,12 +777,21 @@ def drift_delta_aggregates(spark, d):
     return six(T.delta_aggregates(T.drift_deltas(windows, drift, DRIFT_COLUMNS)))
 
 
-@query()
+@query(f"""with {DW}, ag as (select change, measure, cast(avg(delta) as double) as mean, stddev_samp(delta) as std, count(*) as n from dl group by 1, 2),
+ ce as (select change, measure, n, case when abs(mean) >= 1000 then printf('%.2e', mean) else printf('%.2f', mean) end || ' (' || coalesce(case when abs(std) >= 1000 then printf('%.2e', std) else printf('%.2f', std) end, '-') || ')' as cell from ag)
+ select measure, max(cell) filter (change = 'sudden') as sudden, max(cell) filter (change = 'gradual_before_during') as gradual_before_during, max(cell) filter (change = 'gradual_during_after') as gradual_during_after,
+ max(cell) filter (change = 'gradual_before_after') as gradual_before_after, cast(sum(n) as bigint) as instances from ce group by 1""")
 def drift_simple_table(spark, d):
     windows, drift = _drift_windows(spark, d)
     return T.simple_table(T.delta_aggregates(T.drift_deltas(windows, drift, DRIFT_COLUMNS)))
 
 
+@query(f"""with {DW} select change, measure, round(avg(delta), 6) as mean, round(cast(min(delta) as double), 6) as min, round(cast(max(delta) as double), 6) as max, round(stddev_samp(delta), 6) as std, count(*) as n from dl group by 1, 2""")
+def combined_drift_results(spark, d):
+    windows, drift = _drift_windows(spark, d)
+    return six(jobs.summary_tables(results.with_trace_counts(windows), drift, DRIFT_COLUMNS)["aggregates"])
+
+
 @query(f"""with {EV}, nn as (select count(*) as n from ti) select 'EV' as dataset, cast(1 as bigint) as n_sudden, cast(n // 4 as varchar) as sudden_points, cast(1 as bigint) as n_gradual, '(' || (n // 2) || ', ' || (3 * n // 4) || ')' as gradual_points from nn
  union all select 'Total', 1, '', 1, ''""")
 def drift_summary(spark, d):
@@ -670,13 +809,20 @@ def trace_count_correlation(spark, d):
 
 # ---------------------------------------------------------------- jobs
 
-STUDY = f"""{EV}, gr as (select k as sample_no, s as sample_size from (select unnest(range(0, 30)) as k), (select unnest([50, 100, 150]) as s)), s0 as (select *, {_draw_sql('123', 'sample_no', 'sample_size')} % ((select count(*) from ti) - sample_size + 1) as f from gr),
+STUDY = f"""{EV}, gr as (select k as sample_no, s as sample_size from (select unnest(range(0, 500)) as k), (select unnest(range(50, 501, 50)) as s) where s <= (select count(*) from ti)), s0 as (select *, {_draw_sql('123', 'sample_no', 'sample_size')} % ((select count(*) from ti) - sample_size + 1) as f from gr),
  sm as (select 'EV' as log, sample_size, cast(sample_no as varchar) as sample_id, acts, len from s0 join ti on trace_index >= f and trace_index < f + sample_size),
  raw as (select log, sample_size, sample_id, 'number_of_events' as metric, cast(sum(len) as double) as value from sm group by 1, 2, 3 union all select log, sample_size, sample_id, 'number_of_distinct_traces', count(distinct acts) from sm group by 1, 2, 3)"""
 
 
-def _study_members(spark, d):
-    return P.sample_consecutive(ev_traces(spark, d), [50, 100, 150], 30).withColumn("log", F.lit("EV"))
+#: Sizes and samples of each size in a bias study, and replicates.
+STUDY_SIZES, STUDY_SAMPLES, STUDY_REPLICATES = range(50, 501, 50), 500, 50
+
+
+def _study_members(spark, d, samples: int = STUDY_SAMPLES):
+    """Samples of all the study's sizes that the log has traces for."""
+    rows = ev_traces(spark, d)
+    n = W._count(rows)
+    return P.sample_consecutive(rows, [s for s in STUDY_SIZES if s <= n], samples).withColumn("log", F.lit("EV"))
 
 
 @query(f"""with {STUDY}, {CI_SQL}, {CORR_SQL}, {PLATEAU_SQL} select log, metric, cast(sample_size as bigint) as sample_size, round(mean_value, 6) as mean_value, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round((ci_high - ci_low) / nullif(mean_value, 0), 6) as ci_rel_width,
@@ -689,13 +835,15 @@ def bias_study_analysis(spark, d):
 @query()
 def bias_study_comparison(spark, d):
     wanted = ["number_of_events", "number_of_distinct_traces", "percentage_of_distinct_traces", "variant_entropy"]
-    study = jobs.bias_study(_study_members(spark, d), jobs.Scenario("base", wanted=wanted), jobs.Scenario("normalized_population", "chao1", True, wanted=wanted), [50, 100, 150])
+    study = jobs.bias_study(_study_members(spark, d), jobs.Scenario("base", wanted=wanted), jobs.Scenario("normalized_population", "chao1", True, wanted=wanted), list(STUDY_SIZES))
     return study["comparison"]
 
 
 @query()
 def population_study_with_bootstrap(spark, d):
-    return jobs.measure_samples(_study_members(spark, d).where("sample_size = 50"), jobs.Scenario("fixes", "chao1", True, 5, ["number_of_distinct_traces", "structure"]))
+    """Thirty samples of each size: with all 500 it would be 69 million resampled traces on the smallest log."""
+    wanted = ["number_of_distinct_activities", "number_of_distinct_traces", "number_of_distinct_directly_follows_relations", "percentage_of_distinct_traces", "structure", "estimated_number_of_acyclic_paths"]
+    return jobs.measure_samples(_study_members(spark, d, 30), jobs.Scenario("fixes", "chao1", True, STUDY_REPLICATES, wanted))
 
 
 @query()
