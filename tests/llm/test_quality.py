@@ -455,3 +455,16 @@ def test_pipeline(spark, tmp_path, data):
     whole = P.run(spark, data)
     assert whole.select("doc_id", "piece", "length", "ids_crc32").exceptAll(current.select("doc_id", "piece", "length", "ids_crc32")).count() == 0
     assert whole.count() == current.count() > 0
+
+
+def test_pipeline_rows_of_one_id_or_none(spark, data):
+    """Near copies go row by row: an id at several texts, and rows without ids."""
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    x, y, z = (" ".join(f"{p}{k}" for k in rng.integers(0, 500, 80)) for p in "xyz")
+    rows = [(1, x), (5, x + " more"), (5, y), (None, y), (None, y + " more"), (None, z), (None, z), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicates(spark, docs, data)
+    assert got.columns == list(P.COLUMNS)
+    assert sorted([(r["doc_id"] or 0, r["text"] or "") for r in got.collect()]) == sorted([(1, x), (5, y), (0, z), (7, "")])

@@ -248,8 +248,8 @@ def linked_sets(docs: DataFrame, members: DataFrame, width: int, threshold: tupl
     return placed.mapInArrow(check, "sid long, sets_linked long, docs_linked long, root long")
 
 
-def jaccard_join(docs: DataFrame, width: int = WORDS, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each document: key, class_id (least key of the documents it is tied to by links),
+def jaccard_join(docs: DataFrame, width: int = WORDS, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id", text_hash: bool = False) -> DataFrame:
+    """One row for each document: key, th (xxhash64 of its text, if ``text_hash``), class_id (least key of the documents it is tied to by links),
     set_id (least key with the same shingles), n_links (documents linked to it, copies too) and
     n_set_links (different sets linked to its own).
     """
@@ -275,4 +275,5 @@ def jaccard_join(docs: DataFrame, width: int = WORDS, threshold: tuple[int, int]
     links = checked.groupBy("sid").agg(F.sum("sets_linked").alias("sets_linked"), F.sum("docs_linked").alias("docs_linked"))
     known = sets.select("s1", "s2", "sid", "rep", "copies").join(links, "sid", "left").join(classes, "sid", "left")
     known = stash(known.select("s1", "s2", F.col("rep").alias("set_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("docs_linked", F.lit(0))).alias("n_links"), F.coalesce("sets_linked", F.lit(0)).alias("n_set_links")))
-    return seen.select(key, "s1", "s2").join(known, ["s1", "s2"]).select(key, "class_id", "set_id", "n_links", "n_set_links")
+    own = [key, "th"] if text_hash else [key]
+    return seen.select(*own, "s1", "s2").join(known, ["s1", "s2"]).select(*own, "class_id", "set_id", "n_links", "n_set_links")
