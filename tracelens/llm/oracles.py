@@ -27,3 +27,41 @@ e as (select doc_id, lo, hi, lag(hi, 1, 0) over (partition by doc_id order by lo
 a as (select e.doc_id, sum(hi - lo) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as kept, max(hi) as hi from e join b using (doc_id) group by 1)
 select b.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
  sha256(unhex(coalesce(kept || substr(h, 2 * hi + 1), h))) as kept_sha256 from b left join a using (doc_id)"""
+
+#: Words of the corpus contract, A-Z lower-cased or not.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: crc32 of a short text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::bigint)),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+#: Base columns of the language model.
+LM_BASE = f"""
+with d as (select doc_id, cast(doc_id as varchar) as id, list_append({_WORDS.format(_LOWER)}, chr(10)) as ws from documents),
+h as (select doc_id, ws, {_CRC.format('id')} % 10 = 0 as held_out from d), t as (select doc_id, held_out, unnest(ws) as w from h),
+c as (select w, count(*) as c from t where not held_out group by 1), n as (select sum(c) as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)))), 3) as base_score
+from t left join c using (w), n group by 1, 2"""
+
+#: Sizes and digests of the media payloads.
+MEDIA_PAYLOADS = """
+with d as (select doc_id, coalesce(text, '') as t, octet_length(encode(coalesce(text, ''))) as n from documents), p as (select *, greatest(1, (n + 191) // 192) * 192 as m from d)
+select doc_id, cast(n as bigint) as n_bytes, cast(m as bigint) as payload_bytes, sha256(t || repeat(' ', m - n)) as payload_sha256 from p"""
+
+#: Hosts, paths and rules of all pages; the longest rule that fits.
+URL_RULES = """
+with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+p as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from u),
+rl(rule, name, start) as (values ('com/en/', 'com', '/en/'), ('example.com/en/7', 'example.com', '/en/7'), ('net/de/', 'net', '/de/'), ('example.net/de/8', 'example.net', '/de/8'), ('org/es/', 'org', '/es/'))
+select page_id, any_value(host) as host, any_value(path) as path, arg_max(rule, length(rule)) as rule from p left join rl on (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by 1"""
+
+#: The plain rules' figures.
+QUALITY_BASE = f"""
+with d as (select doc_id, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+g as (select doc_id, unnest(range(1, len(ws) - 6)) as i, ws from d where len(ws) >= 8), h as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from g),
+f as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from h) where c > 1),
+r as (select doc_id, count(*) as n_repeat_words from (select distinct doc_id, i + k as p from f, (select unnest(range(0, 8)) as k)) group by 1),
+l as (select doc_id, count(*) - count(distinct x) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+ coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(ws) < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) as base_failed from d left join r using (doc_id) left join l using (doc_id)"""

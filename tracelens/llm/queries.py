@@ -79,6 +79,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# The columns of the queries above that SQL can express, for comparison with it.
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_brown_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_ogg_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_url_templates(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality_rules(spark, sf_dir).select("doc_id", *quality_llr.FIGURES, "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_ogg_media": op2_ogg_media,
@@ -90,6 +108,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
+    "lm_base_scores": lm_base_scores,
+    "media_payloads": media_payloads,
+    "url_rules": url_rules,
+    "quality_base_figures": quality_base_figures,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": oracles.NGRAM_JOIN, "op6_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "lm_base_scores": oracles.LM_BASE,
+    "media_payloads": oracles.MEDIA_PAYLOADS,
+    "url_rules": oracles.URL_RULES,
+    "quality_base_figures": oracles.QUALITY_BASE,
+}
