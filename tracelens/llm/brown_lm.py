@@ -102,7 +102,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (hash), c: how often every word, and the end token, occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
                 word, c = np.unique(tokens(data, offsets)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], names=["word", "c"])
 
@@ -131,7 +131,7 @@ def unit_bigrams(docs: DataFrame, units: tuple[np.ndarray, int], text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = HashTable(words, np.arange(len(words)))
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
                 word, at, tail = tokens(data, offsets)
                 unit = table.get(word, -1)
                 unit = np.where(unit < 0, len(words) + tail, unit)
@@ -227,7 +227,7 @@ def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs:
         table = HashTable(words, np.arange(len(words)))
         end = classes[table.get(np.array([END], np.uint64), 0)[0]]
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
                 word, at, tail = tokens(data, offsets)
                 unit = table.get(word, -1)
                 cls = classes[np.where(unit < 0, len(words) + tail, unit)]
@@ -281,7 +281,7 @@ def class_pairs(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], endings:
         table, total = HashTable(*known), np.zeros(k * k, np.int64)
         end = table.get(np.array([END], np.uint64), 0)[0]
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
                 word, at, tail = tokens(data, offsets)
                 cls = table.get(word, -1)
                 cls = np.where(cls < 0, endings[tail], cls)

@@ -167,7 +167,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo _P, kept for the longest chunk so far."""
+    """base**0 .. base**(n-1) modulo _P, kept for the longest chunk of up to 2 MB so far."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -176,7 +176,7 @@ def _power(base: int, n: int) -> np.ndarray:
             have = np.concatenate([have, _rest(have * _U(step))])
             step = step * step % _P
         have = have[:size]
-        if size <= 1 << 21:
+        if size <= 1 << 21 | 1:
             _powers[base] = have
     return have[:n]
 
@@ -186,6 +186,7 @@ class SpanHash:
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         self.n, self.sums = len(data), []
+        self.back = [_power(i, self.n + 1) for i in _INVERSES]
         for lane, base in enumerate(_BASES):
             table, power, sums = _byte_table(2 * seed + lane), _power(base, self.n), np.zeros(self.n + 1, np.uint64)
             carry = _U(0)
@@ -200,7 +201,7 @@ class SpanHash:
 
     def _mixed(self, ends: list[np.ndarray], begins: list[np.ndarray], starts) -> np.ndarray:
         """From the lanes' sums at both borders: differences moved to position 0, reduced, and put together."""
-        a, b = (_rest(_fold(_fold(e + _ABOVE - s)) * _power(i, self.n + 1)[starts]) for e, s, i in zip(ends, begins, _INVERSES))
+        a, b = (_rest(_fold(_fold(e + _ABOVE - s)) * back[starts]) for e, s, back in zip(ends, begins, self.back))
         b <<= _U(32)
         b |= a
         return b
