@@ -1,5 +1,6 @@
 """Files of logs, drifts and results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelens.sources import logs, results
@@ -57,3 +58,27 @@ def test_catalogue_and_experiments(spark, tmp_path):
     assert [r["dataset"] for r in results.in_all_experiments(rows).collect()] == ["A"]
     ids = results.with_sample_ids(spark.createDataFrame([("m", 5, 1), ("m", 5, 2)], "metric string, sample_size int, row int"))
     assert sorted(r["sample_id"] for r in ids.collect()) == ["0", "1"]
+
+
+def test_measures_of_all_experiments(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sample_size, sample_id ,m1,note\n50,7,1.5,x\n")
+    (tmp_path / "b.csv").write_text("sample_size,m1,m2\n50,2.5,3\n50,3.5,4\n")
+    (tmp_path / "bad.csv").write_text("m1\n1\n")
+    paths = [("e1", "A", str(tmp_path / "a.csv")), ("e2", "A", str(tmp_path / "b.csv")), ("e2", "B", str(tmp_path / "b.csv")), ("e1", "B", str(tmp_path / "none.csv"))]
+    got = results.read_measures(spark, paths)
+    assert sorted((r["experiment"], r["dataset"], r["sample_id"], r["m1"]) for r in got.collect()) == [("e1", "A", "7", 1.5), ("e2", "A", "0", 2.5), ("e2", "A", "1", 3.5)]
+    assert sorted(results.measure_columns(got)) == ["m1", "m2"] and results.measure_columns(got, ["m2"]) == ["m2"]
+    with pytest.raises(ValueError):
+        results.measure_columns(got, ["m9"])
+    with pytest.raises(ValueError):
+        results.read_measures(spark, [("e1", "A", str(tmp_path / "bad.csv"))])
+
+
+def test_named_studies(spark):
+    from tracelens.plans import jobs
+
+    assert len(jobs.STUDIES) == 6 and all(s.base is None or s.base in jobs.STUDIES for s in jobs.STUDIES.values())
+    rows = [(log, size, str(k), p, ["A", "B", "CDE"[(k + p) % 3]], 3) for log in ("RTFMP", "O2C_S") for size in (3, 5) for k in range(4) for p in range(size)]
+    members = spark.createDataFrame(rows, "log string, sample_size int, sample_id string, pos long, acts array<string>, len int")
+    done = jobs.named_study(members, "real_base", [3, 5])
+    assert {r["log"] for r in done["raw_real_base"].select("log").distinct().collect()} == {"RTFMP"}

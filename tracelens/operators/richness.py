@@ -175,6 +175,12 @@ def hill_numbers(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, F.exp("h").alias("hill_q1"), (1 / F.nullif(F.col("d"), F.lit(0.0))).alias("hill_q2"))
 
 
+def hill_numbers_incidence(incidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same of incidence counts, from shares of all incidences: q1 = exp of the entropy, q2 = inverse of the sum of squares."""
+    own = incidence.join(incidence.groupBy(*keys).agg(F.sum("n").alias("_u")), list(keys)).withColumn("_p", F.col("n") / F.col("_u"))
+    return own.groupBy(*keys).agg(F.exp(-F.sum(F.col("_p") * F.log("_p"))).alias("hill_q1"), (1 / F.sum(F.col("_p") * F.col("_p"))).alias("hill_q2"))
+
+
 def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column | None = None, steps: int = 200) -> DataFrame:
     """Richness of each group at equal coverage: by default the least coverage that all reach at twice their size.
 

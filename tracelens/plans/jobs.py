@@ -43,6 +43,38 @@ class Scenario:
 LADDER = [Scenario("base"), Scenario("normalized", normalized=True), Scenario("normalized_population", "chao1", True, 50)]
 
 
+@dataclass(frozen=True)
+class Study:
+    """A named bias study: its title, logs, scenario, and the study that it is compared with."""
+
+    title: str
+    logs: tuple[str, ...]
+    scenario: Scenario
+    base: str | None = None
+
+
+#: Names, titles and logs of the bias studies.
+STUDIES = {
+    "synthetic_base": Study("Synthetic (Base)", ("O2C_S", "CLAIM_S", "LOAN_S", "CREDIT_S"), Scenario("synthetic_base")),
+    "synthetic_normalized": Study("Synthetic (Normalized)", ("O2C_S", "CLAIM_S", "LOAN_S", "CREDIT_S"), Scenario("synthetic_normalized", normalized=True), "synthetic_base"),
+    "synthetic_normalized_and_population": Study("Synthetic (Normalized + Population)", ("O2C_S", "CLAIM_S", "LOAN_S", "CREDIT_S"), Scenario("synthetic_normalized_and_population", "chao1", True), "synthetic_base"),
+    "real_base": Study("Real (Base)", ("BPIC12", "RTFMP"), Scenario("real_base")),
+    "real_normalized": Study("Real (Normalized)", ("BPIC12", "RTFMP"), Scenario("real_normalized", normalized=True), "real_base"),
+    "real_normalized_and_population": Study("Real (Normalized + Population)", ("BPIC12", "RTFMP"), Scenario("real_normalized_and_population", "chao1", True), "real_base"),
+}
+
+
+def named_study(members: DataFrame, name: str, sizes: Sequence[int]) -> dict[str, DataFrame]:
+    """Results of one of :data:`STUDIES` on the samples of its logs, compared with its base where it has one."""
+    study = STUDIES[name]
+    own = members.where(F.col("log").isin(*study.logs))
+    if study.base:
+        return bias_study(own, STUDIES[study.base].scenario, study.scenario, sizes)
+    raw = measure_samples(own, study.scenario)
+    table = analysis(raw)
+    return {f"raw_{name}": raw, f"analysis_{name}": table, f"master_{name}": master(table, sizes)}
+
+
 def measure(members: DataFrame, keys: Sequence[str], scenario: Scenario) -> DataFrame:
     """Visible values, long: keys, metric, value."""
     population = None

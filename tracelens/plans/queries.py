@@ -488,6 +488,12 @@ def equal_coverage_table(spark, d):
     return R.equal_coverage_table(_species(spark, d), KINDS, 20)
 
 
+@query(f"""with {CO}, ic as (select log, a, b, sum(n) as n from (select distinct log, acts, n, a, b from cp) group by 1, 2, 3), p as (select log, n / sum(n) over (partition by log) as p from ic)
+ select log, round(exp(-sum(p * ln(p))), 6) as hill_q1, round(1 / sum(p * p), 6) as hill_q2 from p group by 1""")
+def hill_numbers_incidence(spark, d):
+    return six(R.hill_numbers_incidence(L.edge_incidence(L.variants(co_log(spark, d), ["log"]), ["log"]), ["log"]))
+
+
 @query(f"""with {FREQ}, w as (select log, species_kind, n, sum(n) over (partition by log, species_kind) as t, count(*) over (partition by log, species_kind) as k from sc)
  select log, species_kind, round(exp(-sum(n / t * ln(n / t)) + (max(k) - 1) / (2 * max(t))), 6) as hill_q1, round(1 / nullif(sum(n * (n - 1)) / nullif(max(t * (t - 1)), 0), 0), 6) as hill_q2 from w group by 1, 2""")
 def hill_numbers(spark, d):

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
@@ -114,6 +115,36 @@ def in_all_experiments(rows: DataFrame) -> DataFrame:
     return have.join(F.broadcast(total), "k").select("dataset")
 
 
+def read_measures(spark: SparkSession, paths: Iterable[tuple[str, str, str]]) -> DataFrame | None:
+    """(experiment, dataset, path) -> measures of all of them, of the datasets that every experiment has.
+
+    Column names are trimmed; a table without sample_id gets row numbers; one without sample_size is an error.
+    """
+    out = None
+    for experiment, dataset, path in paths:
+        found = _read(spark, path)
+        if found is None:
+            continue
+        found = found.toDF(*[c.strip() for c in found.columns])
+        if "sample_size" not in found.columns:
+            raise ValueError(f"{path} has no column sample_size")
+        if "sample_id" not in found.columns:
+            found = with_sample_ids(found.withColumn("_row", F.monotonically_increasing_id()), ("sample_size",), "_row").drop("_row")
+        found = found.withColumn("sample_id", F.col("sample_id").cast("string")).withColumn("experiment", F.lit(experiment)).withColumn("dataset", F.lit(dataset))
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return None if out is None else out.join(in_all_experiments(out), "dataset", "left_semi")
+
+
+def measure_columns(rows: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
+    """The measures asked for, which must be there, or all numeric columns but the keys."""
+    if wanted:
+        missing = [c for c in wanted if c not in rows.columns]
+        if missing:
+            raise ValueError(f"measures not found: {missing}")
+        return list(wanted)
+    return [f.name for f in rows.schema.fields if isinstance(f.dataType, NumericType) and f.name not in ("sample_size", "sample_id")]
+
+
 def with_sample_ids(rows: DataFrame, keys: Sequence[str] = ("metric", "sample_size"), order: str = "row") -> DataFrame:
     """Numbers samples within ``keys`` where a table has no sample_id."""
     if "sample_id" in rows.columns:
