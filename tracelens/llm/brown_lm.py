@@ -14,6 +14,8 @@ P(word | class), interpolated with an additively smoothed unigram model.
   distributed; their counts are small beside those of classes, so the gain is taken to first
   order.  Endings only serve words that training texts don't have.
 * Words emit by absolute discounting: a class gives what it saves to words unseen in it.
+* Transitions are counted over all training texts.  As the class before a token, a word beyond
+  the ``LOOKUP`` most frequent counts by its ending; it is emitted by its own class.
 * Scoring broadcasts counts and classes of the ``LOOKUP`` most frequent words; occurrences of
   others are joined with the whole table.
 
@@ -220,6 +222,7 @@ def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs:
     log P(class after | b) over the classes after them, and of log P(b | ..) turned round over those before.
     """
     k = len(pairs)
+    size = ENDINGS * k * k
     after = np.log((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * k))  # [b, class after]
     before = np.log((pairs + 0.5) / (pairs.sum(axis=0, keepdims=True) + 0.5 * k))  # [class before, b]
 
@@ -232,25 +235,20 @@ def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs:
                 unit = table.get(word, -1)
                 cls = classes[np.where(unit < 0, len(words) + tail, unit)]
                 mine = np.flatnonzero(unit < 0)  # the end token is never one of them, so each has a word after it
-                place = np.concatenate([_before(cls, at, end)[mine], k + cls[mine + 1]])
                 distinct, number = np.unique(word[mine], return_inverse=True)
-                context, n = np.unique(np.concatenate([number, number]) * (2 * k) + place, return_counts=True)
-                first = np.zeros(len(distinct), np.int64)
-                first[number] = mine
-                own = context // (2 * k)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(distinct[own].view(np.int64)), pa.array(tail[first[own]].astype(np.int16)), pa.array((context % (2 * k)).astype(np.int16)), pa.array(n),
-                ], names=["word", "tail", "at", "n"])
+                # The word's ending and its neighbours' classes in one number.
+                info, n = np.unique(number * size + (tail[mine] * k + _before(cls, at, end)[mine]) * k + cls[mine + 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct[info // size].view(np.int64)), pa.array((info % size).astype(np.int32)), pa.array(n.astype(np.int32))], names=["word", "info", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
-            word, place, n = (rows.column(c).to_numpy() for c in ("word", "at", "n"))
+            word, info, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "info", "n"))
             distinct, first, number = np.unique(word, return_index=True, return_inverse=True)
-            counts = np.bincount(number * (2 * k) + place, n, len(distinct) * 2 * k).reshape(-1, 2 * k)
-            best = np.argmax(counts[:, :k] @ before + counts[:, k:] @ after.T, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(rows.column("tail").to_numpy()[first]), pa.array(counts[:, :k].sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "tail", "c", "class"])
+            left, right = (np.bincount(number * k + x, n, len(distinct) * k).reshape(-1, k) for x in (info // k % k, info % k))
+            best = np.argmax(left @ before + right @ after.T, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array((info[first] // (k * k)).astype(np.int16)), pa.array(left.sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "tail", "c", "class"])
 
         size = 0
         for batch in batches:
@@ -270,7 +268,7 @@ def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs:
             yield settle(pa.Table.from_batches(held))
         trim()
 
-    rows = docs.select(text).mapInArrow(run, "word long, tail short, at short, n long")
+    rows = docs.select(text).mapInArrow(run, "word long, info int, n int")
     parted = rows.repartition("word").sortWithinPartitions("word")
     return parted.mapInArrow(choose, "word long, tail short, c long, class int")
 
@@ -358,9 +356,11 @@ def train(docs: DataFrame, text: str = "text", k: int = CLASSES, rounds: int = R
     class_tokens, class_words = np.zeros(k), np.zeros(k)
     for cls, c, n in sizes:
         class_tokens[cls], class_words[cls] = c, n
-    word, c = most_frequent(counts, LOOKUP)
-    frequent = counts.where(F.col("c") >= int(c.min())) if len(c) else counts.limit(0)
-    found = table.join(frequent.select("word"), "word", "left_semi").toArrow()
+    _, c = most_frequent(table.select("word", "c"), LOOKUP)
+    found = table.where(F.col("c") >= int(c.min())).toArrow() if len(c) else table.limit(0).toArrow()
+    for x in (counts, rest):
+        discard(x)
+    release(spark)
     lookup = tuple(found.column(x).to_numpy() for x in ("word", "c", "class"))
     lookup = (lookup[0].view(np.uint64), lookup[1], lookup[2].astype(np.int64))
     if total and not (lookup[0] == np.uint64(END)).any():  # the end token is always known to the tasks
@@ -385,13 +385,12 @@ def _logs(count: np.ndarray, before: np.ndarray, cls: np.ndarray, model: Model)
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, n_known, base_score and score (log10) of every whole text.
 
-    A rare word's token leaves its place, its neighbours' classes and the count of the one
-    after it; joined with the words' table, these give its own probability and that of the
-    token after it.
+    A rare word's token leaves its hash, the class before it and the class of its ending; joined
+    with the words' table, these give its probability.
     """
     plain = Model(None, *(getattr(model, f) for f in list(Model.__dataclass_fields__)[1:]))  # without the table, for the tasks
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = ("place", "word", "unseen", "before", "after", "after_c")
+    k = len(model.transition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = HashTable(plain.lookup[0], np.arange(len(plain.lookup[0])))
@@ -403,52 +402,36 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 word, at, tail = tokens(data, offsets)
                 found = known.get(word, -1)
                 here = (found >= 0) | (word == END)
-                cls, count = classes[found], np.where(found >= 0, counts[found], 0)
-                first = np.zeros(len(word), bool)
-                first[at[:-1]] = True
-                before, sure = _before(cls, at, end), here.copy()
-                sure[1:] &= here[:-1] | first[1:]
+                cls, count = np.where(here, classes[found], plain.endings[tail]), np.where(found >= 0, counts[found], 0)
+                before = _before(cls, at, end)
                 base, full = _logs(count, before, cls, plain)
-                base, full = np.where(here, base, 0.0), np.where(sure, full, 0.0)
+                base, full = np.where(here, base, 0.0), np.where(here, full, 0.0)
                 text_of = np.repeat(np.arange(j - i), np.diff(at))
-                rare = np.flatnonzero(~here)  # never a text's last token, which is the end token
-                gap = np.zeros(len(word), bool)  # rare after rare
-                gap[1:] = ~here[1:] & ~here[:-1] & ~first[1:]
-                columns = [rare - at[text_of[rare]], word[rare].view(np.int64), plain.endings[tail[rare]], np.where(gap[rare], -1, before[rare]), np.where(here[rare + 1], cls[rare + 1], -1), count[rare + 1]]
-                types = [pa.int32(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.int64()]
+                rare = np.flatnonzero(~here)
+                pair = pa.array((before[rare] * k + cls[rare]).astype(np.int16))
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(i, j - i) for c in range(len(keep))),
                     pa.array(row + np.arange(j - i)), pa.array(np.diff(at)),
                     pa.array(np.bincount(text_of, here & (count > 0), j - i).astype(np.int64)), pa.array(np.add.reduceat(base, at[:-1])), pa.array(np.add.reduceat(full, at[:-1])),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.StructArray.from_arrays([pa.array(np.asarray(c)).cast(t) for c, t in zip(columns, types)], names=list(names))),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.StructArray.from_arrays([pa.array(word[rare].view(np.int64)), pair], names=["word", "pair"])),
                 ], names=[*keep, "row", "n_tokens", "n_known", "base_score", "score", "rare"])
                 row += j - i
 
-    rare = "rare array<struct<place:int,word:long,unseen:short,before:short,after:short,after_c:long>>"
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", row long, n_tokens long, n_known long, base_score double, score double, {rare}"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,pair:short>>"
     local = stash(docs.select(*keep, text).mapInArrow(run, schema))
-    each = local.select("row", F.explode("rare").alias("x")).select("row", *(f"x.{n}" for n in names))
-    joined = each.join(model.table, "word", "left").select("row", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", "unseen").cast("int").alias("cls"), "before", "after", "after_c")
+    each = local.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.pair")
+    joined = each.join(model.table, "word", "left").select("row", "pair", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("cls"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten()
-            size = np.diff(batch.column(1).offsets.to_numpy())
-            text_of = np.repeat(np.arange(batch.num_rows), size)
-            place, c, cls, before, after, after_c = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
-            order = np.lexsort((place, text_of))
-            place, c, cls, before, after, after_c = (x[order] for x in (place, c, cls, before, after, after_c))
-            last = np.concatenate([[0], cls[:-1]]) if len(cls) else cls
-            base, own = _logs(c, np.where(before < 0, last, before), cls, plain)
-            then = np.flatnonzero(after >= 0)
-            own[then] += _logs(after_c[then], cls[then], after[then], plain)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.bincount(text_of, x, batch.num_rows)) for x in (c > 0, base, own))], names=["row", "k", "b", "s"])
-
-    lists = joined.groupBy("row").agg(F.collect_list(F.struct("place", "c", "cls", "before", "after", "after_c")).alias("x"))  # a text's own tokens
-    added = lists.mapInArrow(finish, "row long, k double, b double, s double")
+            pair, c, cls = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (1, 2, 3))
+            base, own = _logs(c, pair // k, np.where(cls < 0, pair % k, cls), plain)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(own)], names=["row", "k", "b", "s"])
+
+    added = joined.mapInArrow(finish, "row long, k long, b double, s double").groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     zero = F.lit(0)
     return local.drop("rare").join(added, "row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce(F.col("k").cast("long"), zero)).alias("n_known"),
+        *keep, "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
         (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
     )
 
