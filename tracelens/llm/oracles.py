@@ -65,3 +65,8 @@ r as (select doc_id, count(*) as n_repeat_words from (select distinct doc_id, i
 l as (select doc_id, count(*) - count(distinct x) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(ws) < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) as base_failed from d left join r using (doc_id) left join l using (doc_id)"""
+
+#: Texts whose last half is replaced by the start of the next document's.
+EDITED_TEXTS = """
+with d as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as u from d)
+select doc_id, length(t) as n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) as edited_sha256 from s"""

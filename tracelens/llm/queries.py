@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, quality_llr, suffix_dedup, toxicity_gru, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, phrase_prints, quality_llr, suffix_dedup, toxicity_gru, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 # The columns of the queries above that SQL can express, for comparison with it.
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +101,10 @@ def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_rules(spark, sf_dir).select("doc_id", *quality_llr.FIGURES, "base_failed")
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrase_prints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_ogg_media": op2_ogg_media,
@@ -108,10 +116,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrase_prints": op11_phrase_prints,
     "lm_base_scores": lm_base_scores,
     "media_payloads": media_payloads,
     "url_rules": url_rules,
     "quality_base_figures": quality_base_figures,
+    "edited_texts": edited_texts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +131,5 @@ ORACLE_SQL: dict[str, str] = {
     "media_payloads": oracles.MEDIA_PAYLOADS,
     "url_rules": oracles.URL_RULES,
     "quality_base_figures": oracles.QUALITY_BASE,
+    "edited_texts": oracles.EDITED_TEXTS,
 }
