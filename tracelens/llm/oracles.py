@@ -70,3 +70,21 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(w
 EDITED_TEXTS = """
 with d as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as u from d)
 select doc_id, length(t) as n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) as edited_sha256 from s"""
+
+#: crc32 of a text of code points below 256, from its UTF-8 bytes, bit by bit.
+_CRC_UTF8 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length({0}) + 1), lambda i: case when ascii({0}[i]) < 128 then [ascii({0}[i])::bigint] else [195::bigint, ascii({0}[i])::bigint - 64] end))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+#: Spelling variants: near words share a deletion at the same place, or one is a deletion of the other.
+SPELLING_GROUPS = f"""
+with recursive w as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents),
+c as (select w, coalesce(cast(doc_id as varchar), '') || ':' || w as k, count(*) as c from w group by 1, 2), h as (select w, c, {_CRC_UTF8.format('k')} as h from c),
+s as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as w, c from h),
+v as (select w, cast(sum(c) as bigint) as n from s where length(w) >= 5 group by 1 having sum(c) >= 3),
+dl as (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) as d from (select w, n, unnest(range(1, length(w) + 1)) as i from v)),
+pr as (select a.w as x, v.w as y, v.n from dl a join v on a.d = v.w union select v.w, a.w, a.n from dl a join v on a.d = v.w union select a.w, b.w, b.n from dl a join dl b on a.i = b.i and a.d = b.d and a.w <> b.w),
+nr as (select x, count(*) as n_near from pr group by 1), bs as (select x, y, n as form_n from pr qualify row_number() over (partition by x order by n desc, y) = 1),
+fm as (select v.w, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then y end as form, case when form_n >= 2 * n then form_n end as form_n from v left join nr on x = w left join bs on bs.x = w),
+up(w, root) as (select w, w from fm union all select up.w, form from up join fm on up.root = fm.w where form is not null),
+tp as (select up.w, root from up join fm on up.root = fm.w where fm.form is null)
+select fm.w as word, form, root, n, cast(n_near as bigint) as n_near, form_n from fm join tp using (w)"""

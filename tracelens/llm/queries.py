@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, phrase_prints, quality_llr, suffix_dedup, toxicity_gru, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, phrase_prints, quality_llr, spelling_groups, suffix_dedup, toxicity_gru, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,6 +83,10 @@ def op11_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_prints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 # The columns of the queries above that SQL can express, for comparison with it.
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
     "op11_phrase_prints": op11_phrase_prints,
+    "op12_spelling_groups": op12_spelling_groups,
     "lm_base_scores": lm_base_scores,
     "media_payloads": media_payloads,
     "url_rules": url_rules,
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": oracles.NGRAM_JOIN,
     "op6_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op12_spelling_groups": oracles.SPELLING_GROUPS,
     "lm_base_scores": oracles.LM_BASE,
     "media_payloads": oracles.MEDIA_PAYLOADS,
     "url_rules": oracles.URL_RULES,
