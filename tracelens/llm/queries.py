@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, phrase_prints, quality_llr, spelling_groups, suffix_dedup, toxicity_gru, url_templates
+from . import best_fit_pack, bpe_stream, brown_lm, importance_resampling, ngram_join, ogg_media, oracles, phrase_prints, quality_llr, spelling_groups, suffix_dedup, token_alignment, toxicity_gru, url_templates
 
 #: The tokenizer's file; its place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
+#: The tokenizer that it is aligned with.
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,10 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 # The columns of the queries above that SQL can express, for comparison with it.
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_phrase_prints": op11_phrase_prints,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_token_alignment": op13_token_alignment,
     "lm_base_scores": lm_base_scores,
     "media_payloads": media_payloads,
     "url_rules": url_rules,
