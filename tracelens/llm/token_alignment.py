@@ -4,7 +4,7 @@ Documents are shuffled by their full text; each distinct text is tokenised by bo
 aligned once, counts of linked token pairs are weighted by the text's copies, and the measures
 are joined back to the ids.
 
-A is a byte-level BPE (a file of the ``tokenizers`` library), B a BPE of ``sentencepiece``.  Both see a
+A is a byte-level BPE in a file of the ``tokenizers`` library, encoded as in :mod:`bpe_stream`; B is a BPE of ``sentencepiece``.  Both see a
 space and the text.  Byte offsets where tokens of both end cut them into groups; two tokens of a group
 are linked.  Neither tokenizer joins what stands on both sides of a space after a character that isn't
 white (:class:`Pair` looks that up in the vocabularies), so texts are cut there into units, and
@@ -21,22 +21,22 @@ row gets a row, whatever its id.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_stream import _byte_of_char
+from .bpe_stream import Vocabulary, encode_chunk
 from .textkit import chunks, discard, ragged, stash, text_chunks, trim
 
 #: Pairs whose counts are broadcast (about 17 bytes each).
 COMMON = 2_000_000
 #: Units and links of units that a task remembers.
-KNOWN_UNITS, KNOWN_LINKS = 200_000, 4_000_000
+KNOWN_UNITS, KNOWN_LINKS = 300_000, 6_000_000
 #: Bytes of text handled together.
 CHUNK = 1 << 20
 #: Links scored together.
@@ -56,35 +56,35 @@ class Pair:
     """Both tokenizers, the bytes of their tokens, and whether texts can be cut before spaces."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        import json
-
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a = Vocabulary(path_a)
+        self.a.special = {}  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = _byte_of_char()
-        entries = self.a.get_vocab(with_added_tokens=True)
-        text_a = [b""] * (max(entries.values()) + 1)
-        for token, i in entries.items():
-            text_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         text_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.size_a, self.size_b = len(text_a), len(text_b)
-        self.bytes = [_Table(text_a), _Table(text_b)]
-        spec = json.loads(self.a.to_str())
-        plain = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
-        self.cuts = bool(plain) and not any(p[k] == _SPACE != p[k - 1] for p in pieces for k in range(1, len(p)))
+        self.size_a, self.size_b = self.a.size, len(text_b)
+        self.bytes = [_Table(self.a.bytes), _Table(text_b)]
+        # Decimals of ids, by side and by what follows: another id of the side, or the other side or group.
+        self.marks = _Table([b"%d%c" % (i, c) for n, ends in ((self.size_a, b",|"), (self.size_b, b",;")) for c in ends for i in range(n)])
+        self.cuts = not any(p[k] == _SPACE != p[k - 1] for p in pieces for k in range(1, len(p)))
 
-    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, units: list[bytes], data: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, number in each unit) of A and of B; every unit begins with the space that B adds itself."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [(np.fromiter((x for u in ids for x in u), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))) for ids in (a, b)]
+        a, at = encode_chunk(self.a, data, np.concatenate([[0], np.cumsum(sizes)]))
+        b = self.b.encode([u[1:].decode() for u in units], num_threads=1)
+        n = np.fromiter(map(len, b), np.int64, len(b))
+        return [(a.astype(np.int64), np.diff(at)), (np.fromiter(chain.from_iterable(b), np.int64, int(n.sum())), n)]
+
+    def written(self, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as text, ids of A and of B with their marks, and its bytes for each token's group in order."""
+        ends = [np.append(g[1:] != g[:-1], True)[:len(g)] for g in (ga, gb)]
+        mark = np.concatenate([a + self.size_a * ends[0], b + 2 * self.size_a + self.size_b * ends[1]])
+        group = np.concatenate([ga, gb])
+        order = np.argsort(group, kind="stable")
+        mark, group = mark[order], group[order]
+        size = self.marks.lengths[mark]
+        return self.marks.data[ragged(self.marks.offsets[mark], size)], np.bincount(group, weights=size).astype(np.int64)
 
 
 class _Table:
@@ -161,14 +161,6 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, a: np.ndarray, b: np.ndarray,
     return ends, ga, gb, np.stack([np.concatenate(code), np.concatenate(count)]), np.concatenate(group)
 
 
-def _texts_of(ids: np.ndarray, groups: np.ndarray, n: int) -> list[str]:
-    """Ids of each group, as decimals with commas."""
-    out: list[list[str]] = [[] for _ in range(n)]
-    for i, g in zip(ids.tolist(), groups.tolist()):
-        out[g].append(str(i))
-    return [",".join(x) for x in out]
-
-
 class Units:
     """What a task knows about units: their figures, group texts and linked pairs."""
 
@@ -180,7 +172,7 @@ class Units:
         self.place: dict[bytes, int] = {}
         self.figures = np.zeros((0, 4), np.int64)
         self.whole = np.zeros(0, bool)
-        self.groups: list[str] = []
+        self.text, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -197,7 +189,7 @@ class Units:
         pair, n = self.pair, len(units)
         sizes = np.fromiter(map(len, units), np.int64, n)
         data = np.frombuffer(b"".join(units), np.uint8)
-        (a, na), (b, nb) = pair.encode([u.decode() for u in units])
+        (a, na), (b, nb) = pair.encode(units, data, sizes)
         whole = pair.bytes[0].whole(a, na, data, sizes) & pair.bytes[1].whole(b, nb, data, sizes)
         a, b = a[np.repeat(whole, na)], b[np.repeat(whole, nb)]
         na, nb = np.where(whole, na, 0), np.where(whole, nb, 0)
@@ -205,9 +197,10 @@ class Units:
         owner = np.repeat(np.arange(n), na)  # of A tokens; every group has one
         of_group = owner[np.searchsorted(ga, np.arange(len(ends)))] if len(ends) else np.zeros(0, np.int64)
         n_groups = np.bincount(of_group, minlength=n)
-        one, two = _texts_of(a, ga, len(ends)), _texts_of(b, gb, len(ends))
-        joined = [f"{x}|{y}" for x, y in zip(one, two)]
-        upto = np.cumsum(n_groups)
+        text, size = pair.written(a, ga, b, gb)
+        size = np.bincount(of_group, weights=size, minlength=n).astype(np.int64)
+        self.begin = np.concatenate([self.begin, len(self.text) + np.cumsum(size) - size])
+        self.text, self.length = np.concatenate([self.text, text]), np.concatenate([self.length, size])
         # Linked pairs of a unit, each once, with how often.
         key = of_group[group]
         order = np.lexsort((pairs[0], key))
@@ -222,7 +215,6 @@ class Units:
         self.codes, self.times = np.concatenate([self.codes, code[new]]), np.concatenate([self.times, times])
         self.figures = np.concatenate([self.figures, np.stack([na, nb, n_groups, n_links], axis=1)])
         self.whole = np.concatenate([self.whole, whole])
-        self.groups += [";".join(joined[j - k:j]) for j, k in zip(upto.tolist(), n_groups.tolist())]
 
 
 def align(known: Units, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +234,10 @@ def align(known: Units, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     whole = np.ones(n, bool)
     whole[owner[~known.whole[place]]] = False
     figures = np.where(whole[:, None], np.add.reduceat(known.figures[place], bounds[:-1], axis=0), 0)
-    digests = [hashlib.sha256(";".join(map(known.groups.__getitem__, place[i:j].tolist())).encode()).hexdigest() if ok else "" for ok, i, j in zip(whole, bounds, bounds[1:])]
+    length = known.length[place]
+    text = known.text[ragged(known.begin[place], length)]
+    at = np.concatenate([[0], np.cumsum(length)])[bounds]
+    digests = [hashlib.sha256(text[i:j - 1]).hexdigest() if ok else "" for ok, i, j in zip(whole, at, at[1:])]  # without the last semicolon
     keep = whole[owner]
     place, owner = place[keep], owner[keep]
     many = known.many[place]
