@@ -124,13 +124,89 @@ def test_efforts_are_exact_above_the_grid(spark):
         v = groups[r["k"]]
         if r["mode"] != "rarefy":
             continue
-        m = next((m for m in range(1, sum(v)) if _coverage(v, m) >= 0.95), sum(v))
-        assert (r["effort_low"], r["effort"]) == (max(1, m - 1), m)
-        if m < sum(v):
-            assert r["weight"] == pytest.approx((0.95 - _coverage(v, m - 1)) / (_coverage(v, m) - _coverage(v, m - 1)))
-    equal = R.richness_at_coverage(df, ["k"]).collect()
-    assert len({round(r["target"], 12) for r in equal}) == 1 and all(r["c"] == pytest.approx(r["target"]) for r in equal)
-    assert all(r["ci_low"] <= r["ci_high"] for r in R.equal_coverage_table(df, ["k"], 3).collect())
+        m = next((m for m in range(1, sum(v)) if _coverage(v, m) >= r["target"] - 1e-12), sum(v) - 1)
+        assert (r["effort_low"], r["effort_high"]) == (max(1, m - 1), m)
+        low, high = _coverage(v, max(1, m - 1)), _coverage(v, m)
+        assert r["weight"] == pytest.approx((r["target"] - low) / (high - low), abs=1e-4)
+    assert len({round(r["target"], 12) for r in R.richness_at_coverage(df, ["k"]).collect()}) == 1
+
+
+def test_singletons_without_doubletons(spark):
+    """f2 = 0: coverage never grows beyond the sample, 1 - f1 / n."""
+    df = spark.createDataFrame([(k, str(i), c) for k, v in {"a": [1, 3], "b": [1, 1, 1, 7], "c": [1], "d": [5]}.items() for i, c in enumerate(v)], "k string, species string, n long")
+    grid = df.groupBy("k").agg(F.sum("n").alias("t")).select("k", F.explode(F.array("t", 2 * F.col("t"))).alias("m"))
+    got = {}
+    for r in R.extrapolated(df, grid, ["k"]).collect():
+        got.setdefault(r["k"], set()).add(round(r["c"], 9))
+    assert got == {"a": {0.75}, "b": {0.7}, "c": {0.0}, "d": {1.0}}
+    at = {r["k"]: r for r in R.richness_at_coverage(df.where("k <> 'c'"), ["k"]).collect()}
+    assert {k: r["mode"] for k, r in at.items()} == {"a": "rarefy", "b": "rarefy", "d": "rarefy"} and at["b"]["target"] == pytest.approx(0.7)
+    lone = R.richness_at_coverage(df.where("k = 'c'"), ["k"]).first()
+    assert lone["effort_high"] is None and lone["s"] is None  # one individual has no curve
+
+
+def test_incidence_is_abundance_with_other_totals(spark):
+    """Where each unit has one species, both are the same."""
+    df = spark.createDataFrame([("k", str(i), c) for i, c in enumerate([9, 5, 2, 2, 1, 1, 1])], "k string, species string, n long")
+    trials = spark.createDataFrame([("k", 21)], "k string, t long")
+    assert R.richness_at_coverage(df, ["k"], F.lit(0.8)).first() == R.richness_at_coverage(df, ["k"], F.lit(0.8), trials).first()
+
+
+def test_tables_of_windows(spark, ten):
+    """Point estimates lie inside bounded intervals; a window of one variant has no spread."""
+    for mode in ("population", "empirical"):
+        rows = R.richness_table(W.sliding(ten, 5, 5), ["window_id"], 3, mode=mode).collect()
+        assert len(rows) == 4 and all(r["ci_low"] == r["ci_high"] == r["s_hat"] == 1 for r in rows)
+    rows = R.equal_coverage_table(W.sliding(ten, 5, 5), ["window_id"], 3).collect()
+    assert len(rows) == 4 and all(r["s"] == r["ci_low"] == r["ci_high"] == 1 and r["c_max"] == 1 for r in rows)
+    with pytest.raises(ValueError):
+        R.richness_table(W.sliding(ten, 5, 5), ["window_id"], 3, mode="other")
+
+
+def test_binomial_draws(spark):
+    """Moments, exact inversion against sums, and a large number of trials without a step for each."""
+    from math import comb, sqrt
+
+    import numpy as np
+
+    from tracelens.operators.draws import binomial, uniform_text
+
+    df = spark.range(3000).select(F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(p).alias("p")) for n, p in ((7, 0.4), (90, 0.02), (60, 0.97))])).alias("x"), F.expr(uniform_text(5, "id")).alias("u")).select("x.*", "u")
+    got = df.withColumn("k", binomial("n", "p", "u")).toPandas()
+    for (n, p), g in got.groupby(["n", "p"]):
+        cdf = np.cumsum([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        assert (g["k"] == np.searchsorted(cdf, g["u"])).all()
+        assert abs(g["k"].mean() - n * p) < 5 * sqrt(n * p * (1 - p) / len(g))
+    large = spark.range(40).select(binomial("100000000", "0.25D", uniform_text(6, "id")).alias("k")).toPandas()["k"]
+    assert abs(large.mean() - 25_000_000) < 5 * sqrt(10**8 * 0.1875 / 40) and large.std() < 2 * sqrt(10**8 * 0.1875)
+    edges = spark.createDataFrame([(0, 0.5), (9, 0.0), (9, 1.0)], "n long, p double").select(binomial("n", "p", "0.3D").alias("k")).collect()
+    assert [r["k"] for r in edges] == [0, 0, 9]
+
+
+def test_multinomial_draws(spark):
+    """Counts sum to n under several sizes of tree; shares follow the weights; rows don't grow with n."""
+    from tracelens.operators.draws import multinomial
+
+    weights = spark.createDataFrame([("a", f"s{i}", float(i % 7 + 1)) for i in range(200)] + [("b", "x", 1.0), ("b", "y", 3.0), ("b", "z", 0.0)], "k string, species string, w double")
+    totals = spark.createDataFrame([("a", 3_000_000), ("b", 40), ("none", 0)], "k string, n long")
+    rows = multinomial(weights, totals, 6, ["k"], 3).toPandas()
+    sums = rows.groupby(["k", "replicate"])["n"].sum()
+    assert sorted(set(sums["a"])) == [3_000_000] and sorted(set(sums["b"])) == [40] and len(sums) == 12
+    assert len(rows) <= 6 * 202 and set(rows[rows["k"] == "b"]["species"]) == {"x", "y"}
+    mean = rows[rows["k"] == "a"].groupby("species")["n"].mean()
+    total = sum(i % 7 + 1 for i in range(200))
+    z = [(mean[f"s{i}"] - 3e6 * (i % 7 + 1) / total) / (3e6 * (i % 7 + 1) / total / 6) ** 0.5 for i in range(200)]
+    assert max(map(abs, z)) < 5 and 0.7 < (sum(x * x for x in z) / 200) ** 0.5 < 1.3
+
+
+def test_replicates_have_both_sides(spark, ten):
+    """Refitted populations and traces drawn again, under the same keys."""
+    from tracelens.operators.measures import all_measures
+
+    fits, traces = B.inext_replicates(W.sliding(ten, 5, 5), 3)
+    assert fits.count() == 2 * 3 * 3 and traces.groupBy("window_id", "replicate").count().select("count").distinct().collect()[0][0] == 5
+    done = all_measures(traces, ["window_id", "replicate"], ["number_of_traces", "number_of_distinct_traces"], fits)
+    assert done.count() == 6 and {tuple(r) for r in done.select("number_of_traces", "number_of_distinct_traces").collect()} == {(5, 1)}
 
 
 def test_intervals(spark):

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .richness import bootstrap_community
+from ..functions.scratch import materialize
+from .draws import multinomial
+from .richness import KIND, bootstrap_community, chao1
 from .sampling import draw
 
 
@@ -26,27 +27,28 @@ def trace_bootstrap(members: DataFrame, replicates: int, keys: Sequence[str] = (
 
 
 def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], seed: int = 11) -> DataFrame:
-    """Multinomial draws from each group's estimated community; unseen species are ``unseen:k``.
+    """Multinomial draws from each group's estimated community; unseen species are ``unseen:k``."""
+    keys = list(keys)
+    seen = bootstrap_community(counts, keys)
+    groups = materialize(seen.groupBy(*keys).agg(F.max("p0").alias("p0"), F.max("unseen_count").cast("long").alias("_k"), F.max("total").alias("n")))
+    hidden = groups.where("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_k")))
+    hidden = hidden.select(*keys, F.concat(F.lit("unseen:"), F.col("_i").cast("string")).alias("species"), (F.col("p0") / F.col("_k")).alias("w"))
+    whole = seen.select(*keys, "species", F.col("p").alias("w")).unionByName(hidden)
+    return multinomial(whole, groups.select(*keys, "n"), replicates, keys, seed)
+
 
-    The community becomes half-open intervals of [0, 1); a draw is a uniform number, and the
-    interval that holds it is found by an ordered merge of draws and bounds within a replicate of a group.
+def inext_replicates(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Replicates of windows with both of their sides, under the same keys and ``replicate``.
+
+    First the refitted populations (activities, pairs and variants drawn from each window's
+    estimated community, then fitted again), second the traces, drawn again with replacement.
+    So ``all_measures(traces, keys, population=fits)`` measures a replicate as it does a window.
     """
+    from .eventlog import species
+
     keys = list(keys)
-    seen = bootstrap_community(counts, keys)
-    hidden = seen.groupBy(*keys).agg(F.max("p0").alias("p0"), F.max("unseen_count").alias("_k"), F.max("total").alias("total")).where("_k > 0")
-    hidden = hidden.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k").cast("long")))).select(*keys, F.concat(F.lit("unseen:"), F.col("i")).alias("species"), (F.col("p0") / F.col("_k")).alias("p"), "total")
-    whole = seen.select(*keys, "species", "p", "total").unionByName(hidden)
-    upto = Window.partitionBy(*keys).orderBy("species").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = whole.withColumn("high", F.sum("p").over(upto)).withColumn("low", F.col("high") - F.col("p"))
-    draws = whole.groupBy(*keys).agg(F.max("total").alias("total"), F.sum("p").alias("all"))
-    draws = draws.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
-    draws = draws.withColumn("low", draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("slot")) / F.lit(float(1 << 32)) * F.col("all"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    both = bounds.select(*keys, each, "low", "species").unionByName(draws.select(*keys, "replicate", "low", F.lit(None).cast("string").alias("species")))
-    drawn = F.col("species").isNull()
-    last = Window.partitionBy(*keys, "replicate").orderBy("low", drawn).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_drawn", drawn).withColumn("species", F.last("species", ignorenulls=True).over(last)).where("_drawn")
-    return placed.groupBy(*keys, "replicate", "species").agg(F.count(F.lit(1)).alias("n"))
+    again = species_bootstrap(materialize(species(members, keys)), replicates, [*keys, KIND], seed)
+    return chao1(again, [*keys, KIND, "replicate"]), trace_bootstrap(members, replicates, keys, seed)
 
 
 def interval(values: DataFrame, keys: Sequence[str], method: str = "normal", level: float = 0.95) -> DataFrame:

@@ -66,46 +66,61 @@ def largest_remainder(weights: DataFrame, keys: Sequence[str], total: Column, we
     return out.withColumn("abundance", (F.col("_floor") + (rank <= left).cast("int")).cast("long")).drop("_share", "_floor")
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return log_gamma((n + 1).cast("double")) - log_gamma((k + 1).cast("double")) - log_gamma((n - k + 1).cast("double"))
+def sizes(counts: DataFrame, keys: Sequence[str], trials: DataFrame | None = None) -> DataFrame:
+    """What curves need of each group: t units, u incidences, species seen once and twice, seen at all and unseen (q0), and the factor ``a`` by which the unseen share shrinks.
 
+    ``counts``: keys, n.  With ``trials`` (keys, t) the counts are incidences, else abundances, whose units are individuals.
+    """
+    f = counts.groupBy(*keys).agg(F.sum("n").alias("u"), F.count_if(F.col("n") == 1).cast("double").alias("q1"), F.count_if(F.col("n") == 2).alias("q2"), F.count(F.lit(1)).alias("observed_count"))
+    f = f.join(trials.select(*keys, "t"), list(keys)) if trials is not None else f.withColumn("t", F.col("u"))
+    t, q1, q2 = F.col("t"), F.col("q1"), F.col("q2")
+    return f.withColumn("q0", unseen(t, q1, q2)).withColumn("a", F.coalesce((t - 1) * q1 / F.nullif((t - 1) * q1 + 2 * q2, F.lit(0.0)), F.lit(1.0)))
 
-def rarefied(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Expected species ``s`` and coverage ``c`` of m individuals (m < n), for a grid (keys, m).
 
-    Counts are first reduced to how many species have each count, so a grid point meets
-    distinct counts and not species.
-    """
-    return _rarefied(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")), grid, keys)
+def _repeats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many species have each count, so that a point of a curve meets distinct counts and not species."""
+    return counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k"))
 
 
-def _rarefied(kinds: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``kinds``: keys, n, _k (species with that count)."""
-    sizes = kinds.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_k")).alias("total"))
-    rows = grid.join(sizes, list(keys)).where(F.col("m") < F.col("total")).join(kinds, list(keys))
-    n, x, m = F.col("total"), F.col("n"), F.col("m")
-    rows = rows.withColumn("none", F.when(n - x >= m, F.exp(_log_choose(n - x, m) - _log_choose(n, m))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("cover", F.when(n - x >= m, x / n * F.exp(_log_choose(n - x, m) - _log_choose(n - 1, m))).otherwise(F.lit(0.0)))
+def _below(kinds: DataFrame, f: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Expected species ``s`` and coverage ``c`` of m units, fewer than seen."""
+    rows = grid.join(f.select(*keys, "t", "u"), list(keys)).where(F.col("m") < F.col("t")).join(kinds, list(keys))
+    t, x, m = F.col("t"), F.col("n"), F.col("m")
+    # ln of C(t - x, m) / C(t, m); a unit less gives the coverage.
+    ends = F.transform(F.array(t - x + 1, t - x - m + 1, t + 1, t - m + 1), lambda v: log_gamma(v.cast("double")))
+    rows = rows.withColumn("g", F.when(t - x >= m, ends)).withColumn("none", F.coalesce(F.exp(F.col("g")[0] - F.col("g")[1] - F.col("g")[2] + F.col("g")[3]), F.lit(0.0)))
+    rows = rows.withColumn("cover", x / F.col("u") * F.col("none") * t / (t - m))
     return rows.groupBy(*keys, "m").agg(F.sum(F.col("_k") * (1 - F.col("none"))).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sum(F.col("_k") * F.col("cover")))).alias("c"))
 
 
+def _above(f: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same of m units, as many as seen or more."""
+    rows = grid.join(f, list(keys)).where(F.col("m") >= F.col("t"))
+    t, q1, q0, more = F.col("t"), F.col("q1"), F.col("q0"), F.col("m") - F.col("t")
+    found = F.when(q0 > 0, q0 * (1 - F.pow(1 - q1 / (t * q0 + q1), more))).otherwise(F.lit(0.0))
+    c = 1 - q1 / F.col("u") * F.pow("a", more + 1)
+    return rows.select(*keys, "m", (F.col("observed_count") + found).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("c"))
+
+
+def rarefied(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Species and coverage of m < n individuals, for a grid (keys, m)."""
+    return _below(_repeats(counts, keys), sizes(counts, keys), grid, keys)
+
+
 def extrapolated(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Species and coverage of m >= n individuals."""
-    return _extrapolated(chao1(counts, keys), grid, keys)
+    return _above(sizes(counts, keys), grid, keys)
 
 
-def _extrapolated(f: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``f``: the groups' Chao1 fits."""
-    rows = grid.join(f, list(keys)).where(F.col("m") >= F.col("n"))
-    n, f1, f0, t = F.col("n"), F.col("f1"), F.col("f0_hat"), F.col("m") - F.col("n")
-    more = F.when(f0 > 0, f0 * (1 - F.pow(1 - f1 / (n * f0 + f1), t))).otherwise(F.lit(0.0))
-    c = F.when(t == 0, 1 - f1 / n * F.col("a_factor")).otherwise(1 - f1 / n * F.pow(F.col("a_factor"), t + 1))
-    return rows.select(*keys, "m", (F.col("observed_count") + more).alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("c"))
+def coverage_curve(counts: DataFrame, grid: DataFrame, keys: Sequence[str], trials: DataFrame | None = None) -> DataFrame:
+    """Both sides of the sample; of sampling units instead of individuals with ``trials``."""
+    f = sizes(counts, keys, trials)
+    return _below(_repeats(counts, keys), f, grid, keys).unionByName(_above(f, grid, keys))
 
 
-def coverage_curve(counts: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both sides of n."""
-    return rarefied(counts, grid, keys).unionByName(extrapolated(counts, grid, keys))
+def incidence_curve(incidence: DataFrame, trials: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Species and coverage of m sampling units, from incidence counts; ``trials``: keys, t."""
+    return coverage_curve(incidence, grid, keys, trials)
 
 
 def _least_effort(curve: Callable[[DataFrame], DataFrame], ask: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
@@ -132,9 +147,9 @@ def _least_effort(curve: Callable[[DataFrame], DataFrame], ask: DataFrame, keys:
 def effort_for_coverage(counts: DataFrame, keys: Sequence[str], target: float, steps: int = 200) -> DataFrame:
     """Least whole effort with coverage of at least ``target``: a search in rounds of ``steps`` points below n, the closed form above."""
     f = materialize(chao1(counts, keys))
-    kinds = materialize(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")))
+    kinds, seen = materialize(_repeats(counts, keys)), f.select(*keys, F.col("n").alias("t"), F.col("n").alias("u"))
     ask = f.where(F.col("coverage") >= target).select(*keys, F.lit(float(target)).alias("goal"), F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high"))
-    below = _least_effort(lambda grid: _rarefied(kinds, grid, keys), ask, keys, steps).select(*keys, F.col("high").alias("below"))
+    below = _least_effort(lambda grid: _below(kinds, seen, grid, keys), ask, keys, steps).select(*keys, F.col("high").alias("below"))
     n, f1, a = F.col("n"), F.col("f1"), F.col("a_factor")
     more = F.ceil(F.log(F.lit(1 - target) / (f1 / n)) / F.log(a) - 1)
     above = F.when((a > 0) & (a < 1), n + F.greatest(F.lit(1), more)).cast("long")
@@ -181,97 +196,156 @@ def hill_numbers_incidence(incidence: DataFrame, keys: Sequence[str]) -> DataFra
     return own.groupBy(*keys).agg(F.exp(-F.sum(F.col("_p") * F.log("_p"))).alias("hill_q1"), (1 / F.sum(F.col("_p") * F.col("_p"))).alias("hill_q2"))
 
 
-def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column | None = None, steps: int = 200) -> DataFrame:
-    """Richness of each group at equal coverage: by default the least coverage that all reach at twice their size.
+#: Coverages that differ by less are equal.
+SAME = 1e-12
 
-    ``target`` is at most c_max, the coverage at twice the size.  ``effort`` is the least whole
-    effort that reaches it, ``effort_low`` the one before; s and c lie between those of the two,
-    at ``weight`` of the way.  ``mode``: rarefy up to n, extrap above.
-    """
-    f = materialize(chao1(counts, keys))
-    kinds = materialize(counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k")))
 
-    def curve(grid: DataFrame) -> DataFrame:
-        return _rarefied(kinds, grid, keys).unionByName(_extrapolated(f, grid, keys))
+def richness_at_coverage(counts: DataFrame, keys: Sequence[str], target: Column | None = None, trials: DataFrame | None = None, within: Sequence[str] = (), most: float = 2.0, steps: int = 200) -> DataFrame:
+    """Richness of each group at equal coverage, and the two efforts that enclose it.
 
-    double = f.select(*keys, (2 * F.col("n")).alias("m"))
-    most = _extrapolated(f, double, keys).select(*keys, F.col("c").alias("c_max"))
-    if target is None:
-        target = F.lit(most.agg(F.min("c_max")).first()[0])
-    goals = f.select(*keys, "n").join(most, list(keys)).withColumn("target", F.least(target, "c_max"))
-    ask = goals.select(*keys, (F.col("target") - 1e-12).alias("goal"), F.lit(0).cast("long").alias("low"), (2 * F.col("n")).cast("long").alias("high"))
-    found = _least_effort(curve, ask, keys, steps).select(*keys, F.greatest(F.lit(1).cast("long"), "low").alias("effort_low"), F.col("high").alias("effort"))
-    at = curve(found.select(*keys, F.explode(F.array_distinct(F.array("effort_low", "effort"))).alias("m")))
-    ends = at.groupBy(*keys).agg(*[f_(x, "m").alias(f"_{x}{i}") for x in "sc" for i, f_ in enumerate((F.min_by, F.max_by))])
-    share = (F.col("target") - F.col("_c0")) / F.nullif(F.col("_c1") - F.col("_c0"), F.lit(0.0))
-    out = goals.join(found, list(keys)).join(ends, list(keys)).withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))))
-    mixed = [((1 - F.col("weight")) * F.col(f"_{x}0") + F.col("weight") * F.col(f"_{x}1")).alias(x) for x in "sc"]
-    mode = F.when(F.col("effort") <= F.col("n"), "rarefy").otherwise("extrap")
-    return out.select(*keys, "c_max", "effort", *mixed, "target", "effort_low", "weight", mode.alias("mode"))
+    ``c_max`` is the coverage at ``most`` times the group's size.  The target is the least c_max of
+    all groups (of all that share the keys ``within``), or ``target`` if that is less.  A group
+    whose sample covers it is rarefied: ``effort_high`` is the least number of units, below that
+    of the sample, that reaches it, ``effort_low`` the one before.  Else it is extrapolated, and efforts count
+    the units beyond the sample.  ``s`` lies between the species at both, at ``weight`` of
+    the way.  With ``trials`` (keys, t) the counts are incidences.  A sample of one unit has no curve: null.
+    """
+    keys = list(keys)
+    f = materialize(sizes(counts, keys, trials))
+    kinds = materialize(_repeats(counts, keys))
+    t, u, q1, a = F.col("t"), F.col("u"), F.col("q1"), F.col("a")
+    extra = F.floor((most - 1.0) * t).cast("long")
+    goals = f.select(*keys, "t", "u", "q1", "a", extra.alias("_extra"), (1 - q1 / u * a).alias("_c"), (1 - q1 / u * F.pow(a, extra + 1)).alias("c_max"))
+    table = list(within) or ["_all"]
+    goals = goals if within else goals.withColumn("_all", F.lit(0))
+    goals = goals.join(goals.groupBy(*table).agg(F.min("c_max").alias("_least")), table)
+    goals = goals.withColumn("target", F.least(*([target, F.col("_least")] if target is not None else ["_least", "c_max"])))
+    goals = materialize(goals.withColumn("mode", F.when(F.col("target") <= F.col("_c") + SAME, "rarefy").otherwise("extrap")))
+    inside = goals.where((F.col("mode") == "rarefy") & (t > 1))
+    ask = inside.select(*keys, (F.col("target") - SAME).alias("goal"), F.lit(0).cast("long").alias("low"), (t - 1).cast("long").alias("high"))
+    found = _least_effort(lambda grid: _below(kinds, f, grid, keys), ask, keys, steps)
+    one = F.lit(1).cast("long")
+    found = found.select(*keys, F.greatest(one, F.col("high") - 1).alias("effort_low"), F.col("high").alias("effort_high"))
+    rest = F.greatest((1 - F.col("target")) / F.nullif(q1 / u, F.lit(0.0)), F.lit(1e-16))
+    high = F.when((a <= 0) | (a >= 1), F.lit(0)).otherwise(F.least(F.greatest(F.lit(0), F.ceil(F.log(rest) / F.log(a) - 1e-9) - 1), F.col("_extra"))).cast("long")
+    beyond = goals.where("mode = 'extrap'").withColumn("effort_high", high)
+    found = found.unionByName(beyond.select(*keys, F.greatest(F.lit(0).cast("long"), F.col("effort_high") - 1).alias("effort_low"), "effort_high"))
+    at = goals.join(found, keys, "left")
+    base = F.when(F.col("mode") == "extrap", t).otherwise(F.lit(0))
+    at = materialize(at.withColumn("_m0", base + F.col("effort_low")).withColumn("_m1", base + F.col("effort_high")))
+    grid = at.where("_m1 is not null").select(*keys, F.explode(F.array_distinct(F.array("_m0", "_m1"))).alias("m"))
+    curve = _below(kinds, f, grid, keys).unionByName(_above(f, grid, keys))
+    ends = curve.groupBy(*keys).agg(*[f_(x, "m").alias(f"_{x}{i}") for x in "sc" for i, f_ in enumerate((F.min_by, F.max_by))])
+    step = F.col("_c1") - F.col("_c0")
+    weight = F.when(F.abs(step) > SAME, (F.col("target") - F.col("_c0")) / step).otherwise(F.lit(0.0))
+    out = at.join(ends, keys, "left").withColumn("weight", F.when(F.col("_m1").isNotNull(), weight))
+    return out.select(*keys, "c_max", "target", "mode", "effort_low", "effort_high", "weight", ((1 - F.col("weight")) * F.col("_s0") + F.col("weight") * F.col("_s1")).alias("s"))
+
+
+# ---------------------------------------------------------------- tables with intervals, for variants and directly-follows pairs
+
+MODELS = {"variant": "abundance", "dfg_edge": "incidence"}
+
+
+def both_models(members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts (keys, species_kind, species, n) of variants by abundance and of pairs by incidence, and their numbers of traces (keys, species_kind, t)."""
+    from .eventlog import edge_incidence, variants
 
+    kinds = variants(members, keys)
+    one = kinds.select(*keys, F.lit("variant").alias(KIND), F.to_json("acts").alias("species"), "n")
+    two = edge_incidence(kinds, keys).select(*keys, F.lit("dfg_edge").alias(KIND), F.to_json(F.array("a", "b")).alias("species"), "n")
+    kind = F.explode(F.array(*[F.lit(k) for k in MODELS])).alias(KIND)
+    return one.unionByName(two), kinds.groupBy(*keys).agg(F.sum("n").alias("t")).select(*keys, kind, "t")
 
-# ---------------------------------------------------------------- incidence curves, tables with intervals
 
-def incidence_curve(incidence: DataFrame, trials: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Species ``s`` and coverage ``c`` of m sampling units, below and above the t units seen.
+def asymptotic(counts: DataFrame, trials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chao1 of variants, Chao2 of pairs: sizes, richness, completeness and coverage (keys include the kind)."""
+    take = ["observed_count", "f1", "f2", "s_hat", "c0", "c1"]
+    one = chao1_plain(counts.where(F.col(KIND) == "variant"), keys).select(*keys, *take)
+    two = chao2(counts.where(F.col(KIND) == "dfg_edge"), trials, keys).withColumnsRenamed({"q1": "f1", "q2": "f2"}).select(*keys, *take)
+    return one.unionByName(two)
 
-    ``incidence``: keys, species columns, n (units with the species); ``trials``: keys, t.
-    """
-    totals = incidence.groupBy(*keys).agg(F.sum("n").alias("_u"), F.count_if(F.col("n") == 1).cast("double").alias("_q1"), F.count_if(F.col("n") == 2).alias("_q2"), F.count(F.lit(1)).alias("_s")).join(trials, list(keys))
-    kinds = incidence.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_k"))
-    t, y, m, u = F.col("t"), F.col("n"), F.col("m"), F.col("_u")
-    rows = grid.join(totals, list(keys)).where(m < t).join(kinds, list(keys))
-    fits = t - y >= m
-    rows = rows.withColumn("_none", F.when(fits, F.exp(_log_choose(t - y, m) - _log_choose(t, m))).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("_miss", F.when(fits, y / u * F.exp(_log_choose(t - y, m) - _log_choose(t - 1, m))).otherwise(F.lit(0.0)))
-    below = rows.groupBy(*keys, "m").agg(F.sum(F.col("_k") * (1 - F.col("_none"))).alias("s"), (1 - F.sum(F.col("_k") * F.col("_miss"))).alias("c"))
-    q1, q2 = F.col("_q1"), F.col("_q2")
-    q0 = F.when(q2 > 0, (t - 1) / t * q1 * q1 / F.nullif(2 * q2, F.lit(0))).otherwise((t - 1) / t * q1 * (q1 - 1) / 2)
-    a = F.when(q1 == 0, F.lit(0.0)).when(q2 > 0, (t - 1) * q1 / F.nullif((t - 1) * q1 + 2 * q2, F.lit(0.0))).otherwise(F.lit(1.0))
-    more = F.when(q0 > 0, q0 * (1 - F.pow(1 - q1 / (t * q0 + q1), m - t))).otherwise(F.lit(0.0))
-    above = grid.join(totals, list(keys)).where(m >= t).select(*keys, "m", (F.col("_s") + more).alias("s"), (1 - q1 / u * F.pow(a, m - t + 1)).alias("c"))
-    return below.unionByName(above)
-
-
-def richness_table(members: DataFrame, keys: Sequence[str], replicates: int, resample=None, bound: bool = False) -> DataFrame:
-    """Richness of variants (Chao1) and of directly-follows pairs (Chao2) of each window, with bootstrap intervals.
 
-    ``resample``: members, replicates, keys -> members with one more key, ``replicate``; by
-    default traces are drawn with replacement.  ``bound`` keeps intervals at or above what was seen.
-    """
-    from .eventlog import edge_incidence, variants
-    from .resample import interval, trace_bootstrap
+def population_replicates(counts: DataFrame, trials: DataFrame, keys: Sequence[str], replicates: int, seed: int = 17) -> DataFrame:
+    """Counts of replicates of the estimated population: keys, replicate, species, n.
 
-    def both(m: DataFrame, by: list[str]) -> DataFrame:
-        kinds = variants(m, by)
-        take = ["observed_count", "s_hat", "c0", "c1"]
-        one = chao1_plain(kinds.select(*by, "n"), by).select(*by, F.lit("variant").alias(KIND), *take)
-        two = chao2(edge_incidence(kinds, by), kinds.groupBy(*by).agg(F.sum("n").alias("t")), by).select(*by, F.lit("dfg_edge").alias(KIND), *take)
-        return one.unionByName(two)
+    Seen species keep 1 - u of their share, u being what the sample doesn't cover; it is spread evenly over
+    as many unseen species as the estimate has more than were seen.  Abundances are one multinomial
+    draw, so that a replicate has the sample's size; incidences are a binomial draw of t for each species.
+    """
+    from .draws import binomial, multinomial, uniform_text
 
     keys = list(keys)
-    again = both((resample or trace_bootstrap)(members, replicates, keys), [*keys, "replicate"])
-    bounds = interval(again.select(*keys, KIND, F.col("s_hat").alias("value")), [*keys, KIND], "percentile").select(*keys, KIND, "ci_low", "ci_high")
-    out = both(members, keys).join(bounds, [*keys, KIND], "left")
-    return out.withColumn("ci_low", F.greatest("ci_low", "observed_count")).withColumn("ci_high", F.greatest("ci_high", "observed_count")) if bound else out
+    fit = asymptotic(counts, trials, keys).join(trials, keys).select(*keys, "t", F.greatest(F.lit(0.0), 1 - F.col("c1")).alias("_u"), F.greatest(F.lit(0), F.bround(F.col("s_hat") - F.col("observed_count"), 0)).cast("long").alias("_d"))
+    fit = materialize(fit)
+    seen = counts.join(fit, keys).select(*keys, "species", "t", ((1 - F.col("_u")) * F.col("n") / F.col("t")).alias("w"))
+    none = fit.where("_d > 0 and _u > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_d")))
+    none = none.select(*keys, F.concat(F.lit("unseen:"), F.col("_i").cast("string")).alias("species"), "t", (F.col("_u") / F.col("_d")).alias("w"))
+    whole = seen.unionByName(none)
+    one = multinomial(whole.where(F.col(KIND) == "variant"), trials.where(F.col(KIND) == "variant").select(*keys, F.col("t").alias("n")), replicates, keys, seed)
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    two = whole.where(F.col(KIND) == "dfg_edge").select(*keys, "species", "t", F.least("w", F.lit(1.0)).alias("w"), each)
+    two = two.select(*keys, "replicate", "species", binomial("t", "w", uniform_text(seed, *keys, "replicate", "species")).alias("n")).where("n > 0")
+    return one.unionByName(two)
 
 
-def equal_coverage_table(counts: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
-    """Richness of each group at the coverage that all reach, with an interval at that fixed effort, and Hill numbers.
+def richness_table(members: DataFrame, keys: Sequence[str], replicates: int, mode: str = "population", resample=None, bound: bool = True, level: float = 0.95) -> DataFrame:
+    """Richness of variants (Chao1) and of directly-follows pairs (Chao2) of each window, with bootstrap intervals.
 
-    Every replicate is measured at the two efforts of the group itself and mixed with its weight.
+    ``population``: replicates of the estimated population.  ``empirical``: traces drawn with
+    replacement, or by ``resample`` (members, replicates, keys -> members with one more key,
+    ``replicate``).  ``bound`` keeps the interval at or above what was seen and around the estimate.
     """
-    from .resample import interval, species_bootstrap
+    from .resample import interval, trace_bootstrap
 
-    keys = list(keys)
-    at = materialize(richness_at_coverage(counts, keys))
-    again = species_bootstrap(counts, replicates, keys)
-    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    points = at.select(*keys, F.explode(F.map_from_entries(F.array_distinct(F.array(
-        F.struct("effort", F.when(F.col("effort") == F.col("effort_low"), F.lit(1.0)).otherwise(F.col("weight")).alias("w")),
-        F.struct(F.col("effort_low").alias("effort"), F.when(F.col("effort") == F.col("effort_low"), F.lit(1.0)).otherwise(1 - F.col("weight")).alias("w")),
-    )))).alias("m", "_w"))
-    curve = coverage_curve(again, points.select(*keys, each, "m"), [*keys, "replicate"]).join(points, [*keys, "m"])
-    mixed = curve.groupBy(*keys, "replicate").agg(F.sum(F.col("s") * F.col("_w")).alias("value"))
-    bounds = interval(mixed, keys).select(*keys, "ci_low", "ci_high")
-    return at.join(bounds, keys, "left").join(hill_numbers(counts, keys), keys)
+    if mode not in ("population", "empirical"):
+        raise ValueError(f"unknown mode {mode!r}")
+    own, again = [*keys, KIND], [*keys, KIND, "replicate"]
+    counts, trials = both_models(members, keys)
+    counts, trials = materialize(counts), materialize(trials)
+    if mode == "empirical":
+        values = asymptotic(*both_models((resample or trace_bootstrap)(members, replicates, list(keys)), [*keys, "replicate"]), again)
+    else:
+        drawn = population_replicates(counts, trials, own, replicates)
+        every = counts.select(*own).distinct().select(*own, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        f1, f2 = F.count_if(F.col("n") == 1).cast("double"), F.count_if(F.col("n") == 2)
+        part = F.when(F.col(KIND) == "dfg_edge", (F.col("t") - 1) / F.col("t")).otherwise(F.lit(1.0))
+        found = drawn.groupBy(*again).agg(F.count(F.lit(1)).alias("_s"), f1.alias("_1"), f2.alias("_2"))
+        values = every.join(found, again, "left").na.fill(0, ["_s", "_1", "_2"]).join(trials, own)  # none at all is a replicate too
+        values = values.withColumn("s_hat", F.col("_s") + F.when(F.col("_2") > 0, part * F.col("_1") * F.col("_1") / F.nullif(2 * F.col("_2"), F.lit(0))).otherwise(F.col("_1") * (F.col("_1") - 1) / 2))
+    bounds = interval(values.select(*own, F.col("s_hat").alias("value")), own, "percentile", level).select(*own, "ci_low", "ci_high", F.col("mean").alias("boot_mean"))
+    total = counts.groupBy(*own).agg(F.sum("n").alias("u"))
+    span = members.groupBy(*keys).agg(F.min("trace_index").alias("window_start"), F.max("trace_index").alias("window_end"))
+    out = asymptotic(counts, trials, own).join(bounds, own, "left").join(trials, own).join(total, own).join(span, list(keys))
+    if bound:
+        out = out.withColumn("ci_low", F.least(F.greatest("ci_low", "observed_count"), "s_hat")).withColumn("ci_high", F.greatest("ci_high", "s_hat"))
+    return out.select(*own, "window_start", "window_end", "observed_count", "f1", "f2", "s_hat", "ci_low", "ci_high", "boot_mean", "c0", "c1", "t", "u")
+
+
+def equal_coverage_table(members: DataFrame, keys: Sequence[str], replicates: int, within: Sequence[str] = (), target: Column | None = None, most: float = 2.0, level: float = 0.95) -> DataFrame:
+    """Richness of variants and of pairs of each window at the coverage that all windows reach, with an interval at fixed effort, and Hill numbers.
+
+    A replicate draws the window's traces again and is measured at the two efforts of the window
+    itself, mixed with its weight; rarefied efforts stay below the replicate's own traces.
+    """
+    from .resample import interval, trace_bootstrap
+
+    keys, own = list(keys), [*keys, KIND]
+    again = [*own, "replicate"]
+    counts, trials = both_models(members, keys)
+    counts, trials = materialize(counts), materialize(trials)
+    at = materialize(richness_at_coverage(counts, own, target, trials, [*within, KIND], most))
+    drawn, units = both_models(trace_bootstrap(members, replicates, keys), [*keys, "replicate"])
+    drawn, units = materialize(drawn), materialize(units)
+    ends = F.explode(F.array(F.struct(F.col("effort_low").alias("e"), (1 - F.col("weight")).alias("w")), F.struct(F.col("effort_high").alias("e"), F.col("weight").alias("w")))).alias("x")
+    points = units.join(at.where("weight is not null").select(*own, "mode", ends), own)
+    inside = F.when(F.col("t") > 1, F.least(F.greatest(F.col("x.e"), F.lit(1)), F.col("t") - 1)).otherwise(F.col("t"))
+    points = points.select(*again, F.when(F.col("mode") == "rarefy", inside).otherwise(F.col("t") + F.col("x.e")).alias("m"), F.col("x.w").alias("_w"))
+    points = materialize(points.groupBy(*again, "m").agg(F.sum("_w").alias("_w")))
+    curve = coverage_curve(drawn, points.select(*again, "m"), again, units).join(points, [*again, "m"])
+    values = curve.groupBy(*again).agg(F.sum(F.col("s") * F.col("_w")).alias("value"))
+    bounds = interval(values, own, "percentile", level).select(*own, "ci_low", "ci_high", F.col("mean").alias("boot_mean"))
+    hill = hill_numbers(counts.where(F.col(KIND) == "variant"), own).unionByName(hill_numbers_incidence(counts.where(F.col(KIND) == "dfg_edge"), own))
+    span = members.groupBy(*keys).agg(F.min("trace_index").alias("window_start"), F.max("trace_index").alias("window_end"))
+    out = asymptotic(counts, trials, own).drop("f1", "f2").join(hill, own).join(at, own).join(bounds, own, "left").join(span, keys)
+    return out.select(*own, "window_start", "window_end", "observed_count", "s_hat", "hill_q1", "hill_q2", "c0", "c1", "target", "mode", "effort_low", "effort_high", "weight", "s", "ci_low", "ci_high", "boot_mean", "c_max")

@@ -434,7 +434,7 @@ def rarefaction(spark, d):
 
 @query(f"""with {FREQ}, gm as (select *, unnest([n, 2 * n]) as m from c1)
  select log, species_kind, m, round(observed_count + case when f0 > 0 then f0 * (1 - power(1 - f1 / (n * f0 + f1), m - n)) else 0 end, 6) as s,
- round(case when m = n then 1 - f1 / n * a else 1 - f1 / n * power(a, m - n + 1) end, 6) as c from gm""")
+ round(1 - f1 / n * power(case when (n - 1) * f1 + 2 * f2 > 0 then (n - 1) * f1 / ((n - 1) * f1 + 2 * f2) else 1 end, m - n + 1), 6) as c from gm""")
 def extrapolation(spark, d):
     counts = _species(spark, d)
     sizes = R.frequencies(counts, KINDS).select(*KINDS, F.explode(F.array("n", 2 * F.col("n"))).alias("m"))
@@ -477,17 +477,6 @@ def incidence_curve(spark, d):
     return six(R.incidence_curve(L.edge_incidence(kinds, ["log"]), trials, grid, ["log"]))
 
 
-@query()
-def richness_table(spark, d):
-    rows = ev_traces(spark, d)
-    return R.richness_table(W.by_change_points(rows, _points(spark, rows), lenient=True), ["window_id"], 20, bound=True)
-
-
-@query()
-def equal_coverage_table(spark, d):
-    return R.equal_coverage_table(_species(spark, d), KINDS, 20)
-
-
 @query(f"""with {CO}, ic as (select log, a, b, sum(n) as n from (select distinct log, acts, n, a, b from cp) group by 1, 2, 3), p as (select log, n / sum(n) over (partition by log) as p from ic)
  select log, round(exp(-sum(p * ln(p))), 6) as hill_q1, round(1 / sum(p * p), 6) as hill_q2 from p group by 1""")
 def hill_numbers_incidence(spark, d):
@@ -500,11 +489,6 @@ def hill_numbers(spark, d):
     return six(R.hill_numbers(_species(spark, d), KINDS))
 
 
-@query()
-def richness_at_equal_coverage(spark, d):
-    return R.richness_at_coverage(_species(spark, d), KINDS)
-
-
 @query(f"""with {FREQ}, p as (select log, max(case when species_kind = 'activity' then observed_count + ceil(f0) end) as v, max(case when species_kind = 'variant' then observed_count + ceil(f0) end) as t,
  max(case when species_kind = 'dfg_edge' then observed_count + ceil(f0) end) as e from c1 group by 1), n as (select log, sum(n) as n from cv group by 1)
  select log, cast(v as bigint) as number_of_distinct_activities, cast(t as bigint) as number_of_distinct_traces, cast(e as bigint) as number_of_distinct_directly_follows_relations, round(t / n, 6) as percentage_of_distinct_traces,
@@ -538,13 +522,6 @@ def trace_bootstrap_percentiles(spark, d):
     return six(B.interval(_boot(spark, d), ["window_id", "metric"], "percentile"))
 
 
-@query()
-def species_bootstrap_interval(spark, d):
-    again = B.species_bootstrap(_species(spark, d), 20, KINDS)
-    fit = R.chao1(again, [*KINDS, "replicate"])
-    return B.interval(fit.select(*KINDS, "replicate", F.col("s_asymptotic").alias("value")), KINDS)
-
-
 # ---------------------------------------------------------------- normalizers
 
 NORM_SQL = VAR + ", " + BASIC_SQL + ", " + PREFIX.replace(' S,', ' sa,').replace(' M,', ' ma,').replace(' K from', ' ka from') + """,
@@ -863,3 +840,7 @@ def measures_with_metadata(spark, d):
     rows = M.unpivot(M.all_measures(ev_windows(spark, d), wanted=["number_of_events", "structure"]), ["window_id"])
     meta = metric_table(spark).select(F.col("column").alias("metric"), "basis", "dimension")
     return T.rounded(rows.join(F.broadcast(meta), "metric").select("window_id", "metric", "basis", "dimension", "value"))
+
+
+# Queries of other modules, which use what stands above.
+from . import estimate_queries  # noqa: E402, F401
