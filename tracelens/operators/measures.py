@@ -64,20 +64,38 @@ def deviation_from_random(kinds: DataFrame, keys: Sequence[str] = ("window_id",)
     return seen.select(*keys, value.alias("deviation_from_random"))
 
 
+#: Rows of a window that one task holds, of each of two blocks.
+BLOCK = 2000
+
+
+def block_pairs(rows: DataFrame, keys: Sequence[str], unique: str) -> DataFrame:
+    """Every two different rows of a group once: keys, and columns of both as structs ``a`` and ``b``.
+
+    Rows of a large group are salted into blocks by a hash of the column ``unique``; a pair of blocks is a key
+    of the join, so that no task holds more than two blocks and what follows is summed there.
+    """
+    keys, rest = list(keys), [c for c in rows.columns if c not in keys]
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_b"))
+    placed = rows.join(sizes, keys).select(*keys, F.struct(*rest).alias("x"), "_b", F.pmod(F.xxhash64(unique), F.col("_b")).cast("int").alias("_own"))
+    a = placed.select(*keys, F.col("x").alias("a"), F.col("_own").alias("_lo"), F.explode(F.sequence("_own", F.col("_b") - 1)).alias("_hi"))
+    b = placed.select(*keys, F.col("x").alias("b"), F.explode(F.sequence(F.lit(0), "_own")).alias("_lo"), F.col("_own").alias("_hi"))
+    both = a.join(b, [*keys, "_lo", "_hi"]).where((F.col("_lo") < F.col("_hi")) | (F.col(f"a.{unique}") < F.col(f"b.{unique}")))
+    return both.drop("_lo", "_hi")
+
+
 def average_affinity(kinds: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """Mean Jaccard similarity of the activity sets of two different traces; null below two traces.
 
     Only distinct activity sets are compared, not traces or variants: there are few, as a set
     forgets order and repetition.
     """
+    keys = list(keys)
     sets = kinds.select(*keys, "n", F.array_sort(F.array_distinct("acts")).alias("s")).groupBy(*keys, "s").agg(F.sum("n").alias("n"))
     total = sets.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.col("n") - 1)).cast("double").alias("same"))
-    a, b = sets.alias("a"), sets.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.s") < F.col("b.s")]
     both = F.size(F.array_intersect("a.s", "b.s"))
     near = F.when(F.size("a.s") + F.size("b.s") == 0, F.lit(1.0)).otherwise(both / (F.size("a.s") + F.size("b.s") - both))
-    cross = a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.sum(2 * F.col("a.n") * F.col("b.n") * near).alias("cross"))
-    out = total.join(cross, list(keys), "left")
+    cross = block_pairs(sets, keys, "s").groupBy(*keys).agg(F.sum(2 * F.col("a.n") * F.col("b.n") * near).alias("cross"))
+    out = total.join(cross, keys, "left")
     return out.select(*keys, F.when(F.col("t") > 1, (F.col("same") + F.coalesce("cross", F.lit(0.0))) / (F.col("t") * (F.col("t") - 1))).alias("average_affinity"))
 
 
@@ -107,17 +125,12 @@ def encode_variants(kinds: DataFrame) -> DataFrame:
 def average_edit_distance(kinds: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """Mean Levenshtein distance of two different traces, in activities; null below two traces.
 
-    A distance is worked out once for each pair of variants that meet in some window, then
-    joined to all windows in which they do.
+    Distances are summed where they are worked out: pairs of variants are no rows of a shuffle.
     """
-    codes = encode_variants(kinds)
-    coded = kinds.join(codes, "acts").select(*keys, "code", "n")
-    a, b = coded.alias("a"), coded.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.code") < F.col("b.code")]
-    met = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.code").alias("x"), F.col("b.code").alias("y"), (F.col("a.n") * F.col("b.n")).alias("w"))
-    apart = met.select("x", "y").distinct().withColumn("d", F.levenshtein("x", "y"))
-    summed = met.join(apart, ["x", "y"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("d")).alias("d"))
-    total = kinds.groupBy(*keys).agg(F.sum("n").alias("t")).join(summed, list(keys), "left")
+    keys = list(keys)
+    coded = kinds.join(encode_variants(kinds), "acts").select(*keys, "code", "n")
+    summed = block_pairs(coded, keys, "code").groupBy(*keys).agg(F.sum(F.col("a.n") * F.col("b.n") * F.levenshtein("a.code", "b.code")).alias("d"))
+    total = kinds.groupBy(*keys).agg(F.sum("n").alias("t")).join(summed, keys, "left")
     return total.select(*keys, F.when(F.col("t") > 1, F.coalesce("d", F.lit(0)) / (F.col("t") * (F.col("t") - 1) / 2)).alias("average_edit_distance"))
 
 

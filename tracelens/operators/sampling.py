@@ -6,13 +6,12 @@ and can be checked in any SQL engine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.scratch import materialize
 from .windows import _count
 
 
@@ -41,7 +40,7 @@ def sample_random(rows: DataFrame, sizes: Sequence[int], samples: int, policy: s
     """``samples`` samples of each size.
 
     within_and_across: with replacement everywhere.  within_only: no trace twice in a sample.
-    none: no trace twice at all; the log is permuted once and cut, sample after sample.
+    none: no trace twice at all; one permutation of the log is cut, sample after sample.
     """
     if policy not in ("within_and_across", "within_only", "none"):
         raise ValueError(f"unknown policy {policy!r}")
@@ -53,44 +52,44 @@ def sample_random(rows: DataFrame, sizes: Sequence[int], samples: int, policy: s
         return _with_traces(places, rows)
     if n and samples > 0 and sizes and (max(sizes) > n if policy == "within_only" else samples * sum(sizes) > n):
         raise ValueError("not enough traces to sample without replacement")
+    slots = grid.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sample_size").cast("long") - 1)))
     if policy == "within_only":
-        return _with_traces(_least_draws(grid, n, seed), rows)
-    from .eventlog import index_traces
-
-    mixed = rows.select("trace_index", draw(seed, F.col("trace_index")).alias("start_ts"), F.col("trace_index").alias("case_id"))
-    mixed = index_traces(mixed.withColumnRenamed("trace_index", "own")).select(F.col("own"), F.col("trace_index").alias("place"))
-    total = sum(sizes)
+        return _with_traces(slots.withColumn("trace_index", permuted("pos", n, seed, "sample_no", "sample_size")), rows)
     before, starts = 0, []
     for s in sizes:
         starts.append((s, before))
         before += s
     first = F.coalesce(*[F.when(F.col("sample_size") == s, F.lit(b)) for s, b in starts]) if starts else F.lit(0)
-    cuts = grid.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sample_size").cast("long") - 1)))
-    cuts = cuts.withColumn("place", F.col("sample_no") * total + first + F.col("pos"))
-    return _with_traces(cuts.join(mixed, "place").withColumnRenamed("own", "trace_index"), rows)
+    places = slots.withColumn("place", F.col("sample_no") * before + first + F.col("pos"))
+    return _with_traces(places.withColumn("trace_index", permuted("place", n, seed)).drop("place"), rows)
+
+
+#: Rounds of a permutation, and passes after which one that has not come back inside is an error (with n above 10,000 less likely than 1 in 10**128).
+ROUNDS, PASSES = 6, 64
 
 
-def _least_draws(grid: DataFrame, n: int, seed: int) -> DataFrame:
-    """Of each sample the traces with its sample_size least draws, and their rank (pos).
+def permuted(x: str, n: int, seed: int, *keys: str) -> Column:
+    """Where a permutation of [0, n) takes column ``x``; the columns ``keys`` choose the permutation.
 
-    Draws are uniform, so all but a few samples have enough of them below a bound a little (six
-    standard deviations) above the share wanted; only those are ranked.  Samples that have not
-    are ranked whole.
+    A number is a pair (x div b, x mod b) below (a, b), a b just above n.  Each round moves one part by a draw
+    from the other, which can be undone, so all rounds are a permutation of [0, a b); passes repeat
+    until the number is below n.  So one place of a sample is one expression, whatever n.
     """
-    def ranked(some: DataFrame, bound: Column | None) -> DataFrame:
-        every = some.withColumn("trace_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))))
-        every = every.withColumn("d", draw(seed, F.col("sample_no"), F.col("sample_size"), F.col("trace_index")))
-        every = every if bound is None else every.where(F.col("d") < bound)
-        order = Window.partitionBy("sample_no", "sample_size").orderBy("d", "trace_index")
-        return every.withColumn("pos", F.row_number().over(order).cast("long") - 1).where(F.col("pos") < F.col("sample_size")).drop("d")
-
-    size = F.col("sample_size").cast("double")
-    places = materialize(ranked(grid, (size + 6 * F.sqrt(size) + 20) / max(n, 1) * float(1 << 32)))
-    full = places.groupBy("sample_no", "sample_size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("sample_size"))
-    short = grid.join(full, ["sample_no", "sample_size"], "left_anti")
-    if short.isEmpty():
-        return places
-    return places.join(full.drop("_n"), ["sample_no", "sample_size"], "left_semi").unionByName(ranked(short, None))
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    key = ", ".join(f"cast({k} as string)" for k in keys)
+
+    def one(start: str) -> str:
+        """Parts l and r of the number in turn, as nested bindings."""
+        text = f"_l{ROUNDS // 2} * {b} + _r{ROUNDS // 2}"
+        for i in reversed(range(ROUNDS)):
+            own, other, wide = ("l", f"_r{i // 2}", a) if i % 2 == 0 else ("r", f"_l{i // 2 + 1}", b)
+            drawn = f"cast(conv(substring(md5(concat_ws(':', '{seed}'{', ' + key if key else ''}, '{i}', cast({other} as string))), 1, 8), 16, 10) as bigint)"
+            text = f"transform(array((_{own}{i // 2} + {drawn}) % {wide}), _{own}{i // 2 + 1} -> {text})[0]"
+        return f"transform(array({start}), _x -> transform(array(_x div {b}), _l0 -> transform(array(_x % {b}), _r0 -> {text})[0])[0])[0]"
+
+    passed = f"aggregate(sequence(1, {PASSES}), {one(f'cast({x} as bigint)')}, (y, i) -> if(y < {n}, y, {one('y')}))"
+    return F.expr(f"transform(array({passed}), z -> if(z < {n}, z, cast(raise_error('no place found in a permutation') as bigint)))[0]")
 
 
 def sample_consecutive(rows: DataFrame, sizes: Sequence[int], samples: int, seed: int = 123) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scratch import materialize
 from ..functions.special import correlation_pvalue, normal_two_sided, t_pvalue
 
 
@@ -15,9 +16,22 @@ def _finite(c: Column) -> Column:
     return F.when((F.abs(c) < float("inf")) & ~F.isnan(c), c)
 
 
-def _average_rank(value: str, keys: Sequence[str]) -> Column:
-    own = Window.partitionBy(*keys)
-    return F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    """``rows`` with the average rank of ``value`` in its group, as ``out``.
+
+    Values are counted first.  Different ones are sorted by group and value into ranges, written
+    once; a value's rank is its place in its range and what the group has in ranges before, which is
+    a table of a row for each group and range.  So no task sorts or holds a whole group.
+    """
+    keys = list(keys)
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
+    ordered = materialize(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*keys, "_part").agg(F.sum("_t").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranks = ordered.withColumn("_in", F.coalesce(F.sum("_t").over(inside), F.lit(0))).join(parts.select(*keys, "_part", "_before"), [*keys, "_part"])
+    ranks = ranks.select(*keys, value, (F.col("_before") + F.col("_in") + (F.col("_t") + 1) / 2).alias(out))
+    return rows.join(ranks, [*keys, value])
 
 
 def _corr(x: str, y: str) -> Column:
@@ -29,7 +43,7 @@ def _corr(x: str, y: str) -> Column:
 def size_correlations(raw: DataFrame, keys: Sequence[str] = ("metric",)) -> DataFrame:
     """Pearson and Spearman correlation of sample size and value, with p-values."""
     rows = raw.select(*keys, F.col("sample_size").cast("double").alias("x"), _finite(F.col("value").cast("double")).alias("y")).where("y is not null")
-    ranked = rows.withColumn("rx", _average_rank("x", keys)).withColumn("ry", _average_rank("y", keys))
+    ranked = average_ranks(average_ranks(rows, "x", keys, "rx"), "y", keys, "ry")
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson_rho"), _corr("rx", "ry").alias("spearman_rho"))
     return out.withColumn("pearson_p", correlation_pvalue(F.col("pearson_rho"), F.col("n").cast("double"))).withColumn("spearman_p", correlation_pvalue(F.col("spearman_rho"), F.col("n").cast("double")))
 
@@ -108,7 +122,7 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p", keys: Sequence[str] = (),
 def wilcoxon_greater(rows: DataFrame, keys: Sequence[str], delta: str = "delta_r") -> DataFrame:
     """One-sided signed-rank test that ``delta`` is positive: rank sums in Spark, the normal tail in a UDF on the result."""
     d = rows.where((F.col(delta) != 0) & F.col(delta).isNotNull()).select(*keys, F.col(delta).alias("d"), F.abs(delta).alias("a"))
-    ranked = d.withColumn("r", _average_rank("a", keys))
+    ranked = average_ranks(d, "a", keys, "r")
     ties = d.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     w = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(F.lit(0.0))).alias("w_plus"), F.count(F.lit(1)).alias("m")).join(ties, list(keys))
     m = F.col("m")

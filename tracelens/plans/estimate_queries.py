@@ -6,14 +6,15 @@ binomial draw, a recursion over the nodes of the tree that deals individuals to
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import measures as M
 from ..operators import resample as B
 from ..operators import richness as R
 from ..operators import windows as W
 from ..operators.draws import LEAF
-from .queries import BASIC_SQL, CP, FREQ, KINDS, VAR, _draw_sql, _points, _species, ev_traces, ev_windows, query, six
+from .queries import CP, FREQ, KINDS, _draw_sql, _points, _species, ev_traces, query, six
 
 #: Replicates of every query.
 REPLICATES = 20
@@ -195,3 +196,25 @@ def species_bootstrap_interval(spark, d):
 @query(COMMUNITY + " select log, species_kind, replicate, species, n from mz")
 def species_bootstrap_counts(spark, d):
     return six(B.species_bootstrap(_species(spark, d), REPLICATES, KINDS))
+
+
+#: Species of change-point windows and their estimated communities, by window.
+SPECIES = POINTS + """, wv as (select window_id, acts, count(*) as n from cm group by all), wi as (select *, unnest(range(1, len(acts))) as i from wv),
+ sc as (select window_id, 'activity' as species_kind, x as species, sum(n) as n from (select window_id, n, unnest(acts) as x from wv) group by 1, 2, 3 union all select window_id, 'dfg_edge', cast(to_json({'a': acts[i], 'b': acts[i + 1]}) as varchar), sum(n) from wi group by 1, 2, 3
+ union all select window_id, 'variant', cast(to_json(acts) as varchar), sum(n) from wv group by 1, 2, 3)"""
+REPLICA = re.sub(r"\blog\b", "window_id", COMMUNITY[COMMUNITY.index(",\n fq as"):])
+
+
+@query(f"with {SPECIES}{REPLICA}," + REFIT.format("window_id", "mz") + """ select window_id, species_kind, cast(replicate as bigint) as replicate, n, f1, f2, so as observed_count, so + cast(ceil(f0) as bigint) as population_count, round(so + f0, 6) as s_asymptotic from rs""")
+def inext_replicate_fits(spark, d):
+    """One side of replicates: populations of activities, pairs and variants, drawn and fitted again."""
+    fits, _ = B.inext_replicates(_windows(spark, d), REPLICATES)
+    return six(fits.select("window_id", "species_kind", "replicate", "n", "f1", "f2", "observed_count", "population_count", "s_asymptotic"))
+
+
+@query(f"""with {POINTS}, sl as (select window_id, wn, k as replicate, unnest(range(0, wn)) as slot from wn, range(0, {REPLICATES}) x(k))
+ select sl.window_id, cast(replicate as bigint) as replicate, slot as pos, trace_index from sl join cm on cm.window_id = sl.window_id and cm.pos = {_draw_sql('11', 'sl.window_id', 'replicate', 'slot')} % sl.wn""")
+def inext_replicate_traces(spark, d):
+    """The other side: the traces of the same replicates."""
+    _, traces = B.inext_replicates(_windows(spark, d), REPLICATES)
+    return six(traces.select("window_id", "replicate", "pos", "trace_index"))

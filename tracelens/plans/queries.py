@@ -222,7 +222,14 @@ def average_edit_distance(spark, d):
     return six(M.average_edit_distance(L.variants(ev_windows(spark, d))))
 
 
-@query()
+#: The dictionary parse, symbol by symbol; phrases found so far are a text.
+LEMPEL_ZIV = """lm as (select window_id, max(len(acts)) as w from mem group by 1), sy as (select window_id, list(coalesce(acts[j], '#') order by pos, j) as s from (select mem.*, unnest(range(1, w + 1)) as j from mem join lm using (window_id)) group by 1),
+ lz(window_id, i, cur, seen, c) as (select window_id, 0, '', '|', 0 from sy union all select window_id, i + 1, case when known then nxt else '' end, case when known then seen else seen || nxt || '|' end, case when known then c else c + 1 end
+  from (select lz.*, cur || '>' || s[i + 1] as nxt, contains(seen, '|' || cur || '>' || s[i + 1] || '|') as known from lz join sy using (window_id) where i < len(s))),
+ lc as (select window_id, max(c) as lz from lz group by 1)"""
+
+
+@query(f"""with {VAR.replace('ev as (select', 'recursive ev as (select', 1)}, {LEMPEL_ZIV} select window_id, cast(lz as double) as lempel_ziv_complexity from lc""")
 def lempel_ziv_complexity(spark, d):
     return lempel_ziv(ev_windows(spark, d))
 
@@ -348,17 +355,33 @@ def sample_with_replacement(spark, d):
     return six(P.sample_random(ev_traces(spark, d), [20, 50], 3).select("sample_size", "sample_id", "pos", "trace_index"))
 
 
-@query(f"""with {EV}, {SAMPLES}, rk as (select sample_no, sample_size, trace_index, row_number() over (partition by sample_no, sample_size order by {_draw_sql('123', 'sample_no', 'sample_size', 'trace_index')}, trace_index) - 1 as pos from gr, ti)
- select cast(sample_size as bigint) as sample_size, cast(sample_no as varchar) as sample_id, pos, trace_index from rk where pos < sample_size""")
+def _permuted_sql(name: str, rows: str, x: str, keys: str = "") -> str:
+    """CTEs up to ``name``: rows with y, where the permutation of the log takes x; passes are steps of a recursion."""
+    def one(rows: str, x: str) -> str:
+        out = f"(select *, ({x}) // b as l, ({x}) % b as r from {rows})"
+        for i in range(6):
+            own, other, wide = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+            out = f"(select * replace (({own} + {_draw_sql('123', *filter(None, keys.split(', ')), str(i), other)}) % {wide} as {own}) from {out})"
+        return out
+
+    return f"""{name}0 as (select *, cast(ceil(sqrt(n)) as bigint) as a, cast(ceil(n / ceil(sqrt(n))) as bigint) as b from {rows}, (select count(*) as n from ti)),
+ {name}1 as (select * exclude (l, r), l * b + r as y from {one(name + '0', x)} union all select * exclude (l, r, y), l * b + r from {one(f'(select * from {name}1 where y >= n)', 'y')}),
+ {name} as (select * from {name}1 where y < n)"""
+
+
+REC = EV.replace("ev as (select", "recursive ev as (select", 1)
+
+
+@query(f"""with {REC}, {SAMPLES}, sl as (select *, unnest(range(0, sample_size)) as pos from gr), {_permuted_sql('pm', 'sl', 'pos', 'sample_no, sample_size')}
+ select cast(sample_size as bigint) as sample_size, cast(sample_no as varchar) as sample_id, pos, trace_index, case_id from pm join ti on trace_index = y""")
 def sample_within_only(spark, d):
-    return six(P.sample_random(ev_traces(spark, d), [20, 50], 3, "within_only").select("sample_size", "sample_id", "pos", "trace_index"))
+    return six(P.sample_random(ev_traces(spark, d), [20, 50], 3, "within_only").select("sample_size", "sample_id", "pos", "trace_index", "case_id"))
 
 
-@query(f"""with {EV}, {SAMPLES}, mx as (select trace_index, row_number() over (order by {_draw_sql('123', 'trace_index')}, trace_index) - 1 as place from ti),
- sl as (select *, unnest(range(0, sample_size)) as pos from gr)
- select cast(sample_size as bigint) as sample_size, cast(sample_no as varchar) as sample_id, pos, trace_index from sl join mx on place = sample_no * 70 + case when sample_size = 20 then 0 else 20 end + pos""")
+@query(f"""with {REC}, {SAMPLES}, sl as (select *, unnest(range(0, sample_size)) as pos from gr), pl as (select *, sample_no * 70 + case sample_size when 20 then 0 else 20 end + pos as place from sl), {_permuted_sql('pm', 'pl', 'place')}
+ select cast(sample_size as bigint) as sample_size, cast(sample_no as varchar) as sample_id, pos, trace_index, case_id from pm join ti on trace_index = y""")
 def sample_without_replacement(spark, d):
-    return six(P.sample_random(ev_traces(spark, d), [20, 50], 3, "none").select("sample_size", "sample_id", "pos", "trace_index"))
+    return six(P.sample_random(ev_traces(spark, d), [20, 50], 3, "none").select("sample_size", "sample_id", "pos", "trace_index", "case_id"))
 
 
 @query(f"""with {EV}, {SAMPLES}, st as (select *, {_draw_sql('123', 'sample_no', 'sample_size')} % ((select count(*) from ti) - sample_size + 1) as f from gr), sl as (select *, unnest(range(0, sample_size)) as pos from st)
