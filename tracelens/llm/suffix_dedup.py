@@ -230,7 +230,12 @@ def run_bytes(docs: DataFrame, wanted: DataFrame, width: int, text: str, key: st
     both = docs.select(*row_hashes(text, key), F.col(text).alias("_text")).join(lists, ["r1", "r2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # copies of a row meet in a task, and are cut once
         for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [i for i, r in enumerate(rows) if r not in seen and not seen.add(r)]
+            if len(new) < len(rows):
+                batch = batch.take(pa.array(new, pa.int64()))
             data, offsets = byte_view(batch.column(2))
             lists = batch.column(3)
             flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
@@ -280,7 +285,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, text: str = "text", key:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with ``removed`` (array of start, end byte spans, maximal) and ``kept`` (the remaining bytes)."""
     spans = repeated_spans(docs, width, text, key)
-    lists = spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    lists = spans.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))  # copies of a row have the same spans
     both = docs.select(F.struct(*docs.columns).alias("_row"), *row_hashes(text, key)).join(lists, ["r1", "r2"], "left")
     both = both.select("_row", F.coalesce(F.col(f"_row.{text}"), F.lit("")).cast("binary").alias("_text"), F.coalesce("_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("_spans"))
 
