@@ -214,7 +214,12 @@ def linked_sets(docs: DataFrame, members: DataFrame, width: int, threshold: tupl
     s1, s2, bands, comp (candidate group), blocks (of the group).
     """
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # rows that repeat a document meet in a task; its set is read and sent once
         for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [i for i, r in enumerate(rows) if r not in seen and not seen.add(r)]
+            if len(new) < len(rows):
+                batch = batch.take(pa.array(new, pa.int64()))
             for i, j, data, offsets in text_chunks(batch.column(6)):
                 h, at = shingle_sets(data, offsets, width)
                 raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(h)])
