@@ -194,3 +194,18 @@ def test_sort_compares_bytes():
         starts = [*range(count[0]), *range(300, 300 + count[1])]
         seen = Counter(data[s:s + width].tobytes() for s in starts)
         assert flags.tolist() == [seen[data[s:s + width].tobytes()] > 1 for s in starts]
+
+
+def test_row_that_stands_thousands_of_times(spark, monkeypatch):
+    """3,000 copies of a row beside a near copy: runs cut don't grow with the copies, and results are those of two copies."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+    text, near = " ".join(words), " ".join([*words[:60], "changed", *words[61:]])
+    cut, runs = [], D.run_bytes
+    monkeypatch.setattr(D, "run_bytes", lambda *a: cut.append(runs(*a)) or cut[-1])
+    kept, joined = [], []
+    for n in (2, 3000):
+        df = spark.createDataFrame([(1, text)] * n + [(2, near), (3, "another text")], "doc_id long, text string").repartition(4)
+        kept.append({(r["doc_id"], bytes(r["kept"])) for r in D.remove_repeats(df).collect()})
+        joined.append({(r["doc_id"], r["class_id"], r["n_set_links"]) for r in J.jaccard_join(df).collect()})
+    assert kept[0] == kept[1] and joined[0] == joined[1] and len(cut) == 2

@@ -271,6 +271,17 @@ def test_sample_is_bounded_by_bytes():
     assert [x[1] for x in got] == [0, 1, 2, 3] and len(T._within(rows, 3, 10_000)) == 6
 
 
+def test_copies_of_a_labelled_text_are_bounded(spark, monkeypatch):
+    """A text that stands 3,000 times under its id, and an id with 500 texts: the sample stays within its bounds."""
+    got = []
+    monkeypatch.setattr(T, "train", lambda texts, y, share: got.append((texts, y)) or T.constant(share))
+    ids = [i for i in range(200) if T_fold(i)][:60]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], "again and again")] * 3000 + [(ids[1], f"one of many {k}") for k in range(500)]
+    T.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int"), rows=40)
+    texts, y = got[0]
+    assert len(texts) == len(y) <= 80 and 0 < y.sum() <= 40 and 0 < (y == 0).sum() <= 40
+
+
 def test_windows_cover_texts():
     first, size, text = T.windows(np.array([0, 0, 5, 105, 140]))
     assert text.tolist() == [0, 1, 2, 2, 2, 2, 3, 3] and size[0] == 0

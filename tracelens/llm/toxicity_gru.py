@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, SpanHash, fold, ragged, text_chunks, trim, word_spans
+from .textkit import fold, LOWER, ragged, SpanHash, stash, text_chunks, trim, word_spans
 
 WINDOW, STRIDE = 32, 24
 #: Embedding buckets and sizes, hidden units of a direction, attention units.
@@ -390,26 +390,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(key, whole.alias("text")).join(F.broadcast(chosen), key)
     found = found.select("y", "text", F.xxhash64(key, F.lit(29)).alias("o"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    kept = _within(found.select("y", "o", "h", "n").toArrow().to_pylist(), rows, TRAIN_BYTES)
-    if {y for y, _, _ in kept} != {0, 1}:
+    # Copies of a text are counted; of each label the first texts in order reach the driver, several times as many as are taken.
+    counted = stash(found.groupBy("y", "o", "h").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
+    groups = [r for y in total for r in counted.where(F.col("y") == y).orderBy("o", "h").limit(8 * rows).collect()]
+    kept = _within([r.asDict() for r in groups], rows, TRAIN_BYTES)
+    if {y for y, _, _, _ in kept} != {0, 1}:
         return constant(share)
-    wanted = docs.sparkSession.createDataFrame(kept, "y int, o long, h long").distinct()
-    texts = found.join(F.broadcast(wanted), ["y", "o", "h"]).select("y", "o", "text").toArrow().to_pylist()
-    texts.sort(key=lambda r: (r["o"], r["text"]))
+    wanted = docs.sparkSession.createDataFrame(kept, "y int, o long, h long, times long")
+    texts = found.join(F.broadcast(wanted), ["y", "o", "h"]).groupBy("y", "o", "h").agg(F.max("times").alias("times"), F.min("text").alias("text")).toArrow().to_pylist()
+    texts = sorted((r for r in texts for _ in range(r["times"])), key=lambda r: (r["o"], r["text"]))
     net = train([r["text"] for r in texts], np.array([r["y"] for r in texts], _f), share)
     del texts
     trim()
     return net
 
 
-def _within(found: list[dict], rows: int, size: int) -> list[tuple[int, int, int]]:
-    """(label, order, hash) of the texts to learn from: in order, while ``rows`` and ``size`` bytes of each label last."""
+def _within(found: list[dict], rows: int, size: int) -> list[tuple[int, int, int, int]]:
+    """(label, order, hash, copies) of the texts to learn from: in order, while ``rows`` and ``size`` bytes of each label last."""
     out, used, left = [], {0: 0, 1: 0}, {0: size, 1: size}
     for r in sorted(found, key=lambda r: (r["o"], r["h"])):
         y = r["y"]
-        if used[y] < rows and r["n"] <= left[y]:
-            used[y], left[y] = used[y] + 1, left[y] - r["n"]
-            out.append((y, r["o"], r["h"]))
+        take = min(r.get("copies", 1), rows - used[y], left[y] // r["n"] if r["n"] else rows)
+        if take > 0:
+            used[y], left[y] = used[y] + take, left[y] - take * r["n"]
+            out.append((y, r["o"], r["h"], take))
     return out
 
 
