@@ -157,3 +157,34 @@ def test_prefix_entropy_by_brute_force(spark):
     for g, ts in logs.items():
         r = got[g]
         assert (r["sequence_entropy"], r["variant_entropy"], r["number_of_partitions"], r["number_of_states"]) == pytest.approx(brute_entropy(ts))
+
+
+def test_blocks_of_a_large_window(spark, monkeypatch):
+    """Thousands of variants in one window: no task holds more than two blocks, results are those of one block."""
+    from tracelens.operators import measures as M
+
+    kinds = spark.range(400).select((F.col("id") % 2).alias("window_id"), F.transform(F.sequence(F.lit(0), (F.col("id") % 9).cast("int")), lambda i: F.concat(F.lit("a"), (F.pmod(F.xxhash64("id", i), F.lit(7))).cast("string"))).alias("acts"), (F.col("id") % 3 + 1).alias("n"))
+    kinds = kinds.groupBy("window_id", "acts").agg(F.sum("n").alias("n"))
+    got = []
+    for size in (10_000, 30):
+        monkeypatch.setattr(M, "BLOCK", size)
+        got.append(sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in M.average_affinity(kinds).join(M.average_edit_distance(kinds), "window_id").collect()))
+    assert got[0] == got[1] and len(got[0]) == 2
+    rows = kinds.where("window_id = 0").select("window_id", F.to_json("acts").alias("s"), "n")
+    n = rows.count()
+    assert M.block_pairs(rows, ["window_id"], "s").count() == n * (n - 1) // 2
+
+
+def test_parse_in_batches(spark):
+    """Many windows and traces of unequal length in small batches give the phrases of a parse at once."""
+    from tracelens.operators.sequence import count_phrases, lempel_ziv
+
+    rows = [(w, p, [chr(65 + (w * 31 + p * k) % 5) for k in range(1 + (w + p) % 6)]) for w in range(9) for p in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r[0]: r[1] for r in lempel_ziv(spark.createDataFrame(rows, "window_id long, pos long, acts array<string>").repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for w in range(9):
+        own = [a for x, p, a in sorted(rows, key=lambda r: r[:2]) if x == w]
+        assert got[w] == count_phrases(own, max(map(len, own)))

@@ -209,6 +209,29 @@ def test_replicates_have_both_sides(spark, ten):
     assert done.count() == 6 and {tuple(r) for r in done.select("number_of_traces", "number_of_distinct_traces").collect()} == {(5, 1)}
 
 
+def test_permutations(spark):
+    """Every place once, for any size; keys choose the permutation; nothing is as long as the log."""
+    seen = set()
+    for n in (1, 2, 3, 7, 10, 97, 1000):
+        both = spark.range(n).select("id", P.permuted("id", n, 1).alias("a"), P.permuted("id", n, 1, "id % 1").alias("b")).collect()
+        assert sorted(r["a"] for r in both) == sorted(r["b"] for r in both) == list(range(n))
+        seen.add(tuple(r["a"] for r in both) == tuple(r["b"] for r in both))
+    assert False in seen
+    few = spark.range(5).select(P.permuted("id", 10**12, 1).alias("a")).collect()
+    assert len({r["a"] for r in few}) == 5 and all(0 <= r["a"] < 10**12 for r in few)
+
+
+def test_ranks_across_ranges(spark):
+    """Average ranks of a group that lies in several ranges, with ties, against sorting."""
+    values = [(k, float((i * 7919) % 101)) for k in "ab" for i in range(300 if k == "a" else 5)] + [("c", 1.0)]
+    got = A.average_ranks(spark.createDataFrame(values, "k string, v double").repartition(6), "v", ["k"], "r").collect()
+    for k in "abc":
+        own = sorted(v for g, v in values if g == k)
+        want = {v: (own.index(v) + 1 + own.index(v) + own.count(v)) / 2 for v in own}
+        mine = [r for r in got if r["k"] == k]
+        assert len(mine) == len(own) and all(r["r"] == want[r["v"]] for r in mine)
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("m", float(v)) for v in (1, 2, 3, 4)] + [("m", None), ("m", float("inf"))], "metric string, value double")
     r = B.interval(df, ["metric"]).first()
@@ -284,17 +307,14 @@ def test_ones_own_steps(spark):
     assert got["longest"]["boot_ci_low"] == 10
 
 
-def test_samples_without_repeats_fall_back(spark, monkeypatch):
-    """Samples that find too few draws below the bound are ranked whole."""
-    from tracelens.operators import sampling as P
-
+def test_samples_without_repeats(spark):
+    """Up to the whole log, every sample has its size and no trace twice; different samples differ."""
     rows = spark.range(60).select(F.col("id").alias("trace_index"))
-    want = {(r["sample_no"], r["sample_size"], r["pos"]): r["trace_index"] for r in P._least_draws(P._grid(spark, [5, 60], 4), 60, 3).collect()}
-    assert len(want) == 4 * 65
-    full = P._least_draws
-    monkeypatch.setattr(P, "draw", lambda *a: P.F.lit((1 << 32) - 1).cast("long"))  # nothing is below the bound of the small samples
-    got = {(r["sample_no"], r["sample_size"], r["pos"]): r["trace_index"] for r in full(P._grid(spark, [5], 2), 60, 3).collect()}
-    assert got == {(k, 5, i): i for k in range(2) for i in range(5)}
+    got = {}
+    for r in P.sample_random(rows, [5, 60], 4, "within_only", 3).collect():
+        got.setdefault((r["sample_size"], r["sample_id"]), {})[r["pos"]] = r["trace_index"]
+    assert len(got) == 8 and all(sorted(v) == list(range(k[0])) and len(set(v.values())) == k[0] for k, v in got.items())
+    assert len({tuple(v[i] for i in range(5)) for v in got.values()}) == 8
 
 
 def test_missing_window_at_a_drift_is_an_error(spark):

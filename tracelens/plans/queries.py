@@ -464,11 +464,6 @@ def extrapolation(spark, d):
     return six(R.extrapolated(counts, sizes, KINDS))
 
 
-@query()
-def effort_for_coverage(spark, d):
-    return R.effort_for_coverage(_species(spark, d), KINDS, 0.9)
-
-
 @query(f"""with {FREQ}, h as (select *, observed_count + case when f2 > 0 then cast(f1 as double) * f1 / (2 * f2) else f1 * (f1 - 1) / 2 end as sh from fq)
  select log, species_kind, n, f1, f2, observed_count, round(sh, 6) as s_hat, round(observed_count / sh, 6) as c0,
  round(case when f1 = 0 then 1 when f2 > 0 and n > 1 then 1 - f1 / n * ((n - 1) * f1 / ((n - 1) * f1 + 2 * f2)) else 1 - f1 / n end, 6) as c1 from h""")
@@ -852,11 +847,6 @@ def population_study_with_bootstrap(spark, d):
     return jobs.measure_samples(_study_members(spark, d, 30), jobs.Scenario("fixes", "chao1", True, STUDY_REPLICATES, wanted))
 
 
-@query()
-def all_measures_sliding(spark, d):
-    return M.all_measures(ev_windows(spark, d))
-
-
 @query(f"""with {VAR}, {BASIC_SQL}, lg as (select window_id, unnest(['number_of_events', 'structure']) as metric, unnest([cast(number_of_events as double), 1 - e / power(v, 2)]) as value from bm)
  select window_id, metric, basis, dimension, round(value, 10) as value from lg join (values ('number_of_events', 'OC', 'Length'), ('structure', 'PC', 'Variation')) m(metric, basis, dimension) using (metric)""")
 def measures_with_metadata(spark, d):
@@ -866,4 +856,4 @@ def measures_with_metadata(spark, d):
 
 
 # Queries of other modules, which use what stands above.
-from . import estimate_queries  # noqa: E402, F401
+from . import estimate_queries, surface_queries  # noqa: E402, F401
