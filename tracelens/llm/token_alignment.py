@@ -36,7 +36,7 @@ from .textkit import chunks, discard, ragged, stash, text_chunks, trim
 #: Pairs whose counts are broadcast (about 17 bytes each).
 COMMON = 2_000_000
 #: Units and links of units that a task remembers.
-KNOWN_UNITS, KNOWN_LINKS = 300_000, 6_000_000
+KNOWN_UNITS, KNOWN_LINKS = 150_000, 3_000_000
 #: Bytes of text handled together.
 CHUNK = 1 << 20
 #: Links scored together.
