@@ -352,6 +352,18 @@ def test_templates(spark):
     assert got[3]["rule"] is None and got[3]["purity"] > got[0]["purity"]
 
 
+def dense_alike(a, b):
+    """The chi-square test on whole rows of a table."""
+    a, b = a.astype(float), b.astype(float)
+    a, b = a[a + b > 0], b[a + b > 0]
+    df = len(a) - 1
+    if df < 1 or not a.sum() or not b.sum():
+        return True
+    ratio = (b.sum() / a.sum()) ** 0.5
+    value = float(((ratio * a - b / ratio) ** 2 / (a + b)).sum())
+    return value <= df * (1 - 2 / (9 * df) + U.ALIKE * (2 / (9 * df)) ** 0.5) ** 3
+
+
 def brute_templates(rows):
     """{(host, segments): (template, purity)} of (host, segments, bad or None), by plain loops."""
     wild = lambda s: s if s == "" else re.sub(r"^.*?(\.[a-z]{2,5})?$", lambda m: "*" + (m.group(1) or ""), s, count=1)
@@ -359,19 +371,20 @@ def brute_templates(rows):
     pages = Counter((h, s) for h, s, _ in rows)
     level = 0
     while True:
-        live, own = Counter(), Counter()
+        live, own, ends = Counter(), Counter(), Counter()
         for (h, s), n in pages.items():
             if len(s) > level and len(shape[h, s]) == level:
                 live[h, shape[h, s]] += n
                 own[h, shape[h, s], s[level]] += n
+                ends[h, shape[h, s], wild(s[level])] += n
         live = {k: n for k, n in live.items() if n >= U.LITERAL_PAGES}
         if not live:
             break
         for h, s in pages:
             t = shape[h, s]
             if len(s) > level and len(t) == level and (h, t) in live:
-                n = own[h, t, s[level]]
-                shape[h, s] = (*t, s[level] if s[level] == "" or n >= max(U.LITERAL_PAGES, U.LITERAL_SHARE * live[h, t]) else wild(s[level]))
+                fair, w = max(U.LITERAL_PAGES, U.LITERAL_SHARE * live[h, t]), wild(s[level])
+                shape[h, s] = (*t, s[level] if s[level] == "" or own[h, t, s[level]] >= fair else w if ends[h, t, w] >= fair else "*")
         level += 1
     for h, s in pages:
         shape[h, s] += tuple(wild(x) for x in s[len(shape[h, s]):])
@@ -386,13 +399,15 @@ def brute_templates(rows):
             if len(t) > level:
                 groups.setdefault((h, t[:level]), {}).setdefault(t[level], []).append(("/".join(name[h, t][level + 1:]), x))
         for (h, above), branches in groups.items():
+            if sum(x[2] for v in branches.values() for _, x in v) < U.LITERAL_PAGES:
+                continue
             every = sorted({b for v in branches.values() for b, _ in v})
             below = {k: np.array([sum(x[2] for b, x in v if b == e) for e in every]) for k, v in branches.items()}
             label = {k: np.array([sum(x[1] for _, x in v) + 1.0, sum(x[0] - x[1] for _, x in v) + 9.0]) for k, v in branches.items()}
             joined = []
             for b in sorted(branches, key=lambda b: (-below[b].sum(), b)):
                 for g in joined:
-                    if U.alike(below[g[0]], below[b]) and U.alike(label[g[0]], label[b]):
+                    if dense_alike(below[g[0]], below[b]) and dense_alike(label[g[0]], label[b]):
                         g.append(b)
                         break
                 else:
@@ -416,18 +431,22 @@ def brute_templates(rows):
     return out
 
 
-def test_templates_by_brute_force(spark):
-    """Deep paths, many branches, branches that are alike, few and many labels."""
+@pytest.mark.parametrize("part", [U.PART_SEGMENTS, 300, 0])
+def test_templates_by_brute_force(spark, monkeypatch, part):
+    """Deep paths, many branches and suffixes, branches that are alike, few and many labels; nodes in tasks, cut by Spark, and both."""
+    monkeypatch.setattr(U, "PART_SEGMENTS", part)
+    monkeypatch.setattr(U, "PART_ROWS", 2)
     rng = np.random.default_rng(4)
     rows = []
     for h in ("a.io", "b.io"):
         for _ in range(250):
             first = str(rng.choice(["en", "de", "fr", "shop", "x" + str(rng.integers(99))]))
-            s = [first, *(str(rng.choice(["p", "q", "r.html"])) for _ in range(rng.integers(0, 5)))]
-            s += ["deep"] * int(rng.integers(0, 2) * 9)
-            s[-1:] = [s[-1], f"k{rng.integers(400)}.html"][: rng.integers(1, 3)]
+            s = [first, *(str(rng.choice(["p", "q", "r.html", ""])) for _ in range(rng.integers(0, 5)))]
+            s += ["deep"] * int(rng.integers(0, 2) * 3)
+            s[-1:] = [s[-1], f"k{rng.integers(400)}.{rng.choice(['html', 'pdf', 'a' + chr(97 + rng.integers(26))])}"][: rng.integers(1, 3)]
             bad = None if rng.random() < 0.6 else int(first in ("shop", "fr") or rng.random() < 0.05)
             rows.append((h, tuple(s), bad))
+    rows += [("c.io", (), None), ("c.io", ("",), 1), ("c.io", ("", ""), 0), ("", ("",), None)]
     got = U.templates(spark.createDataFrame([(h, list(s), b) for h, s, b in rows], "host string, segments array<string>, bad int")).collect()
     want = brute_templates(rows)
     assert len(got) == len(want)
@@ -437,9 +456,30 @@ def test_templates_by_brute_force(spark):
     assert {t for t, p in want.values() if p >= U.LIMIT} and any("|" in t for t, _ in want.values())
 
 
+def test_jobs_do_not_grow_with_depth(spark):
+    """Three pages of five segments and three of five hundred; columns of clashing names and repeated URLs do no harm."""
+    def run(depth):
+        rows = [(i, "http://t.io" + "".join(f"/{'abc'[i]}{k}" for k in range(depth)), "x", "y", "z") for i in range(3)] * 2
+        pages = spark.createDataFrame(rows, "page_id long, url string, segments string, fit string, template string")
+        group = f"depth-{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = U.filter_urls(pages, URL_RULES).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(got) == 6 and len({(r["page_id"], r["template"]) for r in got}) == 3
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (_, few), (got, many) = run(5), run(500)
+    assert abs(many - few) <= 2
+    assert all(r["template"].count("/") == 500 and r["verdict"] == "allow" for r in got)
+
+
 def test_alike():
-    assert U.alike(np.array([50, 50]), np.array([9, 11])) and not U.alike(np.array([50, 50]), np.array([90, 10]))
-    assert U.alike(np.array([5, 0]), np.array([0, 0])) and U.alike(np.array([5]), np.array([7]))
+    rng = np.random.default_rng(1)
+    assert dense_alike(np.array([50, 50]), np.array([9, 11])) and not dense_alike(np.array([50, 50]), np.array([90, 10]))
+    for _ in range(300):
+        a, b = rng.poisson(rng.choice([0.3, 3, 30], 8)), rng.poisson(rng.choice([0.3, 3, 30], 8))
+        x, y = a[(a > 0) & (b > 0)], b[(a > 0) & (b > 0)]
+        assert U.alike((a.sum(), b.sum()), ((a > 0).sum(), (b > 0).sum()), (x * y / (x + y)).sum(), len(x)) == dense_alike(a, b)
 
 
 # ---------------------------------------------------------------- pipeline

@@ -1,22 +1,26 @@
 """URL filters: rules first, then a tree of path templates for each host.
 
 Paths are cut into segments, however many.  Typed segments (numbers, long hexadecimal
-strings) become wildcards at once.  Then level by level, each node (host and template so far)
-keeps those segments as literals that hold a fair share of its pages, and turns the others
-into ``*``, so a node has a bounded number of branches.  A node with too few pages for any
-literal has wildcards only below it, so levels end where no node has more.
-
-From the deepest level up, branches of a node are merged where a chi-square test finds no
-difference between their pages' distributions over the templates below them, nor between
-the labels of their labelled pages, to which ``PRIOR_PAGES`` pages of the prior are added.  A
-template's purity is its share of bad labels among its labelled pages, smoothed: each level
-adds ``PRIOR_PAGES`` pages of a purity halfway between the one above and the prior, so a
-template with few labels leans towards its branch, and a host without any has the prior.
-Pages of templates at or above the limit are blocked.
+strings) become wildcards at once.  Each node (host and template so far) keeps those segments
+as literals that hold a fair share of its pages, and turns the others into ``*``, with a file
+name's suffix where that holds a fair share, so a node has a bounded number of branches.  A node
+with too few pages for any literal has wildcards only below it.
+
+Branches of a node are merged, lower nodes first, where a chi-square test finds no difference
+between their pages' distributions over the templates below them, nor between the labels of
+their labelled pages, to which ``PRIOR_PAGES`` pages of the prior are added.  A template's
+purity is its share of bad labels among its labelled pages, smoothed: each level adds
+``PRIOR_PAGES`` pages of a purity halfway between the one above and the prior, so a template
+with few labels leans towards its branch, and a host without any has the prior.  Pages of
+templates at or above the limit are blocked.
+
+A node small enough for a task (``PART_SEGMENTS``) goes to one with all that is below it, so
+the number of jobs does not grow with the depth of paths; only larger nodes are cut level by
+level, by aggregates and joins, and their branches compared by sums over the cells that two
+branches share.  Both ways give the same templates.
 
 Labels come with the pages; the registered query takes the rules' verdicts for labels, as
-the corpus has no others for pages.  Counts are partial aggregates and lookups are
-equi-joins, so a host with a third of all pages needs no task of its own.
+the corpus has no others for pages.  A host with a third of all pages needs no task of its own.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no
 rule; query and fragment never count; repeated URLs count as often as they occur.
@@ -24,10 +28,11 @@ rule; query and fragment never count; repeated URLs count as often as they occur
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ from .textkit import stash
 LITERAL_SHARE, LITERAL_PAGES = 0.02, 3
 #: Standard normal quantile up to which the test finds no difference (1 % of like branches stay apart).
 ALIKE = 2.326
+#: A node goes to one task if it has at most so many open segments, or so few distinct paths.
+PART_SEGMENTS, PART_ROWS = 1_000_000, 64
 #: Bad share of a host without labels, how many pages of the purity above a level adds, and the limit.
 PRIOR, PRIOR_PAGES, LIMIT = 0.1, 10.0, 0.5
 
@@ -69,8 +76,8 @@ def typed_segments(path: Column) -> Column:
 
 
 def _wild(segment: Column) -> Column:
-    """``*``, with a file name's suffix."""
-    return F.regexp_replace(segment, r"^.*?(\.[a-z]{2,5})?$", "*$1")
+    """``*``, with a file name's suffix; an empty segment stays."""
+    return F.when(segment == "", segment).otherwise(F.regexp_replace(segment, r"^.*?(\.[a-z]{2,5})?$", "*$1"))
 
 
 def _sums() -> list[Column]:
@@ -83,36 +90,128 @@ def templates(urls: DataFrame) -> DataFrame:
     ``urls``: host, segments, bad (1, 0 or null for no label).
     """
     label = [F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("bad"), F.count(F.lit(1)).alias("pages")]
-    tree = stash(urls.groupBy("host", "segments").agg(*label).withColumn("t", F.array().cast("array<string>")))
+    tree = urls.groupBy("host", "segments").agg(*label).withColumn("wilds", F.transform("segments", _wild))
+    tree, depth = cut_large(stash(tree.withColumn("t", F.array().cast("array<string>"))))
+    is_open = F.size("segments") > F.size("t")
+    parts = tree.where(is_open).groupBy("host", "t").applyInArrow(settle, _SETTLED)
+    closed = tree.where(~is_open).select("host", "segments", "labelled", "bad", "pages", "t", F.array().cast("array<string>").alias("low"))
+    rows = stash(closed.unionByName(parts))
+    if depth:
+        rows = rows.join(merge_large(rows.groupBy("host", "t", "low").agg(*_sums()), depth), ["host", "t", "low"])
+    else:
+        rows = rows.withColumnRenamed("low", "shape")
+    purity = purities(rows.groupBy("host", "shape").agg(*_sums()))
+    return rows.join(purity, ["host", "shape"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("shape", "/")).alias("template"), "purity", "template_pages")
+
+
+def _fair(own: Column, whole: Column) -> Column:
+    return (own >= LITERAL_SHARE * whole) & (own >= LITERAL_PAGES)
+
+
+def cut_large(tree: DataFrame) -> tuple[DataFrame, int]:
+    """``tree`` with the segments of nodes too large for a task replaced in ``t``, and the number of levels cut."""
     level = 0
     while True:
-        # Only nodes that have pages enough for a literal are looked into.
-        nodes = tree.where((F.size("segments") > level) & (F.size("t") == level)).groupBy("host", "t").agg(F.sum("pages").alias("all")).where(F.col("all") >= LITERAL_PAGES)
-        nodes = stash(nodes)
-        if nodes.isEmpty():
-            break
-        here = tree.join(nodes, ["host", "t"], "left").withColumn("s", F.when(F.col("all").isNotNull() & (F.size("segments") > level), F.get("segments", F.lit(level))))
-        share = here.where("s is not null").groupBy("host", "t", "s").agg(F.sum("pages").alias("own"), F.max("all").alias("all"))
-        literal = share.where((F.col("own") >= LITERAL_SHARE * F.col("all")) & (F.col("own") >= LITERAL_PAGES)).select("host", "t", "s", F.lit(True).alias("literal"))
-        shown = F.when(F.col("literal") | (F.col("s") == ""), F.col("s")).otherwise(_wild(F.col("s")))
-        tree = stash(here.join(literal, ["host", "t", "s"], "left").withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat("t", F.array(shown)))).drop("s", "literal", "all"))
+        rows = tree.where((F.size("t") == level) & (F.size("segments") > level))
+        large = rows.groupBy("host", "t").agg(F.sum("pages").alias("all"), F.count(F.lit(1)).alias("n"), F.sum(F.size("segments") - level).alias("weight"))
+        large = stash(large.where((F.col("weight") > PART_SEGMENTS) & (F.col("n") > PART_ROWS) & (F.col("all") >= LITERAL_PAGES)).select("host", "t", "all"))
+        if large.isEmpty():
+            return tree, level
+        s, w = F.get("segments", F.lit(level)), F.get("wilds", F.lit(level))
+        both = F.explode(F.array(F.struct(s.alias("v"), F.lit(True).alias("literal")), F.struct(w.alias("v"), F.lit(False).alias("literal")))).alias("x")
+        own = rows.select("host", "t", "pages", both).groupBy("host", "t", "x").agg(F.sum("pages").alias("own"))
+        fair = own.join(large, ["host", "t"]).where(_fair(F.col("own"), F.col("all")))
+        kept = fair.groupBy("host", "t").agg(*[F.collect_list(F.when(F.col("x.literal") == k, F.col("x.v"))).alias(name) for name, k in (("literals", True), ("suffixes", False))])
+        kept = stash(large.select("host", "t").join(kept, ["host", "t"], "left").withColumn("large", F.lit(True)))
+        has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
+        shown = F.when((s == "") | has("literals", s), s).when(has("suffixes", w), w).otherwise("*")
+        here = F.col("large") & (F.size("segments") > level)
+        tree = stash(tree.join(kept, ["host", "t"], "left").withColumn("t", F.when(here, F.concat("t", F.array(shown))).otherwise(F.col("t"))).select(*tree.columns))
         level += 1
-    # Below the last node with pages enough: wildcards, all at once.
-    below = F.transform(F.slice("segments", F.size("t") + 1, F.greatest(F.size("segments") - F.size("t"), F.lit(0))), lambda x: F.when(x == "", x).otherwise(_wild(x)))
-    tree = tree.withColumn("t", F.concat("t", below))
-    # From the deepest level up: rename branches that are alike to one name.  Levels without nodes of several branches need no look.
-    names = stash(tree.groupBy("host", "t").agg(*_sums()).withColumn("shape", F.col("t")))
-    for level in range(level - 1, -1, -1):
-        above, branch = F.slice("t", F.lit(1), F.lit(level)), F.get("t", F.lit(level))
-        rest = F.array_join(F.slice("shape", F.lit(level + 2), F.greatest(F.size("shape") - level - 1, F.lit(0))), "/")
-        rows = names.where(F.size("t") > level).groupBy("host", above.alias("above"), branch.alias("branch"), rest.alias("below")).agg(*_sums())
-        merged = rows.groupBy("host", "above").applyInPandas(merge_branches, "host string, above array<string>, branch string, name string")
-        names = names.withColumn("above", F.when(F.size("t") > level, above)).withColumn("branch", F.when(F.size("t") > level, branch)).join(merged, ["host", "above", "branch"], "left")
-        renamed = F.concat(F.slice("shape", F.lit(1), F.lit(level)), F.array("name"), F.slice("shape", F.lit(level + 2), F.greatest(F.size("shape") - level - 1, F.lit(0))))
-        names = stash(names.withColumn("shape", F.when(F.col("name").isNotNull(), renamed).otherwise(F.col("shape"))).drop("above", "branch", "name"))
-    purity = purities(names.groupBy("host", "shape").agg(*_sums()))
-    shapes = names.select("host", "t", "shape").join(purity, ["host", "shape"])
-    return tree.select("host", "segments", "t").join(shapes, ["host", "t"]).select("host", "segments", F.concat(F.lit("/"), F.array_join("shape", "/")).alias("template"), "purity", "template_pages")
+
+
+_SETTLED = "host string, segments array<string>, labelled long, bad long, pages long, t array<string>, low array<string>"
+
+
+def settle(rows: pa.Table) -> pa.Table:
+    """``low``: the template of each path of one node below that node, all levels at once."""
+    segments, wilds, t = (rows.column(c).to_pylist() for c in ("segments", "wilds", "t"))
+    labelled, bad, pages = (rows.column(c).to_pylist() for c in ("labelled", "bad", "pages"))
+    start = len(t[0])
+    shape = [list(x) for x in wilds]
+    nodes: list[tuple[int, dict[str, list[int]]]] = []  # with pages enough, upper ones first
+    live_to = [start] * len(segments)
+    todo = [(start, list(range(len(segments))))]
+    while todo:
+        level, mine = todo.pop()
+        mine = [i for i in mine if len(segments[i]) > level]
+        whole = sum(pages[i] for i in mine)
+        if whole < LITERAL_PAGES:
+            continue
+        least = max(LITERAL_PAGES, LITERAL_SHARE * whole)
+        own, suffix = Counter(), Counter()
+        for i in mine:
+            own[segments[i][level]] += pages[i]
+            suffix[wilds[i][level]] += pages[i]
+        branches = defaultdict(list)
+        for i in mine:
+            s, w = segments[i][level], wilds[i][level]
+            shape[i][level] = shown = s if s == "" or own[s] >= least else w if suffix[w] >= least else "*"
+            branches[shown].append(i)
+            live_to[i] = level + 1
+        nodes.append((level, branches))
+        todo += [(level + 1, x) for x in branches.values()]
+    # Ends of templates as numbers: 0 is the empty one.
+    ends: dict[tuple[str, int], int] = {("", 0): 1}
+    end = [0] * len(segments)
+    for i, x in enumerate(shape):
+        for s in reversed(x[live_to[i]:]):
+            end[i] = ends.setdefault((s, end[i]), len(ends) + 1)
+    for level, branches in reversed(nodes):
+        name = {b: b for b in branches}
+        if len(branches) > 1:
+            cells = {b: Counter() for b in branches}
+            figures = []
+            for b, mine in branches.items():
+                for i in mine:
+                    cells[b][end[i] if end[i] > 1 else 0] += pages[i]  # a closing slash is no template of its own
+                figures.append((b, sum(pages[i] for i in mine), len(cells[b]), sum(bad[i] for i in mine), sum(labelled[i] - bad[i] for i in mine)))
+
+            def shared(a: str, b: str) -> tuple[float, int]:
+                both = cells[a].keys() & cells[b].keys()
+                return sum(cells[a][c] * cells[b][c] / (cells[a][c] + cells[b][c]) for c in both), len(both)
+
+            name = group_names(figures, shared)
+        for b, mine in branches.items():
+            for i in mine:
+                shape[i][level] = name[b]
+                end[i] = ends.setdefault((name[b], end[i]), len(ends) + 1)
+    low = pa.array([x[start:] for x in shape], pa.list_(pa.string()))
+    return rows.select(["host", "segments", "labelled", "bad", "pages", "t"]).append_column("low", low)
+
+
+def merge_large(names: DataFrame, depth: int) -> DataFrame:
+    """host, t, low, shape: the branches of nodes that were cut by Spark, merged from ``depth`` levels up.
+
+    ``names``: one row a (host, t, low), with sums.
+    """
+    names = stash(names.withColumn("shape", F.concat("t", "low")))
+    for level in range(depth - 1, -1, -1):
+        deep = F.size("t") > level
+        rest = lambda: F.slice("shape", F.lit(level + 2), F.greatest(F.size("shape") - level - 1, F.lit(0)))  # noqa: E731,B023
+        keyed = names.withColumn("above", F.when(deep, F.slice("t", F.lit(1), F.lit(level)))).withColumn("branch", F.when(deep, F.get("t", F.lit(level))))
+        cells = stash(keyed.where(deep).groupBy("host", "above", "branch", F.md5(F.array_join(rest(), "/")).alias("below")).agg(*_sums()))
+        total = cells.groupBy("host", "above", "branch").agg(F.sum("pages").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum("bad").alias("bad"), F.sum(F.col("labelled") - F.col("bad")).alias("good"))
+        # A cell has one row a branch, of which a node has about a hundred at most.
+        one, other = (cells.select("host", "above", "below", F.col("branch").alias(b), F.col("pages").alias(n)) for b, n in (("a", "x"), ("b", "y")))
+        common = one.join(other, ["host", "above", "below"]).where(F.col("a") < F.col("b")).groupBy("host", "above", "a", "b")
+        common = common.agg(F.sum(F.col("x") * F.col("y") / (F.col("x") + F.col("y"))).alias("product"), F.count(F.lit(1)).alias("both"))
+        total = total.toDF(*total.columns)  # both sides read ``cells``: attributes of their own
+        merged = total.groupBy("host", "above").cogroup(common.groupBy("host", "above")).applyInPandas(merge_branches, "host string, above array<string>, branch string, name string")
+        renamed = F.concat(F.slice("shape", F.lit(1), F.lit(level)), F.array("name"), rest())
+        names = keyed.join(merged, ["host", "above", "branch"], "left").withColumn("shape", F.when(F.col("name").isNotNull(), renamed).otherwise(F.col("shape")))
+        names = stash(names.drop("above", "branch", "name"))
+    return names.select("host", "t", "low", "shape")
 
 
 def purities(whole: DataFrame) -> DataFrame:
@@ -121,43 +220,50 @@ def purities(whole: DataFrame) -> DataFrame:
     Purity is worked out from the host down along each template: at every level the branch's
     labelled pages, and PRIOR_PAGES pages halfway between the purity above and the prior.
     """
-    depth = F.explode(F.sequence(F.lit(0), F.size("shape"))).alias("d")
+    path = F.transform(F.sequence(F.lit(0), F.size("shape")), lambda d: F.struct(d.alias("d"), F.md5(F.array_join(F.slice("shape", F.lit(1), d), "/")).alias("node")))
     marked = whole.where("labelled > 0")  # the others change no purity
-    nodes = marked.select("host", "shape", "labelled", "bad", depth).groupBy("host", F.slice("shape", F.lit(1), F.col("d")).alias("node")).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    path = whole.select("host", "shape", "pages", depth).withColumn("node", F.slice("shape", F.lit(1), F.col("d"))).join(nodes, ["host", "node"], "left")
+    nodes = marked.select("host", "labelled", "bad", F.inline(path)).groupBy("host", "d", "node").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    path = whole.select("host", "shape", "pages", F.inline(path)).join(nodes, ["host", "d", "node"], "left")
     steps = path.groupBy("host", "shape").agg(F.max("pages").alias("template_pages"), F.array_sort(F.collect_list(F.struct("d", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("b", F.lit(0)).alias("b")))).alias("x"))
     purity = F.aggregate("x", F.lit(PRIOR), lambda p, x: (x["b"] + (p + PRIOR) / 2 * PRIOR_PAGES) / (x["l"] + PRIOR_PAGES))
     return steps.select("host", "shape", purity.alias("purity"), "template_pages")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a chi-square test of homogeneity finds no difference between two rows of counts; one without counts is like any."""
-    a, b = a.astype(float), b.astype(float)
-    a, b = a[a + b > 0], b[a + b > 0]
-    df = len(a) - 1
-    if df < 1 or not a.sum() or not b.sum():
+def alike(total: tuple[float, float], cells: tuple[int, int], product: float, both: int) -> bool:
+    """Whether a chi-square test of homogeneity finds no difference between two rows of counts; one without counts is like any.
+
+    ``total``, ``cells``: sums and numbers of the counts above 0; ``product``: sum of a b / (a + b) over
+    the ``both`` cells in which both rows have counts.  The statistic is a function of these.
+    """
+    (a, b), df = total, sum(cells) - both - 1
+    if df < 1 or not a or not b:
         return True
-    ratio = (b.sum() / a.sum()) ** 0.5
-    value = float(((ratio * a - b / ratio) ** 2 / (a + b)).sum())
+    value = (a + b) * (1 - product * (a + b) / (a * b))
     return value <= df * (1 - 2 / (9 * df) + ALIKE * (2 / (9 * df)) ** 0.5) ** 3  # Wilson and Hilferty's quantile
 
 
-def merge_branches(rows: pd.DataFrame) -> pd.DataFrame:
-    """Names for the branches of one node (a bounded number): a branch joins the first larger one that it is like."""
-    rows = rows.assign(good=rows.labelled - rows.bad)
-    below = rows.pivot_table(index="branch", columns="below", values="pages", aggfunc="sum", fill_value=0)
-    label = rows.groupby("branch")[["bad", "good"]].sum().loc[below.index] + np.array([PRIOR, 1 - PRIOR]) * PRIOR_PAGES
-    total = below.sum(axis=1)
-    groups: list[list[str]] = []
-    for b in sorted(below.index, key=lambda b: (-total[b], b)):
+def group_names(figures: list[tuple[str, int, int, int, int]], shared: Callable[[str, str], tuple[float, int]]) -> dict[str, str]:
+    """Names for a node's branches (branch, pages, cells, bad, good): a branch joins the first larger one that it is like."""
+    groups: list[list[tuple]] = []
+    for x in sorted(figures, key=lambda x: (-x[1], x[0])):
+        bad, good = x[3] + PRIOR * PRIOR_PAGES, x[4] + (1 - PRIOR) * PRIOR_PAGES
         for g in groups:
-            if all(alike(table.loc[g[0]].to_numpy(), table.loc[b].to_numpy()) for table in (below, label)):
-                g.append(b)
+            y = g[0]
+            bad2, good2 = y[3] + PRIOR * PRIOR_PAGES, y[4] + (1 - PRIOR) * PRIOR_PAGES
+            labels = bad * bad2 / (bad + bad2) + good * good2 / (good + good2)
+            if alike((bad + good, bad2 + good2), (2, 2), labels, 2) and alike((y[1], x[1]), (y[2], x[2]), *shared(y[0], x[0])):
+                g.append(x)
                 break
         else:
-            groups.append([b])
-    out = [(rows.host.iloc[0], rows.above.iloc[0], b, "|".join(sorted(g))) for g in groups for b in g]
-    return pd.DataFrame(out, columns=["host", "above", "branch", "name"])
+            groups.append([x])
+    return {x[0]: "|".join(sorted(x[0] for x in g)) for g in groups for x in g}
+
+
+def merge_branches(total: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+    """:func:`group_names` for one node: a row a branch and a row a pair of branches that share a cell."""
+    sums = {(a, b): (p, int(n)) for a, b, p, n in common[["a", "b", "product", "both"]].itertuples(index=False)}
+    name = group_names(list(total[["branch", "n", "cells", "bad", "good"]].itertuples(index=False, name=None)), lambda a, b: sums.get((min(a, b), max(a, b)), (0.0, 0)))
+    return pd.DataFrame([(total.host.iloc[0], total.above.iloc[0], b, n) for b, n in name.items()], columns=["host", "above", "branch", "name"])
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", key: str = "page_id") -> DataFrame:
