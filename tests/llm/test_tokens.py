@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracelens.llm import best_fit_pack as K
 from tracelens.llm import bpe_stream as S
@@ -237,6 +238,24 @@ def test_packed_documents(docs, rows, empty, library):
     assert K.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_rows_of_one_id_or_none_spread(spark, monkeypatch):
+    """20,000 pieces without id, or of one id, are numbered in groups of bounded size, and every place is taken once."""
+    groups = []
+    plain = K.with_salts
+
+    def watched(items, count, length):
+        out = plain(items, count, length)
+        groups.extend(r["count"] for r in out.groupBy(length, "_salt").count().collect())
+        return out
+
+    monkeypatch.setattr(K, "with_salts", watched)
+    items = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit(0).alias("piece"), F.lit(30).cast("long").alias("length"))
+    got = K.pack(items, 64).collect()
+    assert len(groups) == 20 and sum(groups) == 20_000 and max(groups) < 1.3 * K.GROUP_ROWS
+    assert len(got) == 20_000 and len({(r["sequence_id"], r["offset"]) for r in got}) == 20_000
+    assert len({r["sequence_id"] for r in got}) == 10_000 and {r["offset"] for r in got} == {0, 30}
+
+
 def test_bad_length(spark):
     with pytest.raises(ValueError):
         K.pack(spark.createDataFrame([(1, 0, 99)], "doc_id long, piece int, length long"), 64)

@@ -162,9 +162,21 @@ class Places:
         return self.base[row] + within // self.copies[row], self.offset[row] + within % self.copies[row] * length
 
 
+def with_salts(items: DataFrame, count: np.ndarray, length: str) -> DataFrame:
+    """``_salt`` from ``_spread``: GROUP_ROWS items on average of a length and salt."""
+    salts = np.maximum(1, -(-count // GROUP_ROWS))
+    salt_of = F.element_at(F.lit([int(x) for x in salts]), F.col(length).cast("int") + 1)
+    return items.withColumn("_salt", F.pmod("_spread", salt_of)).drop("_spread")
+
+
 def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``.  ``items`` should be a stored table: it is read twice."""
-    spread = F.xxhash64(*order)
+    """``items`` with ``sequence_id`` and ``offset``.
+
+    Items are stored with a number of their row, from which salts are drawn, so that those of one id,
+    or without any, spread like others.
+    """
+    columns = items.columns
+    items = stash(items.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id())))
     counts = items.groupBy(length).count().collect()  # one row a length, at most ``capacity`` of them
     count = np.zeros(capacity + 1, np.int64)
     for s, n in counts:
@@ -172,9 +184,7 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
             raise ValueError(f"length {s} is outside 1..{capacity}")
         count[s] = n
     places = Places(plan(count, capacity), capacity)
-    salts = np.maximum(1, -(-count // GROUP_ROWS))
-    salt_of = F.element_at(F.lit([int(x) for x in salts]), F.col(length).cast("int") + 1)
-    salted = items.withColumn("_salt", F.pmod(spread, salt_of))
+    salted = with_salts(items, count, length)
     groups = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     # Items before each group: within blocks of groups, and blocks before.
     groups = groups.withColumn("_block", F.floor(F.col("_salt") / BLOCK_GROUPS))
@@ -184,7 +194,7 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
     groups = groups.select(length, "_salt", (F.col("_first") + F.col("_within")).alias("_before"))
     own = Window.partitionBy(length, "_salt").orderBy(*order)
     ranked = salted.withColumn("_row", F.row_number().over(own)).join(groups, [length, "_salt"])
-    ranked = ranked.select(*items.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
+    ranked = ranked.select(*columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +202,7 @@ def pack(items: DataFrame, capacity: int, length: str = "length", order: tuple[s
             sequence, offset = places.of(s, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields if f.name != "_spread")
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
@@ -220,4 +230,4 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, text:
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """Every piece with its place; ``with_ids`` keeps the token ids, from which sequences are laid out."""
     pieces = token_pieces(docs, path, capacity, end)
-    return pack(stash(pieces if with_ids else pieces.drop("ids")), capacity)
+    return pack(pieces if with_ids else pieces.drop("ids"), capacity)
