@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelens.llm import brown_lm
 
@@ -91,6 +92,11 @@ def test_every_word_has_a_class_of_its_own(docs, rows, monkeypatch):
     assert set(got) == set(gain)
     for w, row in gain.items():
         assert got[w]["c"] == count[w] and row[got[w]["class"]] == pytest.approx(row.max())
+    # Repeated rows change no class: they are summed before the choice.
+    often = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).repartition(16)
+    again = {r["word"]: r for r in brown_lm.other_words(often, units, classes, pairs).collect()}
+    assert {w: r["c"] for w, r in again.items()} == {w: 40 * r["c"] for w, r in got.items()}
+    assert all(gain[w][r["class"]] == pytest.approx(gain[w].max()) for w, r in again.items())
 
 
 def test_classes_find_structure(spark):

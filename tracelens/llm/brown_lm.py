@@ -268,7 +268,8 @@ def other_words(docs: DataFrame, words: np.ndarray, classes: np.ndarray, pairs:
             yield settle(pa.Table.from_batches(held))
         trim()
 
-    rows = docs.select(text).mapInArrow(run, "word long, info int, n int")
+    # Summed first, a word has at most k x k rows, however often it occurs.
+    rows = docs.select(text).mapInArrow(run, "word long, info int, n int").groupBy("word", "info").agg(F.sum("n").alias("n"))
     parted = rows.repartition("word").sortWithinPartitions("word")
     return parted.mapInArrow(choose, "word long, tail short, c long, class int")
 
