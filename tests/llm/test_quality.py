@@ -342,6 +342,14 @@ def test_rules(spark):
     assert U.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_contract_verdicts(spark):
+    """Every rule's word, written out, on pages that one rule fits."""
+    said = {"http://a.com/en/1": "block", "http://example.com/en/71": "allow", "http://b.net/de/1": "allow", "http://example.net/de/9": "allow", "http://example.net/de/81": "block", "http://c.org/es/1": "block"}
+    pages = spark.createDataFrame(list(enumerate(said)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(pages, URL_RULES).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
 def test_templates(spark):
     rows = [(i, f"http://h.example.io/{'bad' if i % 2 else 'good'}/item-{i}.html") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
