@@ -21,8 +21,7 @@ TOXIC = 0.5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules: the base rules and the likelihood ratio."""
-    ratio = quality_llr.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_llr.keep_good(docs, ratio).select(*COLUMNS)
+    return quality_llr.pass_quality_rules(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

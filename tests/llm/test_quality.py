@@ -94,6 +94,22 @@ def test_scores_and_weights_by_brute_force(spark, docs, labels, rows):
         assert got[r[0]]["n_features"] == len(x) and got[r[0]]["log_weight"] == pytest.approx(sum(weight[b] for b in x) / Q.SCALE)
 
 
+def test_all_trusted_texts_count(spark):
+    """Where all of 50,000 texts are labelled good, trusted and raw shares are equal, so every weight is 0 and scores are too."""
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 997).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    weights = Q.fit(docs, labels, threshold=False).weights
+    assert weights.count() == 3 * Q.BUCKETS and weights.where("weight <> 0").count() == 0
+
+
+def test_threshold_is_the_quantile_of_all_trusted_scores(spark):
+    values = np.random.default_rng(4).normal(size=3000).round(3)
+    scored = spark.createDataFrame([(float(v), 20 if k % 3 else 19) for k, v in enumerate(values)], "llr_score double, n_words long")
+    kept = [v for k, v in enumerate(values) if k % 3]
+    assert Q.lowest(scored) == pytest.approx(np.percentile(kept, 100 * Q.REJECT) - Q.MARGIN, abs=1e-9)
+    assert Q.lowest(scored.limit(0)) == float("-inf")
+
+
 def test_repeated_rows_ids_and_null_ids(spark, docs, labels, monkeypatch):
     """Rows stay as many, one id may stand at several texts, and equal texts have equal results."""
     monkeypatch.setattr(Q, "_BLOCK", 2)

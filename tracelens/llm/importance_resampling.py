@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_llr import SCALE, fit, text_key, words_of
-from .textkit import stash
+from .textkit import kth_largest, stash
 
 #: Share of the documents that a resampling keeps.
 FRACTION = 0.85
 SEED = 17
-_BITS = 16
 #: Keys are rounded to 2**-20 and held as whole numbers in 48 bits about this offset.
 _UNIT, _OFFSET = 1 << 20, 1 << 46
 
@@ -36,24 +35,6 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def kth_largest(table: DataFrame, column: str, k: int) -> int | None:
-    """The k-th largest value of a whole-number column (0 <= value < 2**48); None if k < 1 or there are fewer rows."""
-    if k < 1:
-        return None
-    prefix, left = 0, k
-    for shift in (32, 16, 0):
-        here = table.where(F.shiftright(column, shift + _BITS) == prefix) if shift < 32 else table
-        counts = here.groupBy(F.shiftright(column, shift).alias("p")).count().collect()  # at most 2**16 rows
-        for p, n in sorted(counts, reverse=True):
-            if n >= left:
-                prefix = p
-                break
-            left -= n
-        else:
-            return None
-    return prefix
-
-
 def log_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_features and log_weight (natural log of target over raw probability) of every document."""
     ratio = fit(docs, labels, text, key, threshold=False)

@@ -2,14 +2,16 @@
 
 Everything is DataFrame functions, and all counts and weights are tables.  A text's features
 are its words, its word pairs and the last two characters of its words, hashed into a fixed
-number of buckets each.  Raw counts come from all documents; trusted counts from documents
-labelled as good (a bounded number of them, chosen by a hash of the id).  A bucket's
+number of buckets each.  Raw counts come from all documents; trusted counts from all documents
+labelled as good, whose scores also give the threshold, an exact quantile.  A bucket's
 weight is the shrunken log ratio of the two multinomials, in units of 1/10000, so
 that sums are whole numbers and do not depend on their order.  A text's score is the
 mean weight of its features; every document is compared with one threshold.
 
 Words are rows inside a task only: they meet the broadcast weights (a fixed number of rows)
 and are summed per text before anything is shuffled, so a shuffle has a row for each text.
+Texts meet the trusted ids by a shuffle, as these grow with the labels.  Every text is scored
+once; the threshold is then taken from the stored scores.
 
 Defined results: null texts count as empty; texts without a word score 0 and fail the
 base rules; equal texts get equal results; repeated rows stay as many; an id is trusted if
@@ -24,12 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SPACE_CLASS, stash
+from .textkit import kth_largest, SPACE_CLASS, stash
 
 #: Buckets of each kind of feature; a power of two.
 BUCKETS = 1 << 15
-#: Trusted documents that the target model is fitted on, at most (about).
-TRUSTED_ROWS = 40_000
 #: Raw counts that a bucket's ratio is shrunk by.
 SHRINK = 50
 #: Units of a log ratio.
@@ -39,7 +39,8 @@ REJECT = 0.002
 #: How far below the trusted documents' low quantile the threshold lies, in natural log units.
 MARGIN = 0.03
 
-_MILLION = 1_000_000
+#: Scores are ranked in units of 2**-40, as whole numbers in 48 bits about this offset.
+_UNIT, _OFFSET = 1 << 40, 1 << 46
 #: Space and the controls 9 to 13, as characters to trim.
 _SPACES = " \t\n\x0b\f\r"
 #: Repeated rows that are written out from one array.
@@ -104,21 +105,26 @@ def score_of(total: Column, n_words: Column) -> Column:
     return F.when(n_words > 0, total / ((3 * n_words - 1) * SCALE)).otherwise(F.lit(0.0))
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS, good: str = "quality", key: str = "doc_id") -> DataFrame:
-    """Distinct ids labelled good: all of them, or about ``rows``, by a hash of the id."""
-    good_rows = labels.where(F.col(good) == 1).select(key).where(F.col(key).isNotNull()).distinct()
-    total = good_rows.count()
-    if total <= rows:
-        return good_rows
-    return good_rows.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(_MILLION)) < F.lit(int(_MILLION * rows / total)))
+def trusted_ids(labels: DataFrame, good: str = "quality", key: str = "doc_id") -> DataFrame:
+    """All distinct ids labelled good."""
+    return labels.where(F.col(good) == 1).select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def trusted_rows(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose id is in ``ids``, however many these are."""
+    return rows.join(ids.hint("shuffle_hash"), key, "left_semi")
 
 
 def bucket_counts(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """bucket, n over all texts, good over those in ``ids`` (few, broadcast), in one pass."""
-    marked = docs.select(key, text).join(F.broadcast(ids.withColumn("good", F.lit(1))), key, "left")
-    rows = word_rows(marked.select("good", words_of(F.col(text)).alias("words")))
-    each = rows.select("good", F.explode(F.array("_one", "_pair", "_end")).alias("bucket")).where("bucket is not null")
-    return each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("good"))
+    """bucket, n over all texts, good over those in ``ids``."""
+
+    def counted(some: DataFrame, name: str) -> DataFrame:
+        rows = word_rows(some.select(words_of(F.col(text)).alias("words")))
+        each = rows.select(F.explode(F.array("_one", "_pair", "_end")).alias("bucket")).where("bucket is not null")
+        return each.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    good = counted(trusted_rows(docs.select(key, text), ids, key), "good")
+    return counted(docs, "n").join(good, "bucket", "left").select("bucket", "n", F.coalesce("good", F.lit(0)).alias("good"))
 
 
 def bucket_weights(counts: DataFrame) -> DataFrame:
@@ -132,17 +138,34 @@ def bucket_weights(counts: DataFrame) -> DataFrame:
     return every.join(F.broadcast(sizes), "kind").select("bucket", F.when(F.col("all_good") > 0, weight).otherwise(F.lit(0)).alias("weight"))
 
 
+def _weighed(docs: DataFrame, ids: DataFrame, text: str, key: str) -> Ratio:
+    return Ratio(stash(bucket_weights(bucket_counts(docs, ids, text, key))), float("-inf"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: bool = True) -> Ratio:
     """Both multinomials, their log ratio and, if asked for, the threshold."""
-    ids = stash(trusted_sample(labels, key=key))  # bounded by TRUSTED_ROWS
-    ratio = Ratio(stash(bucket_weights(bucket_counts(docs, ids, text, key))), float("-inf"))
-    if not threshold:
-        return ratio
-    trusted = docs.select(key, text).join(F.broadcast(ids), key)
-    words = trusted.select(*text_key(text, key), words_of(F.col(text)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    score = F.when(F.col("n_words") >= 20, score_of(F.col("total"), F.col("n_words")))
-    low = ratio.totals(words).agg(F.percentile(score, F.lit(REJECT))).first()[0]
-    return ratio if low is None else Ratio(ratio.weights, float(low) - MARGIN)
+    ids = stash(trusted_ids(labels, key=key))
+    ratio = _weighed(docs, ids, text, key)
+    return Ratio(ratio.weights, lowest(_scored(trusted_rows(docs, ids, key), ratio, text, key))) if threshold else ratio
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """:func:`fit` on all of ``docs``, and each of them judged by it: key, _h1, _h2, the base figures,
+    base_failed, llr_score and kept.  Texts are scored once."""
+    ids = stash(trusted_ids(labels, key=key))
+    seen = stash(_scored(docs, _weighed(docs, ids, text, key), text, key))
+    return _kept(seen, lowest(trusted_rows(seen, ids, key)))
+
+
+def lowest(scored: DataFrame) -> float:
+    """The threshold: MARGIN below the REJECT quantile (between neighbours, by distance) of the scores of texts of 20 words or more."""
+    own = stash(scored.where("n_words >= 20").select((F.round(F.col("llr_score") * _UNIT).cast("long") + F.lit(_OFFSET)).alias("v")))
+    n = own.count()
+    if not n:
+        return float("-inf")
+    below = int(REJECT * (n - 1))
+    low, high = (kth_largest(own, "v", n - k) for k in (below, min(below + 1, n - 1)))
+    return (low + (high - low) * (REJECT * (n - 1) - below) - _OFFSET) / _UNIT - MARGIN
 
 
 def text_key(text: str, key: str) -> list[Column]:
@@ -201,14 +224,22 @@ def base_figures(text: Column, words: Column, pairs: Column) -> dict[str, Column
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judged(docs: DataFrame, ratio: Ratio, text: str, key: str) -> DataFrame:
-    """key, _h1, _h2, the base figures, base_failed, llr_score and kept."""
+def _scored(docs: DataFrame, ratio: Ratio, text: str, key: str) -> DataFrame:
+    """key, _h1, _h2, the base figures, base_failed and llr_score."""
     whole = F.coalesce(F.col(text), F.lit(""))
     row = with_words(whole, lambda w, p: F.struct(*(c.alias(k) for k, c in base_figures(whole, w, p).items()), w.alias("words")))
     seen = ratio.totals(docs.select(*text_key(text, key), row.alias("r")).select(key, "_h1", "_h2", "r.*"))
     seen = seen.withColumn("llr_score", score_of(F.col("total"), F.col("n_words"))).drop("total")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return seen.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= F.lit(ratio.threshold)))
+    return seen.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
+
+def _kept(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= F.lit(threshold)))
+
+
+def _judged(docs: DataFrame, ratio: Ratio, text: str, key: str) -> DataFrame:
+    """key, _h1, _h2, the base figures, base_failed, llr_score and kept."""
+    return _kept(_scored(docs, ratio, text, key), ratio.threshold)
 
 
 def judge(docs: DataFrame, ratio: Ratio, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -218,13 +249,22 @@ def judge(docs: DataFrame, ratio: Ratio, text: str = "text", key: str = "doc_id"
 
 def keep_good(docs: DataFrame, ratio: Ratio, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, as they are."""
-    good = _judged(docs, ratio, text, key).where("kept").select(F.col(key).alias("_key"), "_h1", "_h2")
+    return _rows_kept(docs, _judged(docs, ratio, text, key), text, key)
+
+
+def _rows_kept(docs: DataFrame, judged: DataFrame, text: str, key: str) -> DataFrame:
+    good = judged.where("kept").select(F.col(key).alias("_key"), "_h1", "_h2")
     whole = F.coalesce(F.col(text), F.lit(""))
     same = F.col("_d.key").eqNullSafe(F.col("_key")) & (F.col("_d.h1") == F.col("_h1")) & (F.col("_d.h2") == F.col("_h2"))
     mine = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(F.col(key).alias("key"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(7), whole).alias("h2")).alias("_d"))
     return mine.join(good, same, "left_semi").select("_row.*")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on all of ``docs`` and judge each of them."""
-    return judge(docs, fit(docs, labels))
+def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Fit on all of ``docs`` and judge each of them: the columns of :func:`judge`."""
+    return fit_and_score(docs, labels, key=key).select(key, *FIGURES, "base_failed", "llr_score", "kept")
+
+
+def pass_quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, as they are."""
+    return _rows_kept(docs, fit_and_score(docs, labels, text, key), text, key)

@@ -51,6 +51,24 @@ def fold(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
+def kth_largest(table: DataFrame, column: str, k: int) -> int | None:
+    """The k-th largest value of a whole-number column (0 <= value < 2**48); None if k < 1 or there are fewer rows."""
+    if k < 1:
+        return None
+    prefix, left = 0, k
+    for shift in (32, 16, 0):
+        here = table.where(F.shiftright(column, shift + 16) == prefix) if shift < 32 else table
+        counts = here.groupBy(F.shiftright(column, shift).alias("p")).count().collect()  # at most 2**16 rows
+        for p, n in sorted(counts, reverse=True):
+            if n >= left:
+                prefix = p
+                break
+            left -= n
+        else:
+            return None
+    return prefix
+
+
 # ---------------------------------------------------------------- batches
 
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
