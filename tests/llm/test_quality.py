@@ -248,6 +248,18 @@ def test_forward_pass_by_the_formulas():
     assert net.logits(words_of(texts)) == pytest.approx([plain_logit(net, t) for t in texts], abs=1e-4)
 
 
+def test_stream_equals_forward_pass_where_gates_saturate():
+    """Whole windows of a stream of several blocks give the logits of the plain pass, also where exp overflows."""
+    rng = np.random.default_rng(8)
+    w = words_of([" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (T._STREAM + 50, 40, 7)])
+    for scale in (1, 400):
+        net = T.Network(4)
+        net.p = {k: (v * scale).astype(np.float32) for k, v in net.p.items()}
+        first, size, text = T.windows(w.at, stride=1)
+        each = net.window_logits(net.vectors(w), w, first, size)
+        assert net.logits(w) == pytest.approx([each[text == k].max() for k in range(3)], rel=1e-4, abs=1e-4)
+
+
 def test_words_are_made_of_characters():
     """Pairs are of whole characters: é and è share a lead byte, but no pair."""
     pairs = lambda t: words_of([t]).pair.tolist()

@@ -38,7 +38,8 @@ TRAIN_ROWS, TRAIN_BYTES, STRONGEST = 2000, 1 << 23, 256
 EPOCHS, BATCH, RATE = 12, 48, 8e-3
 #: Labels are learned from rows whose crc32(id) modulo this is not 0.
 FOLDS = 5
-_BLOCK = 2048
+#: Windows that are worked on together: any ones, and those of a stream.
+_BLOCK, _STREAM = 2048, 8192
 _f = np.float32
 
 
@@ -179,46 +180,51 @@ class Network:
             cache |= {"states": np.concatenate([states["f"], states["b"]], axis=2), "att": att, "a": a, "pooled": pooled}
         return pooled @ p["wo"] + p["bo"][0]
 
-    def _halved(self, projected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Gate inputs as rows (update, reset, candidate units) over words, for :meth:`_slide`."""
-        factor = np.array([0.5, 0.5, 1], _f)[:, None, None]
+    def _for_exp(self, projected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Gate inputs as rows (update, reset, candidate units) over words, with the factors of :meth:`_slide`."""
+        factor = np.array([-1, -1, 2], _f)[:, None, None]
         return {s: np.ascontiguousarray((v * factor).swapaxes(1, 2)).reshape(3 * HIDDEN, -1) for s, v in projected.items()}
 
     def _slide(self, stream: dict[str, np.ndarray], states: np.ndarray) -> np.ndarray:
         """Logits of the whole windows at all words of a stream: :meth:`forward` with windows side by side in memory.
 
-        A gate is (1 + tanh(x/2)) / 2; the halves are in the weights.  ``states`` is room to work in.
+        A gate is 1 / (1 + exp(-x)), a candidate 1 - 2 / (1 + exp(2 x)), as numpy's exp takes less time
+        than its tanh; the factors are in the weights, and an overflow gives the limit.  ``states`` is room to work in.
         """
-        p, h_, one, half, n = self.p, HIDDEN, _f(1), _f(0.5), states.shape[2]
-        g = np.empty((3 * h_, n), _f)
+        p, h_, one, n = self.p, HIDDEN, _f(1), states.shape[2]
+        g, factor = np.empty((3 * h_, n), _f), np.repeat(np.array([-1, -1, 2], _f), h_)[:, None]
         for d, (s, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
-            u, h = np.ascontiguousarray(p[f"u{s}"].T) * half, np.zeros((h_, n), _f)
+            u, h = np.ascontiguousarray(p[f"u{s}"].T) * factor, np.zeros((h_, n), _f)
             gate, z, r, c = g[:2 * h_], g[:h_], g[h_:2 * h_], g[2 * h_:]
             for k in order:
                 x = stream[s][:, k:k + n]
                 np.matmul(u, h, out=g)
                 gate += x[:2 * h_]
-                np.tanh(gate, out=gate)
-                r += one
+                np.exp(gate, out=gate)
+                gate += one
+                np.reciprocal(gate, out=gate)
                 c *= r
                 c += x[2 * h_:]
-                np.tanh(c, out=c)
+                np.exp(c, out=c)
+                c += one
+                np.divide(_f(-2), c, out=c)
+                c += one
                 new = states[k, d * h_:(d + 1) * h_]
                 np.subtract(h, c, out=new)
-                z += one
-                z *= half
                 new *= z
                 new += c
                 h = new
-        # Attention, and what each state gives the logit, from one product a step.
-        heads, e, gives = np.concatenate([p["wa"].T, p["wo"][None]]), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f)
-        seen, bias = np.empty((ATTEND + 1, n), _f), p["ba"][:, None]
+        # Attention, and what each state gives the logit, from one product a step.  The 1 of a tanh adds the same to all of a window's e.
+        heads, e, gives = np.concatenate([2 * p["wa"].T, p["wo"][None]]), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f)
+        seen, bias, va = np.empty((ATTEND + 1, n), _f), 2 * p["ba"][:, None], -2 * p["va"]
         att = seen[:ATTEND]
         for k in range(WINDOW):
             np.matmul(heads, states[k], out=seen)
             att += bias
-            np.tanh(att, out=att)
-            np.matmul(p["va"], att, out=e[k])
+            np.exp(att, out=att)
+            att += one
+            np.reciprocal(att, out=att)
+            np.matmul(va, att, out=e[k])
             gives[k] = seen[ATTEND]
         e -= e.max(axis=0)
         np.exp(e, out=e)
@@ -279,13 +285,14 @@ class Network:
         projected, count = self.projections(x), np.diff(w.at)
         out = np.full(len(count), -np.inf, _f)
         # Windows of whole width start at neighbouring words, so their inputs are slices of one stream.
-        rows, last = self._halved(projected), len(w.inverse) - WINDOW + 1
-        states = np.empty((WINDOW, 2 * HIDDEN, min(_BLOCK, max(last, 0))), _f)
+        rows, last = self._for_exp(projected), len(w.inverse) - WINDOW + 1
+        states = np.empty((WINDOW, 2 * HIDDEN, min(_STREAM, max(last, 0))), _f)
         valid = np.flatnonzero(count >= WINDOW)
-        for i in range(0, last, _BLOCK):
-            n = min(_BLOCK, last - i)
+        for i in range(0, last, _STREAM):
+            n = min(_STREAM, last - i)
             words = w.inverse[i:i + n + WINDOW - 1]
-            here = self._slide({s: np.take(v, words, axis=1) for s, v in rows.items()}, states[:, :, :n])
+            with np.errstate(over="ignore"):
+                here = self._slide({s: np.take(v, words, axis=1) for s, v in rows.items()}, states[:, :, :n])
             some = valid[(w.at[valid] < i + n) & (w.at[valid + 1] - WINDOW >= i)]
             if len(some):  # those that lie in one text
                 begin, end = np.maximum(w.at[some] - i, 0), np.minimum(w.at[some + 1] - WINDOW + 1 - i, n)
