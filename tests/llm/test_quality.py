@@ -102,6 +102,13 @@ def test_all_trusted_texts_count(spark):
     assert weights.count() == 3 * Q.BUCKETS and weights.where("weight <> 0").count() == 0
 
 
+def test_rows_that_pass_are_those_that_the_query_keeps(spark, docs, labels):
+    """The pipeline's stage and the query fit alike."""
+    kept = Counter(r["doc_id"] for r in Q.quality_rules(docs, labels).where("kept").collect())
+    passed = Q.pass_quality_rules(docs, labels)
+    assert kept and Counter(r["doc_id"] for r in passed.collect()) == kept and passed.columns == docs.columns
+
+
 def test_threshold_is_the_quantile_of_all_trusted_scores(spark):
     values = np.random.default_rng(4).normal(size=3000).round(3)
     scored = spark.createDataFrame([(float(v), 20 if k % 3 else 19) for k, v in enumerate(values)], "llr_score double, n_words long")
