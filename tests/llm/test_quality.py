@@ -267,6 +267,48 @@ def test_stream_equals_forward_pass_where_gates_saturate():
         assert net.logits(w) == pytest.approx([each[text == k].max() for k in range(3)], rel=1e-4, abs=1e-4)
 
 
+def all_in_full(net, w):
+    first, size, text = T.windows(w.at, stride=1)
+    each = net.window_logits(net.vectors(w), w, first, size)
+    return [each[text == k].max() for k in range(len(w.at) - 1)]
+
+
+def test_windows_are_read_until_their_states_meet(monkeypatch):
+    """Fewer steps of the network than 64 a word, and the logits of windows read in full; also where states never meet, or part again."""
+    rng = np.random.default_rng(9)
+    w = words_of([" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (T._PIECES * T._PIECE + 700, 32, 33, 5, 0, 95, 64, 2000)])
+    steps, step = [], T.step
+    monkeypatch.setattr(T, "step", lambda u, x, *room: steps.append(x.shape[1]) or step(u, x, *room))
+
+    def work(net):
+        net.p["word"], net.p["wo"] = net.p["word"] * 4, net.p["wo"] * 20  # windows differ
+        steps.clear()
+        assert net.logits(w) == pytest.approx(all_in_full(net, w), abs=1e-4)
+        return sum(steps) / len(w.inverse)
+
+    def network(bias):
+        net = T.Network(4)
+        for s in "fb":
+            net.p[f"c{s}"][:T.HIDDEN] = bias
+        return net
+
+    assert work(network(-2)) < 45
+    assert work(network(7)) > 64  # nothing is forgotten
+    some = network(-2)
+    for s in "fb":
+        some.p[f"w{s}"][0, :T.HIDDEN] = 8
+    some.p["word"][::7, 0] = 1  # a seventh of the words keeps what was before
+    work(some)
+    monkeypatch.setattr(T, "MET", 9.0)  # all are taken to have met at once: this is noticed
+    assert work(network(7)) > 64
+
+
+def test_sums_of_neighbours():
+    x = np.arange(60.0).reshape(2, 30) ** 2
+    for width in (1, 2, 3, 7, 8, 29, 30):
+        assert T.runs(x, width).tolist() == [[row[k:k + width].sum() for k in range(31 - width)] for row in x]
+
+
 def test_words_are_made_of_characters():
     """Pairs are of whole characters: é and è share a lead byte, but no pair."""
     pairs = lambda t: words_of([t]).pair.tolist()

@@ -7,6 +7,11 @@ apart, which cover the whole text too.  Each is read in both directions by gated
 recurrent units, pooled by attention and scored.  A text's score comes from its strongest
 window, calibrated to the share of toxic texts.
 
+The states of two windows at one word are the same but for rounding once they have met, and most meet after a few
+words.  So a window's states are read until they meet those that run on through the text, which give its other
+words; what does not meet, and all that comes near a text's strongest window, is read in full, and a score
+comes from windows read in full only (:meth:`Network._whole`).
+
 The network is trained on the driver, on a sample of bounded size: whole texts in the order
 of a hash of their ids, at most ``TRAIN_ROWS`` of each label and ``TRAIN_BYTES`` bytes of each
 label together (a text that goes beyond what is left of these bytes is passed over).
@@ -40,6 +45,12 @@ EPOCHS, BATCH, RATE = 12, 48, 8e-3
 FOLDS = 5
 #: Windows that are worked on together: any ones, and those of a stream.
 _BLOCK, _STREAM = 2048, 8192
+#: Pieces of a stream, and windows of each, that are worked on together while states meet.
+_PIECES, _PIECE = 256, 64
+#: States closer than this have met; logits from met states are taken to be right within ``NEAR``, and checked.
+MET, NEAR = 2.0 ** -11, 2.0 ** -6
+#: Share of unmet windows that one more step must save, and share above which a block is read in full.
+_LESS, _MANY = 0.02, 0.25
 _f = np.float32
 
 
@@ -96,6 +107,44 @@ def windows(at: np.ndarray, width: int = WINDOW, stride: int = STRIDE) -> tuple[
     return at[text] + first, np.minimum(width, size[text] - first), text
 
 
+def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The states after one more word: ``x`` its gate inputs, ``h`` the states before, ``g`` room to work in.
+
+    A gate is 1 / (1 + exp(-x)), a candidate 1 - 2 / (1 + exp(2 x)), as numpy's exp takes less time
+    than its tanh; the factors are in the weights, and an overflow gives the limit.
+    """
+    one, gate, z, r, c = _f(1), g[:2 * HIDDEN], g[:HIDDEN], g[HIDDEN:2 * HIDDEN], g[2 * HIDDEN:]
+    np.matmul(u, h, out=g)
+    gate += x[:2 * HIDDEN]
+    np.exp(gate, out=gate)
+    gate += one
+    np.reciprocal(gate, out=gate)
+    c *= r
+    c += x[2 * HIDDEN:]
+    np.exp(c, out=c)
+    c += one
+    np.divide(_f(-2), c, out=c)
+    c += one
+    np.subtract(h, c, out=out)
+    out *= z
+    out += c
+    return out
+
+
+def runs(values: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``width`` neighbours along the last axis, from sums of 1, 2, 4 and so on."""
+    n, at, size = values.shape[-1] - width + 1, 0, 1
+    out = np.zeros((*values.shape[:-1], n), values.dtype)
+    while True:
+        if width & size:
+            out += values[..., at:at + n]
+            at += size
+        if 2 * size > width:
+            return out
+        values = values[..., :-size] + values[..., size:]
+        size *= 2
+
+
 class Network:
     """Parameters as float32 arrays by name."""
 
@@ -181,55 +230,144 @@ class Network:
         return pooled @ p["wo"] + p["bo"][0]
 
     def _for_exp(self, projected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Gate inputs as rows (update, reset, candidate units) over words, with the factors of :meth:`_slide`."""
+        """Gate inputs as rows (update, reset, candidate units) over words, with the factors of :func:`step`."""
         factor = np.array([-1, -1, 2], _f)[:, None, None]
         return {s: np.ascontiguousarray((v * factor).swapaxes(1, 2)).reshape(3 * HIDDEN, -1) for s, v in projected.items()}
 
-    def _slide(self, stream: dict[str, np.ndarray], states: np.ndarray) -> np.ndarray:
-        """Logits of the whole windows at all words of a stream: :meth:`forward` with windows side by side in memory.
+    def _weights(self) -> dict[str, np.ndarray]:
+        """Weights of the states, with the factors of :meth:`_for_exp`."""
+        return {s: np.ascontiguousarray(self.p[f"u{s}"].T) * np.repeat(np.array([-1, -1, 2], _f), HIDDEN)[:, None] for s in "fb"}
 
-        A gate is 1 / (1 + exp(-x)), a candidate 1 - 2 / (1 + exp(2 x)), as numpy's exp takes less time
-        than its tanh; the factors are in the weights, and an overflow gives the limit.  ``states`` is room to work in.
+    def _pool(self, seen: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The exponents of attention, but for what is the same for all words, to ``out``; ``seen`` are the products of :meth:`_heads`, of which it takes the first as room."""
+        att = seen[:ATTEND]
+        att += 2 * self.p["ba"].reshape(-1, *[1] * (seen.ndim - 1))
+        np.exp(att, out=att)
+        att += _f(1)
+        np.reciprocal(att, out=att)
+        return np.matmul(-2 * self.p["va"], att.reshape(ATTEND, -1), out=out.reshape(-1))
+
+    def _heads(self) -> np.ndarray:
+        """Twice the attention's weights, and the logit's, of both directions' states: one product a step gives both."""
+        return np.concatenate([2 * self.p["wa"].T, self.p["wo"][None]])
+
+    def _slide(self, inputs, n: int, states: np.ndarray) -> np.ndarray:
+        """Logits of ``n`` whole windows: :meth:`forward` with windows side by side in memory.
+
+        ``inputs(direction, k)`` are the gate inputs of their k-th words, ``states`` is room to work in.
         """
-        p, h_, one, n = self.p, HIDDEN, _f(1), states.shape[2]
-        g, factor = np.empty((3 * h_, n), _f), np.repeat(np.array([-1, -1, 2], _f), h_)[:, None]
+        weights, g = self._weights(), np.empty((3 * HIDDEN, n), _f)
         for d, (s, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
-            u, h = np.ascontiguousarray(p[f"u{s}"].T) * factor, np.zeros((h_, n), _f)
-            gate, z, r, c = g[:2 * h_], g[:h_], g[h_:2 * h_], g[2 * h_:]
+            h = np.zeros((HIDDEN, n), _f)
             for k in order:
-                x = stream[s][:, k:k + n]
-                np.matmul(u, h, out=g)
-                gate += x[:2 * h_]
-                np.exp(gate, out=gate)
-                gate += one
-                np.reciprocal(gate, out=gate)
-                c *= r
-                c += x[2 * h_:]
-                np.exp(c, out=c)
-                c += one
-                np.divide(_f(-2), c, out=c)
-                c += one
-                new = states[k, d * h_:(d + 1) * h_]
-                np.subtract(h, c, out=new)
-                new *= z
-                new += c
-                h = new
-        # Attention, and what each state gives the logit, from one product a step.  The 1 of a tanh adds the same to all of a window's e.
-        heads, e, gives = np.concatenate([2 * p["wa"].T, p["wo"][None]]), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f)
-        seen, bias, va = np.empty((ATTEND + 1, n), _f), 2 * p["ba"][:, None], -2 * p["va"]
-        att = seen[:ATTEND]
+                h = step(weights[s], inputs(s, k), h, g, states[k, d * HIDDEN:(d + 1) * HIDDEN])
+        # The 1 of a tanh adds the same to all of a window's e.
+        heads, e, gives, seen = self._heads(), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f), np.empty((ATTEND + 1, n), _f)
         for k in range(WINDOW):
             np.matmul(heads, states[k], out=seen)
-            att += bias
-            np.exp(att, out=att)
-            att += one
-            np.reciprocal(att, out=att)
-            np.matmul(va, att, out=e[k])
+            self._pool(seen, e[k])
             gives[k] = seen[ATTEND]
         e -= e.max(axis=0)
         np.exp(e, out=e)
         gives *= e
-        return gives.sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+        return gives.sum(axis=0) / e.sum(axis=0) + self.p["bo"][0]
+
+    def _meet(self, stream: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Logits of the whole windows at all words of a stream, within :data:`NEAR`, and which of these windows are unmet.
+
+        The stream has whole pieces of ``_PIECE`` windows.  In each piece the network also reads on through all words.  A
+        window's own states are read until they have met those (by ``MET``), which stand for its further words.  None: too many do not meet.
+        """
+        n, weights, heads = stream["f"].shape[1] - WINDOW + 1, self._weights(), self._heads()
+        pieces, long = n // _PIECE, _PIECE + WINDOW - 1
+        on, given, g = {}, {}, np.empty((3 * HIDDEN, pieces), _f)
+        for d, s in enumerate("fb"):
+            h, out = np.zeros((HIDDEN, pieces), _f), np.empty((long, HIDDEN, pieces), _f)
+            for k in range(long) if s == "f" else range(long - 1, -1, -1):
+                h = step(weights[s], stream[s][:, k:k + n - _PIECE + 1:_PIECE], h, g, out[k])
+            on[s] = np.ascontiguousarray(out.transpose(1, 2, 0))
+            given[s] = (heads[:, d * HIDDEN:(d + 1) * HIDDEN] @ on[s].reshape(HIDDEN, -1)).reshape(ATTEND + 1, pieces, long)
+        total, share, unmet = np.zeros(n, _f), np.zeros(n, _f), np.zeros(n, bool)
+        g, seen, e, gap, room = np.empty((3 * HIDDEN, n), _f), np.empty((ATTEND + 1, n), _f), np.empty(n, _f), np.empty((HIDDEN, n), _f), np.empty((2, HIDDEN, n), _f)
+        shape, left, own = (-1, pieces, _PIECE), WINDOW, {}
+        for d, s in enumerate("fb"):
+            h, other = np.zeros((HIDDEN, n), _f), given["b" if s == "f" else "f"]
+            part = 1.0
+            for i in range(left):
+                k = i if s == "f" else WINDOW - 1 - i
+                h = step(weights[s], stream[s][:, k:k + n], h, g, room[i % 2])
+                np.matmul(heads[:, d * HIDDEN:(d + 1) * HIDDEN], h, out=seen)
+                pair = seen.reshape(shape)
+                pair += other[:, :, k:k + _PIECE]
+                self._pool(seen, e)
+                np.exp(e, out=e)
+                share += e
+                e *= seen[ATTEND]
+                total += e
+                if i < 5:
+                    continue
+                np.subtract(h.reshape(shape), on[s][:, :, k:k + _PIECE], out=gap.reshape(shape))
+                apart, before = np.abs(gap, out=gap).max(axis=0) > MET, part
+                part = np.count_nonzero(apart) / n
+                if part <= _MANY and before - part <= _LESS:
+                    break
+            if part > _MANY:
+                return None
+            own[s], unmet = i + 1, unmet | apart
+            left -= own[s]
+            if left < 6 and s == "f":
+                return None
+        both = given["f"] + given["b"]
+        e = np.empty((pieces, long), _f)
+        self._pool(both, e)
+        np.exp(e, out=e)
+        both[ATTEND] *= e
+        if left:
+            at = slice(own["f"], own["f"] + _PIECE + left - 1)
+            share += runs(e[:, at], left).reshape(-1)
+            total += runs(both[ATTEND][:, at], left).reshape(-1)
+        return total / share + self.p["bo"][0], unmet
+
+    def _whole(self, rows: dict[str, np.ndarray], inverse: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The strongest logit of the whole windows of each text; every text has one.
+
+        All windows are scored by :meth:`_meet` first.  Those that it leaves unmet and those within 2 * NEAR of their text's
+        strongest are then read in full, and the strongest of these counts.  Where the two ways differ by more than NEAR / 2, or
+        states do not meet, all windows are read in full.
+        """
+        last, block = len(inverse) - WINDOW + 1, _PIECES * _PIECE
+        begin, end = at[:-1], at[1:] - WINDOW + 1  # of windows
+        about, open_ = np.full(last, -np.inf, _f), np.ones(last, bool)
+        meets = float(np.abs(self.p["va"]).sum()) < 40  # its exp needs no shift
+        for i in range(0, last if meets else 0, block):
+            n = min(block, last - i)
+            words = inverse[i:i + n + WINDOW - 1]
+            words = np.append(words, np.zeros(-n % _PIECE, words.dtype))
+            with np.errstate(over="ignore"):
+                met = self._meet({s: np.take(v, words, axis=1) for s, v in rows.items()})
+            if met is not None:
+                about[i:i + n], open_[i:i + n] = met[0][:n], met[1][:n]
+        edges = np.stack([begin, end], axis=1).ravel()
+        top = np.maximum.reduceat(np.append(np.where(open_, _f(-np.inf), about), _f(-np.inf)), edges)[::2]
+        text = np.repeat(np.arange(len(begin)), end - begin)
+        window = ragged(begin, end - begin)
+        chosen = open_[window] | (about[window] >= top[text] - _f(2 * NEAR))
+        exact = self._full(rows, inverse, window[chosen])
+        sure = ~open_[window[chosen]]
+        if np.any(np.abs(exact[sure] - about[window[chosen]][sure]) > NEAR / 2):
+            chosen[:] = True
+            exact = self._full(rows, inverse, window)
+        first = np.searchsorted(text[chosen], np.arange(len(begin)))
+        return np.maximum.reduceat(exact, first)
+
+    def _full(self, rows: dict[str, np.ndarray], inverse: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Logits of the whole windows from the words ``first`` on, each read in full."""
+        out, states = np.empty(len(first), _f), np.empty((WINDOW, 2 * HIDDEN, min(_STREAM, len(first))), _f)
+        for i in range(0, len(first), _STREAM):
+            here = first[i:i + _STREAM]
+            with np.errstate(over="ignore"):
+                out[i:i + len(here)] = self._slide(lambda s, k: np.take(rows[s], inverse[here + k], axis=1), len(here), states[:, :, :len(here)])
+        return out
 
     def backward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters, and of the word vectors."""
@@ -284,20 +422,10 @@ class Network:
         x = self.vectors(w)
         projected, count = self.projections(x), np.diff(w.at)
         out = np.full(len(count), -np.inf, _f)
-        # Windows of whole width start at neighbouring words, so their inputs are slices of one stream.
-        rows, last = self._for_exp(projected), len(w.inverse) - WINDOW + 1
-        states = np.empty((WINDOW, 2 * HIDDEN, min(_STREAM, max(last, 0))), _f)
-        valid = np.flatnonzero(count >= WINDOW)
-        for i in range(0, last, _STREAM):
-            n = min(_STREAM, last - i)
-            words = w.inverse[i:i + n + WINDOW - 1]
-            with np.errstate(over="ignore"):
-                here = self._slide({s: np.take(v, words, axis=1) for s, v in rows.items()}, states[:, :, :n])
-            some = valid[(w.at[valid] < i + n) & (w.at[valid + 1] - WINDOW >= i)]
-            if len(some):  # those that lie in one text
-                begin, end = np.maximum(w.at[some] - i, 0), np.minimum(w.at[some + 1] - WINDOW + 1 - i, n)
-                edges = np.stack([begin, end], axis=1).ravel()
-                out[some] = np.maximum(out[some], np.maximum.reduceat(np.append(here, _f(-np.inf)), edges)[::2])
+        whole = np.flatnonzero(count >= WINDOW)
+        if len(whole):
+            words = ragged(w.at[whole], count[whole])
+            out[whole] = self._whole(self._for_exp(projected), w.inverse[words], np.concatenate([[0], np.cumsum(count[whole])]))
         short = np.flatnonzero(count < WINDOW)
         step, inverse = np.arange(WINDOW), w.inverse if len(w.inverse) else np.zeros(1, np.int64)
         for i in range(0, len(short), _BLOCK):
