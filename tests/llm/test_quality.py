@@ -303,6 +303,40 @@ def test_windows_are_read_until_their_states_meet(monkeypatch):
     assert work(network(7)) > 64
 
 
+def test_scores_that_are_0_or_1_need_rough_states_only(monkeypatch):
+    """Texts whose rounded score is certain take few steps of the network, all others are read as before: every score is that of windows read in full."""
+    rng = np.random.default_rng(10)
+    w = words_of([" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (20_000, 31, 32, 33, 0, *rng.integers(60, 900, 60))])
+    steps, step = [], T.step
+    monkeypatch.setattr(T, "step", lambda u, x, *room: steps.append(x.shape[1]) or step(u, x, *room))
+
+    def network(bias):
+        net = T.Network(4)
+        net.p["word"], net.p["wo"] = net.p["word"] * 4, net.p["wo"] * 20
+        for s in "fb":
+            net.p[f"c{s}"][:T.HIDDEN] = bias
+        return net, np.array(all_in_full(net, w), np.float64)
+
+    def work(net, each, scale, shift):
+        net.scale, net.shift = scale, shift
+        steps.clear()
+        got, wanted = net.scores(w), np.round(1 / (1 + np.exp(-(scale * each + shift))), 6)
+        assert got == pytest.approx(wanted, abs=2e-5 * max(1, scale)) and (got[(wanted == 0) | (wanted == 1)] % 1 == 0).all()
+        return sum(steps) / len(w.inverse), wanted
+
+    net, each = network(-2)
+    assert work(net, each, 2.0, -60 - 2 * each.max())[0] < 20  # all are 0
+    assert work(net, each, 2.0, 60 - 2 * each.min())[0] < 20  # all are 1
+    scale = 200 / (each.max() - each.min())
+    wanted = work(net, each, scale, -scale * np.quantile(each, 0.7))[1]
+    assert 0 < (wanted == 0).sum() and 0 < (wanted == 1).sum() and 0 < ((wanted > 0) & (wanted < 1)).sum()
+    work(net, each, 0.0, 0.3)
+    net, each = network(7)  # nothing is forgotten
+    monkeypatch.setattr(T, "ROUGH_MET", 9.0)  # all are taken to have met at once
+    for shift in (-60, -15, 0):
+        work(net, each, 2.0, shift - 2 * np.median(each))
+
+
 def test_sums_of_neighbours():
     x = np.arange(60.0).reshape(2, 30) ** 2
     for width in (1, 2, 3, 7, 8, 29, 30):

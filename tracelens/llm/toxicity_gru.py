@@ -45,12 +45,18 @@ EPOCHS, BATCH, RATE = 12, 48, 8e-3
 FOLDS = 5
 #: Windows that are worked on together: any ones, and those of a stream.
 _BLOCK, _STREAM = 2048, 8192
-#: Pieces of a stream, and windows of each, that are worked on together while states meet.
-_PIECES, _PIECE = 256, 64
+#: Pieces of a stream that are read on together, windows of each, and windows that are worked on together while states meet.
+_PIECES, _PIECE, _SIDE = 512, 128, 8192
 #: States closer than this have met; logits from met states are taken to be right within ``NEAR``, and checked.
 MET, NEAR = 2.0 ** -11, 2.0 ** -6
-#: Share of unmet windows that one more step must save, and share above which a block is read in full.
-_LESS, _MANY = 0.02, 0.25
+#: The same where a text is only to be told from those whose score is not 0.
+ROUGH_MET, ROUGH_NEAR = 2.0 ** -5, 2.0
+#: One window of so many is read in full as a check.
+_CHECK = 256
+#: Share of unmet windows that is read in full at once, that one more step must save, and above which a block is read in full.
+_FEW, _LESS, _MANY = 0.03, 0.02, 0.25
+#: Decimals of a score, and the log odds from which it is 1 (0) with these, with room for rounding.
+DECIMALS, SURE = 6, 15.0
 _f = np.float32
 
 
@@ -111,22 +117,21 @@ def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.nda
     """The states after one more word: ``x`` its gate inputs, ``h`` the states before, ``g`` room to work in.
 
     A gate is 1 / (1 + exp(-x)), a candidate 1 - 2 / (1 + exp(2 x)), as numpy's exp takes less time
-    than its tanh; the factors are in the weights, and an overflow gives the limit.
+    than its tanh; gates divide by 1 + exp(-x).  The factors are in the weights, and an overflow gives the limit.
     """
     one, gate, z, r, c = _f(1), g[:2 * HIDDEN], g[:HIDDEN], g[HIDDEN:2 * HIDDEN], g[2 * HIDDEN:]
     np.matmul(u, h, out=g)
     gate += x[:2 * HIDDEN]
     np.exp(gate, out=gate)
     gate += one
-    np.reciprocal(gate, out=gate)
-    c *= r
-    c += x[2 * HIDDEN:]
+    c /= r
+    c += x[2 * HIDDEN:3 * HIDDEN]
     np.exp(c, out=c)
     c += one
     np.divide(_f(-2), c, out=c)
     c += one
     np.subtract(h, c, out=out)
-    out *= z
+    out /= z
     out += c
     return out
 
@@ -134,7 +139,7 @@ def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.nda
 def runs(values: np.ndarray, width: int) -> np.ndarray:
     """Sums of ``width`` neighbours along the last axis, from sums of 1, 2, 4 and so on."""
     n, at, size = values.shape[-1] - width + 1, 0, 1
-    out = np.zeros((*values.shape[:-1], n), values.dtype)
+    out = np.zeros_like(values[..., :n])
     while True:
         if width & size:
             out += values[..., at:at + n]
@@ -230,18 +235,24 @@ class Network:
         return pooled @ p["wo"] + p["bo"][0]
 
     def _for_exp(self, projected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Gate inputs as rows (update, reset, candidate units) over words, with the factors of :func:`step`."""
-        factor = np.array([-1, -1, 2], _f)[:, None, None]
-        return {s: np.ascontiguousarray((v * factor).swapaxes(1, 2)).reshape(3 * HIDDEN, -1) for s, v in projected.items()}
+        """Gate inputs as rows (update, reset, candidate units) over words, with the factors of :func:`step`, then the states that a word gives as the first of a window."""
+        factor, out = np.array([-1, -1, 2], _f)[:, None, None], {}
+        for s, v in projected.items():
+            rows = np.empty((4 * HIDDEN, v.shape[1]), _f)
+            rows[:3 * HIDDEN] = (v * factor).swapaxes(1, 2).reshape(3 * HIDDEN, -1)
+            z, c, h = rows[:HIDDEN], rows[2 * HIDDEN:3 * HIDDEN], rows[3 * HIDDEN:]
+            with np.errstate(over="ignore"):
+                h[:] = (1 - 2 / (1 + np.exp(c))) * (1 - 1 / (1 + np.exp(z)))
+            out[s] = rows
+        return out
 
     def _weights(self) -> dict[str, np.ndarray]:
         """Weights of the states, with the factors of :meth:`_for_exp`."""
         return {s: np.ascontiguousarray(self.p[f"u{s}"].T) * np.repeat(np.array([-1, -1, 2], _f), HIDDEN)[:, None] for s in "fb"}
 
     def _pool(self, seen: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """The exponents of attention, but for what is the same for all words, to ``out``; ``seen`` are the products of :meth:`_heads`, of which it takes the first as room."""
+        """The exponents of attention, but for what is the same for all words, to ``out``; ``seen`` are the products of :meth:`_heads` with twice the bias, of which it takes the first as room."""
         att = seen[:ATTEND]
-        att += 2 * self.p["ba"].reshape(-1, *[1] * (seen.ndim - 1))
         np.exp(att, out=att)
         att += _f(1)
         np.reciprocal(att, out=att)
@@ -263,8 +274,10 @@ class Network:
                 h = step(weights[s], inputs(s, k), h, g, states[k, d * HIDDEN:(d + 1) * HIDDEN])
         # The 1 of a tanh adds the same to all of a window's e.
         heads, e, gives, seen = self._heads(), np.empty((WINDOW, n), _f), np.empty((WINDOW, n), _f), np.empty((ATTEND + 1, n), _f)
+        twice = 2 * self.p["ba"][:, None]
         for k in range(WINDOW):
             np.matmul(heads, states[k], out=seen)
+            seen[:ATTEND] += twice
             self._pool(seen, e[k])
             gives[k] = seen[ATTEND]
         e -= e.max(axis=0)
@@ -272,44 +285,72 @@ class Network:
         gives *= e
         return gives.sum(axis=0) / e.sum(axis=0) + self.p["bo"][0]
 
-    def _meet(self, stream: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Logits of the whole windows at all words of a stream, within :data:`NEAR`, and which of these windows are unmet.
+    def _meet(self, rows: dict[str, np.ndarray], words: np.ndarray, met: float) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the whole windows at all words of a stream, and which of these windows are unmet (their logits are of no use).
 
-        The stream has whole pieces of ``_PIECE`` windows.  In each piece the network also reads on through all words.  A
-        window's own states are read until they have met those (by ``MET``), which stand for its further words.  None: too many do not meet.
+        The stream has whole pieces of ``_PIECE`` windows, which lie side by side in memory.  In each the network reads on through
+        all words.  A window's own states are read until they have met those (by ``met``), which stand for its further words.
         """
-        n, weights, heads = stream["f"].shape[1] - WINDOW + 1, self._weights(), self._heads()
-        pieces, long = n // _PIECE, _PIECE + WINDOW - 1
-        on, given, g = {}, {}, np.empty((3 * HIDDEN, pieces), _f)
-        for d, s in enumerate("fb"):
-            h, out = np.zeros((HIDDEN, pieces), _f), np.empty((long, HIDDEN, pieces), _f)
+        pieces, long, h_ = (len(words) - WINDOW + 1) // _PIECE, _PIECE + WINDOW - 1, HIDDEN
+        words = words[np.arange(long)[:, None] + np.arange(pieces) * _PIECE].ravel()
+        weights, heads, twice = self._weights(), {s: np.ascontiguousarray(v) for s, v in zip("fb", np.split(self._heads(), 2, axis=1))}, 2 * self.p["ba"][:, None]
+        stream, on, given, g = {}, {}, {}, np.empty((3 * h_, pieces), _f)
+        for s in "fb":
+            stream[s], on[s], h = np.take(rows[s], words, axis=1), np.empty((h_, len(words)), _f), np.zeros((h_, pieces), _f)
             for k in range(long) if s == "f" else range(long - 1, -1, -1):
-                h = step(weights[s], stream[s][:, k:k + n - _PIECE + 1:_PIECE], h, g, out[k])
-            on[s] = np.ascontiguousarray(out.transpose(1, 2, 0))
-            given[s] = (heads[:, d * HIDDEN:(d + 1) * HIDDEN] @ on[s].reshape(HIDDEN, -1)).reshape(ATTEND + 1, pieces, long)
-        total, share, unmet = np.zeros(n, _f), np.zeros(n, _f), np.zeros(n, bool)
-        g, seen, e, gap, room = np.empty((3 * HIDDEN, n), _f), np.empty((ATTEND + 1, n), _f), np.empty(n, _f), np.empty((HIDDEN, n), _f), np.empty((2, HIDDEN, n), _f)
-        shape, left, own = (-1, pieces, _PIECE), WINDOW, {}
-        for d, s in enumerate("fb"):
-            h, other = np.zeros((HIDDEN, n), _f), given["b" if s == "f" else "f"]
-            part = 1.0
+                at = slice(k * pieces, (k + 1) * pieces)
+                h = step(weights[s], stream[s][:, at], h, g, on[s][:, at])
+            given[s] = heads[s] @ on[s]
+            given[s][:ATTEND] += twice
+        both = given["f"] + given["b"]
+        both[:ATTEND] -= twice
+        e = np.empty(len(words), _f)
+        self._pool(both, e)
+        np.exp(e, out=e)
+        both[ATTEND] *= e
+        pooled, sums = np.stack([e, both[ATTEND]]).reshape(2, long, pieces), {}
+        about, open_ = np.zeros((_PIECE, pieces), _f), np.ones((_PIECE, pieces), bool)
+        side = max(1, _SIDE // pieces)
+        n = side * pieces
+        g, seen, e, gap, room = np.empty((3 * h_, n), _f), np.empty((ATTEND + 1, n), _f), np.empty(n, _f), np.empty((h_, n), _f), np.empty((2, h_, n), _f)
+        for i in range(0, _PIECE, side):
+            m = min(side, _PIECE - i) * pieces
+            done = self._side(stream, on, given, weights, heads, met, i * pieces, pieces, g[:, :m], seen[:, :m], e[:m], gap[:, :m], room[:, :, :m])
+            if done is None:
+                continue
+            total, own, unmet = done
+            left = WINDOW - own["f"] - own["b"]
+            if left:
+                if left not in sums:
+                    sums[left] = runs(pooled.swapaxes(1, 2), left).swapaxes(1, 2)
+                total += sums[left][:, i + own["f"]:i + own["f"] + m // pieces].reshape(2, -1)
+            about[i:i + side] = (total[1] / total[0] + self.p["bo"][0]).reshape(-1, pieces)
+            open_[i:i + side] = unmet.reshape(-1, pieces)
+        return about.T.ravel(), open_.T.ravel()
+
+    def _side(self, stream: dict[str, np.ndarray], on: dict[str, np.ndarray], given: dict[str, np.ndarray], weights: dict[str, np.ndarray], heads: dict[str, np.ndarray], met: float, first: int, pieces: int, g: np.ndarray, seen: np.ndarray, e: np.ndarray, gap: np.ndarray, room: np.ndarray):
+        """Of the windows from ``first`` on, for :meth:`_meet`: the sums of attention and of logits over the words read by own states, how many these are, and which windows are unmet.  None: too many."""
+        n = len(e)
+        total, unmet, left, own = np.zeros((2, n), _f), np.zeros(n, bool), WINDOW, {}
+        for s in "fb":
+            other, part = given["b" if s == "f" else "f"], 1.0
             for i in range(left):
                 k = i if s == "f" else WINDOW - 1 - i
-                h = step(weights[s], stream[s][:, k:k + n], h, g, room[i % 2])
-                np.matmul(heads[:, d * HIDDEN:(d + 1) * HIDDEN], h, out=seen)
-                pair = seen.reshape(shape)
-                pair += other[:, :, k:k + _PIECE]
+                at = slice(first + k * pieces, first + k * pieces + n)
+                h = step(weights[s], stream[s][:, at], h, g, room[i % 2]) if i else stream[s][3 * HIDDEN:, at]
+                np.matmul(heads[s], h, out=seen)
+                seen += other[:, at]
                 self._pool(seen, e)
                 np.exp(e, out=e)
-                share += e
+                total[0] += e
                 e *= seen[ATTEND]
-                total += e
-                if i < 5:
+                total[1] += e
+                if i < 3:
                     continue
-                np.subtract(h.reshape(shape), on[s][:, :, k:k + _PIECE], out=gap.reshape(shape))
-                apart, before = np.abs(gap, out=gap).max(axis=0) > MET, part
+                np.subtract(h, on[s][:, at], out=gap)
+                apart, before = np.abs(gap, out=gap).max(axis=0) > met, part
                 part = np.count_nonzero(apart) / n
-                if part <= _MANY and before - part <= _LESS:
+                if part <= _FEW or part <= _MANY and before - part <= _LESS:
                     break
             if part > _MANY:
                 return None
@@ -317,25 +358,22 @@ class Network:
             left -= own[s]
             if left < 6 and s == "f":
                 return None
-        both = given["f"] + given["b"]
-        e = np.empty((pieces, long), _f)
-        self._pool(both, e)
-        np.exp(e, out=e)
-        both[ATTEND] *= e
-        if left:
-            at = slice(own["f"], own["f"] + _PIECE + left - 1)
-            share += runs(e[:, at], left).reshape(-1)
-            total += runs(both[ATTEND][:, at], left).reshape(-1)
-        return total / share + self.p["bo"][0], unmet
+        return total, own, unmet
 
-    def _whole(self, rows: dict[str, np.ndarray], inverse: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _whole(self, rows: dict[str, np.ndarray], inverse: np.ndarray, at: np.ndarray, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
         """The strongest logit of the whole windows of each text; every text has one.
 
-        All windows are scored by :meth:`_meet` first.  Those that it leaves unmet and those within 2 * NEAR of their text's
-        strongest are then read in full, and the strongest of these counts.  Where the two ways differ by more than NEAR / 2, or
-        states do not meet, all windows are read in full.
+        All windows are scored by :meth:`_meet` first.  Then the strongest of each text is read in full, and one of ``_CHECK`` as a check,
+        then those that are unmet and those within 2 * NEAR of their text's strongest, and the strongest read in full counts.  Where the two
+        ways differ by more than NEAR / 2, or states do not meet, all windows are read in full.
+
+        With ``low`` and ``high``, logits below ``low``, and those from ``high`` on, are not told apart.  Then states need to meet roughly
+        only.  A text with a logit of ``high`` or more is settled, and one whose met windows are below ``low`` by ROUGH_NEAR at least and
+        whose unmet ones, read in full, are below ``low`` too; all others are gone through again without these limits.
         """
         last, block = len(inverse) - WINDOW + 1, _PIECES * _PIECE
+        rough = low > -np.inf
+        met, near = (ROUGH_MET, ROUGH_NEAR) if rough else (MET, NEAR)
         begin, end = at[:-1], at[1:] - WINDOW + 1  # of windows
         about, open_ = np.full(last, -np.inf, _f), np.ones(last, bool)
         meets = float(np.abs(self.p["va"]).sum()) < 40  # its exp needs no shift
@@ -344,21 +382,42 @@ class Network:
             words = inverse[i:i + n + WINDOW - 1]
             words = np.append(words, np.zeros(-n % _PIECE, words.dtype))
             with np.errstate(over="ignore"):
-                met = self._meet({s: np.take(v, words, axis=1) for s, v in rows.items()})
-            if met is not None:
-                about[i:i + n], open_[i:i + n] = met[0][:n], met[1][:n]
-        edges = np.stack([begin, end], axis=1).ravel()
-        top = np.maximum.reduceat(np.append(np.where(open_, _f(-np.inf), about), _f(-np.inf)), edges)[::2]
-        text = np.repeat(np.arange(len(begin)), end - begin)
-        window = ragged(begin, end - begin)
-        chosen = open_[window] | (about[window] >= top[text] - _f(2 * NEAR))
-        exact = self._full(rows, inverse, window[chosen])
-        sure = ~open_[window[chosen]]
-        if np.any(np.abs(exact[sure] - about[window[chosen]][sure]) > NEAR / 2):
-            chosen[:] = True
-            exact = self._full(rows, inverse, window)
-        first = np.searchsorted(text[chosen], np.arange(len(begin)))
-        return np.maximum.reduceat(exact, first)
+                each, unmet = self._meet(rows, words, met)
+            about[i:i + n], open_[i:i + n] = each[:n], unmet[:n]
+        window, text = ragged(begin, end - begin), np.repeat(np.arange(len(begin)), end - begin)
+        about, open_, starts = about[window], open_[window], np.concatenate([[0], np.cumsum(end - begin)[:-1]])
+        about[open_] = -np.inf
+        top = np.maximum.reduceat(about, starts)
+        exact = np.full(len(window), -np.inf, _f)
+
+        def read(chosen: np.ndarray) -> bool:
+            """Reads windows in full; False where one is not as near as was taken."""
+            exact[chosen] = self._full(rows, inverse, window[chosen])
+            sure = chosen[~open_[chosen]]
+            return not np.any(np.abs(exact[sure] - about[sure]) > near / 2)
+
+        strongest = np.flatnonzero(about == top[text])
+        strongest = strongest[np.flatnonzero(np.diff(text[strongest], prepend=-1))]
+        chosen = np.zeros(len(window), bool)
+        chosen[strongest] = chosen[::_CHECK] = True
+        right = read(np.flatnonzero(chosen))
+        if rough:
+            again = np.ones(len(begin), bool)
+            if right:
+                settled, quiet = np.maximum.reduceat(exact, starts) >= high, top + near < low
+                read(np.flatnonzero(~chosen & open_ & (quiet & ~settled)[text]))
+                best = np.maximum.reduceat(exact, starts)
+                again = ~settled & ~(quiet & (best < low)) & (best < high)
+            if again.any():
+                size = np.diff(at)[again]
+                best = np.full(len(begin), -np.inf, _f) if not right else best
+                best[again] = self._whole(rows, inverse[ragged(at[:-1][again], size)], np.concatenate([[0], np.cumsum(size)]))
+            return best
+        if right:
+            right = read(np.flatnonzero(~chosen & (open_ | (about >= top[text] - _f(2 * near)))))
+        if not right:
+            read(np.arange(len(window)))
+        return np.maximum.reduceat(exact, starts)
 
     def _full(self, rows: dict[str, np.ndarray], inverse: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Logits of the whole windows from the words ``first`` on, each read in full."""
@@ -366,7 +425,7 @@ class Network:
         for i in range(0, len(first), _STREAM):
             here = first[i:i + _STREAM]
             with np.errstate(over="ignore"):
-                out[i:i + len(here)] = self._slide(lambda s, k: np.take(rows[s], inverse[here + k], axis=1), len(here), states[:, :, :len(here)])
+                out[i:i + len(here)] = self._slide(lambda s, k: np.take(rows[s][:3 * HIDDEN], inverse[here + k], axis=1), len(here), states[:, :, :len(here)])
         return out
 
     def backward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, cache: dict, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -417,15 +476,15 @@ class Network:
             out[k] = self.forward(x, index, (step < size[k, None]).astype(_f), projected=projected)
         return out
 
-    def logits(self, w: Words) -> np.ndarray:
-        """The strongest window's logit of each text of a chunk, in blocks of bounded size."""
+    def logits(self, w: Words, low: float = -np.inf, high: float = np.inf) -> np.ndarray:
+        """The strongest window's logit of each text of a chunk, in blocks of bounded size; see :meth:`_whole` for ``low`` and ``high``."""
         x = self.vectors(w)
         projected, count = self.projections(x), np.diff(w.at)
         out = np.full(len(count), -np.inf, _f)
         whole = np.flatnonzero(count >= WINDOW)
         if len(whole):
             words = ragged(w.at[whole], count[whole])
-            out[whole] = self._whole(self._for_exp(projected), w.inverse[words], np.concatenate([[0], np.cumsum(count[whole])]))
+            out[whole] = self._whole(self._for_exp(projected), w.inverse[words], np.concatenate([[0], np.cumsum(count[whole])]), low, high)
         short = np.flatnonzero(count < WINDOW)
         step, inverse = np.arange(WINDOW), w.inverse if len(w.inverse) else np.zeros(1, np.int64)
         for i in range(0, len(short), _BLOCK):
@@ -435,8 +494,10 @@ class Network:
         return out
 
     def scores(self, w: Words) -> np.ndarray:
-        # Rounded, as single-precision sums depend on how many texts are worked on together.
-        return np.round(1 / (1 + np.exp(-(self.scale * self.logits(w).astype(np.float64) + self.shift))), 6)
+        """Rounded, as single-precision sums depend on how many texts are worked on together."""
+        # Logits that give 0, or 1, for sure need not be told apart.
+        limits = ((-SURE - self.shift) / self.scale, (SURE - self.shift) / self.scale) if self.scale > 0 else ()
+        return np.round(1 / (1 + np.exp(-(self.scale * self.logits(w, *limits).astype(np.float64) + self.shift))), DECIMALS)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 1) -> Network:
