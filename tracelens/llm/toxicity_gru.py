@@ -10,7 +10,8 @@ window, calibrated to the share of toxic texts.
 The states of two windows at one word are the same but for rounding once they have met, and most meet after a few
 words.  So a window's states are read until they meet those that run on through the text, which give its other
 words; what does not meet, and all that comes near a text's strongest window, is read in full, and a score
-comes from windows read in full only (:meth:`Network._whole`).
+comes from windows read in full only (:meth:`Network._whole`).  A score is rounded, so for most texts it is 0 or 1 whatever
+their logit is exactly: all windows are first gone through with rough states, and only the texts that this leaves open again.
 
 The network is trained on the driver, on a sample of bounded size: whole texts in the order
 of a hash of their ids, at most ``TRAIN_ROWS`` of each label and ``TRAIN_BYTES`` bytes of each
@@ -46,11 +47,13 @@ FOLDS = 5
 #: Windows that are worked on together: any ones, and those of a stream.
 _BLOCK, _STREAM = 2048, 8192
 #: Pieces of a stream that are read on together, windows of each, and windows that are worked on together while states meet.
-_PIECES, _PIECE, _SIDE = 512, 128, 8192
+_PIECES, _PIECE, _SIDE = 1536, 128, 8192
 #: States closer than this have met; logits from met states are taken to be right within ``NEAR``, and checked.
 MET, NEAR = 2.0 ** -11, 2.0 ** -6
 #: The same where a text is only to be told from those whose score is not 0.
 ROUGH_MET, ROUGH_NEAR = 2.0 ** -5, 2.0
+#: There, exp(x) is the float whose bits are those of the integer x * _SLOPE + _BASE: right within 3 in a hundred.
+_SLOPE, _BASE, _TOP = 2.0 ** 23 / np.log(2), 127 * 2.0 ** 23 - 366393, 254 * 2.0 ** 23
 #: One window of so many is read in full as a check.
 _CHECK = 256
 #: Share of unmet windows that is read in full at once, that one more step must save, and above which a block is read in full.
@@ -113,20 +116,28 @@ def windows(at: np.ndarray, width: int = WINDOW, stride: int = STRIDE) -> tuple[
     return at[text] + first, np.minimum(width, size[text] - first), text
 
 
-def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.ndarray) -> np.ndarray:
+def exponentials(x: np.ndarray, rough: bool) -> np.ndarray:
+    """exp(x), in place of x; ``rough``: of x that is given as x * _SLOPE + _BASE, nearly."""
+    if not rough:
+        return np.exp(x, out=x)
+    return np.clip(x, _f(0), _f(_TOP), out=x).astype(np.int32).view(_f)
+
+
+def step(u: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, out: np.ndarray, rough: bool = False) -> np.ndarray:
     """The states after one more word: ``x`` its gate inputs, ``h`` the states before, ``g`` room to work in.
 
     A gate is 1 / (1 + exp(-x)), a candidate 1 - 2 / (1 + exp(2 x)), as numpy's exp takes less time
     than its tanh; gates divide by 1 + exp(-x).  The factors are in the weights, and an overflow gives the limit.
     """
-    one, gate, z, r, c = _f(1), g[:2 * HIDDEN], g[:HIDDEN], g[HIDDEN:2 * HIDDEN], g[2 * HIDDEN:]
+    one, gate, c = _f(1), g[:2 * HIDDEN], g[2 * HIDDEN:]
     np.matmul(u, h, out=g)
     gate += x[:2 * HIDDEN]
-    np.exp(gate, out=gate)
+    gate = exponentials(gate, rough)
     gate += one
+    z, r = gate[:HIDDEN], gate[HIDDEN:]
     c /= r
     c += x[2 * HIDDEN:3 * HIDDEN]
-    np.exp(c, out=c)
+    c = exponentials(c, rough)
     c += one
     np.divide(_f(-2), c, out=c)
     c += one
@@ -250,10 +261,9 @@ class Network:
         """Weights of the states, with the factors of :meth:`_for_exp`."""
         return {s: np.ascontiguousarray(self.p[f"u{s}"].T) * np.repeat(np.array([-1, -1, 2], _f), HIDDEN)[:, None] for s in "fb"}
 
-    def _pool(self, seen: np.ndarray, out: np.ndarray) -> np.ndarray:
+    def _pool(self, seen: np.ndarray, out: np.ndarray, rough: bool = False) -> np.ndarray:
         """The exponents of attention, but for what is the same for all words, to ``out``; ``seen`` are the products of :meth:`_heads` with twice the bias, of which it takes the first as room."""
-        att = seen[:ATTEND]
-        np.exp(att, out=att)
+        att = exponentials(seen[:ATTEND], rough)
         att += _f(1)
         np.reciprocal(att, out=att)
         return np.matmul(-2 * self.p["va"], att.reshape(ATTEND, -1), out=out.reshape(-1))
@@ -285,7 +295,7 @@ class Network:
         gives *= e
         return gives.sum(axis=0) / e.sum(axis=0) + self.p["bo"][0]
 
-    def _meet(self, rows: dict[str, np.ndarray], words: np.ndarray, met: float) -> tuple[np.ndarray, np.ndarray]:
+    def _meet(self, rows: dict[str, np.ndarray], words: np.ndarray, met: float, rough: bool) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the whole windows at all words of a stream, and which of these windows are unmet (their logits are of no use).
 
         The stream has whole pieces of ``_PIECE`` windows, which lie side by side in memory.  In each the network reads on through
@@ -294,18 +304,22 @@ class Network:
         pieces, long, h_ = (len(words) - WINDOW + 1) // _PIECE, _PIECE + WINDOW - 1, HIDDEN
         words = words[np.arange(long)[:, None] + np.arange(pieces) * _PIECE].ravel()
         weights, heads, twice = self._weights(), {s: np.ascontiguousarray(v) for s, v in zip("fb", np.split(self._heads(), 2, axis=1))}, 2 * self.p["ba"][:, None]
+        if rough:
+            weights, twice = {s: v * _f(_SLOPE) for s, v in weights.items()}, twice * _f(_SLOPE) + _f(_BASE)
+            for v in heads.values():
+                v[:ATTEND] *= _f(_SLOPE)
         stream, on, given, g = {}, {}, {}, np.empty((3 * h_, pieces), _f)
         for s in "fb":
             stream[s], on[s], h = np.take(rows[s], words, axis=1), np.empty((h_, len(words)), _f), np.zeros((h_, pieces), _f)
             for k in range(long) if s == "f" else range(long - 1, -1, -1):
                 at = slice(k * pieces, (k + 1) * pieces)
-                h = step(weights[s], stream[s][:, at], h, g, on[s][:, at])
+                h = step(weights[s], stream[s][:, at], h, g, on[s][:, at], rough)
             given[s] = heads[s] @ on[s]
             given[s][:ATTEND] += twice
         both = given["f"] + given["b"]
         both[:ATTEND] -= twice
         e = np.empty(len(words), _f)
-        self._pool(both, e)
+        self._pool(both, e, rough)
         np.exp(e, out=e)
         both[ATTEND] *= e
         pooled, sums = np.stack([e, both[ATTEND]]).reshape(2, long, pieces), {}
@@ -315,7 +329,7 @@ class Network:
         g, seen, e, gap, room = np.empty((3 * h_, n), _f), np.empty((ATTEND + 1, n), _f), np.empty(n, _f), np.empty((h_, n), _f), np.empty((2, h_, n), _f)
         for i in range(0, _PIECE, side):
             m = min(side, _PIECE - i) * pieces
-            done = self._side(stream, on, given, weights, heads, met, i * pieces, pieces, g[:, :m], seen[:, :m], e[:m], gap[:, :m], room[:, :, :m])
+            done = self._side(stream, on, given, weights, heads, met, rough, i * pieces, pieces, g[:, :m], seen[:, :m], e[:m], gap[:, :m], room[:, :, :m])
             if done is None:
                 continue
             total, own, unmet = done
@@ -328,7 +342,7 @@ class Network:
             open_[i:i + side] = unmet.reshape(-1, pieces)
         return about.T.ravel(), open_.T.ravel()
 
-    def _side(self, stream: dict[str, np.ndarray], on: dict[str, np.ndarray], given: dict[str, np.ndarray], weights: dict[str, np.ndarray], heads: dict[str, np.ndarray], met: float, first: int, pieces: int, g: np.ndarray, seen: np.ndarray, e: np.ndarray, gap: np.ndarray, room: np.ndarray):
+    def _side(self, stream: dict[str, np.ndarray], on: dict[str, np.ndarray], given: dict[str, np.ndarray], weights: dict[str, np.ndarray], heads: dict[str, np.ndarray], met: float, rough: bool, first: int, pieces: int, g: np.ndarray, seen: np.ndarray, e: np.ndarray, gap: np.ndarray, room: np.ndarray):
         """Of the windows from ``first`` on, for :meth:`_meet`: the sums of attention and of logits over the words read by own states, how many these are, and which windows are unmet.  None: too many."""
         n = len(e)
         total, unmet, left, own = np.zeros((2, n), _f), np.zeros(n, bool), WINDOW, {}
@@ -337,10 +351,10 @@ class Network:
             for i in range(left):
                 k = i if s == "f" else WINDOW - 1 - i
                 at = slice(first + k * pieces, first + k * pieces + n)
-                h = step(weights[s], stream[s][:, at], h, g, room[i % 2]) if i else stream[s][3 * HIDDEN:, at]
+                h = step(weights[s], stream[s][:, at], h, g, room[i % 2], rough) if i else stream[s][3 * HIDDEN:, at]
                 np.matmul(heads[s], h, out=seen)
                 seen += other[:, at]
-                self._pool(seen, e)
+                self._pool(seen, e, rough)
                 np.exp(e, out=e)
                 total[0] += e
                 e *= seen[ATTEND]
@@ -377,12 +391,13 @@ class Network:
         begin, end = at[:-1], at[1:] - WINDOW + 1  # of windows
         about, open_ = np.full(last, -np.inf, _f), np.ones(last, bool)
         meets = float(np.abs(self.p["va"]).sum()) < 40  # its exp needs no shift
+        inputs = {s: np.concatenate([v[:3 * HIDDEN] * _f(_SLOPE) + _f(_BASE), v[3 * HIDDEN:]]) for s, v in rows.items()} if rough else rows
         for i in range(0, last if meets else 0, block):
             n = min(block, last - i)
             words = inverse[i:i + n + WINDOW - 1]
             words = np.append(words, np.zeros(-n % _PIECE, words.dtype))
             with np.errstate(over="ignore"):
-                each, unmet = self._meet(rows, words, met)
+                each, unmet = self._meet(inputs, words, met, rough)
             about[i:i + n], open_[i:i + n] = each[:n], unmet[:n]
         window, text = ragged(begin, end - begin), np.repeat(np.arange(len(begin)), end - begin)
         about, open_, starts = about[window], open_[window], np.concatenate([[0], np.cumsum(end - begin)[:-1]])
