@@ -325,3 +325,36 @@ def test_missing_window_at_a_drift_is_an_error(spark):
     assert [r["delta"] for r in T.drift_deltas(windows, drift, ["m"]).collect()] == [2.0]
     with pytest.raises(Exception, match="no window beside change 1 of d"):
         T.drift_deltas(windows, drift.unionByName(spark.createDataFrame([("d", 1, "sudden")], drift.schema)), ["m"]).collect()
+
+
+# ---------------------------------------------------------------- replicates of small and of large windows
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Windows of 12, 300 and 5,000 traces."""
+    rows = spark.range(5000).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (12, 300, 5000)])).alias("n"), F.col("id").alias("pos")).where("pos < n")
+    return rows.select((F.length(F.col("n").cast("string")) - 2).cast("long").alias("window_id"), "pos", F.array(F.lit("A"), F.concat(F.lit("B"), (F.col("pos") % 7).cast("string"))).alias("acts"), F.lit(2).alias("len"), (F.col("pos") + 100).alias("trace_index"))
+
+
+def _places(size, window, replicate, seed=7):
+    import hashlib
+
+    return {(window, replicate, s, int(hashlib.md5(f"{seed}:{window}:{replicate}:{s}".encode()).hexdigest()[:8], 16) % size + 100) for s in range(size)}
+
+
+@pytest.mark.parametrize("held", [1, 100, 4096, 10**6])
+def test_traces_drawn_again(uneven, monkeypatch, held):
+    monkeypatch.setattr(B, "HELD", held, raising=False)
+    again = B.trace_bootstrap(uneven, 2)
+    got = [tuple(r) for r in again.select("window_id", "replicate", "pos", "trace_index").collect()]
+    assert len(got) == 2 * 5312 and set(got) == set().union(*[_places(n, w, k) for w, n in ((0, 12), (1, 300), (2, 5000)) for k in (0, 1)])
+
+
+def test_slots_of_large_windows_are_not_broadcast(uneven):
+    """Slots are made by rows that look small: joined without a hint, all of them went to the driver."""
+    large = _plan(B.trace_bootstrap(uneven.where("window_id = 2"), 20).select("window_id", "replicate", "pos", "trace_index"))
+    assert "ShuffledHashJoin" in large and "BroadcastHashJoin" not in large and "BroadcastNestedLoopJoin" not in large

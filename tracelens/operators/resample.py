@@ -13,17 +13,43 @@ from .richness import KIND, bootstrap_community, chao1
 from .sampling import draw
 
 
+#: Traces of a window that one row holds, and slots that one row makes.
+HELD = 4096
+
+
 def trace_bootstrap(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 7) -> DataFrame:
     """Each window resampled with replacement: one more key, ``replicate``.
 
-    A replicate is just another window, so it is counted at once by the same operators.
+    A replicate is just another window, so it is counted at once by the same operators.  A window of up to
+    ``HELD`` traces becomes one row, from which its replicates are drawn without a shuffle; slots of larger
+    ones are made in rows of ``HELD``, dealt out, and meet the traces by window and place.
     """
     keys = list(keys)
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    slots = slots.withColumn("pos", draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("slot")) % F.col("_n"))
     rest = [c for c in members.columns if c not in (*keys, "pos")]
-    return slots.join(members, [*keys, "pos"]).select(*keys, "replicate", F.col("slot").alias("pos"), *rest)
+    sizes = materialize(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    least, most = sizes.agg(F.min("_n"), F.max("_n")).first()
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    drawn = (draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("slot")) % F.col("_n")).alias("_at")
+    parts = []
+    if least is None or least <= HELD:
+        own = members.join(sizes.where(F.col("_n") <= HELD), keys)
+        # A list for each column, so that those that nobody reads are left out.
+        lists = [F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("v")))).alias(f"_m{i}") for i, c in enumerate(rest)]
+        made = [f"_m{i}" for i in range(len(rest))]
+        slots = own.groupBy(*keys, "_n").agg(*lists).select(*keys, "_n", *made, each).select(*keys, "_n", *made, "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
+        slots = slots.select(*keys, "replicate", F.col("slot").alias("pos"), *made, drawn.cast("int"))
+        parts.append(slots.select(*keys, "replicate", "pos", *[F.get(m, F.col("_at"))["v"].alias(c) for m, c in zip(made, rest)]))
+    if most is not None and most > HELD:
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {HELD}"))).alias("_block")
+        # A fixed number of parts: these few rows, each of which makes HELD, would be put together again.
+        tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        runs = sizes.where(F.col("_n") > HELD).select(*keys, "_n", each).select(*keys, "_n", "replicate", block).repartition(tasks, *keys, "replicate", "_block")
+        slots = runs.select(*keys, "_n", "replicate", F.explode(F.sequence(F.col("_block") * HELD, F.least("_n", (F.col("_block") + 1) * HELD) - 1)).alias("slot"))
+        slots = slots.select(*keys, "replicate", "slot", drawn)
+        # Spark takes slots for as small as the sizes they come from: without the hint it would broadcast them.
+        own = members.withColumnRenamed("pos", "_at").hint("shuffle_hash")
+        parts.append(slots.join(own, [*keys, "_at"]).select(*keys, "replicate", F.col("slot").alias("pos"), *rest))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], seed: int = 11) -> DataFrame:
