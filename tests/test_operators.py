@@ -358,3 +358,16 @@ def test_slots_of_large_windows_are_not_broadcast(uneven):
     """Slots are made by rows that look small: joined without a hint, all of them went to the driver."""
     large = _plan(B.trace_bootstrap(uneven.where("window_id = 2"), 20).select("window_id", "replicate", "pos", "trace_index"))
     assert "ShuffledHashJoin" in large and "BroadcastHashJoin" not in large and "BroadcastNestedLoopJoin" not in large
+
+
+def test_replicates_of_traces_and_their_tables(uneven, monkeypatch):
+    """Both tables are the same, whether windows are drawn from a row or by a shuffle."""
+    found = []
+    for held in (1, 10**6):
+        monkeypatch.setattr(B, "HELD", held, raising=False)
+        one = R.richness_table(uneven, ["window_id"], 5, mode="empirical").orderBy("window_id", R.KIND).collect()
+        two = R.equal_coverage_table(uneven, ["window_id"], 5).orderBy("window_id", R.KIND).collect()
+        found.append((one, two))
+    assert [tuple(r) for r in found[0][0]] == [tuple(r) for r in found[1][0]] and len(found[0][0]) == 6
+    for a, b in zip(found[0][1], found[1][1]):
+        assert a.asDict().keys() == b.asDict().keys() and all(x == y if not isinstance(x, float) else x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b))
