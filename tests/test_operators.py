@@ -371,3 +371,11 @@ def test_replicates_of_traces_and_their_tables(uneven, monkeypatch):
     assert [tuple(r) for r in found[0][0]] == [tuple(r) for r in found[1][0]] and len(found[0][0]) == 6
     for a, b in zip(found[0][1], found[1][1]):
         assert a.asDict().keys() == b.asDict().keys() and all(x == y if not isinstance(x, float) else x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b))
+
+
+def test_traces_of_replicates_need_no_communities(spark, data, monkeypatch):
+    """The query of one side doesn't work out the other."""
+    from tracelens.plans.queries import QUERIES
+
+    monkeypatch.setattr(B, "species_bootstrap", lambda *a, **k: pytest.fail("communities drawn"))
+    assert QUERIES["inext_replicate_traces"](spark, data).columns == ["window_id", "replicate", "pos", "trace_index"]

@@ -63,18 +63,27 @@ def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], s
     return multinomial(whole, groups.select(*keys, "n"), replicates, keys, seed)
 
 
-def inext_replicates(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Replicates of windows with both of their sides, under the same keys and ``replicate``.
-
-    First the refitted populations (activities, pairs and variants drawn from each window's
-    estimated community, then fitted again), second the traces, drawn again with replacement.
-    So ``all_measures(traces, keys, population=fits)`` measures a replicate as it does a window.
-    """
+def replicate_fits(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 11) -> DataFrame:
+    """Activities, pairs and variants drawn from each window's estimated community, then fitted again."""
     from .eventlog import species
 
     keys = list(keys)
     again = species_bootstrap(materialize(species(members, keys)), replicates, [*keys, KIND], seed)
-    return chao1(again, [*keys, KIND, "replicate"]), trace_bootstrap(members, replicates, keys, seed)
+    return chao1(again, [*keys, KIND, "replicate"])
+
+
+def replicate_traces(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 11) -> DataFrame:
+    """The traces of the same replicates, drawn again with replacement."""
+    return trace_bootstrap(members, replicates, keys, seed)
+
+
+def inext_replicates(members: DataFrame, replicates: int, keys: Sequence[str] = ("window_id",), seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Replicates of windows with both of their sides, under the same keys and ``replicate``.
+
+    First the refitted populations, second the traces.  So ``all_measures(traces, keys, population=fits)``
+    measures a replicate as it does a window.
+    """
+    return replicate_fits(members, replicates, keys, seed), replicate_traces(members, replicates, keys, seed)
 
 
 def interval(values: DataFrame, keys: Sequence[str], method: str = "normal", level: float = 0.95) -> DataFrame:
