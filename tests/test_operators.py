@@ -379,3 +379,20 @@ def test_traces_of_replicates_need_no_communities(spark, data, monkeypatch):
 
     monkeypatch.setattr(B, "species_bootstrap", lambda *a, **k: pytest.fail("communities drawn"))
     assert QUERIES["inext_replicate_traces"](spark, data).columns == ["window_id", "replicate", "pos", "trace_index"]
+
+
+def test_replicates_of_small_windows_are_drawn_in_place(uneven):
+    """No slot of a small window goes through a shuffle or a join by its place."""
+    import re
+
+    plan = _plan(B.trace_bootstrap(uneven.where("window_id < 2"), 20))
+    assert not re.search(r"(Join|hashpartitioning)[^\n]*(pos|_at|replicate)#", plan)
+
+
+def test_counts_without_sets(uneven):
+    """Sizes alone don't count activities and pairs."""
+    from tracelens.operators.measures import basic
+
+    one, all_ = basic(uneven, sets=False), basic(uneven)
+    assert "number_of_distinct_activities" not in one.columns and "Join" not in _plan(one)
+    assert one.orderBy("window_id").collect() == all_.select(*one.columns).orderBy("window_id").collect()

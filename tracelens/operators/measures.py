@@ -29,8 +29,8 @@ def acyclic_paths(activities: Column, edges: Column) -> Column:
     return F.when(power > 308, F.lit(float("inf"))).otherwise(F.pow(F.lit(10.0), power))
 
 
-def basic(members: DataFrame, keys: Sequence[str] = ("window_id",), kinds: DataFrame | None = None) -> DataFrame:
-    """Sizes, lengths, shares and ties: all measures that need counts only."""
+def basic(members: DataFrame, keys: Sequence[str] = ("window_id",), kinds: DataFrame | None = None, sets: bool = True) -> DataFrame:
+    """Sizes, lengths, shares and ties: all measures that need counts only; without ``sets`` not those of activities and pairs."""
     kinds = variants(members, keys) if kinds is None else kinds
     n, size = F.col("n"), F.col("len")
     main = kinds.groupBy(*keys).agg(
@@ -39,10 +39,12 @@ def basic(members: DataFrame, keys: Sequence[str] = ("window_id",), kinds: DataF
         (F.sum(n * F.size(F.array_distinct("acts"))) / F.sum(n)).alias("average_distinct_activities_per_trace"),
         F.sum(F.greatest(size - 1, F.lit(0))).cast("double").alias("number_of_ties_in_paths_to_goal"),
     )
+    main = main.withColumn("percentage_of_distinct_traces", F.col("number_of_distinct_traces") / F.col("number_of_traces"))
+    if not sets:
+        return main
     acts = kinds.select(*keys, F.explode(F.array_distinct("acts")).alias("x")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("number_of_distinct_activities"))
     edges = kinds.select(*keys, F.explode(F.array_distinct(pairs("acts"))).alias("x")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("number_of_distinct_directly_follows_relations"))
-    out = main.join(acts, list(keys), "left").join(edges, list(keys), "left").na.fill(0, ["number_of_distinct_activities", "number_of_distinct_directly_follows_relations"])
-    return out.withColumn("percentage_of_distinct_traces", F.col("number_of_distinct_traces") / F.col("number_of_traces"))
+    return main.join(acts, list(keys), "left").join(edges, list(keys), "left").na.fill(0, ["number_of_distinct_activities", "number_of_distinct_directly_follows_relations"])
 
 
 def derived(df: DataFrame) -> DataFrame:
