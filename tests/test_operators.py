@@ -396,3 +396,15 @@ def test_counts_without_sets(uneven):
     one, all_ = basic(uneven, sets=False), basic(uneven)
     assert "number_of_distinct_activities" not in one.columns and "Join" not in _plan(one)
     assert one.orderBy("window_id").collect() == all_.select(*one.columns).orderBy("window_id").collect()
+
+
+def test_ranks_of_values_that_change_when_worked_out_again(spark):
+    """Sums of doubles may differ in the last bit between two runs of one plan; no row may be lost by that."""
+    import random
+
+    shaky = F.udf(lambda i: i + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(200).select((F.col("id") % 2).alias("k"), "id").withColumn("y", shaky("id"))
+    got = A.average_ranks(rows, "y", ["k"], "r").collect()
+    assert sorted((r["k"], r["r"]) for r in got) == [(k, float(i)) for k in (0, 1) for i in range(1, 101)]
+    both = A.size_correlations(rows.select("k", (F.col("id") % 5).alias("sample_size"), F.col("y").alias("value")), ["k"]).collect()
+    assert [r["n"] for r in both] == [100, 100] and all(r["spearman_rho"] is not None for r in both)

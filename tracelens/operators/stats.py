@@ -24,6 +24,8 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], out: str) ->
     a table of a row for each group and range.  So no task sorts or holds a whole group.
     """
     keys = list(keys)
+    # Ranks meet rows by value: sums of doubles worked out twice may differ in the last bit, so they are written once.
+    rows = materialize(rows)
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     ordered = materialize(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
