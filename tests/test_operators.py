@@ -408,3 +408,13 @@ def test_ranks_of_values_that_change_when_worked_out_again(spark):
     assert sorted((r["k"], r["r"]) for r in got) == [(k, float(i)) for k in (0, 1) for i in range(1, 101)]
     both = A.size_correlations(rows.select("k", (F.col("id") % 5).alias("sample_size"), F.col("y").alias("value")), ["k"]).collect()
     assert [r["n"] for r in both] == [100, 100] and all(r["spearman_rho"] is not None for r in both)
+
+
+def test_signed_ranks_of_values_that_change(spark):
+    import random
+
+    shaky = F.udf(lambda i: i - 20 + random.random() * 1e-9, "double").asNondeterministic()
+    w = A.wilcoxon_greater(spark.range(100).withColumn("metric", F.lit("x")).withColumn("delta_r", shaky("id") + 0.3), ["metric"]).first()
+    d = [i - 19.7 for i in range(100)]
+    order = sorted(range(100), key=lambda i: abs(d[i]))
+    assert (w["m"], w["w_plus"]) == (100, sum(r for r, i in enumerate(order, 1) if d[i] > 0))

@@ -124,6 +124,7 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p", keys: Sequence[str] = (),
 def wilcoxon_greater(rows: DataFrame, keys: Sequence[str], delta: str = "delta_r") -> DataFrame:
     """One-sided signed-rank test that ``delta`` is positive: rank sums in Spark, the normal tail in a UDF on the result."""
     d = rows.where((F.col(delta) != 0) & F.col(delta).isNotNull()).select(*keys, F.col(delta).alias("d"), F.abs(delta).alias("a"))
+    d = materialize(d)
     ranked = average_ranks(d, "a", keys, "r")
     ties = d.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     w = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(F.lit(0.0))).alias("w_plus"), F.count(F.lit(1)).alias("m")).join(ties, list(keys))
