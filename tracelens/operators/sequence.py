@@ -46,8 +46,9 @@ def lempel_ziv(members: DataFrame, keys: Sequence[str] = ("window_id",)) -> Data
     """
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
-    longest = members.groupBy(*keys).agg(F.max(F.size("acts")).alias("_pad"))
-    ordered = members.select(*keys, "pos", "acts").join(longest, keys).repartition(*keys).sortWithinPartitions(*keys, "pos")
+    # A window function asks for its rows together and in order; the distribution of a join may be changed at run time.
+    whole = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ordered = members.select(*keys, "pos", "acts").withColumn("_pad", F.max(F.size("acts")).over(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parse, schema = None, None, None
