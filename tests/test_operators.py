@@ -418,3 +418,41 @@ def test_signed_ranks_of_values_that_change(spark):
     d = [i - 19.7 for i in range(100)]
     order = sorted(range(100), key=lambda i: abs(d[i]))
     assert (w["m"], w["w_plus"]) == (100, sum(r for r, i in enumerate(order, 1) if d[i] > 0))
+
+
+def test_many_binomial_draws_at_once():
+    """The draws of a batch are those of the sums, one by one."""
+    import math
+    import random
+
+    import numpy as np
+
+    from tracelens.operators.draws import binomials
+
+    rnd = random.Random(3)
+    cases = [(rnd.randrange(0, 500), rnd.random(), rnd.random()) for _ in range(300)] + [(0, 0.5, 0.5), (7, 0.0, 0.9), (7, 1.0, 0.1), (40000, 0.25, 0.999), (3, 0.5, 1e-9), (3, 0.5, 1 - 1e-9)]
+
+    def one(n, p, u):
+        if n <= 0 or p <= 0 or p >= 1:
+            return n if n > 0 and p >= 1 else 0
+        wide, total = 8 * math.sqrt(n * p * (1 - p)) + 20, 0.0
+        low, high = max(0, math.floor(n * p - wide)), min(n, math.ceil(n * p + wide))
+        for k in range(low, high + 1):
+            total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+            if total >= u:
+                return k
+        return high
+
+    n, p, u = (np.array(x) for x in zip(*cases))
+    assert binomials(n, p, u).tolist() == [one(*c) for c in cases]
+
+
+def test_nodes_of_the_tree_are_dealt_to_tasks(spark):
+    """Few bytes, much work: without a fixed number of parts one task would draw all."""
+    from tracelens.operators.draws import multinomial
+
+    w = spark.range(200).select(F.lit("x").alias("k"), F.concat(F.lit("s"), F.col("id")).alias("species"), (F.col("id") + 1).cast("double").alias("w"))
+    dealt = multinomial(w, spark.createDataFrame([("x", 100000)], "k string, n long"), 3, ["k"], 5)
+    plan = _plan(dealt)
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+    assert [r[0] for r in dealt.groupBy("replicate").agg(F.sum("n")).select("sum(n)").collect()] == [100000] * 3

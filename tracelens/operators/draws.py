@@ -6,10 +6,14 @@ any SQL engine can repeat it.  Expressions are written as SQL text, which Spark
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.scratch import materialize
 
@@ -56,12 +60,79 @@ def binomial(n: str, p: str, u: str) -> Column:
     return F.expr(binomial_text(n, p, u))
 
 
-def _split_text(counts: str, masses: str, depth: int, seed: int, parts: Sequence[str]) -> str:
-    """Counts of the two children of every node of a level: left, right, left, right.  ``masses``: those of the children."""
-    node = f"concat(_bits, lpad(bin(_i), {depth}, '0'))" if depth else "_bits"
-    share = bind("_a _b", [f"{masses}[2 * _i]", f"{masses}[2 * _i + 1]"], "coalesce(_a / nullif(_a + _b, 0), 0D)")
-    drawn = binomial_text("_x", share, uniform_text(seed, *parts, node))
-    return f"flatten(transform({counts}, (_x, _i) -> {bind('_k', [drawn], 'array(_k, _x - _k)')}))"
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """The series of ``_LOG_GAMMA``."""
+    y = x + 10
+    tail = 1 / 1188 - 691 / 360360 / y / y
+    for c in (1680, 1260, 360):
+        tail = 1 / c - tail / y / y
+    return (x + 9.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - tail / y / y) / y - np.log(np.prod([x + i for i in range(10)], axis=0))
+
+
+def binomials(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``binomial_text`` of many draws at once: each sum ends where it reaches its ``u``."""
+    out = np.where((n > 0) & (p >= 1), n, 0)
+    at = np.flatnonzero((n > 0) & (p > 0) & (p < 1))
+    n, p, u = n[at], p[at], u[at]
+    wide = 8 * np.sqrt(n * p * (1 - p)) + 20
+    i, high = np.maximum(0, np.floor(n * p - wide)).astype(np.int64), np.minimum(n, np.ceil(n * p + wide)).astype(np.int64)
+    mass = (1 - p) ** n
+    up = i > 0
+    m, k, q = n[up].astype(float), i[up].astype(float), p[up]
+    mass[up] = np.exp(_log_gamma(m + 1) - _log_gamma(k + 1) - _log_gamma(m - k + 1) + k * np.log(q) + (m - k) * np.log(1 - q))
+    out[at], odds, total = i, p / (1 - p), np.zeros(len(at))
+    while len(at):
+        total = total + mass
+        go = (total < u) & (i <= high)
+        out[at[~go]] = np.minimum(i, high)[~go]
+        at, n, u, i, high, mass, odds, total = (x[go] for x in (at, n, u, i, high, mass, odds, total))
+        mass, i = mass * (n - i) / (i + 1) * odds, i + 1
+    return out
+
+
+def _uniforms(texts: Sequence[str]) -> np.ndarray:
+    return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts], dtype=float) / 4294967296 + 0.5 / 4294967296
+
+
+def _kept(n: np.ndarray, p: np.ndarray, text: Callable[[int], str]) -> np.ndarray:
+    """Binomial draws, whose md5 is worked out only where chance has a part."""
+    u = np.zeros(len(n))
+    at = np.flatnonzero((n > 0) & (p > 0) & (p < 1))
+    u[at] = _uniforms([text(j) for j in at])
+    return binomials(n, p, u)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _split(text: pd.Series, n: pd.Series, bits: pd.Series, masses: pd.Series) -> pd.Series:
+    """Counts of the 16 nodes four levels below, from their masses; ``text``: what a draw's md5 begins with."""
+    levels = [np.stack(masses.to_numpy()).astype(float)]
+    while levels[0].shape[1] > 2:
+        levels.insert(0, levels[0][:, ::2] + levels[0][:, 1::2])
+    counts, start, own = n.to_numpy(dtype=np.int64).reshape(-1, 1), text.tolist(), bits.tolist()
+    for depth, mass in enumerate(levels):
+        width, left = counts.shape[1], mass[:, ::2]
+        both = left + mass[:, 1::2]
+        share = np.divide(left, both, out=np.zeros_like(left), where=both != 0)
+        names = [f"{i:0{depth}b}" if depth else "" for i in range(width)]
+        k = _kept(counts.ravel(), share.ravel(), lambda j: f"{start[j // width]}:{own[j // width]}{names[j % width]}").reshape(-1, width)
+        counts = np.stack([k, counts - k], axis=2).reshape(len(k), -1)
+    return pd.Series(list(counts))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _deal(text: pd.Series, n: pd.Series, bits: pd.Series, weights: pd.Series, mass: pd.Series) -> pd.Series:
+    """Counts of a leaf's species: the next one takes its share of what is left, the last one all of it."""
+    sizes = weights.map(len).to_numpy()
+    w, out = np.zeros((len(sizes), sizes.max(initial=0))), np.zeros((len(sizes), sizes.max(initial=0)), dtype=np.int64)
+    for j, x in enumerate(weights):
+        w[j, : len(x)] = x
+    ahead, rest, start, own = n.to_numpy(dtype=np.int64).copy(), mass.to_numpy(dtype=float).copy(), text.tolist(), bits.tolist()
+    for i in range(w.shape[1]):
+        share = np.divide(w[:, i], rest, out=np.ones(len(w)), where=rest > 0)
+        share = np.where(i == sizes - 1, 1.0, np.where(i < sizes, share, 0.0))
+        out[:, i] = _kept(ahead, share, lambda j: f"{start[j]}:{own[j]}+{i}")
+        ahead, rest = ahead - out[:, i], rest - w[:, i]
+    return pd.Series([out[j, :size] for j, size in enumerate(sizes)])
 
 
 def multinomial(weights: DataFrame, totals: DataFrame, replicates: int, keys: Sequence[str], seed: int) -> DataFrame:
@@ -73,6 +144,11 @@ def multinomial(weights: DataFrame, totals: DataFrame, replicates: int, keys: Se
     row's work and one join, with the masses of the 16 nodes below.
     """
     keys, parts = list(keys), [*keys, "replicate"]
+    # Few bytes, much work: nodes are dealt to a fixed number of tasks, or Spark would put them into one, and meet
+    # their masses by a shuffle, as it takes them for no more than the totals that they come from.
+    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_out = lambda nodes, below: nodes.join(below.hint("shuffle_hash"), [*keys, "_p"]).repartition(tasks, *parts, "_p")
+    start = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in parts])
     rows = materialize(weights.where("w > 0").select(*keys, "species", F.col("w").cast("double").alias("w"), F.md5("species").alias("_h")))
     most = rows.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     digits = 0
@@ -82,20 +158,11 @@ def multinomial(weights: DataFrame, totals: DataFrame, replicates: int, keys: Se
     for level in range(digits):
         digit = F.substring("_h", level + 1, 1)
         below = rows.groupBy(*keys, F.substring("_h", 1, level).alias("_p")).agg(*[F.sum(F.when(digit == f"{i:x}", F.col("w")).otherwise(F.lit(0.0))).alias(f"_w{i}") for i in range(16)])
-        levels = [[f"_w{i}" for i in range(16)]]
-        while len(levels[0]) > 2:
-            levels.insert(0, [f"({a} + {b})" for a, b in zip(levels[0][::2], levels[0][1::2])])
-        below = below.selectExpr(*keys, "_p", *[f"array({', '.join(x)}) as _m{d}" for d, x in enumerate(levels)])
-        at = at.join(below, [*keys, "_p"]).withColumn("_c", F.array("_n"))
-        for depth in range(4):
-            at = at.withColumn("_c", F.expr(_split_text("_c", f"_m{depth}", depth, seed, parts)))
+        below = below.select(*keys, "_p", F.array(*[f"_w{i}" for i in range(16)]).alias("_m"))
+        at = dealt_out(at, below).withColumn("_c", _split(start, "_n", "_bits", "_m"))
         at = at.selectExpr(*keys, "replicate", "_p", "_bits", "posexplode(_c) as (_i, _n)").where("_n > 0")
         at = at.selectExpr(*keys, "replicate", "_n", "concat(_p, lower(hex(_i))) as _p", "concat(_bits, lpad(bin(_i), 4, '0')) as _bits")
     leaves = rows.groupBy(*keys, F.substring("_h", 1, digits).alias("_p")).agg(F.array_sort(F.collect_list(F.struct("species", "w"))).alias("_s"), F.sum("w").alias("_m"))
-    # The next species of a leaf takes its share of what is left, the last one all of it.
-    share = "if(i = size(_s) - 1, 1D, _s[i].w / s.mass)"
-    drawn = binomial_text("s.n", share, uniform_text(seed, *parts, "concat(_bits, '+', i)"))
-    step = bind("_k", [drawn], "named_struct('n', s.n - _k, 'mass', s.mass - _s[i].w, 'out', concat(s.out, array(named_struct('species', _s[i].species, 'n', _k))))")
-    start = "named_struct('n', _n, 'mass', _m, 'out', cast(array() as array<struct<species:string,n:bigint>>))"
-    dealt = at.join(leaves, [*keys, "_p"]).selectExpr(*keys, "replicate", f"inline(aggregate(sequence(0, size(_s) - 1), {start}, (s, i) -> {step}, s -> s.out))")
+    dealt = dealt_out(at, leaves).withColumn("_k", _deal(start, "_n", "_bits", F.transform("_s", lambda x: x["w"]), "_m"))
+    dealt = dealt.select(*parts, F.inline(F.transform("_s", lambda x, i: F.struct(x["species"].alias("species"), F.get("_k", i).alias("n")))))
     return dealt.where("n > 0")

@@ -55,6 +55,7 @@ def trace_bootstrap(members: DataFrame, replicates: int, keys: Sequence[str] = (
 def species_bootstrap(counts: DataFrame, replicates: int, keys: Sequence[str], seed: int = 11) -> DataFrame:
     """Multinomial draws from each group's estimated community; unseen species are ``unseen:k``."""
     keys = list(keys)
+    counts = materialize(counts)  # read several times below
     seen = bootstrap_community(counts, keys)
     groups = materialize(seen.groupBy(*keys).agg(F.max("p0").alias("p0"), F.max("unseen_count").cast("long").alias("_k"), F.max("total").alias("n")))
     hidden = groups.where("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_k")))
@@ -68,7 +69,7 @@ def replicate_fits(members: DataFrame, replicates: int, keys: Sequence[str] = ("
     from .eventlog import species
 
     keys = list(keys)
-    again = species_bootstrap(materialize(species(members, keys)), replicates, [*keys, KIND], seed)
+    again = species_bootstrap(species(members, keys), replicates, [*keys, KIND], seed)
     return chao1(again, [*keys, KIND, "replicate"])
 
 
