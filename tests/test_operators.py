@@ -456,3 +456,17 @@ def test_nodes_of_the_tree_are_dealt_to_tasks(spark):
     plan = _plan(dealt)
     assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
     assert [r[0] for r in dealt.groupBy("replicate").agg(F.sum("n")).select("sum(n)").collect()] == [100000] * 3
+
+
+def test_species_are_counted_once(spark):
+    """Draws, totals and probabilities all come from one reading of the counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    counts = spark.range(40).select(F.lit("x").alias("k"), F.concat(F.lit("s"), F.col("id")).alias("species"), F.udf(count, "long").asNondeterministic()(F.col("id") % 5 + 1).alias("n"))
+    total = sum(i % 5 + 1 for i in range(40))
+    assert [r[0] for r in B.species_bootstrap(counts, 2, ["k"]).groupBy("replicate").agg(F.sum("n")).select("sum(n)").collect()] == [total] * 2
+    assert seen.value == 40
