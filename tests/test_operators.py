@@ -470,3 +470,14 @@ def test_species_are_counted_once(spark):
     total = sum(i % 5 + 1 for i in range(40))
     assert [r[0] for r in B.species_bootstrap(counts, 2, ["k"]).groupBy("replicate").agg(F.sum("n")).select("sum(n)").collect()] == [total] * 2
     assert seen.value == 40
+
+
+def test_percentiles_by_both_ways_of_drawing(uneven, monkeypatch):
+    from tracelens.operators.measures import basic, unpivot
+
+    found = []
+    for held in (1, 10**6):
+        monkeypatch.setattr(B, "HELD", held)
+        again = basic(B.trace_bootstrap(uneven, 4), ["window_id", "replicate"], sets=False).select("window_id", "replicate", "number_of_traces", "number_of_distinct_traces")
+        found.append(sorted(tuple(r) for r in B.interval(unpivot(again, ["window_id", "replicate"]), ["window_id", "metric"], "percentile").collect()))
+    assert found[0] == found[1] and len(found[0]) == 6
